@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,3 +62,36 @@ def running_base(sums: DataFrame, group: list[str], order: list[str], value: str
     """For each row the sum of value over the rows before it in its group."""
     before = Window.partitionBy(*map(col, group)).orderBy(*map(col, order)).rowsBetween(Window.unboundedPreceding, -1)
     return sums.withColumn(base, F.coalesce(F.sum(col(value)).over(before), F.lit(0)))
+
+
+class Scratch:
+    """Parquet copies in the shared folder, for tables that are read several times before the operator returns.
+
+    Unlike checkpoint files they are compressed and pruned by column. clear() deletes them; use them for
+    nothing that the returned DataFrame still has to read.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.made = spark, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = f"{self.spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+        self.made.append(path)
+        df.write.parquet(path)
+        self.release()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Let Spark drop shuffle files that no table needs any more; it does so as its driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def clear(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.made:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        self.made = []
+        self.release()
