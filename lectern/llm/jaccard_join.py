@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import buffers, mix64, shingles, slices, words
 from lectern.llm.common import Scratch, checkpoint, col
-from lectern.llm.components import components
 from lectern.llm.exact_dedup import winners
+from lectern.llm.linking import MET, link_components, meet
 
 SHINGLE = 5
 #: Similarity of at least NUM / DEN; the bounds in this module hold for 3 / 4 and above.
@@ -193,66 +193,6 @@ def _digest(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(_per_text(mix64(flat), at, np.add, 0) ^ mix64(np.diff(at).astype(np.uint64)))
 
 
-#: Rows of one key that are held back to compare whole groups; longer groups are passed on in pieces.
-HELD = 1 << 20
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and id: (a, b, false), b met a, the smallest of its group; (key, b, true): b is in a group of three or more."""
-    seen: set[int] = set()
-    held_key, held_id, open_key, open_first = np.zeros(0, np.int64), np.zeros(0, np.int64), None, None
-
-    def rows(a, b, big):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), big))], names=["a", "b", "big"])
-
-    def whole(key, ids):
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(heads, len(key)))
-        first = np.repeat(ids[heads], sizes)
-        other = first != ids
-        pairs = np.unique(np.stack([first[other], ids[other]], axis=1), axis=0)
-        yield rows(pairs[:, 0].copy(), pairs[:, 1].copy(), False)
-        members = np.add.reduceat(mix64(ids.view(np.uint64)), heads) + sizes.astype(np.uint64)
-        new = np.zeros(len(heads), bool)
-        for g in np.flatnonzero(sizes >= 3):
-            if int(members[g]) not in seen:
-                seen.add(int(members[g]))
-                new[g] = True
-        if len(seen) > 1 << 20:
-            seen.clear()
-        pick = np.repeat(new, sizes)
-        yield rows(key[pick], ids[pick], True)
-
-    for batch in batches:
-        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if open_key is not None:
-            more = int(np.searchsorted(key, open_key, "right"))
-            some = np.unique(ids[:more])
-            yield rows(np.full(len(some), open_first), some, False)
-            yield rows(np.full(len(some), open_key), some, True)
-            key, ids = key[more:], ids[more:]
-            if not len(key):
-                continue
-            open_key = None
-        key, ids = np.concatenate([held_key, key]), np.concatenate([held_id, ids])
-        if not len(key):
-            continue
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        key, ids = key[fresh], ids[fresh]
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield from whole(key[:last], ids[:last])
-        held_key, held_id = key[last:], ids[last:]
-        if len(held_key) > HELD:
-            open_key, open_first = held_key[0], held_id[0]
-            yield rows(np.full(len(held_id) - 1, open_first), held_id[1:], False)
-            yield rows(held_key, held_id, True)
-            held_key, held_id = held_key[:0], held_id[:0]
-    if len(held_key):
-        yield from whole(held_key, held_id)
-
-
 def _whole_sets(size: int):
     kinds = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
@@ -318,34 +258,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = summary.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     named = summary.join(classes, "digest", "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")))
     info = scratch.store(named.select("id", "rep", "n", *_SKETCH))
-    reps = info.where("id = rep")
+    reps = info.where("id = rep").drop("rep")
 
     run, schema = _emit_keys(size, frequent, settled)
     keyed = docs.mapInArrow(run, schema)
-    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "a long, b long, big boolean"))
-
-    to_rep = info.select("id", "rep").distinct()
-    stars = met.where("not big").select("a", "b").distinct()
-    stars = stars.join(to_rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(to_rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-    stars = stars.where("ra <> rb").select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
-    tried = stars.join(reps.alias("a"), F.col("u") == F.col("a.id")).join(reps.alias("b"), F.col("v") == F.col("b.id"))
-    tried = scratch.store(tried.where(_possible("a", "b")).select("u", "v").distinct())
-    links = scratch.store(_linked(tried, docs, size, scratch))
-    found = scratch.store(components(links))
-
-    named = met.where("big").select(F.col("a").alias("bucket"), F.col("b").alias("id")).join(to_rep, "id").select("bucket", "rep").distinct()
-    named = named.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    apart = named.join(mixed, "bucket", "left_semi").join(reps.drop("rep"), F.col("rep") == F.col("id"))
-    apart = scratch.store(apart.select("bucket", "rep", "component", "n", *_SKETCH))
-    rest = apart.alias("a").join(apart.alias("b"), F.col("a.bucket") == F.col("b.bucket"))
-    rest = rest.where((F.col("a.component") < F.col("b.component")) & _possible("a", "b"))
-    rest = rest.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
-    rest = scratch.store(rest.join(tried, ["u", "v"], "left_anti"))
-    late = scratch.store(_linked(rest, docs, size, scratch))
-    if not late.isEmpty():
-        found = scratch.store(components(links.unionByName(late)))
+    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET))
 
+    found = link_components(met, reps, _possible, lambda pairs: _linked(pairs, docs, size, scratch), scratch, info.select("id", "rep").distinct())
     done = info.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = checkpoint(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
     scratch.clear()

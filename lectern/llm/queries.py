@@ -5,16 +5,26 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, exact_dedup, fingerprints, jaccard_join, mixing, sharding
+from lectern.llm import byte_bpe, chat_format, exact_dedup, fingerprints, jaccard_join, mixing, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The vocabulary's path, the same on every executor."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     record = {"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]}
@@ -41,6 +51,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, narrow=True).select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return byte_bpe.encode(docs, vocabulary(), public_tokenizers.PATTERN, keep=["doc_id"], digests=True)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -63,8 +78,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_byte_bpe": op5_byte_bpe,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_sharding": op7_sharding,
         "op9_mixing": op9_mixing,
