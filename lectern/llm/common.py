@@ -64,6 +64,12 @@ def running_base(sums: DataFrame, group: list[str], order: list[str], value: str
     return sums.withColumn(base, F.coalesce(F.sum(col(value)).over(before), F.lit(0)))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 class Scratch:
     """Parquet copies in the shared folder, for tables that are read several times before the operator returns.
 
@@ -76,7 +82,7 @@ class Scratch:
         self.spark, self.made = spark, []
 
     def store(self, df: DataFrame) -> DataFrame:
-        path = f"{self.spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+        path = shared_path(self.spark, "scratch")
         self.made.append(path)
         df.write.parquet(path)
         self.release()

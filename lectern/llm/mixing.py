@@ -4,7 +4,7 @@ Each document expects target / source size copies. Within its source, expected c
 prefix-summed in exact decimals from one random offset, and a document is emitted once for each
 integer boundary its interval crosses: floor or ceiling of its expectation. Documents are laid out
 by size first, so the sample follows the size distribution and the words taken stay within a few
-documents of the target. The prefix sum is distributed: sums of (source, size class, hash) buckets
+documents of the target; of DRAWS random offsets a source takes the one whose words come nearest. The prefix sum is distributed: sums of (source, size class, hash) buckets
 are added up, then each bucket continues from its base, so a hot source is spread over many tasks.
 """
 
@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACE, col, fresh, running_base, sub_buckets
+from lectern.llm.common import SPACE, checkpoint, col, fresh, running_base, sub_buckets
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 CAP = 2.0
 SEED = 20240607
+#: Offsets that are drawn for each source.
+DRAWS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -60,8 +62,9 @@ def mix(
     total: float = TOTAL,
     cap: float = CAP,
     seed: int = SEED,
+    narrow: bool = False,
 ) -> DataFrame:
-    """df with size, source_size, target, copies and taken.
+    """df with size, source_size, target, copies and taken; narrow=True leaves out all but id and source.
 
     size counts the words of the text (null: 0). A null source is a source of its own, ranked last.
     A source without words has target 0 and no copies. Reruns agree; rows that repeat id and text
@@ -70,38 +73,69 @@ def mix(
     """
     new = ["size", "source_size", "target", "copies", "taken"]
     df = df.drop(*[c for c in df.columns if c.lower() in new and c not in (id_col, source_col, text_col)])
-    kept = df.columns
-    key, cls, sub, mass, base, rate, start, end, spot = fresh(df, "key_", "class_", "sub_", "mass_", "base_", "rate_", "start_", "end_", "spot_")
-    buckets = sub_buckets(df.count(), 32)
-    sized = df.withColumns(
-        {
-            key: F.coalesce(F.concat(F.lit("="), col(source_col)), F.lit("")),
-            "size": word_count(col(text_col)),
-            spot: F.xxhash64(col(id_col), F.lit(seed)),
-        }
-    ).withColumns({cls: F.floor(F.log2(F.col("size") + 1) * 4).cast("int"), sub: F.pmod(col(spot), F.lit(buckets))})
-    sums = sized.groupBy(key, cls, sub).agg(
-        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min(col(source_col)).alias("source")
-    )
+    if narrow:
+        df = df.select(*map(col, dict.fromkeys([id_col, source_col, text_col])))
+    key, cls, sub, mass, base, rate, start, spot, shift = fresh(df, "key_", "class_", "sub_", "mass_", "base_", "rate_", "start_", "spot_", "shift_")
+    bucket = [key, cls, sub]
+
+    def with_size(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(
+            {
+                key: F.coalesce(F.concat(F.lit("="), col(source_col)), F.lit("")),
+                "size": word_count(col(text_col)),
+                spot: F.xxhash64(col(id_col), F.lit(seed)),
+            }
+        )
+
+    def with_bucket(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({cls: F.floor(F.log2(F.col("size") + 1) * 4).cast("int"), sub: F.pmod(col(spot), F.lit(buckets))})
+
+    def step(n: Column) -> Column:
+        return (col(rate) * n.cast("decimal(14,0)")).cast("decimal(34,15)")
+
+    def crossed(offset: Column) -> Column:
+        return (F.floor(col(start) + step(F.lit(1)) + offset) - F.floor(col(start) + offset)).cast("long")
+
+    def laid(rows: DataFrame, bases: DataFrame) -> DataFrame:
+        place = Window.partitionBy(*bucket).orderBy("size", spot, col(id_col))
+        placed = rows.withColumn(start, F.row_number().over(place) - 1).join(bases, bucket)
+        return placed.withColumn(start, (col(base) + step(col(start))).cast("decimal(34,15)"))
+
+    measured = checkpoint(with_size(df).select(*map(col, dict.fromkeys([id_col, source_col])), key, "size", spot))
+    buckets = sub_buckets(measured.count(), 32)
+    sums = with_bucket(measured).groupBy(*bucket).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min(col(source_col)).alias("source"))
+    sums = checkpoint(sums)
     sources = targets(sums.groupBy(key).agg(F.min("source").alias("source"), F.sum("size").alias("source_size")), weights, total, cap)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).cast("decimal(20,15)")
     sources = sources.select(key, "source_size", "target", expected.alias(rate))
     bases = sums.join(sources, key).withColumn(mass, (col(rate) * F.col("n").cast("decimal(14,0)")).cast("decimal(34,15)"))
-    bases = running_base(bases, [key], [cls, sub], mass, base).select(key, cls, sub, "source_size", "target", rate, base)
-    place = Window.partitionBy(key, cls, sub).orderBy("size", spot, col(id_col))
-    laid = sized.withColumn(start, F.row_number().over(place) - 1).join(bases, [key, cls, sub])
-    offset = (F.shiftrightunsigned(F.xxhash64(col(key), F.lit(seed), F.lit("offset")), 11) / F.lit(float(2**53))).cast("decimal(16,15)")
-    origin = col(base).cast("decimal(34,15)") + offset
-    step = lambda n: (col(rate) * n.cast("decimal(14,0)")).cast("decimal(34,15)")
-    crossed = F.floor(col(end)) - F.floor(col(start))
+    bases = running_base(bases, [key], [cls, sub], mass, base)
+    bases = checkpoint(bases.select(*bucket, "source_size", "target", rate, col(base).cast("decimal(34,15)").alias(base)))
+
+    draws = [_offset(col(key), seed, i) for i in range(DRAWS)]
+    tried = laid(with_bucket(measured), bases).groupBy(key).agg(
+        F.first("target").alias("target"), *[F.sum(crossed(d) * F.col("size")).alias(f"t{i}") for i, d in enumerate(draws)]
+    )
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("far"), F.lit(i).alias("i"), d.alias("offset")) for i, d in enumerate(draws)]))
+    offsets = tried.select(key, nearest["offset"].alias(shift))
+    bases = bases.join(offsets, key)
+
+    rows = measured if narrow else with_size(df)
+    kept = [c for c in df.columns if c in (id_col, source_col)] if narrow else df.columns
     return (
-        laid.withColumns({end: origin + step(col(start) + 1), start: origin + step(col(start))})
-        .withColumn("copies", crossed.cast("long"))
+        laid(with_bucket(rows), bases)
+        .withColumn("copies", crossed(col(shift)))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select(*map(col, kept), *new)
     )
 
 
+def _offset(key: Column, seed: int, draw: int) -> Column:
+    """A number from 0 to 1 that the source, the seed and the draw fix."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit(draw)), 11)
+    return (bits / F.lit(float(2**53))).cast("decimal(16,15)")
+
+
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row of a mix as often as the mix takes it."""
     (nth,) = fresh(mixed, "nth_")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, chat_format, exact_dedup, fingerprints, jaccard_join, mixing, sharding, substring_dedup
+from lectern.llm import byte_bpe, chat_format, exact_dedup, fingerprints, jaccard_join, language_id, mixing, quality, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, narrow=True).select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    marked = docs.withColumn("held_out", quality.held_out(F.col("doc_id")))
+    return quality.score(marked, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return byte_bpe.encode(docs, vocabulary(), public_tokenizers.PATTERN, keep=["doc_id"], digests=True)
@@ -67,9 +74,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.select("doc_id", "text", "lang"))
+    marked = docs.select("doc_id", "text", language_id.held_out(F.col("doc_id")).alias("held_out"))
+    return language_id.predict(marked, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents"), narrow=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +94,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_sharding": op7_sharding,
+        "op8_language_id": op8_language_id,
         "op9_mixing": op9_mixing,
         "op10_fingerprints": op10_fingerprints,
     }
