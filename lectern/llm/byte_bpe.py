@@ -12,8 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import sys
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +25,8 @@ from lectern.llm.common import col
 
 #: Bytes of text whose new words are merged together, and words and bytes of words a task remembers.
 PIECE, MOST_WORDS, MOST_BYTES = 1 << 22, 400_000, 64 << 20
+#: From so many bytes of new words on, whole arrays are faster than single positions.
+MANY = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -53,11 +53,82 @@ def _merges(path: str) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
     return pairs, single, first
 
 
-def replay(words: list[bytes], path: str) -> list[list[int]]:
-    """The ids of each word. A word that is a token as it stands is that token."""
+@lru_cache(maxsize=2)
+def _codes(path: str) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """The mergeable pairs as sorted codes with their ranks, and the codes of each rank."""
+    pairs = _merges(path)[0]
+    codes = np.fromiter(pairs, np.int64, len(pairs))
+    order = np.argsort(codes)
+    of_rank: dict[int, list[int]] = {}
+    for code, rank in pairs.items():
+        of_rank.setdefault(rank, []).append(code)
+    return codes[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order], of_rank
+
+
+def _ranked(a: np.ndarray, b: np.ndarray, codes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rank of each pair of ids; -1 where either is no id or the pair doesn't merge."""
+    out = np.full(len(a), -1, np.int64)
+    both = np.flatnonzero((a >= 0) & (b >= 0))
+    if len(both) and len(codes):
+        code = a[both] << 32 | b[both]
+        spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        out[both] = np.where(codes[spot] == code, ranks[spot], -1)
+    return out
+
+
+def _by_rank(at: np.ndarray, ranks: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The positions of each rank, in order."""
+    order = np.argsort(ranks, kind="stable")
+    found, starts = np.unique(ranks[order], return_index=True)
+    return list(zip(found.tolist(), np.split(at[order], starts[1:]), strict=True)) if len(at) else []
+
+
+def _replay_arrays(token: np.ndarray, following: np.ndarray, previous: np.ndarray, ranked: np.ndarray, path: str) -> None:
+    """All merges, the positions of a rank at a time in whole arrays."""
+    codes, ranks, of_rank = _codes(path)
+    start = np.flatnonzero(ranked >= 0)
+    index = {r: [p] for r, p in _by_rank(start, ranked[start])}
+    order = list(index)
+    heapq.heapify(order)
+    while order:
+        rank = heapq.heappop(order)
+        at = np.unique(np.concatenate(index.pop(rank)))
+        a, right = token[at], following[at]
+        code = a << 32 | token[right]
+        fits = np.zeros(len(at), bool)
+        for c in of_rank[rank]:
+            fits |= code == c
+        fits &= (a >= 0) & (token[right] >= 0)
+        at, right = at[fits], right[fits]
+        if not len(at):
+            continue
+        chained = np.zeros(len(at), bool)
+        chained[1:] = at[1:] == right[:-1]
+        if chained.any():  # of overlapping pairs every other one, from the left
+            heads = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            fits = (np.arange(len(at)) - heads) % 2 == 0
+            at, right = at[fits], right[fits]
+        after = following[right]
+        token[at], token[right] = rank, -2
+        following[at] = after
+        previous[after] = at
+        left = previous[at]
+        for x, y in ((at, after), (left[left >= 0], at[left >= 0])):
+            new = _ranked(token[x], token[y], codes, ranks)
+            low = new >= 0
+            for r, p in _by_rank(x[low], new[low]):
+                if r in index:
+                    index[r].append(p)
+                else:
+                    index[r] = [p]
+                    heapq.heappush(order, r)
+
+
+def replay(words: list[bytes], path: str) -> list[bytes]:
+    """The ids of each word as little-endian unsigned 32-bit integers. A word that is a token as it stands is that token."""
     ranks = load_ranks(path)
     pairs, single, first = _merges(path)
-    out: list[list[int] | None] = [[ranks[w]] if w in ranks else None for w in words]
+    out: list[bytes | None] = [None if (r := ranks.get(w)) is None else r.to_bytes(4, "little") for w in words]
     rest = [i for i, ids in enumerate(out) if ids is None]
     if not rest:
         return out
@@ -72,16 +143,27 @@ def replay(words: list[bytes], path: str) -> list[list[int]]:
     if (ids[inside] < 0).any():
         raise ValueError("the vocabulary lacks a byte")
     ranked = np.where(inside[:-1] & inside[1:], first[raw[:-1], raw[1:]], -1)
+    following = np.arange(1, len(ids) + 1)
+    previous = np.arange(-1, len(ids) - 1)
+    if len(ids) >= MANY:
+        _replay_arrays(ids, following, previous, ranked, path)
+    else:
+        ids = _replay_lists(ids.tolist(), following.tolist(), previous.tolist(), ranked, pairs)
+    live = ids[ids != -2]
+    ends = np.flatnonzero(live == -1) * 4
+    raw = live.astype("<u4").tobytes()
+    for i, low, high in zip(rest, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True):
+        out[i] = raw[low:high]
+    return out
+
+
+def _replay_lists(token: list[int], following: list[int], previous: list[int], ranked: np.ndarray, pairs: dict[int, int]) -> np.ndarray:
+    """All merges, a position at a time: less to set up for few words."""
     at = np.flatnonzero(ranked >= 0)
-    at = at[np.argsort(ranked[at], kind="stable")]
-    found, starts = np.unique(ranked[at], return_index=True)
-    index = {r: p.tolist() for r, p in zip(found.tolist(), np.split(at, starts[1:]), strict=True)} if len(at) else {}
-    token = ids.tolist()
-    following = list(range(1, len(token) + 1))
-    previous = list(range(-1, len(token) - 1))
+    index = {r: p.tolist() for r, p in _by_rank(at, ranked[at])}
     order = list(index)
     heapq.heapify(order)
-    known, push = pairs.get, heapq.heappush
+    known = pairs.get
     while order:
         rank = heapq.heappop(order)
         positions = index.pop(rank)
@@ -98,28 +180,20 @@ def replay(words: list[bytes], path: str) -> list[list[int]]:
             token[right] = -2
             after = following[at] = following[right]
             previous[after] = at
-            if (c := token[after]) >= 0 and (r := known(rank << 32 | c)) is not None:
-                if r in index:
-                    index[r].append(at)
-                else:
-                    index[r] = [at]
-                    push(order, r)
-            left = previous[at]
-            if left >= 0 and (c := token[left]) >= 0 and (r := known(c << 32 | rank)) is not None:
-                if r in index:
-                    index[r].append(left)
-                else:
-                    index[r] = [left]
-                    push(order, r)
-    kept = np.array(token)
-    live = kept != -2
-    closes = np.flatnonzero(kept[live] == -1)
-    flat = kept[live].tolist()
-    low = 0
-    for i, high in zip(rest, closes.tolist(), strict=True):
-        out[i] = flat[low:high]
-        low = high + 1
-    return out
+            for left, nxt in ((at, after), (previous[at], at)):
+                if left >= 0 and (x := token[left]) >= 0 and (y := token[nxt]) >= 0 and (r := known(x << 32 | y)) is not None:
+                    if r in index:
+                        index[r].append(left)
+                    else:
+                        index[r] = [left]
+                        heapq.heappush(order, r)
+    return np.array(token, np.int64)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path, pattern)
 
 
 class Encoder:
@@ -145,7 +219,7 @@ class Encoder:
         new = [w for w in {w for ws in split for w in ws} if w not in known]
         raw = [w.encode() for w in new]
         for w, b, ids in zip(new, raw, replay(raw, self.path), strict=True):
-            known[w] = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+            known[w] = ids
             self.size += len(b)
         out = [b"".join([known[w] for w in ws]) for ws in split]
         if len(known) > MOST_WORDS or self.size > MOST_BYTES:
@@ -171,12 +245,12 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
         shape = shape.withColumn(name, F.lit(None).cast(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        own = encoder(path, pattern)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for start, n in slices(texts, PIECE):
-                ids = encoder.encode([t or "" for t in texts.slice(start, n).to_pylist()])
-                plain = [encoder.decode(i) for i in ids]
+                ids = own.encode([t or "" for t in texts.slice(start, n).to_pylist()])
+                plain = [own.decode(i) for i in ids]
                 counts = pa.array([len(i) // 4 for i in ids], pa.int64())
                 if digests:
                     more = [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (ids, plain)]

@@ -21,6 +21,8 @@ from lectern.llm.common import col, fresh
 
 #: Buckets of the hash, labelled rows that a fit reads at most, passes over them, and the share that is held out.
 BUCKET_BITS, FIT_ROWS, EPOCHS = 18, 6000, 4
+#: Few rows are passed over more often, for about so many updates, up to MOST_EPOCHS.
+UPDATES, MOST_EPOCHS = 12_000, 50
 FOLDS, THRESHOLD = 5, 0.3
 PIECE = 1 << 22
 
@@ -86,7 +88,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(dots + self.bias, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.02) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int | None = None, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.02) -> Model:
     """FTRL-proximal over rows (buckets, values), in an order that a fixed seed gives."""
     size = (1 << BUCKET_BITS) + 1  # the last is the bias, without penalties
     z, n = np.zeros(size), np.zeros(size)
@@ -98,6 +100,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
         w[-1] = -z[size - 1] / ((beta + np.sqrt(n[size - 1])) / alpha)
         return w
 
+    if epochs is None:
+        epochs = max(EPOCHS, min(MOST_EPOCHS, -(-UPDATES // max(1, len(rows)))))
     turns = np.random.default_rng(7)
     for _ in range(epochs):
         for i in turns.permutation(len(rows)):
