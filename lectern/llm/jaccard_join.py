@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lectern.llm.bytes_kit import buffers, mix64, shingles, slices, words
 from lectern.llm.common import Scratch, checkpoint, col
 from lectern.llm.exact_dedup import winners
-from lectern.llm.linking import MET, link_components, meet
+from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet, verified
 
 SHINGLE = 5
 #: Similarity of at least NUM / DEN; the bounds in this module hold for 3 / 4 and above.
@@ -42,7 +42,7 @@ SUPPORT = 0.001
 PIECE = 1 << 22
 
 
-def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+def distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each text, flat, and the offsets by text."""
     data, ends = buffers(texts)
     hashes, _, _, at = words(data, ends)
@@ -104,7 +104,7 @@ def _summarise(size: int):
         for batch in batches:
             for start, n in slices(batch.column(1), PIECE):
                 part = batch.slice(start, n)
-                flat, at = _sets(part.column(1), size)
+                flat, at = distinct_shingles(part.column(1), size)
                 frequent.add(flat)
                 digest = _digest(flat, at)
                 sketch = _sketches(flat, at)
@@ -174,7 +174,7 @@ def _emit_keys(size: int, frequent, settled):
             for start, n in slices(batch.column(1), PIECE):
                 part = batch.slice(start, n)
                 ids = part.column(0)
-                flat, at = _sets(part.column(1), size)
+                flat, at = distinct_shingles(part.column(1), size)
                 digest = _digest(flat, at)
                 usable = ~ids.is_null().to_numpy(zero_copy_only=False)
                 number = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -193,17 +193,20 @@ def _digest(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(_per_text(mix64(flat), at, np.add, 0) ^ mix64(np.diff(at).astype(np.uint64)))
 
 
-def _whole_sets(size: int):
-    kinds = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
+def _packed(needed):
+    kinds = pa.schema([("id", pa.int64()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for start, n in slices(batch.column(1), PIECE):
-                flat, at = _sets(batch.column(1).slice(start, n), size)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(_signed(flat)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), lists], schema=kinds)
+            ids = batch.column(0)
+            hit = ~ids.is_null().to_numpy(zero_copy_only=False) & in_filter(needed.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
+            some = batch.filter(pa.array(hit))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([pack((t or "").encode()) for t in some.column(1).to_pylist()], pa.binary())], schema=kinds)
 
-    return run, "id long, set array<long>"
+    return run, "id long, blob binary"
 
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
@@ -217,14 +220,30 @@ def _possible(a: str, b: str) -> Column:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) that link, by their whole sets."""
-    need = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    run, schema = _whole_sets(size)
-    sets = scratch.store(docs.join(need, "id", "left_semi").mapInArrow(run, schema))
-    left, right = sets.select(F.col("id").alias("u"), F.col("set").alias("x")), sets.select(F.col("id").alias("v"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    held = pairs.join(right, "v").join(left, "u").withColumn("i", both)
-    return held.where(F.col("i") * DEN >= (F.size("x") + F.size("y") - F.col("i")) * NUM).select("u", "v").distinct()
+    """The pairs (u, v) that link, by their whole sets. Only texts that the pairs may need leave the scan."""
+    context = docs.sparkSession.sparkContext
+    needed = context.broadcast(id_filter(pairs.select(F.explode(F.array("u", "v")).alias("id")), "id"))
+    run, schema = _packed(needed)
+    texts = scratch.store(docs.mapInArrow(run, schema))
+    return verified(pairs, texts, lambda some: distinct_shingles(some, size), NUM, DEN)
+
+
+def _most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and their weights: at most MOST_FREQUENT, cut off at a frequency that a histogram gives."""
+    level = F.floor(F.log2("freq") * 8).cast("int")
+    room, cut = MOST_FREQUENT, None
+    for row in counted.where("freq > 1").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        cut = row["level"]
+    if cut is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    top = counted.where((F.col("freq") > 1) & (level >= cut)).toPandas()
+    keys = top["shingle"].to_numpy(np.int64).view(np.uint64)
+    weights = np.clip(8 * np.log2(top["freq"].to_numpy(np.float64)), 1, 255).astype(np.uint8)
+    order = np.argsort(keys)
+    return keys[order], weights[order]
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -243,21 +262,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     run, schema = _summarise(size)
     seen = scratch.store(docs.mapInArrow(run, schema))
     summary = seen.where("n is not null").select("id", "n", "digest", *_SKETCH)
-    counted = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("freq").alias("freq"))
-    top = counted.where("freq > 1").orderBy(F.desc("freq"), "shingle").limit(MOST_FREQUENT).toPandas().sort_values("shingle")
-    keys = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    weights = np.clip(8 * np.log2(np.maximum(top["freq"].to_numpy(np.float64), 1)), 1, 255).astype(np.uint8)
-    frequent = spark.sparkContext.broadcast((keys[order], weights[order]))
+    counted = scratch.store(seen.where("shingle is not null").groupBy("shingle").agg(F.sum("freq").alias("freq")))
+    frequent = spark.sparkContext.broadcast(_most_frequent(counted))
 
-    alike = winners(summary.where("n > 0 and id is not null").select("id", "digest"), "id", "digest", SUPPORT).select("digest", "keep_id").toPandas()
+    live = summary.where("n > 0 and id is not null")
+    heavy = scratch.store(winners(live.select("id", "digest"), "id", "digest", SUPPORT).select("digest", "keep_id"))
+    alike = heavy.toPandas()
     digests = alike["digest"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(digests)
     settled = spark.sparkContext.broadcast((digests[order], alike["keep_id"].to_numpy(np.int64)[order]))
 
-    classes = summary.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    named = summary.join(classes, "digest", "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")))
-    info = scratch.store(named.select("id", "rep", "n", *_SKETCH))
+    tagged = live.join(F.broadcast(heavy), "digest", "left")
+    light = tagged.where("keep_id is null").drop("keep_id")
+    classes = light.groupBy("digest").agg(F.min("id").alias("rep"))
+    columns = ["id", "rep", "n", *_SKETCH]
+    info = light.join(classes, "digest").select(columns).unionByName(tagged.where("keep_id is not null").withColumnRenamed("keep_id", "rep").select(columns))
+    alone = summary.where("n = 0 or id is null").withColumn("rep", F.col("id")).select(columns)
+    info = scratch.store(info.unionByName(alone))
     reps = info.where("id = rep").drop("rep")
 
     run, schema = _emit_keys(size, frequent, settled)

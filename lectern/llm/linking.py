@@ -19,6 +19,53 @@ from lectern.llm.common import Scratch
 from lectern.llm.components import components
 
 MET = "a long, b long, big boolean"
+#: Bits of the filter that picks the rows a comparison may need: a megabyte, however many ids there are.
+FILTER_BITS = 1 << 23
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for each place that an id of the column has; other ids may share places."""
+    x = F.col(column)
+    place = x.bitwiseXOR(F.shiftrightunsigned(x, 23)).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    maps = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    bits = np.zeros(FILTER_BITS, bool)
+    for row in maps.collect():
+        some = np.unpackbits(np.frombuffer(row["m"], np.uint8), bitorder="little").astype(bool)
+        bits[(row["k"] - 1) * len(some) : row["k"] * len(some)] = some
+    return bits
+
+
+def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64)
+    return bits[((x ^ (x >> np.uint64(23))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
+
+
+def verified(pairs: DataFrame, texts: DataFrame, sets, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose sets have a similarity of num / den or more.
+
+    texts: (id, blob), compressed texts, which are smaller than their sets; sets(array of texts) gives the sorted
+    sets, flat, and their offsets. Blobs meet by sort-merge joins at every size: the smaller side may be large.
+    """
+    import zstandard
+
+    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    right, left = texts.withColumnsRenamed({"id": "v", "blob": "y"}), texts.withColumnsRenamed({"id": "u", "blob": "x"})
+    both = pairs.join(right.hint("merge"), "v").join(left.hint("merge"), "u").select("u", "v", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                n = part.num_rows
+                some = [unpack(b) for c in (2, 3) for b in part.column(c).to_pylist()]
+                flat, at = sets(pa.array(some, pa.binary()).cast(pa.string()))
+                shared = np.array([len(np.intersect1d(flat[at[i] : at[i + 1]], flat[at[n + i] : at[n + i + 1]], assume_unique=True)) for i in range(n)], np.int64)
+                sizes = np.diff(at)
+                hit = pa.array(shared * den >= (sizes[:n] + sizes[n:] - shared) * num)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit)], schema=kinds)
+
+    return both.mapInArrow(run, "u long, v long").distinct()
 #: Rows of one key that are held back to compare whole groups; longer groups are passed on in pieces.
 HELD = 1 << 20
 

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import buffers, mix64, powers, shingles, slices, words
 from lectern.llm.common import Scratch, checkpoint, col
-from lectern.llm.linking import MET, link_components, meet
+from lectern.llm.jaccard_join import distinct_shingles
+from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet, verified
 
 SHINGLE, MIN_WORDS = 5, 40
 BANDS, ROWS = 24, 4
@@ -42,8 +43,6 @@ class _Paragraphs:
         closed = (closed < len(breaks)) & (breaks[np.minimum(closed, max(len(breaks) - 1, 0))] == stops - 1) if len(breaks) else np.zeros(len(stops), bool)
         hashes, first, _, _ = words(data, ends)
         at = np.searchsorted(first, np.append(starts, len(data)))
-        new = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-        heads = np.flatnonzero(new)
         # Lines are numbered in their text, empty ones too: by the breaks before them.
         number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, ends[:-1][owner])
         long = np.flatnonzero(np.diff(at) >= min_words)
@@ -51,6 +50,7 @@ class _Paragraphs:
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         self.start = chars[starts[long]] - chars[ends[:-1][self.owner]]
         self.n_chars = chars[(stops - closed)[long]] - chars[starts[long]]
+        self.low, self.high = starts[long], (stops - closed)[long]  # bytes
         pick = np.concatenate([np.arange(at[i], at[i + 1]) for i in long]) if len(long) else np.zeros(0, np.int64)
         flat, bounds = shingles(hashes[pick], np.concatenate([[0], np.cumsum(self.n_words)]), size)
         whose = np.repeat(np.arange(len(long)), np.diff(bounds))
@@ -116,19 +116,28 @@ def _keyed(size: int, min_words: int):
     return run, "key long, id long"
 
 
-def _paragraph_sets(size: int, min_words: int):
-    kinds = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
+def _packed(size: int, min_words: int, needed):
+    """The needed paragraphs, compressed, once a batch."""
+    kinds = pa.schema([("id", pa.int64()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
+            done = np.zeros(0, np.int64)
             for start, n in slices(batch.column(1), PIECE):
-                found = _Paragraphs(batch.column(1).slice(start, n), size, min_words)
-                sets = pa.ListArray.from_arrays(pa.array(found.at.astype(np.int32)), pa.array(found.flat.view(np.int64)))
-                _, where = np.unique(found.node, return_index=True)
-                some = pa.array(where)
-                yield pa.RecordBatch.from_arrays([pa.array(found.node).take(some), sets.take(some)], schema=kinds)
+                texts = batch.column(1).slice(start, n)
+                found = _Paragraphs(texts, size, min_words)
+                nodes, where = np.unique(found.node, return_index=True)
+                fresh = in_filter(needed.value, nodes) & ~np.isin(nodes, done)
+                nodes, where = nodes[fresh], where[fresh]
+                done = np.union1d(done, nodes)
+                raw = buffers(texts)[0]
+                blobs = [pack(raw[found.low[i] : found.high[i]].tobytes()) for i in where]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(blobs, pa.binary())], schema=kinds)
 
-    return run, "id long, set array<long>"
+    return run, "id long, blob binary"
 
 
 def _possible(a: str, b: str) -> Column:
@@ -156,13 +165,11 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-        homes = nodes.join(need, "id", "left_semi").select(F.col("doc").alias("id")).distinct()
-        run, schema = _paragraph_sets(size, min_words)
-        sets = scratch.store(docs.join(homes, "id", "left_semi").mapInArrow(run, schema).join(need, "id", "left_semi").dropDuplicates(["id"]))
-        left, right = sets.select(F.col("id").alias("u"), F.col("set").alias("x")), sets.select(F.col("id").alias("v"), F.col("set").alias("y"))
-        held = pairs.join(right, "v").join(left, "u").withColumn("i", F.size(F.array_intersect("x", "y")))
-        return held.where(F.col("i") * DEN >= (F.size("x") + F.size("y") - F.col("i")) * NUM).select("u", "v").distinct()
+        context = df.sparkSession.sparkContext
+        needed = context.broadcast(id_filter(pairs.select(F.explode(F.array("u", "v")).alias("id")), "id"))
+        run, schema = _packed(size, min_words, needed)
+        texts = scratch.store(docs.mapInArrow(run, schema).groupBy("id").agg(F.first("blob").alias("blob")))
+        return verified(pairs, texts, lambda some: distinct_shingles(some, size), NUM, DEN)
 
     found = link_components(met, nodes.select("id", "n"), _possible, linked, scratch)
     named = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
