@@ -13,8 +13,8 @@ the most frequent shingles makes it. A set with too few non-empty blocks also me
 
 Links. Sets that meet are first linked to the smallest of those they meet. A narrow sketch of
 1024 bits discards pairs by its Hamming distance; the others are verified on whole sets. Only where
-sets that met are still in different components are all remaining pairs between these
-components tried. Thus the components are those of all links, though no group is expanded.
+sets that met are still in different components are pairs between these components tried, the
+likeliest first. Thus the components are those of all links, though no group is expanded.
 """
 
 from __future__ import annotations
@@ -64,12 +64,12 @@ def _per_text(flat: np.ndarray, at: np.ndarray, reduce: np.ufunc, empty: int) ->
     return out
 
 
-def _sketches(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Parity sketches of 64 * SKETCH_LONGS bits as rows of longs."""
-    n, bits = len(at) - 1, 64 * SKETCH_LONGS
+def sketches(flat: np.ndarray, at: np.ndarray, longs: int) -> np.ndarray:
+    """Parity sketches of 64 * longs bits, a row of longs each."""
+    n, bits = len(at) - 1, 64 * longs
     owner = np.repeat(np.arange(n), np.diff(at))
     flips = np.bincount(owner * bits + (flat % np.uint64(bits)).astype(np.int64), minlength=n * bits)
-    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(n, SKETCH_LONGS)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(n, longs)
 
 
 class _Frequent:
@@ -107,7 +107,7 @@ def _summarise(size: int):
                 flat, at = distinct_shingles(part.column(1), size)
                 frequent.add(flat)
                 digest = _digest(flat, at)
-                sketch = _sketches(flat, at)
+                sketch = sketches(flat, at, SKETCH_LONGS)
                 columns = [part.column(0), pa.array(np.diff(at)), pa.array(_signed(digest)), *[pa.array(sketch[:, i].copy()) for i in range(SKETCH_LONGS)]]
                 nothing = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([*columns, nothing, nothing], schema=kinds)
@@ -212,13 +212,6 @@ def _packed(needed):
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 
 
-def _possible(a: str, b: str) -> Column:
-    """Whether sizes and sketches of the sides a and b allow a link."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (apart * (DEN + NUM) <= (na + nb) * (DEN - NUM))
-
-
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) that link, by their whole sets. Only texts that the pairs may need leave the scan."""
     context = docs.sparkSession.sparkContext
@@ -285,7 +278,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.mapInArrow(run, schema)
     met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET))
 
-    found = link_components(met, reps, _possible, lambda pairs: _linked(pairs, docs, size, scratch), scratch, info.select("id", "rep").distinct())
+    found = link_components(met, reps, _SKETCH, lambda pairs: _linked(pairs, docs, size, scratch), scratch, NUM, DEN, info.select("id", "rep").distinct())
     done = info.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = checkpoint(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
     scratch.clear()

@@ -126,18 +126,90 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from whole(held_key, held_id)
 
 
+#: Rows of one key that are compared in one task; longer groups are cut into chunks, each pair of chunks a task's work.
+CHUNK = 1 << 12
+
+
+def possible(a: str, b: str, sketch: list[str], num: int, den: int) -> Column:
+    """Whether sizes (n) and parity sketches of the sides a and b allow a similarity of num / den.
+
+    Sets of sizes m and n that similar differ in at most (den - num)(m + n) / (den + num) elements, their
+    sketches in at most as many bits.
+    """
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = F.lit(0)
+    for s in sketch:
+        apart = apart + F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")))
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart * (den + num) <= (na + nb) * (den - num))
+
+
+def _across(n_sketch: int, num: int, den: int, best: bool):
+    """Pairs of a group's rows in different components that may link; best: for each row only the likeliest with each component."""
+    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(first, second, same):
+        """first, second: arrays with a row (id, component, n, sketch...) each."""
+        for low in range(0, len(first), 256):
+            some = first[low : low + 256]
+            bits = np.zeros((len(some), len(second)), np.int64)
+            for k in range(n_sketch):
+                bits += np.bitwise_count(some[:, 3 + k, None] ^ second[None, :, 3 + k])
+            m, n = some[:, 2, None], second[None, :, 2]
+            fits = (some[:, 1, None] != second[None, :, 1]) & (np.minimum(m, n) * den >= np.maximum(m, n) * num) & (bits * (den + num) <= (m + n) * (den - num))
+            if same:
+                fits &= some[:, 0, None] < second[None, :, 0]
+            i, j = np.nonzero(fits)
+            if best and len(i):
+                order = np.lexsort((second[j, 0], bits[i, j] / (some[i, 2] + second[j, 2]), second[j, 1], i))
+                i, j = i[order], j[order]
+                head = np.concatenate([[True], (i[1:] != i[:-1]) | (second[j[1:], 1] != second[j[:-1], 1])])
+                i, j = i[head], j[head]
+            yield np.minimum(some[i, 0], second[j, 0]), np.maximum(some[i, 0], second[j, 0])
+
+    def group(rows, chunk, low, high):
+        names, counts = np.unique(rows[:, 1], return_counts=True)
+        if len(names) < 2:
+            return
+        if low == high:  # rows outside the largest component against it, and against each other
+            inside = rows[:, 1] == names[counts.argmax()]
+            yield from compare(rows[~inside], rows[inside], False)
+            yield from compare(rows[~inside], rows[~inside], True)
+        else:
+            yield from compare(rows[chunk == low], rows[chunk == high], False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            block = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            block = block if held is None else np.concatenate([held, block])
+            edges = np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1
+            held = block[edges[-1] if len(edges) else 0 :]
+            for part in np.split(block, edges)[:-1]:
+                yield from emit(part)
+        if held is not None and len(held):
+            yield from emit(held)
+
+    def emit(part):
+        for u, v in group(part[:, 4:], part[:, 3], part[0, 1], part[0, 2]):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=kinds)
+
+    return run
+
+
 def link_components(
     met: DataFrame,
     nodes: DataFrame,
-    possible: Callable[[str, str], Column],
+    sketch: list[str],
     linked: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
+    num: int,
+    den: int,
     stand_ins: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component) for the nodes that link.
 
-    met: what meet() gives. nodes: (id, ...) with what possible() reads of the sides it is named.
-    linked(pairs (u, v)) gives those that link. stand_ins: (id, rep), the node that an id stands for.
+    met: what meet() gives. nodes: (id, n, parity sketch). linked(pairs (u, v)) gives those that link.
+    stand_ins: (id, rep), the node that an id stands for.
     """
     stars = met.where("not big").select("a", "b").distinct()
     if stand_ins is not None:
@@ -145,21 +217,30 @@ def link_components(
             stars = stars.join(stand_ins.withColumnsRenamed({"id": side, "rep": f"r{side}"}), side).drop(side).withColumnRenamed(f"r{side}", side)
     stars = stars.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     tried = stars.join(nodes.alias("a"), F.col("u") == F.col("a.id")).join(nodes.alias("b"), F.col("v") == F.col("b.id"))
-    tried = scratch.store(tried.where(possible("a", "b")).select("u", "v").distinct())
+    tried = scratch.store(tried.where(possible("a", "b", sketch, num, den)).select("u", "v").distinct())
     links = scratch.store(linked(tried))
     found = scratch.store(components(links))
 
-    named = met.where("big").select(F.col("a").alias("bucket"), F.col("b").alias("id"))
+    groups = met.where("big").select(F.col("a").alias("bucket"), F.col("b").alias("id"))
     if stand_ins is not None:
-        named = named.join(stand_ins, "id").select("bucket", F.col("rep").alias("id")).distinct()
-    named = named.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    apart = scratch.store(named.join(mixed, "bucket", "left_semi").join(nodes, "id"))
-    rest = apart.alias("a").join(apart.alias("b"), F.col("a.bucket") == F.col("b.bucket"))
-    rest = rest.where((F.col("a.component") < F.col("b.component")) & possible("a", "b"))
-    rest = rest.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
-    rest = scratch.store(rest.join(tried, ["u", "v"], "left_anti"))
-    if rest.isEmpty():
-        return found
-    late = scratch.store(linked(rest))
-    return found if late.isEmpty() else scratch.store(components(links.unionByName(late)))
+        groups = groups.join(stand_ins, "id").select("bucket", F.col("rep").alias("id")).distinct()
+    # The likeliest links first: they join most components. What then is left is tried whole.
+    for best in (True, True, False):
+        named = groups.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
+        apart = named.join(mixed.select("bucket", "m"), "bucket").join(nodes, "id")
+        chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+        own = F.pmod(F.xxhash64("id"), chunks).cast("int")
+        spread = apart.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        order = ["bucket", "i", "j"]
+        spread = spread.select("bucket", F.least("c", "o").cast("long").alias("i"), F.greatest("c", "o").cast("long").alias("j"), F.col("c").cast("long"), "id", "component", "n", *sketch)
+        pairs = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across(len(sketch), num, den, best), "u long, v long")
+        rest = scratch.store(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
+        if rest.isEmpty():
+            break
+        late = scratch.store(linked(rest))
+        tried = tried.unionByName(rest)
+        if not late.isEmpty():
+            links = links.unionByName(late)
+            found = scratch.store(components(links))
+    return found

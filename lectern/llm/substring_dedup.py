@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import buffers, mix64, powers, shingles, slices, words
 from lectern.llm.common import Scratch, checkpoint, col
-from lectern.llm.jaccard_join import distinct_shingles
+from lectern.llm.jaccard_join import distinct_shingles, sketches
 from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet, verified
 
 SHINGLE, MIN_WORDS = 5, 40
 BANDS, ROWS = 24, 4
 NUM, DEN = 75, 100
+#: Longs of a paragraph's parity sketch, which discards pairs before they are verified.
+SKETCH_LONGS = 8
+_SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 PIECE = 1 << 22
 # Fixed value: the multiplier whose powers make the hash functions.
 SPREAD = 0xDA942042E4DD58B5
@@ -78,15 +81,15 @@ def _bands(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _listed(size: int, min_words: int):
-    kinds = pa.schema([("id", pa.int64()), *[(c, pa.int64()) for c in ("para_no", "start", "n_chars", "n_words", "node", "n")]])
+    kinds = pa.schema([(c, pa.int64()) for c in ("id", "para_no", "start", "n_chars", "n_words", "node", "n", *_SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n in slices(batch.column(1), PIECE):
                 found = _Paragraphs(batch.column(1).slice(start, n), size, min_words)
                 ids = batch.column(0).slice(start, n).take(pa.array(found.owner))
-                rest = (found.number, found.start, found.n_chars, found.n_words, found.node, np.diff(found.at))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.asarray(x, np.int64)) for x in rest]], schema=kinds)
+                rest = (found.number, found.start, found.n_chars, found.n_words, found.node, np.diff(found.at), *sketches(found.flat, found.at, SKETCH_LONGS).T)
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(x, np.int64)) for x in rest]], schema=kinds)
 
     return run, ", ".join(f"{c} long" for c in kinds.names)
 
@@ -140,11 +143,6 @@ def _packed(size: int, min_words: int, needed):
     return run, "id long, blob binary"
 
 
-def _possible(a: str, b: str) -> Column:
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM
-
-
 def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
     """The occurrences of paragraphs that repeat across documents, kept and removed ones.
 
@@ -159,7 +157,7 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where("id is not null")
     run, schema = _listed(size, min_words)
     listed = scratch.store(docs.mapInArrow(run, schema))
-    nodes = scratch.store(listed.groupBy(F.col("node").alias("id")).agg(F.first("n").alias("n"), F.min("id").alias("doc"), F.max("id").alias("last")))
+    nodes = scratch.store(listed.groupBy(F.col("node").alias("id")).agg(*[F.first(c).alias(c) for c in ("n", *_SKETCH)], F.min("id").alias("doc"), F.max("id").alias("last")))
     run, schema = _keyed(size, min_words)
     keyed = docs.mapInArrow(run, schema)
     met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET))
@@ -171,11 +169,11 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         texts = scratch.store(docs.mapInArrow(run, schema).groupBy("id").agg(F.first("blob").alias("blob")))
         return verified(pairs, texts, lambda some: distinct_shingles(some, size), NUM, DEN)
 
-    found = link_components(met, nodes.select("id", "n"), _possible, linked, scratch)
+    found = link_components(met, nodes.select("id", "n", *_SKETCH), _SKETCH, linked, scratch, NUM, DEN)
     named = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = named.groupBy("component").agg(F.min("doc").alias("doc"), F.max("last").alias("last")).where("doc < last").select("component")
     member = named.join(spread, "component", "left_semi").select(F.col("id").alias("node"), "component")
-    rows = listed.join(member, "node")
+    rows = listed.drop("n", *_SKETCH).join(member, "node")
     kept = rows.groupBy("component").agg(F.min(F.struct("id", "para_no")).alias("keep"))
     rows = rows.join(kept, "component")
     out = checkpoint(
