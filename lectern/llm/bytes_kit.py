@@ -29,6 +29,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def order_within(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by owner (less than 2 ** 16 of them), then value: one fast sort of what fits 64 bits, and a full one if that leaves ties."""
+    if len(owner) and owner[-1] >= 1 << 16:
+        return np.lexsort((values, owner))
+    short = (owner.astype(np.uint64) << np.uint64(48)) | (values >> np.uint64(16))
+    order = np.argsort(short)
+    short = short[order]
+    tied = np.flatnonzero(short[1:] == short[:-1])
+    if len(tied) and (values[order[tied]] != values[order[tied + 1]]).any():
+        return np.lexsort((values, owner))
+    return order
+
+
 _powers: dict[int, np.ndarray] = {}
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytes_kit import buffers, mix64, shingles, slices, words
+from lectern.llm.bytes_kit import buffers, mix64, order_within, shingles, slices, words
 from lectern.llm.common import Scratch, checkpoint, col
 from lectern.llm.exact_dedup import winners
 from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet, verified
@@ -48,7 +48,7 @@ def distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarra
     hashes, _, _, at = words(data, ends)
     flat, at = shingles(hashes, at, size)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((flat, owner))
+    order = order_within(owner, flat)
     flat, owner = flat[order], owner[order]
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
@@ -132,14 +132,14 @@ def _keys(flat: np.ndarray, at: np.ndarray, band: np.ndarray, most: np.ndarray,
     mixed = mix64(flat ^ mix64(band.astype(np.uint64) + np.uint64(0x51ED))[owner])
     block = ((mixed >> np.uint64(32)) * (np.uint64(2) << band[owner].astype(np.uint64))) >> np.uint64(32)
     place = (owner.astype(np.uint64) << np.uint64(32)) | block
-    order = np.argsort(place, kind="stable")
+    order = np.argsort(place)
     place = place[order]
     heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     signature = np.bitwise_xor.reduceat(mix64(mixed[order] + np.uint64(1)), heads)
     weight = np.minimum.reduceat(_weights(flat, keys, weights)[order], heads).astype(np.uint64)
     text = (place[heads] >> np.uint64(32)).astype(np.int64)
     key = mix64(signature ^ mix64(((place[heads] & np.uint64(0xFFFFFFFF)) << np.uint64(6)) | band[text].astype(np.uint64)))
-    by_rarity = np.lexsort(((weight << np.uint64(56)) | (key >> np.uint64(8)), text))
+    by_rarity = order_within(text, (weight << np.uint64(56)) | (key >> np.uint64(8)))
     text, key = text[by_rarity], key[by_rarity]
     rank = np.arange(len(text)) - np.searchsorted(text, np.arange(n_texts))[text]
     chosen = rank <= most[text]

@@ -210,25 +210,28 @@ def link_components(
 
     met: what meet() gives. nodes: (id, n, parity sketch). linked(pairs (u, v)) gives those that link.
     stand_ins: (id, rep), the node that an id stands for.
+
+    What is joined grows with the input, so joins are sort-merge joins at every size.
     """
     stars = met.where("not big").select("a", "b").distinct()
     if stand_ins is not None:
         for side in ("a", "b"):
-            stars = stars.join(stand_ins.withColumnsRenamed({"id": side, "rep": f"r{side}"}), side).drop(side).withColumnRenamed(f"r{side}", side)
+            stars = stars.join(stand_ins.withColumnsRenamed({"id": side, "rep": f"r{side}"}).hint("merge"), side).drop(side).withColumnRenamed(f"r{side}", side)
     stars = stars.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    tried = stars.join(nodes.alias("a"), F.col("u") == F.col("a.id")).join(nodes.alias("b"), F.col("v") == F.col("b.id"))
+    tried = stars.join(nodes.hint("merge").alias("a"), F.col("u") == F.col("a.id")).join(nodes.hint("merge").alias("b"), F.col("v") == F.col("b.id"))
     tried = scratch.store(tried.where(possible("a", "b", sketch, num, den)).select("u", "v").distinct())
     links = scratch.store(linked(tried))
     found = scratch.store(components(links))
 
     groups = met.where("big").select(F.col("a").alias("bucket"), F.col("b").alias("id"))
     if stand_ins is not None:
-        groups = groups.join(stand_ins, "id").select("bucket", F.col("rep").alias("id")).distinct()
+        groups = groups.join(stand_ins.hint("merge"), "id").select("bucket", F.col("rep").alias("id")).distinct()
+        groups = scratch.store(groups)
     # The likeliest links first: they join most components. What then is left is tried whole.
     for best in (True, True, False):
-        named = groups.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = groups.join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
-        apart = named.join(mixed.select("bucket", "m"), "bucket").join(nodes, "id")
+        apart = named.join(mixed.select("bucket", "m").hint("merge"), "bucket").join(nodes.hint("merge"), "id")
         chunks = F.ceil(F.col("m") / CHUNK).cast("int")
         own = F.pmod(F.xxhash64("id"), chunks).cast("int")
         spread = apart.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))

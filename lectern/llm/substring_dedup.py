@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytes_kit import buffers, mix64, powers, shingles, slices, words
+from lectern.llm.bytes_kit import buffers, mix64, order_within, powers, shingles, slices, words
 from lectern.llm.common import Scratch, checkpoint, col
 from lectern.llm.jaccard_join import distinct_shingles, sketches
 from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet, verified
@@ -58,7 +58,7 @@ class _Paragraphs:
         flat, bounds = shingles(hashes[pick], np.concatenate([[0], np.cumsum(self.n_words)]), size)
         whose = np.repeat(np.arange(len(long)), np.diff(bounds))
         self.node = mix64(np.add.reduceat(mix64(flat ^ mix64((np.arange(len(flat)) - bounds[whose]).astype(np.uint64))), bounds[:-1]) + self.n_words.astype(np.uint64)).view(np.int64) if len(long) else np.zeros(0, np.int64)
-        order = np.lexsort((flat, whose))
+        order = order_within(whose, flat)
         flat, whose = flat[order], whose[order]
         new = np.ones(len(flat), bool)
         new[1:] = (flat[1:] != flat[:-1]) | (whose[1:] != whose[:-1])
