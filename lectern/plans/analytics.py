@@ -14,7 +14,11 @@ from lectern.operators import counts, labels, models, segment, stats
 from lectern.plans.registry import Tables, i64, query, r6
 from lectern.vocab import CONFUSION, terms_table
 
-N = F.count(F.lit(1))
+
+
+def rows():
+    """The number of rows; a function, as columns need a session."""
+    return F.count(F.lit(1))
 WORDS = r"list_filter(string_split_regex({x}, '\s+'), lambda t: t <> '')"
 
 _PROBS = """select l_orderkey, l_linenumber, l_quantity, exp(a) / (exp(a) + exp(n) + exp(p)) as anti, exp(n) / (exp(a) + exp(n) + exp(p)) as neutral, exp(p) / (exp(a) + exp(n) + exp(p)) as pro,
@@ -34,7 +38,7 @@ def segments(t: Tables) -> DataFrame:
 def speeches(t: Tables) -> DataFrame:
     """Speeches with their classes' sums and counts."""
     sums = [F.sum(c).alias(c) for c in scores.TONES]
-    return segments(t).groupBy("l_orderkey").agg(*sums, N.alias("n"), *[F.count_if(F.col("label") == c).alias(f"n_{c}") for c in scores.TONES])
+    return segments(t).groupBy("l_orderkey").agg(*sums, rows().alias("n"), *[F.count_if(F.col("label") == c).alias(f"n_{c}") for c in scores.TONES])
 
 
 def dated(t: Tables) -> DataFrame:
@@ -59,7 +63,7 @@ def argmax_label(t: Tables) -> DataFrame:
 
 @query("prediction_check", f"select label, count(*) as n, count(*) filter (where greatest(anti, neutral, pro) >= 0.5) as n_sure from ({_PROBS}) group by label")
 def prediction_check(t: Tables) -> DataFrame:
-    return segments(t).groupBy("label").agg(N.alias("n"), F.count_if(F.greatest(*scores.TONES) >= 0.5).alias("n_sure"))
+    return segments(t).groupBy("label").agg(rows().alias("n"), F.count_if(F.greatest(*scores.TONES) >= 0.5).alias("n_sure"))
 
 
 @query("era_interpolate", """
@@ -103,7 +107,7 @@ def net_tone_band(t: Tables) -> DataFrame:
     d = dated(t)
     procedural = d.where("o_orderstatus = 'F' and n < 3").select("l_orderkey")
     kept = d.join(procedural, "l_orderkey", "left_anti").withColumn("label", scores.argmax_label({c: F.col(c) for c in scores.TONES}))
-    g = kept.groupBy("period", "party").agg(N.alias("n"), F.count_if(F.col("label") == "pro").alias("n_pro"), F.count_if(F.col("label") == "anti").alias("n_anti"))
+    g = kept.groupBy("period", "party").agg(rows().alias("n"), F.count_if(F.col("label") == "pro").alias("n_pro"), F.count_if(F.col("label") == "anti").alias("n_anti"))
     net, low, high = scores.net_band(F.col("n_pro") / F.col("n"), F.col("n_anti") / F.col("n"), F.col("n"))
     return g.select("period", "party", "n", "n_pro", "n_anti", r6(net).alias("net"), r6(low).alias("low"), r6(high).alias("high"))
 
@@ -113,14 +117,14 @@ select c_mktsegment, n, round(100 * p, 6) as share, round(100 * (p - 2 * sqrt(p
 from (select c_mktsegment, count(*) as n, count(*) filter (where c_acctbal > 3000) / count(*) as p from customer group by 1)
 """)
 def share_with_band(t: Tables) -> DataFrame:
-    g = t.customer.groupBy("c_mktsegment").agg(N.alias("n"), (F.count_if(F.col("c_acctbal") > 3000) / N).alias("p"))
+    g = t.customer.groupBy("c_mktsegment").agg(rows().alias("n"), (F.count_if(F.col("c_acctbal") > 3000) / rows()).alias("p"))
     share, low, high = scores.share_band(F.col("p"), F.col("n"))
     return g.select("c_mktsegment", "n", r6(share).alias("share"), r6(low).alias("low"), r6(high).alias("high"))
 
 
 @query("soft_counts", f"select period, count(*) as n, round(sum(anti / n), 4) as anti, round(sum(pro / n), 4) as pro, round((sum(pro / n) - sum(anti / n)) / count(*), 6) as net from ({_DATED}) group by period")
 def soft_counts(t: Tables) -> DataFrame:
-    g = dated(t).groupBy("period").agg(N.alias("n"), F.sum(F.col("anti") / F.col("n")).alias("anti"), F.sum(F.col("pro") / F.col("n")).alias("pro"))
+    g = dated(t).groupBy("period").agg(rows().alias("n"), F.sum(F.col("anti") / F.col("n")).alias("anti"), F.sum(F.col("pro") / F.col("n")).alias("pro"))
     return g.select("period", "n", F.round("anti", 4).alias("anti"), F.round("pro", 4).alias("pro"), r6((F.col("pro") - F.col("anti")) / F.col("n")).alias("net"))
 
 
@@ -132,7 +136,7 @@ with y as ({_YEARS}), p as (select * from (values (1990, 1995, 'x'), (1995, 1997
 select year, name, cast(case when "start" >= 1997 then n else sum(n) over (partition by "start") end as bigint) as n, cast(case when "start" >= 1997 then pos else sum(pos) over (partition by "start") end as bigint) as pos from y join p on year >= "start" and year < "end"
 """)
 def term_pooling(t: Tables) -> DataFrame:
-    y = t.orders.groupBy(F.year("o_orderdate").alias("year")).agg(N.alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("pos"))
+    y = t.orders.groupBy(F.year("o_orderdate").alias("year")).agg(rows().alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("pos"))
     p = t.rows("start int, end int, name string", (1990, 1995, "x"), (1995, 1997, "y"), (1997, 2001, "z"))
     return counts.pool_terms(y, p, "year", "n", "pos", 1997)
 
@@ -169,7 +173,7 @@ _DAYS = "select user_id, cast(date_diff('day', date '2024-01-01', cast(ts as dat
 
 
 def days(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day")).agg(N.alias("n"), F.count_if(F.col("event_type") == "purchase").alias("pos"))
+    return t.events.groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day")).agg(rows().alias("n"), F.count_if(F.col("event_type") == "purchase").alias("pos"))
 
 
 @query("gaps_islands", f"""
@@ -195,7 +199,7 @@ def sliding_prior(t: Tables) -> DataFrame:
 @query("bucket_other", "select name, count(*) as n from (select case when count(*) over (partition by user_id) < 70 then 'other' else cast(user_id as varchar) end as name from events) group by 1")
 def bucket_other(t: Tables) -> DataFrame:
     b = counts.bucket_other(t.events.select(F.col("user_id").cast("string").alias("name")), "name", 70)
-    return b.groupBy("name").agg(N.alias("n"))
+    return b.groupBy("name").agg(rows().alias("n"))
 
 
 @query("first_valid_period", f"select user_id, min(day) as first_day from ({_DAYS}) where n >= 3 group by 1")
@@ -218,7 +222,7 @@ def leave_one_out(t: Tables) -> DataFrame:
 
 @query("loo_band", "with c as (select source, lang, count(*) as n from documents group by 1, 2), a as (select source, sum(n) as total from c group by 1) select source, cast(max(total) as bigint) as total, cast(min(total - n) as bigint) as low, cast(max(total - n) as bigint) as high from c join a using (source) group by source")
 def loo_band(t: Tables) -> DataFrame:
-    return counts.loo_band(t.documents.groupBy("source", "lang").agg(N.alias("n")), "source", "lang", "n")
+    return counts.loo_band(t.documents.groupBy("source", "lang").agg(rows().alias("n")), "source", "lang", "n")
 
 
 @query("interpolate_missing", """
@@ -241,7 +245,7 @@ _CUBE = f"select source, case lang when 'en' then 'D' when 'fr' then 'R' else 'U
 def cube(t: Tables) -> DataFrame:
     """Counts of terms by source and party: one aggregation serves the analyses after it."""
     party = F.when(F.col("lang") == "en", "D").when(F.col("lang") == "fr", "R").otherwise("U")
-    return t.documents.select("source", party.alias("party"), F.explode(words(F.lower("text"))).alias("term")).groupBy("source", "party", "term").agg(N.alias("n"))
+    return t.documents.select("source", party.alias("party"), F.explode(words(F.lower("text"))).alias("term")).groupBy("source", "party", "term").agg(rows().alias("n"))
 
 
 @query("term_cube", f"select source, party, term, n from ({_CUBE}) where party in ('D', 'R') and n >= 5")
@@ -318,8 +322,8 @@ def log_freq_ratio(t: Tables) -> DataFrame:
 
 @query("beta_posterior", "with a as (select count(*) filter (where c_acctbal < 0) as p, count(*) as n from customer) select c_nationkey, round(pos + 100.0 * p / a.n, 6) as alpha, round(g.n + 100.0 - (pos + 100.0 * p / a.n), 6) as beta from (select c_nationkey, count(*) as n, count(*) filter (where c_acctbal < 0) as pos from customer group by 1) g cross join a")
 def beta_posterior(t: Tables) -> DataFrame:
-    g = t.customer.groupBy("c_nationkey").agg(N.alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("pos"))
-    a = t.customer.agg(F.count_if(F.col("c_acctbal") < 0).alias("p"), N.alias("all_n"))
+    g = t.customer.groupBy("c_nationkey").agg(rows().alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("pos"))
+    a = t.customer.agg(F.count_if(F.col("c_acctbal") < 0).alias("p"), rows().alias("all_n"))
     alpha, beta = scores.beta_parameters(F.col("pos"), F.col("n"), F.col("p"), F.col("all_n"))
     return g.crossJoin(F.broadcast(a)).select("c_nationkey", r6(alpha).alias("alpha"), r6(beta).alias("beta"))
 
@@ -366,7 +370,7 @@ def zscore(t: Tables) -> DataFrame:
 
 @query("ci_bounds", "select c_mktsegment, round(avg(c_acctbal) - 1.96 * stddev_samp(c_acctbal) / sqrt(count(*)), 4) as low, round(avg(c_acctbal) + 1.96 * stddev_samp(c_acctbal) / sqrt(count(*)), 4) as high from customer group by 1")
 def ci_bounds(t: Tables) -> DataFrame:
-    m, se = F.avg("c_acctbal"), F.stddev_samp("c_acctbal") / F.sqrt(N)
+    m, se = F.avg("c_acctbal"), F.stddev_samp("c_acctbal") / F.sqrt(rows())
     return t.customer.groupBy("c_mktsegment").agg(F.round(m - 1.96 * se, 4).alias("low"), F.round(m + 1.96 * se, 4).alias("high"))
 
 
@@ -380,7 +384,7 @@ with c as (select quality, count(*) as n from labels group by 1), s as (select *
 select doc_id, cast(rn <= 0.8 * n as bigint) as train, round(case when rn <= 0.8 * n then 1.0 else n / 200.0 end, 6) as weight from s join c using (quality)
 """)
 def sample_weights(t: Tables) -> DataFrame:
-    s = labels.ranked(t.labels, "doc_id", 1, ["quality"]).withColumn("n", N.over(Window.partitionBy("quality")))
+    s = labels.ranked(t.labels, "doc_id", 1, ["quality"]).withColumn("n", rows().over(Window.partitionBy("quality")))
     train = F.col("rn") <= 0.8 * F.col("n")
     return s.select("doc_id", i64(train.cast("int")).alias("train"), r6(F.when(train, 1.0).otherwise(F.col("n") / 200)).alias("weight"))
 
@@ -389,7 +393,7 @@ def sample_weights(t: Tables) -> DataFrame:
 def weighted_order(t: Tables) -> DataFrame:
     even = F.col("c_custkey") % 2 == 0
     part = lambda c: F.avg(F.when(c, F.col("c_acctbal"))) * F.count_if(c)
-    return t.customer.groupBy("c_nationkey").agg(F.round((part(even) + part(~even)) / N, 4).alias("m")).orderBy(F.col("m").desc()).limit(15)
+    return t.customer.groupBy("c_nationkey").agg(F.round((part(even) + part(~even)) / rows(), 4).alias("m")).orderBy(F.col("m").desc()).limit(15)
 
 
 # Agreement and evaluation
@@ -418,7 +422,7 @@ def judged(t: Tables) -> DataFrame:
 
 @query("confusion_matrix", f"select y, count(*) filter (where y_hat = 0) as to_0, count(*) filter (where y_hat = 1) as to_1, round(count(*) filter (where y_hat = y) / count(*), 6) as recall from ({_EVAL}) group by y")
 def confusion_matrix(t: Tables) -> DataFrame:
-    return judged(t).groupBy("y").agg(F.count_if(F.col("y_hat") == 0).alias("to_0"), F.count_if(F.col("y_hat") == 1).alias("to_1"), r6(F.count_if(F.col("y_hat") == F.col("y")) / N).alias("recall"))
+    return judged(t).groupBy("y").agg(F.count_if(F.col("y_hat") == 0).alias("to_0"), F.count_if(F.col("y_hat") == 1).alias("to_1"), r6(F.count_if(F.col("y_hat") == F.col("y")) / rows()).alias("recall"))
 
 
 @query("accuracy", f"select round(avg(case when y = y_hat then 1.0 else 0 end), 6) as accuracy, round(sum(case when y = y_hat then w else 0 end) / sum(w), 6) as weighted, round(abs(sum(w * y) / sum(w) - sum(w * y_hat) / sum(w)), 6) as mae from ({_EVAL})")
@@ -451,7 +455,7 @@ select round(avg((p - y) * (p - y)), 6) as brier, round(corr(p, y), 6) as pearso
 """)
 def brier_and_correlation(t: Tables) -> DataFrame:
     d = judged(t)
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (N.over(Window.partitionBy(c)) - 1) / 2
+    rank = lambda c: F.rank().over(Window.orderBy(c)) + (rows().over(Window.partitionBy(c)) - 1) / 2
     r = d.withColumns({"rp": rank("p"), "ry": rank("y")})
     cell = lambda a, b: F.count_if((F.col("y") == a) & (F.col("y_hat") == b)).cast("double")
     tp, tn, fp, fn = cell(1, 1), cell(0, 0), cell(0, 1), cell(1, 0)
@@ -494,7 +498,7 @@ select cast(year(o_orderdate) as integer) as year, cast(year(o_orderdate) % 2 as
 """)
 def election_features(t: Tables) -> DataFrame:
     y = F.year("o_orderdate")
-    return t.orders.groupBy(y.alias("year"), (y % 2).alias("odd"), F.when(y >= 1995, 1).otherwise(0).alias("late")).agg(N.alias("n"), F.round(F.avg("o_totalprice"), 3).alias("price")).where("n >= 10")
+    return t.orders.groupBy(y.alias("year"), (y % 2).alias("odd"), F.when(y >= 1995, 1).otherwise(0).alias("late")).agg(rows().alias("n"), F.round(F.avg("o_totalprice"), 3).alias("price")).where("n >= 10")
 
 
 @query("posterior_summary", "select label, round(avg(embedding[1]), 5) as m, round(stddev_pop(embedding[1]), 5) as s, round(avg(embedding[1] - embedding[2]), 5) as d from embeddings group by 1")

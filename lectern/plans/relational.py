@@ -11,7 +11,11 @@ from lectern.plans.registry import Tables, i64, query, r6
 from lectern.sources.readers import blank_to, surveys
 from lectern.vocab import PRESIDENTS
 
-N = F.count(F.lit(1))
+
+
+def rows():
+    """The number of rows; a function, as columns need a session."""
+    return F.count(F.lit(1))
 
 
 # Filters and conditional columns
@@ -97,7 +101,7 @@ select o_orderkey, round(p, 6) as p, coalesce(n_day, 0) as n_day from s left joi
 """)
 def day_boost_filter(t: Tables) -> DataFrame:
     o = t.orders.withColumn("day", F.to_date("o_orderdate"))
-    d = o.where("o_orderstatus = 'F'").groupBy("day").agg(N.alias("n_day"))
+    d = o.where("o_orderstatus = 'F'").groupBy("day").agg(rows().alias("n_day"))
     s = o.where("o_orderstatus <> 'F'").select("o_orderkey", "day", ((F.col("o_orderkey") % 100) / 100).alias("p")).join(d, "day", "left").withColumn("n_day", F.coalesce("n_day", F.lit(0)))
     return s.where((F.col("p") > 0.5) & (F.round(F.col("p") * 100) + F.col("n_day") > 100)).select("o_orderkey", r6(F.col("p")).alias("p"), "n_day")
 
@@ -171,7 +175,7 @@ select p.name, p.party, count(*) as n from (select year(o_orderdate) as year fro
 """)
 def range_join(t: Tables) -> DataFrame:
     p = t.rows("start int, end int, party string, name string", *PRESIDENTS)
-    return joins.in_range(t.orders.select(F.year("o_orderdate").alias("year")), p, "year", "start", "end").groupBy("name", "party").agg(N.alias("n"))
+    return joins.in_range(t.orders.select(F.year("o_orderdate").alias("year")), p, "year", "start", "end").groupBy("name", "party").agg(rows().alias("n"))
 
 
 @query("join_multi_key", """
@@ -180,13 +184,13 @@ select k, decade, n, round(ses, 4) as ses from c join s using (k, decade)
 """)
 def join_multi_key(t: Tables) -> DataFrame:
     s = t.supplier.groupBy(F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 5).alias("decade")).agg(F.avg("s_acctbal").alias("ses"))
-    c = t.customer.groupBy(F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 5).alias("decade")).agg(N.alias("n"))
+    c = t.customer.groupBy(F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 5).alias("decade")).agg(rows().alias("n"))
     return c.join(s, ["k", "decade"]).select("k", "decade", "n", F.round("ses", 4).alias("ses"))
 
 
 @query("join_one_to_one", "select n_nationkey, n_name, n from nation join (select s_nationkey, count(*) as n from supplier group by 1) on s_nationkey = n_nationkey")
 def join_one_to_one(t: Tables) -> DataFrame:
-    n = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(N.alias("n"))
+    n = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(rows().alias("n"))
     return joins.one_to_one(t.nation.select("n_nationkey", "n_name"), n, ["n_nationkey"]).select("n_nationkey", "n_name", "n")
 
 
@@ -213,12 +217,12 @@ def union_prefer_last(t: Tables) -> DataFrame:
 
 @query("agg_count", "select source, count(*) as n from documents group by source")
 def agg_count(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(N.alias("n"))
+    return t.documents.groupBy("source").agg(rows().alias("n"))
 
 
 @query("agg_two_key", "select user_id, event_type, count(*) as n from events group by 1, 2")
 def agg_two_key(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id", "event_type").agg(N.alias("n"))
+    return t.events.groupBy("user_id", "event_type").agg(rows().alias("n"))
 
 
 @query("grouping_sets_party", """
@@ -239,7 +243,7 @@ def agg_max(t: Tables) -> DataFrame:
 @query("daily_count", "select cast(ts as date) as day, count(*) as n from events where event_type in (select event_type from events group by 1 having count(*) > 10) group by 1")
 def daily_count(t: Tables) -> DataFrame:
     often = t.events.groupBy("event_type").agg(N.alias("m")).where("m > 10").select("event_type")
-    return t.events.join(often, "event_type", "left_semi").groupBy(F.to_date("ts").alias("day")).agg(N.alias("n"))
+    return t.events.join(often, "event_type", "left_semi").groupBy(F.to_date("ts").alias("day")).agg(rows().alias("n"))
 
 
 @query("agg_count_distinct", "select event_type, count(distinct user_id) as n_users, count(distinct cast(ts as date)) as n_days from events group by 1")
@@ -275,7 +279,7 @@ def agg_mean(t: Tables) -> DataFrame:
 
 @query("agg_having", "select o_custkey, count(*) as n from orders group by 1 having count(*) >= 10")
 def agg_having(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(N.alias("n")).where("n >= 10")
+    return t.orders.groupBy("o_custkey").agg(rows().alias("n")).where("n >= 10")
 
 
 @query("agg_mode", """
@@ -289,7 +293,7 @@ def agg_mode(t: Tables) -> DataFrame:
 @query("net_share", "select c_mktsegment, round(100.0 * (sum(case when c_acctbal > 5000 then 1 else 0 end) - sum(case when c_acctbal < 0 then 1 else 0 end)) / count(*), 6) as net from customer group by 1")
 def net_share(t: Tables) -> DataFrame:
     v = F.when(F.col("c_acctbal") > 5000, 1).when(F.col("c_acctbal") < 0, -1).otherwise(0)
-    return t.customer.groupBy("c_mktsegment").agg(r6(100.0 * F.sum(v) / N).alias("net"))
+    return t.customer.groupBy("c_mktsegment").agg(r6(100.0 * F.sum(v) / rows()).alias("net"))
 
 
 @query("pivot_counts", "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as \"F\", count(*) filter (where o_orderstatus = 'O') as \"O\", count(*) filter (where o_orderstatus = 'P') as \"P\" from orders group by 1")
@@ -359,19 +363,19 @@ def top_n_per_group(t: Tables) -> DataFrame:
 
 @query("most_common", "select p_brand, count(*) as n from part group by 1 order by 2 desc, 1 limit 10")
 def most_common(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_brand").agg(N.alias("n")).orderBy(F.col("n").desc(), "p_brand").limit(10)
+    return t.part.groupBy("p_brand").agg(rows().alias("n")).orderBy(F.col("n").desc(), "p_brand").limit(10)
 
 
 @query("top_k_excluding", "select c_nationkey, count(*) as n from customer where c_nationkey not in (1, 2, 3, 4) group by 1 order by 2 desc, 1 limit 20")
 def top_k_excluding(t: Tables) -> DataFrame:
-    return t.customer.where(~F.col("c_nationkey").isin(1, 2, 3, 4)).groupBy("c_nationkey").agg(N.alias("n")).orderBy(F.col("n").desc(), "c_nationkey").limit(20)
+    return t.customer.where(~F.col("c_nationkey").isin(1, 2, 3, 4)).groupBy("c_nationkey").agg(rows().alias("n")).orderBy(F.col("n").desc(), "c_nationkey").limit(20)
 
 
 @query("top_k_filtered", """
 with c as (select user_id || '-' || event_type as name, count(*) as n from events group by 1 order by 2 desc, 1 limit 100) select name, n from c where not starts_with(name, '1') order by n desc, name limit 20
 """)
 def top_k_filtered(t: Tables) -> DataFrame:
-    c = t.events.groupBy(F.concat_ws("-", "user_id", "event_type").alias("name")).agg(N.alias("n"))
+    c = t.events.groupBy(F.concat_ws("-", "user_id", "event_type").alias("name")).agg(rows().alias("n"))
     return counts.top_then_filter(c, "name", "n", "1")
 
 

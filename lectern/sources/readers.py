@@ -23,9 +23,21 @@ METADATA = "map<string, struct<date:string,year:string,month:string,day:string,s
 CORRUPT_DAY = "18940614"
 
 
-def pipe_speeches(spark: SparkSession, path: str, encoding: str = "windows-1252") -> DataFrame:
+def _windows_marks() -> tuple[str, str]:
+    """The signs that Windows-1252 has where ISO-8859-1 has control codes."""
+    codes = [i for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    return "".join(map(chr, codes)), bytes(codes).decode("cp1252")
+
+
+def from_windows(df: DataFrame) -> DataFrame:
+    """A table that was read as ISO-8859-1 though its files are Windows-1252, which Spark's readers don't know by name."""
+    wrong, right = _windows_marks()
+    return df.select(*[F.translate(c, wrong, right).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes])
+
+
+def pipe_speeches(spark: SparkSession, path: str) -> DataFrame:
     """(speech_id, text): the first field is the id, further pipes in the text become spaces; the header goes."""
-    lines = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", schema="line string")
+    lines = from_windows(spark.read.csv(path, sep="\u0001", quote="", schema="line string", encoding="iso-8859-1"))
     parts = F.split("line", r"\|")
     return lines.select(parts[0].alias("speech_id"), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " ").alias("text")).where("speech_id <> 'speech_id'")
 
@@ -35,9 +47,9 @@ def without_corrupt_day(speeches: DataFrame, dates: DataFrame) -> DataFrame:
     return speeches.join(dates.select("speech_id", "date"), "speech_id").where(F.col("date") != CORRUPT_DAY)
 
 
-def pipe_table(spark: SparkSession, path: str, schema: str, encoding: str = "windows-1252") -> DataFrame:
+def pipe_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Speech descriptions or speaker maps."""
-    return spark.read.csv(path, sep="|", header=True, quote="", schema=schema, encoding=encoding)
+    return from_windows(spark.read.csv(path, sep="|", header=True, quote="", schema=schema, encoding="iso-8859-1"))
 
 
 def blank_to(df: DataFrame, column: str, sentinel: str = "Unknown") -> DataFrame:

@@ -12,4 +12,5 @@ def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def daily_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", late: str = "2 days") -> DataFrame:
     """Counts by day and kind; days older than the watermark are final and leave the state."""
-    return events.withWatermark(at, late).groupBy(F.window(at, "1 day").alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), kind, "n")
+    stamped = events.withColumn(at, F.col(at).cast("timestamp"))
+    return stamped.withWatermark(at, late).groupBy(F.window(at, "1 day").alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), kind, "n")

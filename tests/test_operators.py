@@ -1,6 +1,7 @@
 """Hand-made cases: ties, empty inputs, single elements, other alphabets."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,9 +161,9 @@ def test_models(spark):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "speeches.txt").write_bytes("speech_id|speech\n430001|Hé said|so|\n430002|\n".encode("windows-1252"))
+    (tmp_path / "speeches.txt").write_bytes("speech_id|speech\n430001|Hé said “|so|\n430002|\n".encode("windows-1252"))
     got = readers.pipe_speeches(spark, str(tmp_path / "speeches.txt")).orderBy("speech_id").collect()
-    assert [(r.speech_id, r.text) for r in got] == [("430001", "Hé said so "), ("430002", "")]
+    assert [(r.speech_id, r.text) for r in got] == [("430001", "Hé said “ so "), ("430002", "")]
     dates_ = spark.createDataFrame([("430001", "18940614"), ("430002", "18940615")], "speech_id string, date string")
     assert [r.speech_id for r in readers.without_corrupt_day(readers.pipe_speeches(spark, str(tmp_path / "speeches.txt")), dates_).collect()] == ["430002"]
     (tmp_path / "page.json").write_text('{"id": "p", "header": {"chamber": "H", "year": "2001", "month": "1", "day": "2"}, "content": [{"kind": "speech", "speaker": "None", "speaker_bioguide": "B1", "text": "x"}, {"kind": "other", "text": "y"}, {"kind": "speech", "speaker": "Z", "text": "z"}]}')
@@ -203,5 +204,5 @@ def test_without_the_training_data_package(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "lectern", tmp_path / "lectern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True)
     assert int(said.stdout.split()[0]) > 100
