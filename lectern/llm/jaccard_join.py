@@ -12,7 +12,7 @@ passages are left out as long as anything rarer is there. The order needs no exa
 the most frequent shingles makes it. A set with too few non-empty blocks also meets by single shingles.
 
 Links. Sets that meet are first linked to the smallest of those they meet. A narrow sketch of
-1024 bits discards pairs by its Hamming distance; the others are verified on whole sets. Only where
+1024 bits, for larger sets one that grows with them, discards pairs by its Hamming distance; the others are verified on whole sets. Only where
 sets that met are still in different components are pairs between these components tried, the
 likeliest first. Thus the components are those of all links, though no group is expanded.
 """
@@ -35,6 +35,8 @@ SHINGLE = 5
 #: Similarity of at least NUM / DEN; the bounds in this module hold for 3 / 4 and above.
 NUM, DEN = 75, 100
 SKETCH_LONGS = 16
+#: Sets from this size on also have a sketch that grows with them.
+WIDE_FROM = 1024
 #: The most frequent shingles that order the blocks: what is broadcast has at most so many rows.
 MOST_FREQUENT = 1 << 16
 #: Digests with more than this share of the rows are settled by a broadcast of 1/SUPPORT rows.
@@ -72,6 +74,16 @@ def sketches(flat: np.ndarray, at: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(n, longs)
 
 
+def wide_sketches(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For sets that the narrow sketch is too small for: parity sketches of 2 ** (band + 1) bits."""
+    out: list[bytes | None] = [None] * (len(at) - 1)
+    for i in np.flatnonzero(np.diff(at) >= WIDE_FROM):
+        bits = 2 << int(_band(np.array([at[i + 1] - at[i]]))[0])
+        flips = np.bincount((flat[at[i] : at[i + 1]] % np.uint64(bits)).astype(np.int64), minlength=bits)
+        out[i] = np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+    return pa.array(out, pa.binary())
+
+
 class _Frequent:
     """The most frequent shingles of a task, by counters that lose at most what they share when full."""
 
@@ -97,7 +109,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _summarise(size: int):
     names = ["id", "n", "digest", *[f"s{i}" for i in range(SKETCH_LONGS)], "shingle", "freq"]
-    kinds = pa.schema([(c, pa.int64()) for c in names])
+    kinds = pa.schema([*[(c, pa.int64()) for c in names], ("wide", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = _Frequent()
@@ -110,11 +122,11 @@ def _summarise(size: int):
                 sketch = sketches(flat, at, SKETCH_LONGS)
                 columns = [part.column(0), pa.array(np.diff(at)), pa.array(_signed(digest)), *[pa.array(sketch[:, i].copy()) for i in range(SKETCH_LONGS)]]
                 nothing = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([*columns, nothing, nothing], schema=kinds)
+                yield pa.RecordBatch.from_arrays([*columns, nothing, nothing, wide_sketches(flat, at)], schema=kinds)
         nothing = pa.nulls(len(frequent.keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing] * (3 + SKETCH_LONGS) + [pa.array(_signed(frequent.keys)), pa.array(frequent.counts)], schema=kinds)
+        yield pa.RecordBatch.from_arrays([nothing] * (3 + SKETCH_LONGS) + [pa.array(_signed(frequent.keys)), pa.array(frequent.counts), pa.nulls(len(frequent.keys), pa.binary())], schema=kinds)
 
-    return run, ", ".join(f"{c} long" for c in names)
+    return run, ", ".join(f"{c} long" for c in names) + ", wide binary"
 
 
 def _band(n: np.ndarray) -> np.ndarray:
@@ -254,7 +266,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     run, schema = _summarise(size)
     seen = scratch.store(docs.mapInArrow(run, schema))
-    summary = seen.where("n is not null").select("id", "n", "digest", *_SKETCH)
+    summary = seen.where("n is not null").select("id", "n", "digest", *_SKETCH, "wide")
     counted = scratch.store(seen.where("shingle is not null").groupBy("shingle").agg(F.sum("freq").alias("freq")))
     frequent = spark.sparkContext.broadcast(_most_frequent(counted))
 
@@ -268,7 +280,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tagged = live.join(F.broadcast(heavy), "digest", "left")
     light = tagged.where("keep_id is null").drop("keep_id")
     classes = light.groupBy("digest").agg(F.min("id").alias("rep"))
-    columns = ["id", "rep", "n", *_SKETCH]
+    columns = ["id", "rep", "n", *_SKETCH, "wide"]
     info = light.join(classes, "digest").select(columns).unionByName(tagged.where("keep_id is not null").withColumnRenamed("keep_id", "rep").select(columns))
     alone = summary.where("n = 0 or id is null").withColumn("rep", F.col("id")).select(columns)
     info = scratch.store(info.unionByName(alone))

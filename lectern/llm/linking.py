@@ -130,68 +130,112 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CHUNK = 1 << 12
 
 
-def possible(a: str, b: str, sketch: list[str], num: int, den: int) -> Column:
-    """Whether sizes (n) and parity sketches of the sides a and b allow a similarity of num / den.
+class Sides:
+    """Rows (id, component, n, sketch...) to compare, with the wide sketches that larger sets have."""
+
+    def __init__(self, rows: np.ndarray, wide: list[bytes | None], num: int, den: int):
+        self.rows, self.num, self.den = rows, num, den
+        self.size = np.array([0 if w is None else len(w) for w in wide], np.int64)
+        self.wide = [None if w is None else np.frombuffer(w, np.uint64) for w in wide]
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _at(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Wide sketches of one size, those of twice that size folded to it, and each row's place among them."""
+        if size not in self.folded:
+            place = np.full(len(self.rows), -1, np.int64)
+            own = [w if len(w) * 8 == size else w[: size // 8] ^ w[size // 8 :] for w in (self.wide[i] for i in self._fit(size))]
+            place[self._fit(size)] = np.arange(len(own))
+            self.folded[size] = (np.stack(own) if own else np.zeros((0, size // 8), np.uint64), place)
+        return self.folded[size]
+
+    def _fit(self, size: int) -> np.ndarray:
+        return np.flatnonzero((self.size == size) | (self.size == 2 * size))
+
+    def fit(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether sizes and sketches allow rows i and j to link, and their sketches' distance by the sizes.
+
+        Sets of sizes m and n with similarity num / den differ in at most (den - num)(m + n) / (den + num)
+        elements, their parity sketches in at most as many bits.
+        """
+        both = self.rows[i, 2] + self.rows[j, 2]
+        low, high = np.minimum(self.rows[i, 2], self.rows[j, 2]), np.maximum(self.rows[i, 2], self.rows[j, 2])
+        bits = np.zeros(len(i), np.int64)
+        for k in range(3, self.rows.shape[1]):
+            bits += np.bitwise_count((self.rows[i, k] ^ self.rows[j, k]).view(np.uint64))
+        good = (low * self.den >= high * self.num) & (bits * (self.den + self.num) <= both * (self.den - self.num))
+        size = np.minimum(self.size[i], self.size[j])
+        for s in np.unique(size[good]):
+            if s > 0:
+                sketches, place = self._at(int(s))
+                for at in np.array_split(some := np.flatnonzero(good & (size == s)), max(1, len(some) * int(s) >> 24)):
+                    bits[at] = np.bitwise_count(sketches[place[i[at]]] ^ sketches[place[j[at]]]).sum(axis=1)
+        return good & (bits * (self.den + self.num) <= both * (self.den - self.num)), bits / np.maximum(both, 1)
+
+
+def _possible(n_sketch: int, num: int, den: int):
+    """Of pairs (u, v) with both sides' (n, sketch..., wide) those that may link."""
+    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    Sets of sizes m and n that similar differ in at most (den - num)(m + n) / (den + num) elements, their
-    sketches in at most as many bits.
-    """
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.lit(0)
-    for s in sketch:
-        apart = apart + F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart * (den + num) <= (na + nb) * (den - num))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, zero = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            sides, wide = [], []
+            for low in (2, 4 + n_sketch):
+                sides.append(np.stack([zero, zero, *[batch.column(low + k).to_numpy() for k in range(1 + n_sketch)]], axis=1))
+                wide += batch.column(low + 1 + n_sketch).to_pylist()
+            n = batch.num_rows
+            good, _ = Sides(np.concatenate(sides), wide, num, den).fit(np.arange(n), np.arange(n, 2 * n))
+            yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], schema=kinds)
+
+    return run
 
 
-def _across(n_sketch: int, num: int, den: int, best: bool):
+def _across(num: int, den: int, best: bool):
     """Pairs of a group's rows in different components that may link; best: for each row only the likeliest with each component."""
     kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def compare(first, second, same):
-        """first, second: arrays with a row (id, component, n, sketch...) each."""
-        for low in range(0, len(first), 256):
-            some = first[low : low + 256]
-            bits = np.zeros((len(some), len(second)), np.int64)
-            for k in range(n_sketch):
-                bits += np.bitwise_count(some[:, 3 + k, None] ^ second[None, :, 3 + k])
-            m, n = some[:, 2, None], second[None, :, 2]
-            fits = (some[:, 1, None] != second[None, :, 1]) & (np.minimum(m, n) * den >= np.maximum(m, n) * num) & (bits * (den + num) <= (m + n) * (den - num))
+    def compare(sides, first, second, same):
+        for at in np.array_split(first, max(1, len(first) * len(second) >> 20)):
+            i, j = (x.reshape(-1) for x in np.meshgrid(at, second, indexing="ij"))
+            differ = sides.rows[i, 1] != sides.rows[j, 1]
             if same:
-                fits &= some[:, 0, None] < second[None, :, 0]
-            i, j = np.nonzero(fits)
+                differ &= sides.rows[i, 0] < sides.rows[j, 0]
+            i, j = i[differ], j[differ]
+            good, far = sides.fit(i, j)
+            i, j, far = i[good], j[good], far[good]
             if best and len(i):
-                order = np.lexsort((second[j, 0], bits[i, j] / (some[i, 2] + second[j, 2]), second[j, 1], i))
+                order = np.lexsort((sides.rows[j, 0], far, sides.rows[j, 1], i))
                 i, j = i[order], j[order]
-                head = np.concatenate([[True], (i[1:] != i[:-1]) | (second[j[1:], 1] != second[j[:-1], 1])])
+                head = np.concatenate([[True], (i[1:] != i[:-1]) | (sides.rows[j[1:], 1] != sides.rows[j[:-1], 1])])
                 i, j = i[head], j[head]
-            yield np.minimum(some[i, 0], second[j, 0]), np.maximum(some[i, 0], second[j, 0])
+            a, b = sides.rows[i, 0], sides.rows[j, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=kinds)
 
-    def group(rows, chunk, low, high):
+    def group(block, wide):
+        rows, chunk, low, high = block[:, 4:], block[:, 3], block[0, 1], block[0, 2]
         names, counts = np.unique(rows[:, 1], return_counts=True)
         if len(names) < 2:
             return
+        sides, every = Sides(rows, wide, num, den), np.arange(len(rows))
         if low == high:  # rows outside the largest component against it, and against each other
             inside = rows[:, 1] == names[counts.argmax()]
-            yield from compare(rows[~inside], rows[inside], False)
-            yield from compare(rows[~inside], rows[~inside], True)
+            yield from compare(sides, every[~inside], every[inside], False)
+            yield from compare(sides, every[~inside], every[~inside], True)
         else:
-            yield from compare(rows[chunk == low], rows[chunk == high], False)
+            yield from compare(sides, every[chunk == low], every[chunk == high], False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, held_wide = None, []
         for batch in batches:
-            block = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            block = np.stack([c.to_numpy() for c in batch.columns[:-1]], axis=1)
+            wide = held_wide + batch.column(batch.num_columns - 1).to_pylist()
             block = block if held is None else np.concatenate([held, block])
-            edges = np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1
-            held = block[edges[-1] if len(edges) else 0 :]
-            for part in np.split(block, edges)[:-1]:
-                yield from emit(part)
+            edges = [0, *(np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1).tolist()]
+            for a, b in zip(edges, edges[1:]):
+                yield from group(block[a:b], wide[a:b])
+            held, held_wide = block[edges[-1] :], wide[edges[-1] :]
         if held is not None and len(held):
-            yield from emit(held)
-
-    def emit(part):
-        for u, v in group(part[:, 4:], part[:, 3], part[0, 1], part[0, 2]):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=kinds)
+            yield from group(held, held_wide)
 
     return run
 
@@ -208,7 +252,7 @@ def link_components(
 ) -> DataFrame:
     """(id, component) for the nodes that link.
 
-    met: what meet() gives. nodes: (id, n, parity sketch). linked(pairs (u, v)) gives those that link.
+    met: what meet() gives. nodes: (id, n, parity sketch in longs, wide: a larger one, or null). linked(pairs (u, v)) gives those that link.
     stand_ins: (id, rep), the node that an id stands for.
 
     What is joined grows with the input, so joins are sort-merge joins at every size.
@@ -218,8 +262,11 @@ def link_components(
         for side in ("a", "b"):
             stars = stars.join(stand_ins.withColumnsRenamed({"id": side, "rep": f"r{side}"}).hint("merge"), side).drop(side).withColumnRenamed(f"r{side}", side)
     stars = stars.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    tried = stars.join(nodes.hint("merge").alias("a"), F.col("u") == F.col("a.id")).join(nodes.hint("merge").alias("b"), F.col("v") == F.col("b.id"))
-    tried = scratch.store(tried.where(possible("a", "b", sketch, num, den)).select("u", "v").distinct())
+    told = ["n", *sketch, "wide"]
+    for side in ("u", "v"):
+        stars = stars.join(nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in told]).hint("merge"), side)
+    stars = stars.select("u", "v", *[f"{side}_{c}" for side in ("u", "v") for c in told])
+    tried = scratch.store(stars.mapInArrow(_possible(len(sketch), num, den), "u long, v long").distinct())
     links = scratch.store(linked(tried))
     found = scratch.store(components(links))
 
@@ -236,8 +283,8 @@ def link_components(
         own = F.pmod(F.xxhash64("id"), chunks).cast("int")
         spread = apart.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
         order = ["bucket", "i", "j"]
-        spread = spread.select("bucket", F.least("c", "o").cast("long").alias("i"), F.greatest("c", "o").cast("long").alias("j"), F.col("c").cast("long"), "id", "component", "n", *sketch)
-        pairs = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across(len(sketch), num, den, best), "u long, v long")
+        spread = spread.select("bucket", F.least("c", "o").cast("long").alias("i"), F.greatest("c", "o").cast("long").alias("j"), F.col("c").cast("long"), "id", "component", *told)
+        pairs = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across(num, den, best), "u long, v long")
         rest = scratch.store(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
         if rest.isEmpty():
             break

@@ -169,7 +169,7 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         texts = scratch.store(docs.mapInArrow(run, schema).groupBy("id").agg(F.first("blob").alias("blob")))
         return verified(pairs, texts, lambda some: distinct_shingles(some, size), NUM, DEN)
 
-    found = link_components(met, nodes.select("id", "n", *_SKETCH), _SKETCH, linked, scratch, NUM, DEN)
+    found = link_components(met, nodes.select("id", "n", *_SKETCH, F.lit(None).cast("binary").alias("wide")), _SKETCH, linked, scratch, NUM, DEN)
     named = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = named.groupBy("component").agg(F.min("doc").alias("doc"), F.max("last").alias("last")).where("doc < last").select("component")
     member = named.join(spread, "component", "left_semi").select(F.col("id").alias("node"), "component")
