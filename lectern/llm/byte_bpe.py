@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import slices
-from lectern.llm.common import col
+from lectern.llm.common import col, fresh, map_arrow, plain_names
 
 #: Bytes of text whose new words are merged together, and words and bytes of words a task remembers.
 PIECE, MOST_WORDS, MOST_BYTES = 1 << 22, 400_000, 64 << 20
@@ -258,17 +258,10 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
                     at = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
                     more = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<i4"))), pa.array(plain, pa.binary())]
                 columns = [batch.column(i).slice(start, n) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, counts, *more], names=[*names, *new])
+                yield pa.RecordBatch.from_arrays([*columns, counts, *more], names=names)
 
-    names = keep
-    return df.select(*map(col, keep), col(text_col).cast("string").alias(_unused(keep))).mapInArrow(run, shape.schema)
-
-
-def _unused(names: list[str]) -> str:
-    name = "text_"
-    while name in names:
-        name += "_"
-    return name
+    names = plain_names(len(keep) + len(new))
+    return map_arrow(df.select(*map(col, keep), col(text_col).cast("string").alias(fresh(df, "text_")[0])), run, shape.schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -282,6 +275,6 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text"
         tokens = {rank: token for token, rank in load_ranks(path).items()}
         for batch in batches:
             texts = [None if ids is None else b"".join(tokens[i] for i in ids).decode("utf-8", "replace") for ids in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=plain_names(batch.num_columns + 1))
 
-    return df.mapInArrow(run, kinds)
+    return map_arrow(df, run, kinds)

@@ -88,11 +88,12 @@ def _variants(m: Mapping) -> list[str]:
 
 
 def record_fingerprint(v: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """The hash of the known paths that a variant holds with a value other than null."""
+    """The hash of the known paths at which a variant holds a single value; below lists a null counts, elsewhere not."""
     held = []
     for p in sorted({p for m in mappings for p in m.paths()}):
-        probe = "$." + p.replace("[]", "[0]")
-        held.append(F.when(F.try_variant_get(v, probe, "string").isNotNull(), F.lit(p)))
+        kind = F.schema_of_variant(F.try_variant_get(v, "$." + p.replace("[]", "[0]"), "variant"))
+        single = ~kind.rlike("^(ARRAY|OBJECT)" if "[]" in p else "^(ARRAY|OBJECT|VOID)")
+        held.append(F.when(single, F.lit(p)))
     return F.xxhash64(F.array_join(F.array_compact(F.array(*held)), "\n"))
 
 

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words in every operator here.
 SPACE = r"\x20\x09-\x0D"
@@ -53,6 +54,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def plain_names(n: int) -> list[str]:
+    return [f"c{i}" for i in range(n)]
+
+
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """mapInArrow under plain_names(), in and out: PySpark looks the columns up by name, which fails for names with dots or back-ticks."""
+    plain = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain_names(len(schema)), schema.fields, strict=True)])
+    return df.toDF(*plain_names(len(df.columns))).mapInArrow(run, plain).toDF(*schema.names)
+
+
 def sub_buckets(n_rows: int, per_root: float) -> int:
     """Buckets per group that grow with the root of the rows: neither a bucket's rows nor a group's buckets get large."""
     return max(1, math.ceil(math.sqrt(n_rows) / per_root))

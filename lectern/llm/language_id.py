@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import buffers, slices
-from lectern.llm.common import col, fresh
+from lectern.llm.common import col, fresh, map_arrow, plain_names
 
 #: Window length in bytes, filter widths, filters of each width, size of the embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
@@ -186,7 +186,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     df = df.drop(*[c for c in df.columns if c.lower() in ("lang_pred", "score") and c != text_col])
     shared = df.sparkSession.sparkContext.broadcast(model)
     (text,) = fresh(df, "text_")
-    names = [*df.columns, "lang_pred", "score"]
+    names = plain_names(len(df.columns) + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -210,4 +210,4 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=names)
 
     shape = df.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return df.select("*", col(text_col).cast("string").alias(text)).mapInArrow(run, shape)
+    return map_arrow(df.select("*", col(text_col).cast("string").alias(text)), run, shape)

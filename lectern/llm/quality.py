@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import BASE, INVERSE, buffers, mix64, powers, slices
-from lectern.llm.common import col, fresh
+from lectern.llm.common import col, fresh, map_arrow, plain_names
 
 #: Buckets of the hash, labelled rows that a fit reads at most, passes over them, and the share that is held out.
 BUCKET_BITS, FIT_ROWS, EPOCHS = 18, 6000, 4
@@ -152,7 +152,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
     df = df.drop(*[c for c in df.columns if c.lower() in ("score", "predicted") and c != text_col])
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     (text,) = fresh(df, "text_")
-    names = [*df.columns, "score"]
+    names = plain_names(len(df.columns) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -163,7 +163,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=names)
 
     shape = df.select("*", F.lit(0.5).alias("score")).schema
-    scored = df.select("*", col(text_col).cast("string").alias(text)).mapInArrow(run, shape)
+    scored = map_arrow(df.select("*", col(text_col).cast("string").alias(text)), run, shape)
     return scored.withColumn("predicted", (F.col("score") >= F.lit(threshold)).cast("int"))
 
 
