@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality
 from lectern.llm.common import ensure_checkpoint_dir, shared_path
 from lectern.llm.queries import vocabulary
+from lectern.shipping import ship
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again."""
+    ship(spark)
     ensure_checkpoint_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
