@@ -92,11 +92,13 @@ class Scratch:
         ensure_checkpoint_dir(spark)
         self.spark, self.made = spark, []
 
-    def store(self, df: DataFrame) -> DataFrame:
+    def store(self, df: DataFrame, release: bool = False) -> DataFrame:
+        """A copy of df; release: what it was made from has left large shuffle files."""
         path = shared_path(self.spark, "scratch")
         self.made.append(path)
         df.write.parquet(path)
-        self.release()
+        if release:
+            self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

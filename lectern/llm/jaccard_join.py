@@ -38,7 +38,7 @@ SKETCH_LONGS = 16
 #: Sets from this size on also have a sketch that grows with them.
 WIDE_FROM = 1024
 #: The most frequent shingles that order the blocks: what is broadcast has at most so many rows.
-MOST_FREQUENT = 1 << 16
+MOST_FREQUENT = 1 << 18
 #: Digests with more than this share of the rows are settled by a broadcast of 1/SUPPORT rows.
 SUPPORT = 0.001
 PIECE = 1 << 22
@@ -288,7 +288,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     run, schema = _emit_keys(size, frequent, settled)
     keyed = docs.mapInArrow(run, schema)
-    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET))
+    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET), release=True)
 
     found = link_components(met, reps, _SKETCH, lambda pairs: _linked(pairs, docs, size, scratch), scratch, NUM, DEN, info.select("id", "rep").distinct())
     done = info.join(found.withColumnRenamed("id", "rep"), "rep", "left")

@@ -267,7 +267,7 @@ def link_components(
         stars = stars.join(nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in told]).hint("merge"), side)
     stars = stars.select("u", "v", *[f"{side}_{c}" for side in ("u", "v") for c in told])
     tried = scratch.store(stars.mapInArrow(_possible(len(sketch), num, den), "u long, v long").distinct())
-    links = scratch.store(linked(tried))
+    links = scratch.store(linked(tried), release=True)
     found = scratch.store(components(links))
 
     groups = met.where("big").select(F.col("a").alias("bucket"), F.col("b").alias("id"))
@@ -275,7 +275,10 @@ def link_components(
         groups = groups.join(stand_ins.hint("merge"), "id").select("bucket", F.col("rep").alias("id")).distinct()
         groups = scratch.store(groups)
     # The likeliest links first: they join most components. What then is left is tried whole.
+    stuck = False
     for best in (True, True, False):
+        if best and stuck:
+            continue
         named = groups.join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
         apart = named.join(mixed.select("bucket", "m").hint("merge"), "bucket").join(nodes.hint("merge"), "id")
@@ -288,9 +291,10 @@ def link_components(
         rest = scratch.store(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
         if rest.isEmpty():
             break
-        late = scratch.store(linked(rest))
+        late = scratch.store(linked(rest), release=True)
         tried = tried.unionByName(rest)
-        if not late.isEmpty():
+        stuck = late.isEmpty()
+        if not stuck:
             links = links.unionByName(late)
             found = scratch.store(components(links))
     return found

@@ -160,7 +160,7 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = scratch.store(listed.groupBy(F.col("node").alias("id")).agg(*[F.first(c).alias(c) for c in ("n", *_SKETCH)], F.min("id").alias("doc"), F.max("id").alias("last")))
     run, schema = _keyed(size, min_words)
     keyed = docs.mapInArrow(run, schema)
-    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET))
+    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET), release=True)
 
     def linked(pairs: DataFrame) -> DataFrame:
         context = df.sparkSession.sparkContext
