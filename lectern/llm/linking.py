@@ -287,10 +287,14 @@ def link_components(
         spread = apart.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
         order = ["bucket", "i", "j"]
         spread = spread.select("bucket", F.least("c", "o").cast("long").alias("i"), F.greatest("c", "o").cast("long").alias("j"), F.col("c").cast("long"), "id", "component", *told)
-        pairs = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across(num, den, best), "u long, v long")
-        rest = scratch.store(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
-        if rest.isEmpty():
+        likely = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across(num, den, best), "u long, v long")
+        likely = scratch.store(likely.distinct())
+        if likely.isEmpty():
             break
+        rest = scratch.store(likely.join(tried, ["u", "v"], "left_anti"))
+        if rest.isEmpty():  # the likeliest have been tried: there may be others
+            stuck = True
+            continue
         late = scratch.store(linked(rest), release=True)
         tried = tried.unionByName(rest)
         stuck = late.isEmpty()
