@@ -174,7 +174,8 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     spread = named.groupBy("component").agg(F.min("doc").alias("doc"), F.max("last").alias("last")).where("doc < last").select("component")
     member = named.join(spread, "component", "left_semi").select(F.col("id").alias("node"), "component")
     rows = listed.drop("n", *_SKETCH).join(member, "node")
-    kept = rows.groupBy("component").agg(F.min(F.struct("id", "para_no")).alias("keep"))
+    # Stored, so that the join below reads two plain exchanges, of which Spark can split a hot component's.
+    kept = scratch.store(rows.groupBy("component").agg(F.min(F.struct("id", "para_no")).alias("keep")))
     rows = rows.join(kept, "component")
     out = checkpoint(
         rows.select(
