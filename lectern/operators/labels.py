@@ -33,9 +33,23 @@ def nearest(df: DataFrame, column: str, options: list[str], overrides: dict[str,
     return df.withColumn("nearest", out)
 
 
+def numbered(df: DataFrame, group: list[str], bucket: Column, order: list[Column]) -> DataFrame:
+    """df with rn, its place from 1 in each group, by an order that goes through the buckets in turn.
+
+    Each bucket is a window of its own; only one row a bucket meets to add up where each begins.
+    """
+    some = df.withColumn("b_", bucket)
+    sizes = some.groupBy(*group, "b_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, "b_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    own = F.row_number().over(Window.partitionBy(*group, "b_").orderBy(*order))
+    return some.withColumn("rn", own).join(starts, [*group, "b_"]).withColumn("rn", F.col("rn") + F.col("start_")).drop("b_", "start_")
+
+
 def ranked(df: DataFrame, key: str, seed: int, within: list[str] | None = None) -> DataFrame:
     """df with rn, its place in the hash order (of each group)."""
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(shuffle_key(seed, key), key)))
+    place = shuffle_key(seed, key)
+    return numbered(df, within or [], F.substring(place, 1, 3), [place, F.col(key)])
 
 
 def split_n_way(rn: Column, n: Column, pieces: int) -> Column:
@@ -46,9 +60,10 @@ def split_n_way(rn: Column, n: Column, pieces: int) -> Column:
 def repeated_folds(df: DataFrame, key: str, folds: int, test_share: float) -> DataFrame:
     """Each row once a fold, with whether it is in that fold's test part; folds are drawn independently."""
     each = df.select(key).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    order = Window.partitionBy("fold").orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("fold").cast("string"))), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy("fold"))
-    return each.withColumn("test", (F.row_number().over(order) <= F.floor(n * test_share)).cast("int"))
+    place = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("fold").cast("string")))
+    n = df.select(F.count(F.lit(1)).alias("n_"))
+    placed = numbered(each, ["fold"], F.substring(place, 1, 3), [place, F.col(key)]).crossJoin(F.broadcast(n))
+    return placed.select(key, "fold", (F.col("rn") <= F.floor(F.col("n_") * test_share)).cast("int").alias("test"))
 
 
 def round_robin(df: DataFrame, key: str, teams: list[list[str]], seed: int) -> DataFrame:
@@ -67,7 +82,8 @@ def f1_by_class(df: DataFrame, true: str, pred: str, weight: str) -> DataFrame:
 
 def calibration(df: DataFrame, label: str, p: str, bins: int, key: str) -> DataFrame:
     """By bin of equal counts in order of p: rows, mean p, share of label 1."""
-    order = Window.partitionBy(F.lit(0)).orderBy(p, key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    binned = df.withColumn("bin", F.floor((F.row_number().over(order) - 1) * bins / n).cast("long"))
+    n = df.select(F.count(F.lit(1)).alias("all_"))
+    steps = F.greatest(F.lit(0), F.least(F.lit(1023), F.floor(F.col(p) * 1024)))
+    placed = numbered(df, [], steps, [F.col(p), F.col(key)]).crossJoin(F.broadcast(n))
+    binned = placed.withColumn("bin", F.floor((F.col("rn") - 1) * bins / F.col("all_")).cast("long"))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(label).cast("double")).alias("share"))

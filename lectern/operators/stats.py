@@ -34,6 +34,14 @@ def zscore(df: DataFrame, keys: list[str], x: str, out: str = "z") -> DataFrame:
     return joined.withColumn(out, F.try_divide(F.col(x) - F.col("m_"), F.col("s_"))).drop("m_", "s_")
 
 
+def average_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
+    """Ranks from 1 with ties at their mean: by distinct value, of which only counts meet."""
+    n = df.groupBy(x).agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(F.lit(0)).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = n.select(F.col(x), (F.coalesce(F.sum("n_").over(before), F.lit(0)) + (F.col("n_") + 1) / 2).alias(out))
+    return df.join(ranks, x)
+
+
 def t_p_value(t: float, df: int) -> float:
     """Two-sided, by the incomplete beta function's continued fraction."""
     if math.isnan(t) or df <= 0:

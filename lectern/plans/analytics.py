@@ -156,7 +156,7 @@ select lang, source, n, round(p - a, 6) as net, round(2 * sqrt(p * (1 - p) / n +
 """)
 def annotation_tone(t: Tables) -> DataFrame:
     one = lambda c: F.avg(F.when(F.col(c) == 1, 1.0).otherwise(0.0))
-    g = t.labels.join(t.documents.select("doc_id", "lang", "source"), "doc_id").groupBy("lang", "source").agg(N.alias("n"), one("quality").alias("p"), one("toxic").alias("a")).where("n > 4")
+    g = t.labels.join(t.documents.select("doc_id", "lang", "source"), "doc_id").groupBy("lang", "source").agg(rows().alias("n"), one("quality").alias("p"), one("toxic").alias("a")).where("n > 4")
     net, low, _ = scores.net_band(F.col("p"), F.col("a"), F.col("n"))
     return g.select("lang", "source", "n", r6(net / 100).alias("net"), r6((net - low) / 100).alias("band"))
 
@@ -166,7 +166,7 @@ def annotation_tone(t: Tables) -> DataFrame:
 
 @query("window_count", "select c_custkey, count(*) over (partition by c_nationkey, c_mktsegment) as weight from customer")
 def window_count(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", N.over(Window.partitionBy("c_nationkey", "c_mktsegment")).alias("weight"))
+    return t.customer.select("c_custkey", rows().over(Window.partitionBy("c_nationkey", "c_mktsegment")).alias("weight"))
 
 
 _DAYS = "select user_id, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as integer) as day, count(*) as n, count(*) filter (where event_type = 'purchase') as pos from events group by 1, 2"
@@ -384,7 +384,7 @@ with c as (select quality, count(*) as n from labels group by 1), s as (select *
 select doc_id, cast(rn <= 0.8 * n as bigint) as train, round(case when rn <= 0.8 * n then 1.0 else n / 200.0 end, 6) as weight from s join c using (quality)
 """)
 def sample_weights(t: Tables) -> DataFrame:
-    s = labels.ranked(t.labels, "doc_id", 1, ["quality"]).withColumn("n", rows().over(Window.partitionBy("quality")))
+    s = labels.ranked(t.labels, "doc_id", 1, ["quality"]).join(t.labels.groupBy("quality").agg(rows().alias("n")), "quality")
     train = F.col("rn") <= 0.8 * F.col("n")
     return s.select("doc_id", i64(train.cast("int")).alias("train"), r6(F.when(train, 1.0).otherwise(F.col("n") / 200)).alias("weight"))
 
@@ -455,8 +455,7 @@ select round(avg((p - y) * (p - y)), 6) as brier, round(corr(p, y), 6) as pearso
 """)
 def brier_and_correlation(t: Tables) -> DataFrame:
     d = judged(t)
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (rows().over(Window.partitionBy(c)) - 1) / 2
-    r = d.withColumns({"rp": rank("p"), "ry": rank("y")})
+    r = stats.average_ranks(stats.average_ranks(d, "p", "rp"), "y", "ry")
     cell = lambda a, b: F.count_if((F.col("y") == a) & (F.col("y_hat") == b)).cast("double")
     tp, tn, fp, fn = cell(1, 1), cell(0, 0), cell(0, 1), cell(1, 0)
     y = F.col("y").cast("double")

@@ -242,7 +242,7 @@ def agg_max(t: Tables) -> DataFrame:
 
 @query("daily_count", "select cast(ts as date) as day, count(*) as n from events where event_type in (select event_type from events group by 1 having count(*) > 10) group by 1")
 def daily_count(t: Tables) -> DataFrame:
-    often = t.events.groupBy("event_type").agg(N.alias("m")).where("m > 10").select("event_type")
+    often = t.events.groupBy("event_type").agg(rows().alias("m")).where("m > 10").select("event_type")
     return t.events.join(often, "event_type", "left_semi").groupBy(F.to_date("ts").alias("day")).agg(rows().alias("n"))
 
 
@@ -403,7 +403,7 @@ with k as (select doc_id, lang, row_number() over (partition by lang order by md
 select doc_id, lang, cast(least(floor((rn - 1) / greatest(n // 4, 1)), 3) as bigint) as piece from k
 """)
 def split_n_way(t: Tables) -> DataFrame:
-    k = labels.ranked(t.documents.select("doc_id", "lang"), "doc_id", 5, ["lang"]).withColumn("n", N.over(Window.partitionBy("lang")))
+    k = labels.ranked(t.documents.select("doc_id", "lang"), "doc_id", 5, ["lang"]).join(t.documents.groupBy("lang").agg(rows().alias("n")), "lang")
     return k.select("doc_id", "lang", labels.split_n_way(F.col("rn"), F.col("n"), 4).alias("piece"))
 
 
