@@ -24,7 +24,7 @@ from lectern.llm.bytes_kit import slices
 from lectern.llm.common import col, fresh, map_arrow, plain_names
 
 #: Bytes of text whose new words are merged together, and words and bytes of words a task remembers.
-PIECE, MOST_WORDS, MOST_BYTES = 1 << 22, 400_000, 64 << 20
+PIECE, MOST_WORDS, MOST_BYTES = 1 << 21, 400_000, 64 << 20
 #: From so many bytes of new words on, whole arrays are faster than single positions.
 MANY = 20_000
 
@@ -240,28 +240,24 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     keep = [c for c in (df.columns if keep is None else keep) if c != text_col and c.lower() not in new]
-    shape = df.select(*map(col, keep), F.lit(0).cast("long").alias(new[0]))
-    for name, kind in zip(new[1:], ["string", "string"] if digests else ["array<int>", "binary"], strict=True):
-        shape = shape.withColumn(name, F.lit(None).cast(kind))
+    kinds = [("n_tokens", pa.int64()), *zip(new[1:], [pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()], strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded binary")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path, pattern)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+        for texts in batches:
+            done: list[list] = [[], [], []]
             for start, n in slices(texts, PIECE):
-                ids = own.encode([t or "" for t in texts.slice(start, n).to_pylist()])
-                plain = [own.decode(i) for i in ids]
-                counts = pa.array([len(i) // 4 for i in ids], pa.int64())
-                if digests:
-                    more = [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (ids, plain)]
-                else:
-                    at = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-                    more = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<i4"))), pa.array(plain, pa.binary())]
-                columns = [batch.column(i).slice(start, n) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, counts, *more], names=names)
-
-    names = plain_names(len(keep) + len(new))
-    return map_arrow(df.select(*map(col, keep), col(text_col).cast("string").alias(fresh(df, "text_")[0])), run, shape.schema)
+                for ids in own.encode([t or "" for t in texts.slice(start, n).to_pylist()]):
+                    plain = own.decode(ids)
+                    done[0].append(len(ids) // 4)
+                    done[1].append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<i4"))
+                    done[2].append(hashlib.sha256(plain).hexdigest() if digests else plain)
+            yield pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(done, kinds, strict=True)], fields=[pa.field(*k) for k in kinds])
+
+    (all_,) = fresh(df, "encoded_")
+    wide = df.select(*map(col, dict.fromkeys([*keep, text_col]))).withColumn(all_, encoded(col(text_col).cast("string")))
+    return wide.select(*map(col, keep), *[col(all_)[c].alias(c) for c in new])
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

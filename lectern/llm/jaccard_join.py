@@ -41,7 +41,7 @@ WIDE_FROM = 1024
 MOST_FREQUENT = 1 << 18
 #: Digests with more than this share of the rows are settled by a broadcast of 1/SUPPORT rows.
 SUPPORT = 0.001
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import buffers, slices
-from lectern.llm.common import col, fresh, map_arrow, plain_names
+from lectern.llm.common import col, fresh
 
 #: Window length in bytes, filter widths, filters of each width, size of the embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 #: Labelled documents that a fit reads at most, windows of each, passes over them.
 FIT_ROWS, FIT_WINDOWS, EPOCHS = 3000, 4, 5
 FOLDS, FOLD = 3, 1
-PIECE, BLOCK = 1 << 22, 32
+PIECE, BLOCK = 1 << 20, 32
 
 _LETTER = np.zeros(256, np.float32)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0x100)]] = 1
@@ -185,16 +185,15 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("lang_pred", "score") and c != text_col])
     shared = df.sparkSession.sparkContext.broadcast(model)
-    (text,) = fresh(df, "text_")
-    names = plain_names(len(df.columns) + 2)
+    kinds = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, score double")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         tables = own.tables()
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+        for texts in batches:
             lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            best, score = [], []
+            best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
             for start, n in slices(texts, PIECE):
                 windows, at = windows_of(texts.slice(start, n))
                 p = own.probabilities(windows, tables).astype(np.float64)
@@ -204,10 +203,9 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 total = np.bincount(owner, weights=weight, minlength=n)
                 best.append(sums.argmax(axis=1))
                 score.append(np.minimum(1.0, sums.max(axis=1) / np.maximum(total, 1e-9)))
-            best = np.concatenate(best) if best else np.zeros(0, np.int64)
-            score = np.concatenate(score) if score else np.zeros(0)
-            said = [own.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=names)
+            said = [own.languages[b] if ok else "und" for b, ok in zip(np.concatenate(best), lettered, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(np.where(lettered, np.concatenate(score), 0.0))], fields=list(kinds))
 
-    shape = df.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return map_arrow(df.select("*", col(text_col).cast("string").alias(text)), run, shape)
+    (both,) = fresh(df, "told_")
+    guessed = df.withColumn(both, told(col(text_col).cast("string")))
+    return guessed.select(*map(col, df.columns), col(both)["lang"].alias("lang_pred"), col(both)["score"].alias("score"))

@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import BASE, INVERSE, buffers, mix64, powers, slices
-from lectern.llm.common import col, fresh, map_arrow, plain_names
+from lectern.llm.common import col
 
 #: Buckets of the hash, labelled rows that a fit reads at most, passes over them, and the share that is held out.
 BUCKET_BITS, FIT_ROWS, EPOCHS = 18, 6000, 4
 #: Few rows are passed over more often, for about so many updates, up to MOST_EPOCHS.
 UPDATES, MOST_EPOCHS = 12_000, 50
 FOLDS, THRESHOLD = 5, 0.3
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -151,23 +151,17 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
     """df with score and predicted. Null and empty texts are scored by the bias alone; columns of df with these names are replaced."""
     df = df.drop(*[c for c in df.columns if c.lower() in ("score", "predicted") and c != text_col])
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    (text,) = fresh(df, "text_")
-    names = plain_names(len(df.columns) + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shared.value)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+        for texts in batches:
             scores = [own.scores(texts.slice(start, n)) for start, n in slices(texts, PIECE)]
-            got = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=names)
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
-    shape = df.select("*", F.lit(0.5).alias("score")).schema
-    scored = map_arrow(df.select("*", col(text_col).cast("string").alias(text)), run, shape)
-    return scored.withColumn("predicted", (F.col("score") >= F.lit(threshold)).cast("int"))
+    return df.withColumn("score", scored(col(text_col).cast("string"))).withColumn("predicted", (F.col("score") >= F.lit(threshold)).cast("int"))
 
 
 def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df that the model accepts."""
-    (text,) = fresh(df, "own_")
     return score(df, model, text_col, threshold).where("predicted = 1").select(*map(col, df.columns))

@@ -27,7 +27,7 @@ NUM, DEN = 75, 100
 #: Longs of a paragraph's parity sketch, which discards pairs before they are verified.
 SKETCH_LONGS = 8
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
-PIECE = 1 << 22
+PIECE = 1 << 20
 # Fixed value: the multiplier whose powers make the hash functions.
 SPREAD = 0xDA942042E4DD58B5
 
