@@ -551,13 +551,13 @@ def ngram_classifier(t: Tables) -> DataFrame:
     return model.transform(features.transform(d)).select("doc_id", "label", "prediction")
 
 
-@query("suppress_overlaps", """
+@query("nms_prune", """
 with recursive s as (select l_orderkey, l_partkey % 30 as num, max(l_discount) as p from lineitem where l_discount >= 0.05 group by 1, 2), r as (select *, row_number() over (partition by l_orderkey order by p desc, num desc) as i from s),
 k as (select l_orderkey, i, [num] as kept, num, true as keep from r where i = 1
  union all select r.l_orderkey, r.i, case when len(list_filter(k.kept, lambda x: abs(x - r.num) <= 5)) > 0 then k.kept else list_append(k.kept, r.num) end, r.num, len(list_filter(k.kept, lambda x: abs(x - r.num) <= 5)) = 0 from k join r on r.l_orderkey = k.l_orderkey and r.i = k.i + 1)
 select l_orderkey, num from k where keep
 """)
-def suppress_overlaps(t: Tables) -> DataFrame:
+def nms_prune(t: Tables) -> DataFrame:
     s = t.lineitem.where("l_discount >= 0.05").groupBy("l_orderkey", (F.col("l_partkey") % 30).alias("num")).agg(F.max("l_discount").alias("p"))
     kept = s.groupBy("l_orderkey").agg(segment.suppress(F.collect_list(F.struct("p", "num"))).alias("k"))
     return kept.select("l_orderkey", F.explode("k").alias("k")).select("l_orderkey", "k.num")
@@ -575,3 +575,16 @@ def fact_table(t: Tables) -> DataFrame:
     s = segments(t).join(o, "l_orderkey").join(c, "o_custkey")
     sid = F.concat_ws("_", "l_orderkey", F.lpad(F.col("l_linenumber").cast("string"), 3, "0"))
     return s.select(sid.alias("segment_id"), F.col("l_orderkey").cast("string").alias("speech_id"), "date", "party", "state", "region", *[r6(F.col(k)).alias(k) for k in scores.TONES])
+
+
+@query("ols_interaction")
+def ols_interaction(t: Tables) -> DataFrame:
+    d = t.orders.select((F.col("o_totalprice") / 1000).alias("y"), (F.year("o_orderdate") - 1992).cast("double").alias("x"), F.col("o_orderstatus").alias("g"))
+    names, model = models.least_squares(d, "y ~ x + g + x:g")
+    return t.spark.createDataFrame([(n, float(c)) for n, c in zip(names, model.coefficients, strict=True)], "term string, estimate double")
+
+
+@query("query_expansion")
+def query_expansion(t: Tables) -> DataFrame:
+    w = t.documents.where("lang = 'en'").select(words(F.lower("text")).alias("w"))
+    return models.expand_query(w, "w", ["the", "of"], k=10, size=16)
