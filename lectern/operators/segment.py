@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,10 @@ def pack(lengths: Column, most: int = BLOCK_TOKENS) -> Column:
 
 
 def blocks(df: DataFrame, key: str, sents: Column, most: int = BLOCK_TOKENS) -> DataFrame:
-    """(key, block, n_tokens, text, id): sentences packed in order; no row leaves its partition."""
+    """(key, block, n_tokens, text): sentences packed in order; no row leaves its partition.
+
+    The fold copies its array at each sentence; for speeches of many thousand sentences use blocks_of_long().
+    """
     counted = df.select(key, F.filter(sents, lambda s: s != "").alias("sents"))
     packed = counted.select(key, "sents", F.transform("sents", token_count).alias("lens")).withColumn("of", pack(F.col("lens"), most))
     numbers = F.sequence(F.lit(0), F.greatest(F.array_max("of"), F.lit(0)))
@@ -53,6 +58,33 @@ def blocks(df: DataFrame, key: str, sents: Column, most: int = BLOCK_TOKENS) ->
     return rows.select(key, F.col("block").cast("long"), tokens.alias("n_tokens"), F.array_join(mine(F.col("sents")), " ").alias("text"))
 
 
+def blocks_of_long(df: DataFrame, key: str, sents: Column, most: int = BLOCK_TOKENS) -> DataFrame:
+    """The same as blocks(), in one pass over each speech however long, in Arrow batches."""
+    kind = df.select(key).schema[0].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        word = re.compile(r"[^ \t\n\x0b\f\r]+")
+        for b in batches:
+            out = []
+            for name, sents in zip(b[key], b["sents"], strict=True):
+                have, parts, block = 0, [], 0
+                for s in sents:
+                    n = len(word.findall(s))
+                    if parts and have + n > most:
+                        out.append((name, block, have, " ".join(parts)))
+                        have, parts, block = 0, [], block + 1
+                    have += n
+                    parts.append(s)
+                if parts:
+                    out.append((name, block, have, " ".join(parts)))
+            yield pd.DataFrame(out, columns=[key, "block", "n_tokens", "text"])
+
+    some = df.select(key, F.filter(sents, lambda s: s != "").alias("sents")).where("sents is not null")
+    return some.mapInPandas(run, f"{key} {kind}, block long, n_tokens long, text string")
+
+
 def contexts(sents: Column, hits: Column, reach: int = 3) -> Column:
     """For each sentence number in hits the sentences up to `reach` away, joined."""
     low = lambda i: F.greatest(i - reach, F.lit(0))

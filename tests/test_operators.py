@@ -1,7 +1,9 @@
 """Hand-made cases: ties, empty inputs, single elements, other alphabets."""
 
+import hashlib
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +36,20 @@ def test_pack(spark):
     df = spark.createDataFrame([(1, "a b\nc\n\nd e f"), (2, ""), (3, None)], "k int, t string")
     rows = segment.blocks(df, "k", F.split("t", "\n"), 3).orderBy("k", "block").collect()
     assert [(r.k, r.block, r.n_tokens, r.text) for r in rows] == [(1, 0, 3, "a b c"), (1, 1, 3, "d e f")]
+    assert segment.blocks_of_long(df, "k", F.split("t", "\n"), 3).orderBy("k", "block").collect() == rows
+    draw = random.Random(1)
+    many = [(k, "\n".join("x " * draw.randrange(0, 9) + "\ty" for _ in range(draw.randrange(1, 200)))) for k in range(30)]
+    df = spark.createDataFrame(many, "k int, t string")
+    assert segment.blocks_of_long(df, "k", F.split("t", "\n"), 20).exceptAll(segment.blocks(df, "k", F.split("t", "\n"), 20)).isEmpty()
+
+
+def test_numbering_goes_through_buckets(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("g"))
+    rows = labels.ranked(df, "id", 9, ["g"]).collect()
+    for g in range(3):
+        mine = sorted((r.rn, r.id) for r in rows if r.g == g)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1))
+        assert [i for _, i in mine] == sorted((i for _, i in mine), key=lambda i: hashlib.md5(f"{i}|9".encode()).hexdigest())
 
 
 @pytest.mark.parametrize(("given", "kept"), [({1: 0.9, 4: 0.95, 10: 0.6, 20: 0.7}, {4, 10, 20}), ({1: 0.8, 3: 0.8}, {3}), ({7: 0.5}, {7}), ({}, set())])
