@@ -244,9 +244,9 @@ def _most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         cut = row["level"]
     if cut is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    top = counted.where((F.col("freq") > 1) & (level >= cut)).toPandas()
-    keys = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    weights = np.clip(8 * np.log2(top["freq"].to_numpy(np.float64)), 1, 255).astype(np.uint8)
+    top = counted.where((F.col("freq") > 1) & (level >= cut)).toArrow()  # as columns: rows as objects are many times larger
+    keys = top["shingle"].to_numpy().view(np.uint64)
+    weights = np.clip(8 * np.log2(top["freq"].to_numpy().astype(np.float64)), 1, 255).astype(np.uint8)
     order = np.argsort(keys)
     return keys[order], weights[order]
 
@@ -272,10 +272,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     live = summary.where("n > 0 and id is not null")
     heavy = scratch.store(winners(live.select("id", "digest"), "id", "digest", SUPPORT).select("digest", "keep_id"))
-    alike = heavy.toPandas()
-    digests = alike["digest"].to_numpy(np.int64).view(np.uint64)
+    alike = heavy.toArrow()
+    digests = alike["digest"].to_numpy().view(np.uint64)
     order = np.argsort(digests)
-    settled = spark.sparkContext.broadcast((digests[order], alike["keep_id"].to_numpy(np.int64)[order]))
+    settled = spark.sparkContext.broadcast((digests[order], alike["keep_id"].to_numpy()[order]))
 
     tagged = live.join(F.broadcast(heavy), "digest", "left")
     light = tagged.where("keep_id is null").drop("keep_id")

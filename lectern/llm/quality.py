@@ -20,7 +20,7 @@ from lectern.llm.bytes_kit import BASE, INVERSE, buffers, mix64, powers, slices
 from lectern.llm.common import col
 
 #: Buckets of the hash, labelled rows that a fit reads at most, passes over them, and the share that is held out.
-BUCKET_BITS, FIT_ROWS, EPOCHS = 18, 6000, 4
+BUCKET_BITS, FIT_ROWS, EPOCHS = 18, 3000, 4
 #: Few rows are passed over more often, for about so many updates, up to MOST_EPOCHS.
 UPDATES, MOST_EPOCHS = 12_000, 50
 FOLDS, THRESHOLD = 5, 0.3
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     ready = chosen.select(F.xxhash64(col(id_col)), "text_", "label_").mapInArrow(run, "id long, label double, bucket array<int>, value array<float>")
     table = ready.toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    found = [(np.asarray(b.values, np.int64), v.values.to_numpy()) for b, v in zip(table["bucket"], table["value"], strict=True)]
+    found = [(b.values.to_numpy(), v.values.to_numpy()) for b, v in zip(table["bucket"], table["value"], strict=True)]
     return fit(found, table["label"].to_numpy())
 
 
