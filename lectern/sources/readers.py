@@ -87,7 +87,7 @@ def separated(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> D
 
 
 def logits(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
-    """Predictions by segment: the reference to the segment is a column, never a line's place."""
+    """Predictions by segment: the segment is named in a column, never by a line's place."""
     return separated(spark, path, "segment_id string, predicted int, " + ", ".join(f"{c} double" for c in classes))
 
 
