@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytes_kit import slices
+from lectern.llm.bytes_kit import release_memory, slices
 from lectern.llm.common import col, fresh, map_arrow, plain_names
 
 #: Bytes of text whose new words are merged together, and words and bytes of words a task remembers.
-PIECE, MOST_WORDS, MOST_BYTES = 1 << 21, 400_000, 64 << 20
+PIECE, MOST_WORDS, MOST_BYTES = 1 << 20, 250_000, 32 << 20
 #: From so many bytes of new words on, whole arrays are faster than single positions.
 MANY = 20_000
 
@@ -254,6 +254,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
                     done[1].append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<i4"))
                     done[2].append(hashlib.sha256(plain).hexdigest() if digests else plain)
             yield pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(done, kinds, strict=True)], fields=[pa.field(*k) for k in kinds])
+        release_memory()
 
     (all_,) = fresh(df, "encoded_")
     wide = df.select(*map(col, dict.fromkeys([*keep, text_col]))).withColumn(all_, encoded(col(text_col).cast("string")))

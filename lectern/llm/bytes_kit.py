@@ -6,6 +6,10 @@ buffer, then mixed; a shingle's is a combination of its words' hashes, mixed aga
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +46,26 @@ def order_within(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
     return order
 
 
+def release_memory() -> None:
+    """Give back what freed arrays still hold: Python workers outlive their tasks and share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries other than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """run, a function from batches to batches, with memory given back when a task has ended."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 _powers: dict[int, np.ndarray] = {}
 
 

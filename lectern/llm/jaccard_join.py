@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytes_kit import buffers, mix64, order_within, shingles, slices, words
+from lectern.llm.bytes_kit import buffers, mix64, order_within, shingles, slices, tidied, words
 from lectern.llm.common import Scratch, checkpoint, col
 from lectern.llm.exact_dedup import winners
 from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet, verified
@@ -126,7 +126,7 @@ def _summarise(size: int):
         nothing = pa.nulls(len(frequent.keys), pa.int64())
         yield pa.RecordBatch.from_arrays([nothing] * (3 + SKETCH_LONGS) + [pa.array(_signed(frequent.keys)), pa.array(frequent.counts), pa.nulls(len(frequent.keys), pa.binary())], schema=kinds)
 
-    return run, ", ".join(f"{c} long" for c in names) + ", wide binary"
+    return tidied(run), ", ".join(f"{c} long" for c in names) + ", wide binary"
 
 
 def _band(n: np.ndarray) -> np.ndarray:
@@ -198,7 +198,7 @@ def _emit_keys(size: int, frequent, settled):
                     text, key = _keys(flat, at, level, np.where(usable, most, -1), keys, weights)
                     yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(number[text])], schema=kinds)
 
-    return run, "key long, id long"
+    return tidied(run), "key long, id long"
 
 
 def _digest(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -218,7 +218,7 @@ def _packed(needed):
             some = batch.filter(pa.array(hit))
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([pack((t or "").encode()) for t in some.column(1).to_pylist()], pa.binary())], schema=kinds)
 
-    return run, "id long, blob binary"
+    return tidied(run), "id long, blob binary"
 
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
@@ -288,7 +288,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     run, schema = _emit_keys(size, frequent, settled)
     keyed = docs.mapInArrow(run, schema)
-    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET), release=True)
+    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidied(meet), MET), release=True)
 
     found = link_components(met, reps, _SKETCH, lambda pairs: _linked(pairs, docs, size, scratch), scratch, NUM, DEN, info.select("id", "rep").distinct())
     done = info.join(found.withColumnRenamed("id", "rep"), "rep", "left")

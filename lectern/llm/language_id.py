@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytes_kit import buffers, slices
+from lectern.llm.bytes_kit import buffers, release_memory, slices, tidied
 from lectern.llm.common import col, fresh
 
 #: Window length in bytes, filter widths, filters of each width, size of the embedding.
@@ -167,7 +167,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     some.append(own[spots].tobytes() if len(own) else b"")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(some, pa.binary())], schema=kinds)
 
-    table = found.mapInArrow(run, "h long, lang string, windows binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("windows", "ascending")])
+    table = found.mapInArrow(tidied(run), "h long, lang string, windows binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("windows", "ascending")])
     languages = sorted(set(table["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
     windows = [np.frombuffer(b, np.uint8).reshape(-1, WINDOW) for b in table["windows"].to_pylist()]
@@ -205,6 +205,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 score.append(np.minimum(1.0, sums.max(axis=1) / np.maximum(total, 1e-9)))
             said = [own.languages[b] if ok else "und" for b, ok in zip(np.concatenate(best), lettered, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(np.where(lettered, np.concatenate(score), 0.0))], fields=list(kinds))
+        release_memory()
 
     (both,) = fresh(df, "told_")
     guessed = df.withColumn(both, told(col(text_col).cast("string")))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytes_kit import mix64
+from lectern.llm.bytes_kit import mix64, tidied
 from lectern.llm.common import Scratch
 from lectern.llm.components import components
 
@@ -65,7 +65,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sets, num: int, den: int) -> Da
                 hit = pa.array(shared * den >= (sizes[:n] + sizes[n:] - shared) * num)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit)], schema=kinds)
 
-    return both.mapInArrow(run, "u long, v long").distinct()
+    return both.mapInArrow(tidied(run), "u long, v long").distinct()
 #: Rows of one key that are held back to compare whole groups; longer groups are passed on in pieces.
 HELD = 1 << 20
 
@@ -266,7 +266,7 @@ def link_components(
     for side in ("u", "v"):
         stars = stars.join(nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in told]).hint("merge"), side)
     stars = stars.select("u", "v", *[f"{side}_{c}" for side in ("u", "v") for c in told])
-    tried = scratch.store(stars.mapInArrow(_possible(len(sketch), num, den), "u long, v long").distinct())
+    tried = scratch.store(stars.mapInArrow(tidied(_possible(len(sketch), num, den)), "u long, v long").distinct())
     links = scratch.store(linked(tried), release=True)
     found = scratch.store(components(links))
 
@@ -287,7 +287,7 @@ def link_components(
         spread = apart.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
         order = ["bucket", "i", "j"]
         spread = spread.select("bucket", F.least("c", "o").cast("long").alias("i"), F.greatest("c", "o").cast("long").alias("j"), F.col("c").cast("long"), "id", "component", *told)
-        likely = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across(num, den, best), "u long, v long")
+        likely = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidied(_across(num, den, best)), "u long, v long")
         likely = scratch.store(likely.distinct())
         if likely.isEmpty():
             break

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytes_kit import BASE, INVERSE, buffers, mix64, powers, slices
+from lectern.llm.bytes_kit import BASE, INVERSE, buffers, mix64, powers, release_memory, slices, tidied
 from lectern.llm.common import col
 
 #: Buckets of the hash, labelled rows that a fit reads at most, passes over them, and the share that is held out.
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (bucket.astype(np.int32), value)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(2).slice(start, n), *lists], schema=kinds)
 
-    ready = chosen.select(F.xxhash64(col(id_col)), "text_", "label_").mapInArrow(run, "id long, label double, bucket array<int>, value array<float>")
+    ready = chosen.select(F.xxhash64(col(id_col)), "text_", "label_").mapInArrow(tidied(run), "id long, label double, bucket array<int>, value array<float>")
     table = ready.toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     found = [(b.values.to_numpy(), v.values.to_numpy()) for b, v in zip(table["bucket"], table["value"], strict=True)]
     return fit(found, table["label"].to_numpy())
@@ -158,6 +158,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
         for texts in batches:
             scores = [own.scores(texts.slice(start, n)) for start, n in slices(texts, PIECE)]
             yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
+        release_memory()
 
     return df.withColumn("score", scored(col(text_col).cast("string"))).withColumn("predicted", (F.col("score") >= F.lit(threshold)).cast("int"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytes_kit import buffers, mix64, order_within, powers, shingles, slices, words
+from lectern.llm.bytes_kit import buffers, mix64, order_within, powers, shingles, slices, tidied, words
 from lectern.llm.common import Scratch, checkpoint, col
 from lectern.llm.jaccard_join import distinct_shingles, sketches
 from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet, verified
@@ -91,7 +91,7 @@ def _listed(size: int, min_words: int):
                 rest = (found.number, found.start, found.n_chars, found.n_words, found.node, np.diff(found.at), *sketches(found.flat, found.at, SKETCH_LONGS).T)
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(x, np.int64)) for x in rest]], schema=kinds)
 
-    return run, ", ".join(f"{c} long" for c in kinds.names)
+    return tidied(run), ", ".join(f"{c} long" for c in kinds.names)
 
 
 def _keyed(size: int, min_words: int):
@@ -116,7 +116,7 @@ def _keyed(size: int, min_words: int):
                 keys = _bands(flat, at)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes, BANDS))], schema=kinds)
 
-    return run, "key long, id long"
+    return tidied(run), "key long, id long"
 
 
 def _packed(size: int, min_words: int, needed):
@@ -140,7 +140,7 @@ def _packed(size: int, min_words: int, needed):
                 blobs = [pack(raw[found.low[i] : found.high[i]].tobytes()) for i in where]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(blobs, pa.binary())], schema=kinds)
 
-    return run, "id long, blob binary"
+    return tidied(run), "id long, blob binary"
 
 
 def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -160,7 +160,7 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = scratch.store(listed.groupBy(F.col("node").alias("id")).agg(*[F.first(c).alias(c) for c in ("n", *_SKETCH)], F.min("id").alias("doc"), F.max("id").alias("last")))
     run, schema = _keyed(size, min_words)
     keyed = docs.mapInArrow(run, schema)
-    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, MET), release=True)
+    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidied(meet), MET), release=True)
 
     def linked(pairs: DataFrame) -> DataFrame:
         context = df.sparkSession.sparkContext
