@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import release_memory, slices
-from lectern.llm.common import col, fresh, map_arrow, plain_names
+from lectern.llm.common import bound_batches, col, fresh, map_arrow, plain_names
 
 #: Bytes of text whose new words are merged together, and words and bytes of words a task remembers.
 PIECE, MOST_WORDS, MOST_BYTES = 1 << 20, 250_000, 32 << 20
@@ -238,6 +238,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
     empty and has no ids. `path` names the vocabulary on every executor. Columns of df with the
     new names are replaced.
     """
+    bound_batches(df.sparkSession)
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     keep = [c for c in (df.columns if keep is None else keep) if c != text_col and c.lower() not in new]
     kinds = [("n_tokens", pa.int64()), *zip(new[1:], [pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()], strict=True)]

@@ -54,12 +54,25 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Bytes of an Arrow batch between Spark and Python: both sides hold some batches for each running task.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches to BATCH_BYTES; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(key) if c.isdigit()) or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def plain_names(n: int) -> list[str]:
     return [f"c{i}" for i in range(n)]
 
 
 def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """mapInArrow under plain_names(), in and out: PySpark looks the columns up by name, which fails for names with dots or back-ticks."""
+    bound_batches(df.sparkSession)
     plain = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain_names(len(schema)), schema.fields, strict=True)])
     return df.toDF(*plain_names(len(df.columns))).mapInArrow(run, plain).toDF(*schema.names)
 
@@ -90,6 +103,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         ensure_checkpoint_dir(spark)
+        bound_batches(spark)
         self.spark, self.made = spark, []
 
     def store(self, df: DataFrame, release: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import buffers, release_memory, slices, tidied
-from lectern.llm.common import col, fresh
+from lectern.llm.common import bound_batches, col, fresh
 
 #: Window length in bytes, filter widths, filters of each width, size of the embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
@@ -148,6 +148,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     The documents are those whose ids' hashes are smallest; their windows lie evenly over the text.
     Windows without letters are passed over. Without any document the model knows no language.
     """
+    bound_batches(df.sparkSession)
     usable = df.where(col(lang_col).isNotNull() & col(text_col).isNotNull() & col(id_col).isNotNull() & ~held_out(col(id_col)))
     picked = usable.select(F.xxhash64(col(id_col)).alias("h"), col(id_col).alias("i"), col(lang_col).cast("string").alias("lang"))
     picked = picked.orderBy("h", "i", "lang").limit(rows)
@@ -184,6 +185,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     name. Columns of df with these names are replaced.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("lang_pred", "score") and c != text_col])
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kinds = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 

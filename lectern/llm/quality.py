@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import BASE, INVERSE, buffers, mix64, powers, release_memory, slices, tidied
-from lectern.llm.common import col
+from lectern.llm.common import bound_batches, col
 
 #: Buckets of the hash, labelled rows that a fit reads at most, passes over them, and the share that is held out.
 BUCKET_BITS, FIT_ROWS, EPOCHS = 18, 3000, 4
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Null labels are passed over. Without any labelled document the score is 0.5 for all; with one
     label only, the model leans to it.
     """
+    bound_batches(docs.sparkSession)
     usable = labels.where(col(label_col).isNotNull() & ~held_out(col(id_col)) & col(id_col).isNotNull())
     some = usable.select(col(id_col), col(label_col).cast("double").alias("label_")).orderBy(F.xxhash64(col(id_col)), col(id_col), "label_").limit(rows)
     chosen = docs.select(col(id_col), col(text_col).cast("string").alias("text_")).join(F.broadcast(some), id_col)
@@ -150,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with score and predicted. Null and empty texts are scored by the bias alone; columns of df with these names are replaced."""
     df = df.drop(*[c for c in df.columns if c.lower() in ("score", "predicted") and c != text_col])
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     @F.arrow_udf("double")
