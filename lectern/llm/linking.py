@@ -191,25 +191,31 @@ def _possible(n_sketch: int, num: int, den: int):
 
 
 def _across(num: int, den: int, best: bool):
-    """Pairs of a group's rows in different components that may link; best: for each row only the likeliest with each component."""
-    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """(u, v, part): a group's pairs of rows in different components that may link.
+
+    best: where these are many more than the rows, only the likeliest of each row with each component; part says so.
+    """
+    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("part", pa.bool_())])
 
     def compare(sides, first, second, same):
+        rows = sides.rows
         for at in np.array_split(first, max(1, len(first) * len(second) >> 20)):
-            i, j = (x.reshape(-1) for x in np.meshgrid(at, second, indexing="ij"))
-            differ = sides.rows[i, 1] != sides.rows[j, 1]
+            m, n = rows[at, 2][:, None], rows[second, 2][None, :]
+            fits = (rows[at, 1][:, None] != rows[second, 1][None, :]) & (np.minimum(m, n) * den >= np.maximum(m, n) * num)
             if same:
-                differ &= sides.rows[i, 0] < sides.rows[j, 0]
-            i, j = i[differ], j[differ]
+                fits &= rows[at, 0][:, None] < rows[second, 0][None, :]
+            i, j = np.nonzero(fits)
+            i, j = at[i], second[j]
             good, far = sides.fit(i, j)
             i, j, far = i[good], j[good], far[good]
-            if best and len(i):
-                order = np.lexsort((sides.rows[j, 0], far, sides.rows[j, 1], i))
+            part = best and len(i) > 4 * (len(at) + len(second))
+            if part:
+                order = np.lexsort((rows[j, 0], far, rows[j, 1], i))
                 i, j = i[order], j[order]
-                head = np.concatenate([[True], (i[1:] != i[:-1]) | (sides.rows[j[1:], 1] != sides.rows[j[:-1], 1])])
+                head = np.concatenate([[True], (i[1:] != i[:-1]) | (rows[j[1:], 1] != rows[j[:-1], 1])])
                 i, j = i[head], j[head]
-            a, b = sides.rows[i, 0], sides.rows[j, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=kinds)
+            a, b = rows[i, 0], rows[j, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(i), part))], schema=kinds)
 
     def group(block, wide):
         rows, chunk, low, high = block[:, 4:], block[:, 3], block[0, 1], block[0, 2]
@@ -274,11 +280,8 @@ def link_components(
     if stand_ins is not None:
         groups = groups.join(stand_ins.hint("merge"), "id").select("bucket", F.col("rep").alias("id")).distinct()
         groups = scratch.store(groups)
-    # The likeliest links first: they join most components. What then is left is tried whole.
-    stuck = False
+    # One round tries all pairs, unless a group has many more of them than rows: then its likeliest pairs go first.
     for best in (True, True, False):
-        if best and stuck:
-            continue
         named = groups.join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
         apart = named.join(mixed.select("bucket", "m").hint("merge"), "bucket").join(nodes.hint("merge"), "id")
@@ -287,18 +290,16 @@ def link_components(
         spread = apart.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
         order = ["bucket", "i", "j"]
         spread = spread.select("bucket", F.least("c", "o").cast("long").alias("i"), F.greatest("c", "o").cast("long").alias("j"), F.col("c").cast("long"), "id", "component", *told)
-        likely = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidied(_across(num, den, best)), "u long, v long")
+        likely = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidied(_across(num, den, best)), "u long, v long, part boolean")
         likely = scratch.store(likely.distinct())
-        if likely.isEmpty():
+        more = not likely.where("part").isEmpty()
+        rest = scratch.store(likely.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
+        if not rest.isEmpty():
+            late = scratch.store(linked(rest), release=True)
+            tried = tried.unionByName(rest)
+            if not late.isEmpty():
+                links = links.unionByName(late)
+                found = scratch.store(components(links))
+        if not more:
             break
-        rest = scratch.store(likely.join(tried, ["u", "v"], "left_anti"))
-        if rest.isEmpty():  # the likeliest have been tried: there may be others
-            stuck = True
-            continue
-        late = scratch.store(linked(rest), release=True)
-        tried = tried.unionByName(rest)
-        stuck = late.isEmpty()
-        if not stuck:
-            links = links.unionByName(late)
-            found = scratch.store(components(links))
     return found
