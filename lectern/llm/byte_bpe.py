@@ -24,7 +24,7 @@ from lectern.llm.bytes_kit import release_memory, slices
 from lectern.llm.common import bound_batches, col, fresh, map_arrow, plain_names
 
 #: Bytes of text whose new words are merged together, and words and bytes of words a task remembers.
-PIECE, MOST_WORDS, MOST_BYTES = 1 << 20, 250_000, 32 << 20
+PIECE, MOST_WORDS, MOST_BYTES = 1 << 22, 300_000, 32 << 20
 #: From so many bytes of new words on, whole arrays are faster than single positions.
 MANY = 20_000
 
