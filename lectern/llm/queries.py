@@ -22,7 +22,7 @@ def vocabulary() -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_pieces(_table(spark, sf_dir, "documents"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Substring dedup: paragraphs that repeat across documents, by MinHash banding.
+"""Substring dedup: paragraphs and passages that repeat across documents, by MinHash banding.
 
 A paragraph is a line of at least MIN_WORDS words; its set holds its distinct runs of five words.
 BANDS bands of ROWS minima each let a pair of similarity 3/4 miss with probability
 (1 - 0.75 ** ROWS) ** BANDS, about 1 in 9,000. Equal paragraphs are one node. Paragraphs that share a band are
 verified on their whole sets (Jaccard similarity 3/4 or more), linked paragraphs form components,
 and of a component that spans documents the first occurrence stays.
+
+A passage is a run of PASSAGE words or more that documents share, whatever lines it lies in. All runs of PASSAGE
+words have the least of their shorter shingles for a key, so equal runs meet under one key; only runs whose key
+two documents have leave the scan, and what is equal there is joined to maximal spans.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import buffers, mix64, order_within, powers, shingles, slices, tidied, words
@@ -28,6 +32,8 @@ NUM, DEN = 75, 100
 SKETCH_LONGS = 8
 _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 PIECE = 1 << 20
+#: Words of a passage; the least shingle of half as many is its key.
+PASSAGE = 50
 # Fixed value: the multiplier whose powers make the hash functions.
 SPREAD = 0xDA942042E4DD58B5
 
@@ -195,3 +201,169 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = F.filter(F.split(col(text_col), "\n"), lambda line, i: ~F.array_contains("gone_", i.cast("long")))
     text = F.when(F.col("gone_").isNull(), col(text_col)).otherwise(F.array_join(left, "\n"))
     return df.join(lines, id_col, "left").withColumn(text_col, text).select(*map(col, df.columns))
+
+
+def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the run of size words at each place that has so many after it, texts' ends ignored."""
+    n = max(len(hashes) - size + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for i, m in enumerate(powers(0xD6E8FEB86659FD93, size + 1)[1:]):
+        out += hashes[i : i + n] * m
+    return mix64(out)
+
+
+class _Runs:
+    """The runs of `size` words of some texts: owner, first word, key and hash, in order."""
+
+    def __init__(self, texts: pa.Array, size: int, anchor: int):
+        self.data, self.ends = buffers(texts)
+        hashes, self.first, self.stop, self.words_at = words(self.data, self.ends)
+        grams = _rolled(hashes, size)
+        owner = np.searchsorted(self.words_at, np.arange(len(grams)), "right") - 1
+        self.word = np.flatnonzero(np.arange(len(grams)) + size <= self.words_at[owner + 1])
+        self.owner, self.gram = owner[self.word], grams[self.word]
+        least, width, span = _rolled(hashes, anchor), size - anchor + 1, 1
+        while span * 2 <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if len(grams) and span < width:
+            least = np.minimum(least[: len(grams)], least[width - span : width - span + len(grams)])
+        self.key = least[self.word].view(np.int64)
+        fresh = np.ones(len(self.word), bool)  # where a stretch of neighbours with one key begins
+        fresh[1:] = (self.key[1:] != self.key[:-1]) | (self.owner[1:] != self.owner[:-1])
+        self.heads = np.flatnonzero(fresh)
+
+
+def _run_keys(size: int, anchor: int):
+    kinds = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, n in slices(batch.column(1), PIECE):
+                found = _Runs(batch.column(1).slice(start, n), size, anchor)
+                ids = batch.column(0).slice(start, n).take(pa.array(found.owner[found.heads]))
+                yield pa.RecordBatch.from_arrays([pa.array(found.key[found.heads]), ids], schema=kinds)
+
+    return tidied(run), "key long, id long"
+
+
+def _stretches(size: int, anchor: int, needed):
+    """Neighbouring runs with one key that other documents may have: their hashes, and where each begins and ends."""
+    kinds = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("t", pa.int64()), ("word", pa.int64()), ("runs", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, n in slices(batch.column(1), PIECE):
+                found = _Runs(batch.column(1).slice(start, n), size, anchor)
+                stops = np.append(found.heads[1:], len(found.word))
+                hit = in_filter(needed.value, found.key[found.heads])
+                heads, stops = found.heads[hit], stops[hit]
+                owner, base = found.owner[heads], found.ends[:-1][found.owner]
+                breaks = np.flatnonzero(found.data == 10)
+                chars = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
+                low, high = found.first[found.word], found.stop[found.word + size - 1]
+                line = np.searchsorted(breaks, low) - np.searchsorted(breaks, base)
+                short = (found.gram >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                told = np.stack([short, chars[low] - chars[base], chars[high] - chars[base], line], axis=1).astype(np.int32)
+                blobs = [told[a:b].tobytes() for a, b in zip(heads, stops, strict=True)]
+                # Tells texts apart that share an id: their words are counted from each one's own beginning.
+                whole = np.array([int(found.gram[a:b].sum()) for a, b in zip(*(np.searchsorted(found.owner, np.arange(n), s) for s in ("left", "right")), strict=True)], np.uint64)
+                ids = batch.column(0).slice(start, n).take(pa.array(owner))
+                rest = (whole.view(np.int64)[owner], found.word[heads] - found.words_at[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(found.key[heads]), ids, *map(pa.array, rest), pa.array(blobs, pa.binary())], schema=kinds)
+
+    return tidied(run), "key long, id long, t long, word long, runs binary"
+
+
+_SPAN = ["id", "t", "low", "high", "start", "stop", "line"]
+_KEEP = ["keep_id", "keep_t", "keep_low", "keep_start", "keep_stop", "keep_line"]
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From stretches sorted by key, id, t and word: spans of neighbouring runs, each with its first occurrence, where that is another one."""
+    names = [*_SPAN, *_KEEP]
+
+    def whole(rows: pa.Table):
+        key, ids, t, word = (rows.column(c).to_numpy() for c in range(4))
+        blobs = rows.column(4).to_pylist()
+        told = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 4)
+        sizes = np.array([len(b) >> 4 for b in blobs], np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = word[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        gram = mix64(key.view(np.uint64)[row] ^ told[:, 0].view(np.uint32).astype(np.uint64))
+        order = np.argsort(gram, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))
+        counts = np.diff(np.append(heads, len(order)))
+        first, last = order[heads], order[heads + counts - 1]
+        keep, spread = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        keep[order] = np.repeat(first, counts)
+        spread[order] = np.repeat(ids[row[first]] != ids[row[last]], counts)
+        own = (ids[row] == ids[row[keep]]) & (t[row] == t[row[keep]]) & (place == place[keep])
+        at = np.flatnonzero(spread & ~own)
+        if not len(at):
+            return
+        on = (at[1:] == at[:-1] + 1) & (row[at[1:]] == row[at[:-1]]) & (keep[at[1:]] == keep[at[:-1]] + 1) & (row[keep[at[1:]]] == row[keep[at[:-1]]])
+        a, b = at[np.concatenate([[True], ~on])], at[np.concatenate([~on, [True]])]
+        ka, kb = keep[a], keep[b]
+        out = (ids[row[a]], t[row[a]], place[a], place[b] + 1, told[a, 1], told[b, 2], told[a, 3], ids[row[ka]], t[row[ka]], place[ka], told[ka, 1], told[kb, 2], told[ka, 3])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=names)
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        last = int(np.searchsorted(rows.column(0).to_numpy(), rows.column(0)[-1].as_py()))
+        if last:
+            yield from whole(rows.slice(0, last))
+        held = rows.slice(last)
+    if held is not None and held.num_rows:
+        yield from whole(held)
+
+
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PASSAGE) -> DataFrame:
+    """The columns of repeated_paragraphs() for the runs of `size` words or more that documents share, across and inside lines.
+
+    Words are equal, white space and the case of A-Z aside. A row is a maximal span of words whose runs of `size` words first
+    occur one after the other elsewhere (removed), or such a first occurrence: the smallest id, then place. Each
+    word of a run that documents share is in a row. para_no is the line that a span begins in; start and n_chars count code points from the
+    text's beginning; cluster names the first occurrence. Spans of one document may overlap where their first occurrences differ. Runs that
+    repeat within one document only, null and shorter texts and rows without id give nothing. Rows that repeat an id are one document.
+    """
+    anchor = size - size // 2
+    scratch = Scratch(df.sparkSession)
+    docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where("id is not null")
+    run, schema = _run_keys(size, anchor)
+    shared = scratch.store(docs.mapInArrow(run, schema).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key"))
+    # The filter passes a few more keys than needed, or, where very many are shared, all: rows more, but no others found.
+    needed = df.sparkSession.sparkContext.broadcast(id_filter(shared, "key"))
+    run, schema = _stretches(size, anchor, needed)
+    order = ["key", "id", "t", "word"]
+    spans = docs.mapInArrow(run, schema).repartition("key").sortWithinPartitions(*order).mapInArrow(tidied(_repeats), ", ".join(f"{c} long" for c in [*_SPAN, *_KEEP]))
+    spans = spans.withColumn("off", F.col("keep_low") - F.col("low"))
+    chain = ["id", "t", "keep_id", "keep_t", "off"]
+    along = Window.partitionBy(*chain).orderBy("low", "high")
+    begins = F.coalesce(F.col("low") > F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    island = F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    least = [F.min(c).alias(c) for c in ("low", "start", "line", "keep_low", "keep_start", "keep_line")]
+    joined = spans.withColumn("begins", begins).withColumn("island", island).groupBy(*chain, "island").agg(*least, *[F.max(c).alias(c) for c in ("high", "stop", "keep_stop")])
+    joined = scratch.store(joined.withColumn("n_words", F.col("high") - F.col("low") + size - 1), release=True)
+    kept = joined.select(*_KEEP, "n_words").distinct()
+    name = F.lower(F.hex(F.xxhash64("keep_id", "keep_t", "keep_low", "n_words")))
+
+    def rows(found: DataFrame, own: str, removed: bool) -> DataFrame:
+        return found.select(
+            F.col(f"{own}id").alias(id_col), F.col(f"{own}line").alias("para_no"), F.col(f"{own}start").alias("start"), (F.col(f"{own}stop") - F.col(f"{own}start")).alias("n_chars"),
+            "n_words", name.alias("cluster"), "keep_id", F.col("keep_line").alias("keep_para_no"), F.lit(removed).alias("removed"),
+        )
+
+    out = checkpoint(rows(joined, "", True).unionByName(rows(kept, "keep_", False)))
+    scratch.clear()
+    needed.unpersist()
+    return out
+
+
+def repeated_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Repeated paragraphs and passages, one after the other. Both may cover the same words."""
+    return repeated_paragraphs(df, id_col, text_col).unionByName(repeated_passages(df, id_col, text_col))
