@@ -364,6 +364,12 @@ def agg_collect_set(t: Tables) -> DataFrame:
     return ids.select("category", i64(F.size("ids")).alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
+@query("collect_set_all", f"select distinct category, doc_id from ({_LINE_TERMS})")
+def collect_set_all(t: Tables) -> DataFrame:
+    """The whole sets of agg_collect_set, of all documents, a row a member: no row grows with the table."""
+    return _matched_lines(t).select("category", "doc_id").distinct()
+
+
 @query("multi_membership", f"select m.category, d.lang, count(distinct m.doc_id) as n_docs, sum(d.n_chars) as n_chars from (select distinct doc_id, category from ({_LINE_TERMS})) m join documents d on d.doc_id = m.doc_id group by 1, 2".replace("sum(d.n_chars)", "cast(sum(d.n_chars) as bigint)"))
 def multi_membership(t: Tables) -> DataFrame:
     member = _matched_lines(t).select("doc_id", "category").distinct()
