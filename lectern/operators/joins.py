@@ -64,8 +64,9 @@ def one_edit_neighbours(words: DataFrame, word: str = "word", n: str = "n") -> D
     forms; no pair of the vocabulary is compared otherwise.
     """
     spots = F.sequence(F.lit(0), F.length(word))
-    forms = F.transform(spots, lambda i: F.concat(F.substr(F.col(word), F.lit(1), F.greatest(i - 1, F.lit(0))), F.substr(F.col(word), i + 1)))
-    some = words.select(word, n, F.explode(F.array_distinct(F.concat(F.array(F.col(word)), forms))).alias("form"))
+    # Forms meet by their hashes, so a long word's take no more room each than a short one's.
+    forms = F.transform(spots, lambda i: F.xxhash64(F.concat(F.substr(F.col(word), F.lit(1), F.greatest(i - 1, F.lit(0))), F.substr(F.col(word), i + 1))))
+    some = words.select(word, n, F.explode(F.array_distinct(F.concat(F.array(F.xxhash64(word)), forms))).alias("form"))
     left, right = some.select(word, "form"), some.select(F.col(word).alias("other"), F.col(n).alias("n_other"), "form")
     return left.join(right, "form").where(F.levenshtein(word, "other") == 1).select(word, "other", "n_other").distinct()
 

@@ -230,6 +230,15 @@ def ocr_neighbors(t: Tables) -> DataFrame:
     return found.withColumn("rank", i64(rank)).where("rank <= 10")
 
 
+@query("ocr_neighbors_all")
+def ocr_neighbors_all(t: Tables) -> DataFrame:
+    """ocr_neighbors over all tokens of all documents. No SQL: that compares each pair of the vocabulary."""
+    x = t.documents.select(F.explode(tokens_of()).alias("word"))
+    found = joins.one_edit_neighbours(x.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.col("n_other").desc(), "other"))
+    return found.withColumn("rank", i64(rank)).where("rank <= 10")
+
+
 @query("surname", r"""
 with a as (select s_suppkey, 'Ms. ' || ['José', 'Müller', 'O''Neil', 'Lee-Ann'][1 + s_suppkey % 4] || ' Peña.' || case when s_suppkey % 2 = 0 then ' of ' || s_name else '' end as x from supplier)
 select s_suppkey, upper(regexp_replace(list_filter(string_split_regex(string_split(translate(x, 'áàâäãéèêëíìîïóòôöõúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), ' of ')[1], '\s+'), lambda t: t <> '')[-1], '[!-/:-@\[-`{-~]', '', 'g')) as surname,

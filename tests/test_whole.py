@@ -1,5 +1,7 @@
 """Queries over whole tables, beside those whose SQL keeps a part."""
 
+from collections import Counter
+
 from lectern.plans import QUERIES
 
 
@@ -8,3 +10,20 @@ def test_collect_set_all_has_documents_of_all_ids(spark, sf_dir):
     assert {i % 7 for _, i in got} == set(range(7))
     part = {r.category: r.n for r in QUERIES["agg_collect_set"](spark, sf_dir).collect()}
     assert part == {c: sum(x == c and i % 7 == 0 for x, i in got) for c in part}
+
+
+def test_neighbours_are_found_among_long_accented_and_foreign_words(spark, tmp_path):
+    texts = ["immigration imm1gration chinese chinesé a b", "citizen citizens citzen été étés x" + "y" * 400, "a ab immigration", None, "x" + "y" * 399]
+    spark.createDataFrame([(i, x, "fr" if i % 2 else "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    count = Counter(w for x in texts if x for w in x.lower().split())
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        return a != b and (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1 or len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b))))
+
+    want = set()
+    for a in count:
+        order = sorted((b for b in count if near(a, b)), key=lambda b: (-count[b], b))
+        want |= {(a, b, count[b], i + 1) for i, b in enumerate(order[:10])}
+    got = {(r.word, r.other, r.n_other, r.rank) for r in QUERIES["ocr_neighbors_all"](spark, str(tmp_path)).collect()}
+    assert got == want and ("immigration", "imm1gration", 1, 1) in got and ("chinese", "chinesé", 1, 1) in got
