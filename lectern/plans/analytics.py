@@ -5,6 +5,8 @@ lineitem stands for segments with three logits, orders for speeches with dates,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from lectern.operators import counts, labels, models, segment, stats
 from lectern.plans.registry import Tables, i64, query, r6
 from lectern.vocab import CONFUSION, terms_table
 
+#: Queries of a top-k search that are broadcast at a time.
+QUERY_BLOCK = 4096
 
 
 def rows():
@@ -515,6 +519,19 @@ def cosine_top_k(t: Tables) -> DataFrame:
     return models.cosine_top_k(t.embeddings, q, "vec_id", "embedding", 10).select("query", "vec_id", i64(F.col("rank")).alias("rank"))
 
 
+@query("cosine_top_k_all", """
+with q as (select vec_id as query, embedding as qv from embeddings where vec_id % 20 = 0), s as (select query, vec_id, list_cosine_similarity(embedding::double[], qv::double[]) as sim from embeddings join q on vec_id <> query)
+select query, vec_id, rank from (select query, vec_id, row_number() over (partition by query order by sim desc, vec_id) as rank from s) where rank <= 10
+""")
+def cosine_top_k_all(t: Tables) -> DataFrame:
+    """cosine_top_k for every twentieth vector, in blocks of at most about QUERY_BLOCK queries, each of which is broadcast."""
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    parts = [models.cosine_top_k(t.embeddings, q.where(block == i), "vec_id", "embedding", 10) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts).select("query", "vec_id", i64(F.col("rank")).alias("rank"))
+
+
 @query("linear_shap", """
 with f as (select p_partkey as key, unnest(list_distinct(string_split(p_name, ' '))) as term from part), n as (select count(distinct key) as n from f), m as (select term, count(*) / max(n) as mx from f cross join n group by 1)
 select key, term, round((length(term) - 4) * (1 - mx), 6) as shap from f join m using (term)

@@ -157,6 +157,16 @@ def full_outer_diff(t: Tables) -> DataFrame:
     return a.join(b, "nationkey", "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, "nationkey", "left_anti").withColumn("side", F.lit("right")))
 
 
+@query("full_outer_diff_all", """
+select coalesce(c_nationkey, s_nationkey) as nationkey, case when s_nationkey is null then 'left' else 'right' end as side from (select distinct c_nationkey from customer where c_acctbal > 9000 and c_nationkey < 20) full join (select distinct s_nationkey from supplier where s_nationkey > 4) on c_nationkey = s_nationkey where c_nationkey is null or s_nationkey is null
+""")
+def full_outer_diff_all(t: Tables) -> DataFrame:
+    """full_outer_diff with customers chosen by their balance instead of their number."""
+    a = t.customer.where("c_acctbal > 9000 and c_nationkey < 20").select(F.col("c_nationkey").alias("nationkey")).distinct()
+    b = t.supplier.where("s_nationkey > 4").select(F.col("s_nationkey").alias("nationkey")).distinct()
+    return a.join(b, "nationkey", "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, "nationkey", "left_anti").withColumn("side", F.lit("right")))
+
+
 @query("left_semi", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def left_semi(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")

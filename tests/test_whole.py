@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from lectern.plans import QUERIES
+from lectern.plans import QUERIES, analytics
 
 
 def test_collect_set_all_has_documents_of_all_ids(spark, sf_dir):
@@ -27,3 +27,12 @@ def test_neighbours_are_found_among_long_accented_and_foreign_words(spark, tmp_p
         want |= {(a, b, count[b], i + 1) for i, b in enumerate(order[:10])}
     got = {(r.word, r.other, r.n_other, r.rank) for r in QUERIES["ocr_neighbors_all"](spark, str(tmp_path)).collect()}
     assert got == want and ("immigration", "imm1gration", 1, 1) in got and ("chinese", "chinesé", 1, 1) in got
+
+
+def test_cosine_top_k_all_asks_for_every_twentieth_vector_in_any_blocks(spark, sf_dir, monkeypatch):
+    rows = lambda: {(r.query, r.vec_id, r["rank"]) for r in QUERIES["cosine_top_k_all"](spark, sf_dir).collect()}
+    want = rows()
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+    assert {q for q, *_ in want} == {i for i in ids if i % 20 == 0} and len(want) == 10 * len({q for q, *_ in want})
+    monkeypatch.setattr(analytics, "QUERY_BLOCK", 4)
+    assert rows() == want
