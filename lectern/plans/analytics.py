@@ -545,7 +545,7 @@ def linear_shap(t: Tables) -> DataFrame:
 @query("permutation_test")
 def permutation_test(t: Tables) -> DataFrame:
     d = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", "quality", F.ln(F.col("n_chars") + 1).alias("v"))
-    return stats.permutation_test(d, "v", "quality", "doc_id", 1000)
+    return stats.permutation_test(d, "v", "quality", "doc_id")
 
 
 @query("logistic_by_group")

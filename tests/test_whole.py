@@ -36,3 +36,7 @@ def test_cosine_top_k_all_asks_for_every_twentieth_vector_in_any_blocks(spark, s
     assert {q for q, *_ in want} == {i for i in ids if i % 20 == 0} and len(want) == 10 * len({q for q, *_ in want})
     monkeypatch.setattr(analytics, "QUERY_BLOCK", 4)
     assert rows() == want
+
+
+def test_permutation_test_draws_all_replicates(spark, sf_dir):
+    assert QUERIES["permutation_test"](spark, sf_dir).first()["replicates"] == 20_000
