@@ -173,21 +173,22 @@ def format_chat(turns: DataFrame) -> DataFrame:
     Turns are ordered by turn (nulls last), then role and text. Null roles and texts count as empty.
     The segments' texts joined are `formatted`. The loss covers the texts of assistants, without
     role and markers. A conversation is one training example and one row: its turns meet in
-    one task; they are formatted before they do.
+    one task; they are formatted before they do. A conversation whose records all have an unknown layout, among them
+    those without messages, is a row with null formatted and segments.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    written = turns.where(F.col("layout") != "unknown").select(
+    written = turns.select(
         "conv_id",
-        F.struct(
+        F.when(F.col("layout") != "unknown", F.struct(
             F.col("turn").isNull().alias("o"), F.col("turn").alias("turn"), role.alias("role"), text.alias("raw"),
             F.concat(F.lit(START), _escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("text"),
-        ).alias("t"),
+        )).alias("t"),
     )
     together = written.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     mine = lambda t: t["role"] == "assistant"
     segments = F.flatten(F.transform("t", lambda t: F.array(part(t["head"], F.lit(False)), part(t["text"], mine(t)), part(F.lit(END), F.lit(False)))))
-    return together.select("conv_id", segments.alias("segments")).select(
+    return together.select("conv_id", F.when(F.size("t") > 0, segments).alias("segments")).select(
         "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments"
     )
 
