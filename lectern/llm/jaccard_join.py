@@ -12,9 +12,9 @@ passages are left out as long as anything rarer is there. The order needs no exa
 the most frequent shingles makes it. A set with too few non-empty blocks also meets by single shingles.
 
 Links. Sets that meet are first linked to the smallest of those they meet. A narrow sketch of
-1024 bits, for larger sets one that grows with them, discards pairs by its Hamming distance; the others are verified on whole sets. Only where
+1024 bits discards pairs by its Hamming distance; the others are verified on whole sets. Only where
 sets that met are still in different components are pairs between these components tried, the
-likeliest first. Thus the components are those of all links, though no group is expanded.
+likeliest first, larger sets by a sketch that grows with them too. Thus the components are those of all links, though no group is expanded.
 """
 
 from __future__ import annotations
@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from lectern.llm.bytes_kit import buffers, mix64, order_within, shingles, slices, tidied, words
 from lectern.llm.common import Scratch, checkpoint, col
 from lectern.llm.exact_dedup import winners
-from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet, verified
+from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet_by_members, sharper, verified
 
 SHINGLE = 5
 #: Similarity of at least NUM / DEN; the bounds in this module hold for 3 / 4 and above.
 NUM, DEN = 75, 100
 SKETCH_LONGS = 16
-#: Sets from this size on also have a sketch that grows with them.
-WIDE_FROM = 1024
+#: Sets from this size on also have a sketch that grows with them: 4 to 8 bits for each shingle, as the narrow one has at least for smaller sets.
+WIDE_FROM = 256
 #: The most frequent shingles that order the blocks: what is broadcast has at most so many rows.
 MOST_FREQUENT = 1 << 18
 #: Digests with more than this share of the rows are settled by a broadcast of 1/SUPPORT rows.
@@ -67,18 +67,23 @@ def _per_text(flat: np.ndarray, at: np.ndarray, reduce: np.ufunc, empty: int) ->
 
 
 def sketches(flat: np.ndarray, at: np.ndarray, longs: int) -> np.ndarray:
-    """Parity sketches of 64 * longs bits, a row of longs each."""
+    """Parity sketches of 64 * longs bits, a row of longs each; so many rows at a time that the bits' counts stay small."""
     n, bits = len(at) - 1, 64 * longs
-    owner = np.repeat(np.arange(n), np.diff(at))
-    flips = np.bincount(owner * bits + (flat % np.uint64(bits)).astype(np.int64), minlength=n * bits)
-    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(n, longs)
+    out = np.zeros((n, longs), np.int64)
+    step = max(1, (1 << 18) // bits)
+    for low in range(0, n, step):
+        high = min(n, low + step)
+        owner = np.repeat(np.arange(high - low), np.diff(at[low : high + 1]))
+        flips = np.bincount(owner * bits + (flat[at[low] : at[high]] % np.uint64(bits)).astype(np.int64), minlength=(high - low) * bits)
+        out[low:high] = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(high - low, longs)
+    return out
 
 
 def wide_sketches(flat: np.ndarray, at: np.ndarray) -> pa.Array:
-    """For sets that the narrow sketch is too small for: parity sketches of 2 ** (band + 1) bits."""
+    """For sets that the narrow sketch is too small for: parity sketches of 2 ** (band + 2) bits."""
     out: list[bytes | None] = [None] * (len(at) - 1)
     for i in np.flatnonzero(np.diff(at) >= WIDE_FROM):
-        bits = 2 << int(_band(np.array([at[i + 1] - at[i]]))[0])
+        bits = 4 << int(_band(np.array([at[i + 1] - at[i]]))[0])
         flips = np.bincount((flat[at[i] : at[i + 1]] % np.uint64(bits)).astype(np.int64), minlength=bits)
         out[i] = np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
     return pa.array(out, pa.binary())
@@ -266,7 +271,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     run, schema = _summarise(size)
     seen = scratch.store(docs.mapInArrow(run, schema))
-    summary = seen.where("n is not null").select("id", "n", "digest", *_SKETCH, "wide")
+    summary = seen.where("n is not null")
     counted = scratch.store(seen.where("shingle is not null").groupBy("shingle").agg(F.sum("freq").alias("freq")))
     frequent = spark.sparkContext.broadcast(_most_frequent(counted))
 
@@ -277,20 +282,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = np.argsort(digests)
     settled = spark.sparkContext.broadcast((digests[order], alike["keep_id"].to_numpy()[order]))
 
-    tagged = live.join(F.broadcast(heavy), "digest", "left")
+    tagged = live.select("id", "n", "digest").join(F.broadcast(heavy), "digest", "left")
     light = tagged.where("keep_id is null").drop("keep_id")
     classes = light.groupBy("digest").agg(F.min("id").alias("rep"))
-    columns = ["id", "rep", "n", *_SKETCH, "wide"]
+    columns = ["id", "rep", "n"]
     info = light.join(classes, "digest").select(columns).unionByName(tagged.where("keep_id is not null").withColumnRenamed("keep_id", "rep").select(columns))
     alone = summary.where("n = 0 or id is null").withColumn("rep", F.col("id")).select(columns)
     info = scratch.store(info.unionByName(alone))
-    reps = info.where("id = rep").drop("rep")
+    nodes = live.join(F.broadcast(heavy), "digest", "left").where("keep_id is null or keep_id = id").select("id", "n", *_SKETCH)
 
     run, schema = _emit_keys(size, frequent, settled)
     keyed = docs.mapInArrow(run, schema)
-    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidied(meet), MET), release=True)
+    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidied(meet_by_members), MET), release=True)
 
-    found = link_components(met, reps, _SKETCH, lambda pairs: _linked(pairs, docs, size, scratch), scratch, NUM, DEN, info.select("id", "rep").distinct())
+    found = link_components(
+        met, nodes, _SKETCH, lambda pairs: _linked(pairs, docs, size, scratch), scratch, NUM, DEN,
+        info.select("id", "rep").distinct(), lambda pairs: sharper(pairs, live.select("id", "n", "wide"), scratch, NUM, DEN),
+    )
     done = info.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = checkpoint(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
     scratch.clear()

@@ -3,6 +3,9 @@
 The rows of a key meet its smallest member only; pairs that link make first components. Then, only
 where members of one key are still in different components, the pairs between these are tried. Every pair
 that shares a key and links is thus within one component.
+
+Groups with the same members count once. In a group only rows outside its largest component are compared, with
+all others of a size that allows a link, by their parity sketches; what is left of them is tried against a sharper sketch, then verified.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import mix64, tidied
@@ -70,7 +74,12 @@ def verified(pairs: DataFrame, texts: DataFrame, sets, num: int, den: int) -> Da
 HELD = 1 << 20
 
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def meet_by_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """meet() with groups named by their members, so that those with the same members are one; one that is too large to be held, by its key."""
+    return meet(batches, by_members=True)
+
+
+def meet(batches: Iterator[pa.RecordBatch], by_members: bool = False) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key and id: (a, b, false), b met a, the smallest of its group; (key, b, true): b is in a group of three or more."""
     seen: set[int] = set()
     held_key, held_id, open_key, open_first = np.zeros(0, np.int64), np.zeros(0, np.int64), None, None
@@ -85,7 +94,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = first != ids
         pairs = np.unique(np.stack([first[other], ids[other]], axis=1), axis=0)
         yield rows(pairs[:, 0].copy(), pairs[:, 1].copy(), False)
-        members = np.add.reduceat(mix64(ids.view(np.uint64)), heads) + sizes.astype(np.uint64)
+        members = mix64(np.add.reduceat(mix64(ids.view(np.uint64)), heads) + sizes.astype(np.uint64)).view(np.int64)
         new = np.zeros(len(heads), bool)
         for g in np.flatnonzero(sizes >= 3):
             if int(members[g]) not in seen:
@@ -94,7 +103,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > 1 << 20:
             seen.clear()
         pick = np.repeat(new, sizes)
-        yield rows(key[pick], ids[pick], True)
+        yield rows((np.repeat(members, sizes) if by_members else key)[pick], ids[pick], True)
 
     for batch in batches:
         key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -126,126 +135,164 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from whole(held_key, held_id)
 
 
-#: Rows of one key that are compared in one task; longer groups are cut into chunks, each pair of chunks a task's work.
+#: Rows of one key's largest component that are compared in one task; larger groups are cut into chunks, to each of which the group's other rows go.
 CHUNK = 1 << 12
+#: Rows that are compared at a time, and pairs of them.
+BLOCK, PAIRS = 1 << 15, 1 << 18
+
 
+def _differ(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows a[i], b[j] that differ in at most so many bits, and in how many; most pairs are given up early."""
+    at, bits = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k in range(0, a.shape[1], 4):
+        apart = a[i[at], k : k + 4] ^ b[j[at], k : k + 4]
+        bits = bits + np.bitwise_count(apart.view(np.uint64)).sum(axis=1, dtype=np.int64)
+        fits = bits <= most[at]
+        at, bits = at[fits], bits[fits]
+    return at, bits
 
-class Sides:
-    """Rows (id, component, n, sketch...) to compare, with the wide sketches that larger sets have."""
-
-    def __init__(self, rows: np.ndarray, wide: list[bytes | None], num: int, den: int):
-        self.rows, self.num, self.den = rows, num, den
-        self.size = np.array([0 if w is None else len(w) for w in wide], np.int64)
-        self.wide = [None if w is None else np.frombuffer(w, np.uint64) for w in wide]
-        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _at(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Wide sketches of one size, those of twice that size folded to it, and each row's place among them."""
-        if size not in self.folded:
-            place = np.full(len(self.rows), -1, np.int64)
-            own = [w if len(w) * 8 == size else w[: size // 8] ^ w[size // 8 :] for w in (self.wide[i] for i in self._fit(size))]
-            place[self._fit(size)] = np.arange(len(own))
-            self.folded[size] = (np.stack(own) if own else np.zeros((0, size // 8), np.uint64), place)
-        return self.folded[size]
-
-    def _fit(self, size: int) -> np.ndarray:
-        return np.flatnonzero((self.size == size) | (self.size == 2 * size))
-
-    def fit(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether sizes and sketches allow rows i and j to link, and their sketches' distance by the sizes.
-
-        Sets of sizes m and n with similarity num / den differ in at most (den - num)(m + n) / (den + num)
-        elements, their parity sketches in at most as many bits.
-        """
-        both = self.rows[i, 2] + self.rows[j, 2]
-        low, high = np.minimum(self.rows[i, 2], self.rows[j, 2]), np.maximum(self.rows[i, 2], self.rows[j, 2])
-        bits = np.zeros(len(i), np.int64)
-        for k in range(3, self.rows.shape[1]):
-            bits += np.bitwise_count((self.rows[i, k] ^ self.rows[j, k]).view(np.uint64))
-        good = (low * self.den >= high * self.num) & (bits * (self.den + self.num) <= both * (self.den - self.num))
-        size = np.minimum(self.size[i], self.size[j])
-        for s in np.unique(size[good]):
-            if s > 0:
-                sketches, place = self._at(int(s))
-                for at in np.array_split(some := np.flatnonzero(good & (size == s)), max(1, len(some) * int(s) >> 24)):
-                    bits[at] = np.bitwise_count(sketches[place[i[at]]] ^ sketches[place[j[at]]]).sum(axis=1)
-        return good & (bits * (self.den + self.num) <= both * (self.den - self.num)), bits / np.maximum(both, 1)
+
+def _most(both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Sets of sizes m and n with similarity num / den differ in at most (den - num)(m + n) / (den + num) elements, their parity sketches in at most as many bits."""
+    return both * (den - num) // (den + num)
 
 
 def _possible(n_sketch: int, num: int, den: int):
-    """Of pairs (u, v) with both sides' (n, sketch..., wide) those that may link."""
+    """Of pairs (u, v) with both sides' (n, sketch...) those that may link."""
+    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            m, n = columns[:, 2], columns[:, 3 + n_sketch]
+            columns = columns[np.minimum(m, n) * den >= np.maximum(m, n) * num]
+            both = columns[:, 2] + columns[:, 3 + n_sketch]
+            every = np.arange(len(columns))
+            at, _ = _differ(columns[:, 3 : 3 + n_sketch], every, columns[:, 4 + n_sketch :], every, _most(both, num, den))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[at, c].copy()) for c in (0, 1)], schema=kinds)
+
+    return run
+
+
+def _sharper(num: int, den: int):
+    """Of pairs (u, v) with both sides' (n, wide) those that may link: a wide sketch of twice the size is folded to the other's."""
     kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def longs(found: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
+        return np.frombuffer(b"".join(found.take(pa.array(at)).to_pylist()), np.int64).reshape(len(at), size // 8)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, zero = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.zeros(batch.num_rows, np.int64)
-            sides, wide = [], []
-            for low in (2, 4 + n_sketch):
-                sides.append(np.stack([zero, zero, *[batch.column(low + k).to_numpy() for k in range(1 + n_sketch)]], axis=1))
-                wide += batch.column(low + 1 + n_sketch).to_pylist()
-            n = batch.num_rows
-            good, _ = Sides(np.concatenate(sides), wide, num, den).fit(np.arange(n), np.arange(n, 2 * n))
-            yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], schema=kinds)
+            m, n = (batch.column(c).fill_null(0).to_numpy() for c in (2, 4))
+            sizes = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy() for c in (3, 5)]
+            low, high = np.minimum(*sizes), np.maximum(*sizes)
+            good = (low == 0) | ((high != low) & (high != 2 * low))
+            for p, q in {(int(p), int(q)) for p, q in zip(*(s[~good] for s in sizes), strict=True)}:
+                some = np.flatnonzero((sizes[0] == p) & (sizes[1] == q))
+                for at in np.array_split(some, max(1, len(some) * (p + q) >> 24)):
+                    x, y = longs(batch.column(3), at, p), longs(batch.column(5), at, q)
+                    x, y = (w if w.shape[1] * 8 == min(p, q) else w[:, : w.shape[1] // 2] ^ w[:, w.shape[1] // 2 :] for w in (x, y))
+                    every = np.arange(len(at))
+                    good[at[_differ(x, every, y, every, _most(m[at] + n[at], num, den))[0]]] = True
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], schema=kinds)
 
     return run
 
 
+def sharper(pairs: DataFrame, nodes: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) that may link by the wide sketches of nodes (id, n, wide or null), of which only those that are needed leave the scan."""
+    needed = pairs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("u", "v")).alias("id")), "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(needed.value, batch.column(0).to_numpy())))
+
+    some = scratch.store(nodes.mapInArrow(tidied(run), "id long, n long, wide binary"))
+    for side in ("u", "v"):
+        pairs = pairs.join(some.withColumnsRenamed({"id": side, "n": f"n_{side}", "wide": f"w_{side}"}).hint("merge"), side)
+    return scratch.store(pairs.select("u", "v", "n_u", "w_u", "n_v", "w_v").mapInArrow(tidied(_sharper(num, den)), "u long, v long").distinct())
+
+
 def _across(num: int, den: int, best: bool):
-    """(u, v, part): a group's pairs of rows in different components that may link.
+    """(u, v, part): pairs of rows in different components of a group that may link.
 
-    best: where these are many more than the rows, only the likeliest of each row with each component; part says so.
+    From rows (bucket, i, j, side, id, component, n, sketch...), sorted by bucket, i and j, which name a piece of a group. Side 0: of the group's largest
+    component; of the others 1 meet all of the piece, 2 only those of side 3. best: where a row has many likely partners in a component, the likeliest
+    one only; part says so.
     """
     kinds = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("part", pa.bool_())])
 
-    def compare(sides, first, second, same):
-        rows = sides.rows
-        for at in np.array_split(first, max(1, len(first) * len(second) >> 20)):
-            m, n = rows[at, 2][:, None], rows[second, 2][None, :]
-            fits = (rows[at, 1][:, None] != rows[second, 1][None, :]) & (np.minimum(m, n) * den >= np.maximum(m, n) * num)
-            if same:
-                fits &= rows[at, 0][:, None] < rows[second, 0][None, :]
-            i, j = np.nonzero(fits)
-            i, j = at[i], second[j]
-            good, far = sides.fit(i, j)
-            i, j, far = i[good], j[good], far[good]
-            part = best and len(i) > 4 * (len(at) + len(second))
-            if part:
-                order = np.lexsort((rows[j, 0], far, rows[j, 1], i))
+    def compare(block):
+        new = np.concatenate([[True], (block[1:, :3] != block[:-1, :3]).any(axis=1)])
+        piece = np.cumsum(new) - 1
+        order = np.lexsort((block[:, 6], piece))
+        block, piece = block[order], piece[order]
+        side, ids, component, n = (block[:, k].copy() for k in (3, 4, 5, 6))
+        sketch = block[:, 7:]
+        # A row's partners are those of its piece whose size is near its own: a range of the order.
+        place = (piece << 40) | n
+        low = np.searchsorted(place, (piece << 40) | -(-n * num // den))
+        high = np.searchsorted(place, (piece << 40) | (n * den // num), "right")
+        first = np.flatnonzero((side == 1) | (side == 2))
+        ends = np.cumsum(high[first] - low[first])
+        starts = 0
+        while starts < len(first):
+            stop = max(starts + 1, int(np.searchsorted(ends, (ends[starts - 1] if starts else 0) + PAIRS, "right")))
+            some = first[starts:stop]
+            width = high[some] - low[some]
+            i = np.repeat(some, width)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low[some], width)
+            starts = stop
+            fits = (component[i] != component[j]) & ((side[j] == 0) | (side[j] == 3) | ((side[j] == 1) & (ids[i] < ids[j])))
+            fits &= np.where(side[i] == 2, side[j] == 3, side[j] != 3)
+            i, j = i[fits], j[fits]
+            both = n[i] + n[j]
+            at, bits = _differ(sketch, i, sketch, j, _most(both, num, den))
+            i, j, far = i[at], j[at], bits / np.maximum(both[at], 1)
+            part = np.zeros(len(i), bool)
+            if best and len(i):
+                order = np.lexsort((ids[j], far, component[j], i))
                 i, j = i[order], j[order]
-                head = np.concatenate([[True], (i[1:] != i[:-1]) | (rows[j[1:], 1] != rows[j[:-1], 1])])
-                i, j = i[head], j[head]
-            a, b = rows[i, 0], rows[j, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(i), part))], schema=kinds)
-
-    def group(block, wide):
-        rows, chunk, low, high = block[:, 4:], block[:, 3], block[0, 1], block[0, 2]
-        names, counts = np.unique(rows[:, 1], return_counts=True)
-        if len(names) < 2:
-            return
-        sides, every = Sides(rows, wide, num, den), np.arange(len(rows))
-        if low == high:  # rows outside the largest component against it, and against each other
-            inside = rows[:, 1] == names[counts.argmax()]
-            yield from compare(sides, every[~inside], every[inside], False)
-            yield from compare(sides, every[~inside], every[~inside], True)
-        else:
-            yield from compare(sides, every[chunk == low], every[chunk == high], False)
+                head = np.concatenate([[True], (i[1:] != i[:-1]) | (component[j[1:]] != component[j[:-1]])])
+                heads = np.flatnonzero(head)
+                many = np.diff(np.append(heads, len(i))) > FEW
+                keep = head | ~np.repeat(many, np.diff(np.append(heads, len(i))))
+                part = np.repeat(many, np.diff(np.append(heads, len(i))))[keep]
+                i, j = i[keep], j[keep]
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            yield np.stack([a, b, part.astype(np.int64)], axis=1)
+
+    def told(found):
+        rows = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(rows[:, 2] > 0)], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_wide = None, []
+        held, waiting, found = [], 0, []
         for batch in batches:
-            block = np.stack([c.to_numpy() for c in batch.columns[:-1]], axis=1)
-            wide = held_wide + batch.column(batch.num_columns - 1).to_pylist()
-            block = block if held is None else np.concatenate([held, block])
-            edges = [0, *(np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1).tolist()]
-            for a, b in zip(edges, edges[1:]):
-                yield from group(block[a:b], wide[a:b])
-            held, held_wide = block[edges[-1] :], wide[edges[-1] :]
-        if held is not None and len(held):
-            yield from group(held, held_wide)
+            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            waiting += batch.num_rows
+            if waiting < BLOCK:
+                continue
+            block = np.concatenate(held)
+            edges = np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1))
+            last = int(edges[-1]) + 1 if len(edges) else 0
+            if last:
+                found += compare(block[:last])
+            held, waiting = [block[last:]], len(block) - last
+            if sum(map(len, found)) > PAIRS:
+                yield told(found)
+                found = []
+        if waiting:
+            found += compare(np.concatenate(held))
+        yield told(found)
 
     return run
 
 
+#: A row tries so many partners of one component at once.
+FEW = 2
+
+
 def link_components(
     met: DataFrame,
     nodes: DataFrame,
@@ -255,11 +302,12 @@ def link_components(
     num: int,
     den: int,
     stand_ins: DataFrame | None = None,
+    sharper: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(id, component) for the nodes that link.
 
-    met: what meet() gives. nodes: (id, n, parity sketch in longs, wide: a larger one, or null). linked(pairs (u, v)) gives those that link.
-    stand_ins: (id, rep), the node that an id stands for.
+    met: what meet() gives. nodes: (id, n, parity sketch in longs). linked(pairs (u, v)) gives those that link.
+    stand_ins: (id, rep), the node that an id stands for. sharper(pairs): those that may link by a larger sketch.
 
     What is joined grows with the input, so joins are sort-merge joins at every size.
     """
@@ -268,38 +316,60 @@ def link_components(
         for side in ("a", "b"):
             stars = stars.join(stand_ins.withColumnsRenamed({"id": side, "rep": f"r{side}"}).hint("merge"), side).drop(side).withColumnRenamed(f"r{side}", side)
     stars = stars.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    told = ["n", *sketch, "wide"]
+    told = ["n", *sketch]
     for side in ("u", "v"):
         stars = stars.join(nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in told]).hint("merge"), side)
     stars = stars.select("u", "v", *[f"{side}_{c}" for side in ("u", "v") for c in told])
     tried = scratch.store(stars.mapInArrow(tidied(_possible(len(sketch), num, den)), "u long, v long").distinct())
-    links = scratch.store(linked(tried), release=True)
+    passed = sharper or (lambda pairs: pairs)
+    links = scratch.store(linked(passed(tried)), release=True)
     found = scratch.store(components(links))
 
     groups = met.where("big").select(F.col("a").alias("bucket"), F.col("b").alias("id"))
     if stand_ins is not None:
-        groups = groups.join(stand_ins.hint("merge"), "id").select("bucket", F.col("rep").alias("id")).distinct()
+        groups = groups.join(stand_ins.hint("merge"), "id").select("bucket", F.col("rep").alias("id"))
+    groups = groups.distinct()
+    # The first round tries the likeliest pairs, the second, where a row had several likely partners in a component and still isn't in it, all.
+    for best in (True, False):
+        groups = groups.join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         groups = scratch.store(groups)
-    # One round tries all pairs, unless a group has many more of them than rows: then its likeliest pairs go first.
-    for best in (True, True, False):
-        named = groups.join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
-        apart = named.join(mixed.select("bucket", "m").hint("merge"), "bucket").join(nodes.hint("merge"), "id")
-        chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-        own = F.pmod(F.xxhash64("id"), chunks).cast("int")
-        spread = apart.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        sizes = groups.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("most"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("m")).where("k > 1")
+        mixed = mixed.select("bucket", F.col("most.component").alias("largest"), F.col("most.m").alias("inside"), (F.col("m") - F.col("most.m")).alias("outside"))
+        apart = groups.join(mixed.hint("merge"), "bucket")
+        spread = apart.select("bucket", "id", "component", F.explode(_pieces()).alias("p")).select("bucket", "p.*", "id", "component")
+        spread = spread.join(nodes.select("id", *told).hint("merge"), "id").select("bucket", "i", "j", "side", "id", "component", *told)
         order = ["bucket", "i", "j"]
-        spread = spread.select("bucket", F.least("c", "o").cast("long").alias("i"), F.greatest("c", "o").cast("long").alias("j"), F.col("c").cast("long"), "id", "component", *told)
         likely = spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidied(_across(num, den, best)), "u long, v long, part boolean")
-        likely = scratch.store(likely.distinct())
+        likely = scratch.store(likely.groupBy("u", "v").agg(F.max("part").alias("part")))
         more = not likely.where("part").isEmpty()
-        rest = scratch.store(likely.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
+        rest = scratch.store(likely.select("u", "v").join(tried.hint("merge"), ["u", "v"], "left_anti"))
         if not rest.isEmpty():
-            late = scratch.store(linked(rest), release=True)
+            late = scratch.store(linked(passed(rest)), release=True)
             tried = tried.unionByName(rest)
             if not late.isEmpty():
                 links = links.unionByName(late)
                 found = scratch.store(components(links))
         if not more:
             break
+        groups = groups.join(mixed.select("bucket").hint("merge"), "bucket", "left_semi").select("bucket", "id")
     return found
+
+
+def _pieces() -> Column:
+    """The pieces (i, j, side) of its group that a row goes to: rows of the largest component to one chunk of these, others to all chunks and to pairs of chunks of the others."""
+    chunks, others = (F.greatest(F.lit(1), F.ceil(F.col(c) / CHUNK)).cast("long") for c in ("inside", "outside"))
+    own = F.xxhash64("id")
+    mine = F.pmod(own, others)
+    piece = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("long").alias("side"))
+    inside = F.array(piece(F.pmod(own, chunks), F.lit(-1), F.lit(0)))
+    # In a group that is cut, rows outside are of side 2 where they meet the largest component, which is of side 3 there.
+    cut = (chunks > 1) | (others > 1)
+    inside = F.when(cut, F.array(piece(F.pmod(own, chunks), F.lit(-1), F.lit(3)))).otherwise(inside)
+    each = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: piece(c, F.lit(-1), F.lit(2)))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), others - 1),
+        lambda o: piece(F.least(o, mine), F.greatest(o, mine), F.when(o == mine, 1).otherwise(F.when(mine < o, 2).otherwise(3))),
+    )
+    outside = F.when(cut, F.concat(each, pairs)).otherwise(F.array(piece(F.lit(0), F.lit(-1), F.lit(1))))
+    return F.when(F.col("component") == F.col("largest"), inside).otherwise(outside)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lectern.llm.bytes_kit import buffers, mix64, order_within, powers, shingles, slices, tidied, words
 from lectern.llm.common import Scratch, checkpoint, col
 from lectern.llm.jaccard_join import distinct_shingles, sketches
-from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet, verified
+from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet_by_members, verified
 
 SHINGLE, MIN_WORDS = 5, 40
 BANDS, ROWS = 24, 4
@@ -166,7 +166,7 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = scratch.store(listed.groupBy(F.col("node").alias("id")).agg(*[F.first(c).alias(c) for c in ("n", *_SKETCH)], F.min("id").alias("doc"), F.max("id").alias("last")))
     run, schema = _keyed(size, min_words)
     keyed = docs.mapInArrow(run, schema)
-    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidied(meet), MET), release=True)
+    met = scratch.store(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidied(meet_by_members), MET), release=True)
 
     def linked(pairs: DataFrame) -> DataFrame:
         context = df.sparkSession.sparkContext
@@ -175,7 +175,7 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         texts = scratch.store(docs.mapInArrow(run, schema).groupBy("id").agg(F.first("blob").alias("blob")))
         return verified(pairs, texts, lambda some: distinct_shingles(some, size), NUM, DEN)
 
-    found = link_components(met, nodes.select("id", "n", *_SKETCH, F.lit(None).cast("binary").alias("wide")), _SKETCH, linked, scratch, NUM, DEN)
+    found = link_components(met, nodes.select("id", "n", *_SKETCH), _SKETCH, linked, scratch, NUM, DEN)
     named = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = named.groupBy("component").agg(F.min("doc").alias("doc"), F.max("last").alias("last")).where("doc < last").select("component")
     member = named.join(spread, "component", "left_semi").select(F.col("id").alias("node"), "component")

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute_force import LOWER, brute_components, shingle_set, split_words
+from pyspark.sql import functions as F
 
 from lectern.llm import bytes_kit, components, jaccard_join, linking, substring_dedup
 
@@ -69,6 +70,48 @@ def test_long_groups_are_passed_on_in_pieces(monkeypatch):
     assert members == {(2, i) for i in range(40)} | {(3, 7), (3, 8), (3, 9)}
 
 
+def test_groups_of_the_same_members_are_one():
+    key, ids = np.repeat([1, 2, 3], [3, 3, 4]), np.array([4, 5, 6, 4, 5, 6, 4, 5, 6, 7])
+    found = [r for b in linking.meet_by_members(iter([pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], names=["key", "id"])])) for r in b.to_pylist()]
+    groups: dict[int, set[int]] = {}
+    for r in found:
+        if r["big"]:
+            groups.setdefault(r["a"], set()).add(r["b"])
+    assert sorted(map(sorted, groups.values())) == [[4, 5, 6], [4, 5, 6, 7]]
+
+
+def _cut_groups(spark, monkeypatch, chunk):
+    """The pairs that are compared across the components of one group, by the pieces that its rows go to."""
+    monkeypatch.setattr(linking, "CHUNK", chunk)
+    rows = [(1, i, 0 if i < 23 else i, 0, 23, 9) for i in range(32)]
+    df = spark.createDataFrame(rows, "bucket long, id long, component long, largest long, inside long, outside long")
+    spread = df.select("bucket", "id", "component", F.explode(linking._pieces()).alias("p")).select("bucket", "p.*", "id", "component", F.lit(40).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
+    out = spread.orderBy("bucket", "i", "j").coalesce(1).mapInArrow(linking._across(75, 100, False), "u long, v long, part boolean").collect()
+    return sorted((r.u, r.v) for r in out)
+
+
+def test_a_group_in_pieces_compares_each_pair_across_components_once(spark, monkeypatch):
+    want = sorted((i, j) for j in range(23, 32) for i in range(j))
+    assert _cut_groups(spark, monkeypatch, 100) == want
+    assert _cut_groups(spark, monkeypatch, 4) == want
+
+
+def test_sharper_sketches_lose_no_link():
+    draw = np.random.default_rng(8)
+    pool = draw.integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    sets = [np.unique(pool[low : low + n]) for low, n in ((0, 600), (70, 600), (90, 500), (300, 600), (0, 1030), (60, 1010), (10, 900), (9000, 9000), (9900, 9000), (11_900, 9000))]
+    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    wide = jaccard_join.wide_sketches(flat, at)
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if min(len(sets[i]), len(sets[j])) * 4 >= 3 * max(len(sets[i]), len(sets[j]))]
+    u, v = (pa.array([p[k] for p in pairs]) for k in (0, 1))
+    size = pa.array([len(x) for x in sets])
+    batch = pa.RecordBatch.from_arrays([u, v, size.take(u), wide.take(u), size.take(v), wide.take(v)], names=list("abcdef"))
+    kept = {(r["u"], r["v"]) for b in linking._sharper(75, 100)(iter([batch])) for r in b.to_pylist()}
+    alike = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in pairs}
+    assert {p for p, x in alike.items() if x >= 0.75} <= kept
+    assert not {p for p, x in alike.items() if x < 0.6} & kept
+
+
 def test_sketch_distance_is_a_lower_bound():
     draw = np.random.default_rng(5)
     base = draw.integers(0, 1 << 63, 3000, dtype=np.uint64)
