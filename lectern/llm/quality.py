@@ -63,7 +63,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sign = kind[first] == 2
     shape = (
         np.where(_UPPER[data[first]], 1, 0) + np.where(upper[stop] - upper[first] > 1, 2, 0) + np.where(digit[stop] > digit[first], 4, 0)
-        + 8 * np.minimum(length // 4, 7) + 64 * again + 128 * (data[np.minimum(stop, len(data) - 1)] > 0x20)
+        + 8 * np.minimum(length // 4, 7) + 64 * again + 128 * ((stop < ends[owner + 1]) & (data[np.minimum(stop, len(data) - 1)] > 0x20))
     ).astype(np.uint64)
     shape = mix64(np.where(sign, word ^ again.astype(np.uint64), shape) + np.uint64(0xA11))
     grams, whose = [], []
@@ -125,8 +125,8 @@ def held_out(id_column: Column, folds: int = FOLDS, fold: int = 0) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Model:
     """Fit on at most `rows` labelled documents that aren't held out, those whose ids' hashes are smallest.
 
-    Null labels are passed over. Without any labelled document the score is 0.5 for all; with one
-    label only, the model leans to it.
+    Null labels and ids are passed over; an id that repeats in either table counts as often. Long texts are read whole. Without any
+    labelled document, as in an empty table, the score is 0.5 for all; with one label only, the model leans to it.
     """
     bound_batches(docs.sparkSession)
     usable = labels.where(col(label_col).isNotNull() & ~held_out(col(id_col)) & col(id_col).isNotNull())
@@ -149,7 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df with score and predicted. Null and empty texts are scored by the bias alone; columns of df with these names are replaced."""
+    """df with score and predicted. Null and empty texts are scored by the bias alone; columns of df with these names are replaced.
+
+    Long texts are scored whole; rows that repeat get equal scores, whatever rows are beside them; an empty table gives an empty result.
+    """
     df = df.drop(*[c for c in df.columns if c.lower() in ("score", "predicted") and c != text_col])
     bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
@@ -166,5 +169,5 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
 
 
 def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df that the model accepts."""
+    """The rows of df that the model accepts, with its columns; rows that repeat all stay or go, null and empty texts as the bias says."""
     return score(df, model, text_col, threshold).where("predicted = 1").select(*map(col, df.columns))

@@ -128,3 +128,25 @@ def test_language_on_odd_rows(odd_docs, no_docs):
     assert language_id.predict(no_docs, model).count() == 0
     blank = language_id.train(no_docs)
     assert blank.languages == ["und"] and {r.lang_pred for r in language_id.predict(odd_docs, blank).collect()} == {"und"}
+
+
+def test_quality_features_stop_at_the_text():
+    texts = ["hello world", " next", "one two", "three", "", "Four", " five! six"]
+    alone = [[x.tolist() for x in quality.features(pa.array([t]))[1:]] for t in texts]
+    for some in (texts, [x for t in texts for x in (t, "zebra")], [x for t in texts for x in (t, "\t")]):
+        owner, bucket, value = quality.features(pa.array(some))
+        step = len(some) // len(texts)
+        for i, want in enumerate(alone):
+            assert [bucket[owner == i * step].tolist(), value[owner == i * step].tolist()] == want
+
+
+def test_quality_scores_are_those_of_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    scores = {r.doc_id: (r.score, r.held_out, r.predicted) for r in queries.op4_quality_classifier(spark, sf_dir).collect()}
+    assert set(scores) == set(texts)
+    for i, text in texts.items():
+        _, bucket, value = quality.features(pa.array([text or ""]))
+        want = 1 / (1 + np.exp(-np.clip(float((model.weights[bucket].astype(float) * value).sum()) + model.bias, -30, 30)))
+        assert abs(scores[i][0] - want) < 1e-6 and scores[i][1] == (zlib.crc32(str(i).encode()) % 5 == 0) and scores[i][2] == int(scores[i][0] >= 0.3)
