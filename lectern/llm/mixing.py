@@ -3,8 +3,10 @@
 Each document expects target / source size copies. Within its source, expected copies are
 prefix-summed in exact decimals from one random offset, and a document is emitted once for each
 integer boundary its interval crosses: floor or ceiling of its expectation. Documents are laid out
-by size first, so the sample follows the size distribution and the words taken stay within a few
-documents of the target; of DRAWS random offsets a source takes the one whose words come nearest. The prefix sum is distributed: sums of (source, size class, hash) buckets
+by size, so the sample follows the size distribution and the words taken stay near the target. A large document's rounding alone could miss it by
+much, so a source's large documents (more than 1/HEADS of its words) come first, from the largest on, and each document's expectation is what is left of the
+target by what is left of the words: those after it make up for its rounding, up to cap copies.
+The prefix sum is distributed: sums of (source, size class, hash) buckets
 are added up, then each bucket continues from its base, so a hot source is spread over many tasks.
 """
 
@@ -19,9 +21,9 @@ from lectern.llm.common import SPACE, checkpoint, col, fresh, running_base, sub_
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 CAP = 2.0
+#: Documents with more than one part in so many of their source's words are settled first, one by one: fewer than so many a source.
+HEADS = 256
 SEED = 20240607
-#: Offsets that are drawn for each source.
-DRAWS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -75,7 +77,7 @@ def mix(
     df = df.drop(*[c for c in df.columns if c.lower() in new and c not in (id_col, source_col, text_col)])
     if narrow:
         df = df.select(*map(col, dict.fromkeys([id_col, source_col, text_col])))
-    key, cls, sub, mass, base, rate, start, spot, shift = fresh(df, "key_", "class_", "sub_", "mass_", "base_", "rate_", "start_", "spot_", "shift_")
+    key, cls, sub, mass, base, rate, start, spot = fresh(df, "key_", "class_", "sub_", "mass_", "base_", "rate_", "start_", "spot_")
     bucket = [key, cls, sub]
 
     def with_size(rows: DataFrame) -> DataFrame:
@@ -96,48 +98,81 @@ def mix(
     def crossed(offset: Column) -> Column:
         return (F.floor(col(start) + step(F.lit(1)) + offset) - F.floor(col(start) + offset)).cast("long")
 
-    def laid(rows: DataFrame, bases: DataFrame) -> DataFrame:
-        place = Window.partitionBy(*bucket).orderBy("size", spot, col(id_col))
-        placed = rows.withColumn(start, F.row_number().over(place) - 1).join(bases, bucket)
-        return placed.withColumn(start, (col(base) + step(col(start))).cast("decimal(34,15)"))
-
+    place = Window.partitionBy(*bucket).orderBy("size", spot, col(id_col))
     measured = checkpoint(with_size(df).select(*map(col, dict.fromkeys([id_col, source_col])), key, "size", spot))
     buckets = sub_buckets(measured.count(), 32)
-    sums = with_bucket(measured).groupBy(*bucket).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min(col(source_col)).alias("source"))
+    sums = with_bucket(measured).groupBy(*bucket).agg(
+        F.sum("size").alias("size"), F.min("size").alias("least"), F.count(F.lit(1)).alias("n"), F.min(col(source_col)).alias("source")
+    )
     sums = checkpoint(sums)
     sources = targets(sums.groupBy(key).agg(F.min("source").alias("source"), F.sum("size").alias("source_size")), weights, total, cap)
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).cast("decimal(20,15)")
-    sources = sources.select(key, "source_size", "target", expected.alias(rate))
-    bases = sums.join(sources, key).withColumn(mass, (col(rate) * F.col("n").cast("decimal(14,0)")).cast("decimal(34,15)"))
+    sums = checkpoint(sums.join(sources.select(key, "source_size", "target"), key))
+
+    large = sums.where(F.col("least") * HEADS > F.col("source_size"))
+    heads = with_bucket(measured).select(*bucket, "size", spot, col(id_col)).join(large.select(*bucket, "source_size", "target"), bucket)
+    heads = heads.withColumn("row", F.row_number().over(place))
+    heads = heads.groupBy(key).agg(
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.sort_array(F.collect_list(F.struct("size", col(cls).alias("cls"), col(sub).alias("sub"), "row")), asc=False).alias("rows"),
+    )
+    heads = checkpoint(heads.select(key, _heads(_offset(col(key), seed).cast("double"), cap).alias("done")))
+    given = heads.select(key, F.explode("done.out").alias("o")).groupBy(key, F.col("o.cls").alias(cls), F.col("o.sub").alias(sub))
+    given = given.agg(F.transform(F.sort_array(F.collect_list(F.struct("o.row", "o.copies"))), lambda x: x["copies"]).alias("given"))
+    after = heads.select(key, F.col("done.words").alias("words"), F.col("done.target").alias("left"), F.col("done.size").alias("size_left"), F.col("done.at").alias("at"))
+
+    bases = sums.join(given, bucket, "left").join(after, key, "left")
+    left, size_left = F.coalesce("left", "target"), F.coalesce(F.col("size_left"), F.col("source_size").cast("double"))
+    own = F.when(size_left > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), left / size_left))).otherwise(0.0).cast("decimal(20,15)")
+    bases = bases.withColumn(rate, F.when(F.col("given").isNull(), own).otherwise(F.lit(0).cast("decimal(20,15)")))
+    bases = bases.withColumn(mass, (col(rate) * F.col("n").cast("decimal(14,0)")).cast("decimal(34,15)"))
     bases = running_base(bases, [key], [cls, sub], mass, base)
-    bases = checkpoint(bases.select(*bucket, "source_size", "target", rate, col(base).cast("decimal(34,15)").alias(base)))
-
-    draws = [_offset(col(key), seed, i) for i in range(DRAWS)]
-    tried = laid(with_bucket(measured), bases).groupBy(key).agg(
-        F.first("target").alias("target"), *[F.sum(crossed(d) * F.col("size")).alias(f"t{i}") for i, d in enumerate(draws)]
-    )
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("far"), F.lit(i).alias("i"), d.alias("offset")) for i, d in enumerate(draws)]))
-    offsets = tried.select(key, nearest["offset"].alias(shift))
-    bases = bases.join(offsets, key)
+    bases = bases.select(*bucket, "source_size", "target", "given", rate, (col(base) + F.coalesce("at", F.lit(0.0)).cast("decimal(34,15)")).cast("decimal(34,15)").alias(base))
+    bases = checkpoint(bases)
 
     rows = measured if narrow else with_size(df)
     kept = [c for c in df.columns if c in (id_col, source_col)] if narrow else df.columns
+    (given_,) = fresh(rows, "given_")
+    placed = with_bucket(rows).withColumn(start, F.row_number().over(place) - 1).join(bases.withColumnRenamed("given", given_), bucket)
+    alone = F.get(col(given_), col(start))
     return (
-        laid(with_bucket(rows), bases)
-        .withColumn("copies", crossed(col(shift)))
+        placed.withColumn(given_, alone)
+        .withColumn(start, (col(base) + step(col(start))).cast("decimal(34,15)"))
+        .withColumn("copies", F.coalesce(col(given_), crossed(_offset(col(key), seed))))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select(*map(col, kept), *new)
     )
 
 
-def _offset(key: Column, seed: int, draw: int) -> Column:
-    """A number from 0 to 1 that the source, the seed and the draw fix."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit(draw)), 11)
+def _heads(offset: Column, cap: float) -> Column:
+    """Over `rows`, a source's large documents from the largest on, each with the words still to take as its share of the words still there.
+
+    (target, size, words, at, out): what is left of both, and how far the prefix sum has come; the copies of each in `out`.
+    """
+    at_first = F.struct(
+        F.col("target").cast("double").alias("target"), F.col("source_size").cast("double").alias("size"), F.lit(0.0).alias("words"), F.lit(0.0).alias("at"),
+        F.array().cast("array<struct<cls:int,sub:int,row:int,copies:bigint>>").alias("out"),
+    )
+
+    def one(done: Column, row: Column) -> Column:
+        rate = F.when(done["size"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), done["target"] / done["size"]))).otherwise(0.0)
+        copies = (F.floor(done["at"] + rate + offset) - F.floor(done["at"] + offset)).cast("long")
+        words = copies.cast("double") * row["size"]
+        return F.struct(
+            (done["target"] - words).alias("target"), (done["size"] - row["size"]).alias("size"), (done["words"] + words).alias("words"), (done["at"] + rate).alias("at"),
+            F.concat(done["out"], F.array(F.struct(row["cls"].cast("int").alias("cls"), row["sub"].cast("int").alias("sub"), row["row"].cast("int").alias("row"), copies.alias("copies")))).alias("out"),
+        )
+
+    return F.aggregate("rows", at_first, one)
+
+
+def _offset(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 that the source and the seed fix."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11)
     return (bits / F.lit(float(2**53))).cast("decimal(16,15)")
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row of a mix as often as the mix takes it."""
+    """Each row of a mix as often as the mix takes it; none for an empty table. `columns` may have any names."""
     (nth,) = fresh(mixed, "nth_")
     times = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
     return mixed.withColumn(nth, F.explode(times)).select(*map(col, columns))

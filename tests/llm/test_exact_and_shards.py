@@ -114,6 +114,8 @@ def test_mixing_targets_and_sizes(odd_docs, spark, sf_dir):
         for r in out:
             assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, r.target)
         assert all(abs(taken[s] - want[s]) <= 2 * largest[s] + 1 for s in sizes)
+        if df is not odd_docs:
+            assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in sizes)
 
 
 def test_mixing_reruns_agree_and_emits(spark, sf_dir):
@@ -127,6 +129,17 @@ def test_mixing_reruns_agree_and_emits(spark, sf_dir):
     assert Counter(r.doc_id for r in emitted.collect()) == Counter({r.doc_id: r.copies for r in mixed.collect() if r.copies})
 
 
+def test_large_documents_are_made_up_for(spark):
+    rows = [(i, "hot", "w " * (40 + i % 60)) for i in range(600)] + [(1000 + i, "hot", "w " * 4000) for i in range(3)] + [(2000 + i, "b", "w " * (10 + i)) for i in range(40)]
+    out = mixing.mix(spark.createDataFrame([*rows, *rows[:5], rows[601]], "doc_id long, source string, text string")).collect()
+    for s in ("hot", "b"):
+        some = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in some) - some[0].target) <= 100
+        each = some[0].target / some[0].source_size
+        assert {r.copies for r in some if r["size"] < 200} <= {int(each), int(each) + 1} or s == "hot"
+        assert max(r.copies for r in some) <= 2
+
+
 def test_mixing_of_nothing(no_docs, spark):
     assert mixing.mix(no_docs).count() == 0
     silent = spark.createDataFrame([(1, None, None), (2, None, "a")], "doc_id long, text string, source string")
