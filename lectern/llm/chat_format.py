@@ -1,8 +1,8 @@
 """Chat formatting: records of many layouts become canonical turns, turns become one marked text.
 
-A record's schema fingerprint is a hash of the nested field paths it holds, among those that some
-mapping knows; further fields don't matter. The fingerprint selects a declarative mapping. Columns
-of a table are fingerprinted once by its schema; JSON records row by row, as variants.
+A record's schema fingerprint for a mapping is a hash of the nested field paths it holds, among those that the
+mapping knows; further fields don't matter. Of the mappings whose fingerprint the record has, the one that asks for most paths
+is taken. Columns of a table are fingerprinted once by its schema; JSON records row by row, as variants.
 
 The template writes each turn as <|im_start|>role\\ntext<|im_end|>\\n. In roles and texts a control
 string gets one backslash after its first character, or one more if it has some there already, so
@@ -11,6 +11,7 @@ no control string is left and taking one backslash away gives the text back.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,34 +35,39 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 @dataclass(frozen=True)
 class Mapping:
-    """How one layout gives turns: a list of messages under a path, then single fields, in order.
+    """How one layout gives turns: single fields that lead, lists of messages under a path, then further single fields, in order.
 
-    lists: (path of an array, role field, text field); fields: (role, path, further paths that are
-    appended after a blank line). optional: paths that a record may lack.
+    lists: (path of an array, role field, text field); lead, fields: (role, path, further paths that are
+    appended after a blank line). optional: paths that a record may lack. columns: of a table with one row a turn, those
+    of conversation, turn, role and text.
     """
 
     name: str
     lists: tuple[tuple[str, str, str], ...] = ()
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     optional: tuple[str, ...] = ()
+    lead: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    columns: tuple[str, ...] = ()
 
     def paths(self) -> set[str]:
-        return {f"{p}[].{f}" for p, *names in self.lists for f in names} | {p for _, ps in self.fields for p in ps}
+        return {f"{p}[].{f}" for p, *names in self.lists for f in names} | {p for _, ps in self.lead + self.fields for p in ps} | set(self.columns)
 
 
+_SYSTEM = (("system", ("system",)),)
 MAPPINGS = (
-    Mapping("messages", lists=(("messages", "role", "content"),)),
-    Mapping("conversations", lists=(("conversations", "from", "value"),)),
+    Mapping("messages", lead=_SYSTEM, lists=(("messages", "role", "content"),), optional=("system",)),
+    Mapping("conversations", lead=_SYSTEM, lists=(("conversations", "from", "value"),), optional=("system",)),
+    Mapping("conversation", lead=_SYSTEM, lists=(("conversation", "role", "content"),), optional=("system",)),
     Mapping("dialogue", lists=(("dialogue", "speaker", "text"),)),
     Mapping("nested", lists=(("data.messages", "role", "content"),)),
     Mapping("prompt_messages", lists=(("prompt", "role", "content"), ("completion", "role", "content"))),
-    Mapping("instruction", fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("system", "input")),
-    Mapping("prompt_completion", fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), optional=("system",)),
-    Mapping("prompt_response", fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), optional=("system",)),
+    Mapping("instruction", lead=_SYSTEM, fields=(("user", ("instruction", "input")), ("assistant", ("output",))), optional=("system", "input")),
+    Mapping("instruction_response", lead=_SYSTEM, fields=(("user", ("instruction", "context")), ("assistant", ("response",))), optional=("system", "context")),
+    Mapping("prompt_completion", lead=_SYSTEM, fields=(("user", ("prompt",)), ("assistant", ("completion",))), optional=("system",)),
+    Mapping("prompt_response", lead=_SYSTEM, fields=(("user", ("prompt",)), ("assistant", ("response",))), optional=("system",)),
     Mapping("question_answer", fields=(("user", ("context", "question")), ("assistant", ("answer",))), optional=("context",)),
+    Mapping("turn_rows", columns=("conv_id", "turn", "role", "text")),
 )
-#: The layout of a table with one row a turn.
-TURN_ROWS = frozenset({"conv_id", "turn", "role", "text"})
 TURN = "struct<role:string,text:string>"
 
 
@@ -87,31 +93,54 @@ def _variants(m: Mapping) -> list[str]:
     return [fingerprint(x) for x in out]
 
 
-def record_fingerprint(v: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """The hash of the known paths at which a variant holds a single value; below lists a null counts, elsewhere not."""
-    held = []
-    for p in sorted({p for m in mappings for p in m.paths()}):
-        kind = F.schema_of_variant(F.try_variant_get(v, "$." + p.replace("[]", "[0]"), "variant"))
-        single = ~kind.rlike("^(ARRAY|OBJECT)" if "[]" in p else "^(ARRAY|OBJECT|VOID)")
-        held.append(F.when(single, F.lit(p)))
-    return F.xxhash64(F.array_join(F.array_compact(F.array(*held)), "\n"))
+def _kind(v: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _held(v: Column, path: str) -> Column:
+    """Whether a variant holds a text, number or truth value at a path; below a list, some element, where a list of parts will do too."""
+    listed, _, field = path.partition("[].")
+    if not field:
+        return F.coalesce(~_kind(v, f"$.{path}").rlike("^(ARRAY|OBJECT|VOID)"), F.lit(False))
+    items = F.try_variant_get(v, f"$.{listed}", "array<variant>")
+    return F.coalesce(F.exists(items, lambda x: F.coalesce(~_kind(x, f"$.{field}").rlike("^(OBJECT|VOID)"), F.lit(False))), F.lit(False))
+
+
+def record_fingerprints(v: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """By name of mapping, the hash of those of its paths that a variant holds."""
+    paths = sorted({p for m in mappings for p in m.paths()})
+    # Bound as a variable of an outer lambda, the record is looked through once, not once a mapping.
+    held = F.array(F.array_compact(F.array(*[F.when(_held(v, p), F.lit(p)) for p in paths])))
+    prints = lambda h: F.struct(*[F.xxhash64(F.array_join(F.array_intersect(h, F.array(*[F.lit(p) for p in sorted(m.paths())])), "\n")).alias(m.name) for m in mappings])
+    return F.transform(held, prints)[0]
+
+
+def table_fingerprint(schema: T.StructType, m: Mapping) -> str:
+    """The hash of those of a mapping's paths that a schema has."""
+    return hashlib.sha256(fingerprint(schema_paths(schema) & m.paths()).encode()).hexdigest()
 
 
 def _turns(v: Column, m: Mapping) -> Column:
-    parts = []
-    for path, role, text in m.lists:
-        kind = f"array<struct<`{role}`:string,`{text}`:string>>"
-        items = F.coalesce(F.try_variant_get(v, f"$.{path}", kind), F.array().cast(kind))
-        parts.append(F.transform(items, _message(role, text)))
-    for role, paths in m.fields:
-        got = F.array_compact(F.array(*[F.try_variant_get(v, f"$.{p}", "string") for p in paths]))
-        turn = F.array(F.struct(F.lit(role).alias("role"), F.array_join(F.filter(got, lambda s: s != ""), "\n\n").alias("text")))
-        parts.append(F.when(F.size(got) > 0, turn).otherwise(F.array().cast(f"array<{TURN}>")))
-    return F.concat(*parts)
+    single = lambda fields: [_single(v, role, paths) for role, paths in fields]
+    lists = [F.transform(F.coalesce(F.try_variant_get(v, f"$.{path}", "array<variant>"), F.array().cast("array<variant>")), _message(role, text)) for path, role, text in m.lists]
+    return F.concat(*single(m.lead), *lists, *single(m.fields))
+
+
+def _single(v: Column, role: str, paths: tuple[str, ...]) -> Column:
+    got = F.array_compact(F.array(*[F.try_variant_get(v, f"$.{p}", "string") for p in paths]))
+    turn = F.array(F.struct(F.lit(role).alias("role"), F.array_join(F.filter(got, lambda s: s != ""), "\n\n").alias("text")))
+    return F.when(F.size(got) > 0, turn).otherwise(F.array().cast(f"array<{TURN}>"))
 
 
 def _message(role: str, text: str):
-    return lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+    """A turn of an element of a list. A text that is a list of parts, each a text or an object with one, is these a line each; other parts have none."""
+
+    def turn(x: Column) -> Column:
+        parts = F.transform(F.try_variant_get(x, f"$.{text}", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(~F.schema_of_variant(p).rlike("^(ARRAY|OBJECT)"), F.try_variant_get(p, "$", "string"))))
+        said = F.when(_kind(x, f"$.{text}").startswith("ARRAY"), F.array_join(parts, "\n")).otherwise(F.try_variant_get(x, f"$.{text}", "string"))
+        return F.struct(_role(F.try_variant_get(x, f"$.{role}", "string")).alias("role"), F.coalesce(said, F.lit("")).alias("text"))
+
+    return turn
 
 
 def _role(role: Column) -> Column:
@@ -122,31 +151,38 @@ def _role(role: Column) -> Column:
 def turns_of_records(df: DataFrame, id_col: str, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(conv_id, turn, role, text, layout) of JSON records, a row a turn.
 
-    A record of no known layout, or that isn't JSON, gives one row with null turn, role and text and
-    layout 'unknown', so that it can be counted.
+    A record of no known layout, that isn't JSON, that is null, or that is too large for a variant gives one row with null turn, role and text
+    and layout 'unknown', so that it can be counted. Null roles and texts in a known layout are empty. Records that
+    repeat an id give the turns of each. An empty table gives an empty result; further columns of df play no part.
     """
+    mappings = tuple(sorted((m for m in mappings if not m.columns), key=lambda m: -len(m.paths() - set(m.optional))))
     parsed = df.select(col(id_col).alias("conv_id"), F.try_parse_json(col(json_col)).alias("v"))
-    printed = parsed.withColumn("f", record_fingerprint(F.col("v"), mappings))
+    printed = parsed.withColumn("f", record_fingerprints(F.col("v"), mappings))
     turns, layout = F.lit(None).cast(f"array<{TURN}>"), F.lit("unknown")
     for m in reversed(mappings):
-        is_m = F.col("f").isin(*[])
-        for text in _variants(m):
-            is_m = is_m | (F.col("f") == F.xxhash64(F.lit(text)))
+        is_m = F.coalesce(F.col(f"f.{m.name}").isin(*[F.xxhash64(F.lit(text)) for text in _variants(m)]), F.lit(False))
         turns, layout = F.when(is_m, _turns(F.col("v"), m)).otherwise(turns), F.when(is_m, F.lit(m.name)).otherwise(layout)
     return printed.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "t")).select(
         "conv_id", F.col("turn").cast("long"), F.col("t.role").alias("role"), F.col("t.text").alias("text"), "layout"
     )
 
 
-def turns_of_table(df: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, layout) of a table; its schema's fingerprint says how to read it."""
-    if TURN_ROWS <= schema_paths(df.schema):
-        return df.select("conv_id", F.col("turn").cast("long"), F.col("role"), F.col("text"), F.lit("turn_rows").alias("layout"))
+def turns_of_table(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(conv_id, turn, role, text, layout) of a table; its schema's fingerprint says how to read it.
+
+    A table with a row a turn is that of a mapping with columns; its null roles and texts stay null, repeated rows are turns of their own, rows without
+    conv_id one conversation. Others are tables of records with conv_id and the fields of a layout.
+    An empty table gives an empty result; further columns play no part.
+    """
+    for m in mappings:
+        if m.columns and table_fingerprint(df.schema, m) == hashlib.sha256(fingerprint(m.columns).encode()).hexdigest():
+            conv_id, turn, role, text = map(col, m.columns)
+            return df.select(conv_id.alias("conv_id"), turn.cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.lit(m.name).alias("layout"))
     rest = [c for c in df.columns if c != "conv_id"]
     if "conv_id" not in df.columns or not rest:
         raise ValueError("a table of records has conv_id and the fields of a layout")
     records = df.select("conv_id", F.to_json(F.struct(*map(col, rest))).alias("json_"))
-    return turns_of_records(records, "conv_id", "json_")
+    return turns_of_records(records, "conv_id", "json_", mappings)
 
 
 def escape(text: Column) -> Column:
