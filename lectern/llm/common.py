@@ -55,7 +55,7 @@ def col(name: str) -> Column:
 
 
 #: Bytes of an Arrow batch between Spark and Python: both sides hold some batches for each running task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -106,6 +106,12 @@ class Scratch:
         bound_batches(spark)
         self.spark, self.made = spark, []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.clear()
+
     def store(self, df: DataFrame, release: bool = False) -> DataFrame:
         """A copy of df; release: what it was made from has left large shuffle files."""
         path = shared_path(self.spark, "scratch")

@@ -263,10 +263,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words, or the whole text if it has fewer words. Texts without words, and null texts, have an empty
     set and link with nothing. component_id is the smallest id reachable by links of similarity
     3/4 or more. Rows that repeat an id are one node. A row without id links with nothing and has a
-    null component_id. Ids are integers.
+    null component_id. Ids are integers. Texts are compared whole, however long; equal texts are one class. An empty table gives an empty
+    result. Further columns of df, whatever their names, play no part.
     """
+    with Scratch(df.sparkSession) as scratch:
+        return _components(df, id_col, text_col, size, scratch)
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, size: int, scratch: Scratch) -> DataFrame:
     spark = df.sparkSession
-    scratch = Scratch(spark)
     docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
 
     run, schema = _summarise(size)
@@ -301,14 +306,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     done = info.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = checkpoint(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
-    scratch.clear()
     frequent.unpersist()
     settled.unpersist()
     return out
 
 
 def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The rows of df whose id is the smallest of their component, and those without id."""
+    """The rows of df whose id is the smallest of their component, and those without id. Null and empty texts stay.
+
+    Rows that repeat an id stay or go together. An empty table gives an empty result. df may have columns of any name.
+    """
     found = jaccard_components(df, id_col, text_col, size)
-    gone = found.where(F.col("component_id") != col(id_col)).select(col(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*map(col, df.columns))
+    gone = found.where(F.col("component_id") != col(id_col)).select(col(id_col).alias("gone")).distinct()
+    return df.join(gone, col(id_col).cast("long") == F.col("gone"), "left_anti")

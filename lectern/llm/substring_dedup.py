@@ -159,7 +159,11 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if min_words < size:
         raise ValueError("a paragraph needs the words of a shingle at least")
-    scratch = Scratch(df.sparkSession)
+    with Scratch(df.sparkSession) as scratch:
+        return _paragraphs(df, id_col, text_col, size, min_words, scratch)
+
+
+def _paragraphs(df: DataFrame, id_col: str, text_col: str, size: int, min_words: int, scratch: Scratch) -> DataFrame:
     docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where("id is not null")
     run, schema = _listed(size, min_words)
     listed = scratch.store(docs.mapInArrow(run, schema))
@@ -190,7 +194,6 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             ((F.col("id") != F.col("keep.id")) | (F.col("para_no") != F.col("keep.para_no"))).alias("removed"),
         )
     )
-    scratch.clear()
     return out
 
 
@@ -331,8 +334,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text's beginning; cluster names the first occurrence. Spans of one document may overlap where their first occurrences differ. Runs that
     repeat within one document only, null and shorter texts and rows without id give nothing. Rows that repeat an id are one document.
     """
+    with Scratch(df.sparkSession) as scratch:
+        return _passages(df, id_col, text_col, size, scratch)
+
+
+def _passages(df: DataFrame, id_col: str, text_col: str, size: int, scratch: Scratch) -> DataFrame:
     anchor = size - size // 2
-    scratch = Scratch(df.sparkSession)
     docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where("id is not null")
     run, schema = _run_keys(size, anchor)
     shared = scratch.store(docs.mapInArrow(run, schema).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key"))
@@ -359,7 +366,6 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
 
     out = checkpoint(rows(joined, "", True).unionByName(rows(kept, "keep_", False)))
-    scratch.clear()
     needed.unpersist()
     return out
 
