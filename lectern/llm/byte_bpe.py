@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.bytes_kit import release_memory, slices
 from lectern.llm.common import bound_batches, col, fresh, map_arrow, plain_names
@@ -236,7 +237,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
     digests=True returns, instead of ids and decoded, ids_sha256 (of the ids as little-endian unsigned
     32-bit integers) and decoded_sha256, both computed where the text is read. A null text counts as
     empty and has no ids. `path` names the vocabulary on every executor. Columns of df with the
-    new names are replaced.
+    new names are replaced. Long texts are encoded whole, rows that repeat each; an empty table gives an empty result.
     """
     bound_batches(df.sparkSession)
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
@@ -263,10 +264,12 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep:
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """df with the text of its ids; null ids give a null text, bytes that aren't UTF-8 the replacement character."""
-    kinds = df.select("*", F.lit(None).cast("string").alias(out_col)).schema if out_col not in df.columns else None
-    if kinds is None:
-        raise ValueError(f"{out_col} is there already")
+    """df with the text of its ids; null ids give a null text, no ids an empty one, bytes that aren't UTF-8 the replacement character.
+
+    A column of df named out_col is replaced, unless it holds the ids. Rows that repeat are decoded each; an empty table gives an empty result.
+    """
+    df = df.select(*[col(c) for c in df.columns if c.lower() != out_col.lower() or c == ids_col])
+    kinds = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
     place = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

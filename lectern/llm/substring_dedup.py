@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import buffers, mix64, order_within, powers, shingles, slices, tidied, words
-from lectern.llm.common import Scratch, checkpoint, col
+from lectern.llm.common import Scratch, checkpoint, col, fresh
 from lectern.llm.jaccard_join import distinct_shingles, sketches
 from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet_by_members, verified
 
@@ -87,15 +87,15 @@ def _bands(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _listed(size: int, min_words: int):
-    kinds = pa.schema([(c, pa.int64()) for c in ("id", "para_no", "start", "n_chars", "n_words", "node", "n", *_SKETCH)])
+    kinds = pa.schema([(c, pa.int64()) for c in ("id", "t", "para_no", "start", "n_chars", "n_words", "node", "n", *_SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n in slices(batch.column(1), PIECE):
                 found = _Paragraphs(batch.column(1).slice(start, n), size, min_words)
-                ids = batch.column(0).slice(start, n).take(pa.array(found.owner))
+                ids, t = (batch.column(c).slice(start, n).take(pa.array(found.owner)) for c in (0, 2))
                 rest = (found.number, found.start, found.n_chars, found.n_words, found.node, np.diff(found.at), *sketches(found.flat, found.at, SKETCH_LONGS).T)
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(x, np.int64)) for x in rest]], schema=kinds)
+                yield pa.RecordBatch.from_arrays([ids, t, *[pa.array(np.ascontiguousarray(x, np.int64)) for x in rest]], schema=kinds)
 
     return tidied(run), ", ".join(f"{c} long" for c in kinds.names)
 
@@ -153,20 +153,21 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The occurrences of paragraphs that repeat across documents, kept and removed ones.
 
     (id_col, para_no, start, n_chars, n_words, cluster, keep_id, keep_para_no, removed): a line is
-    numbered from 0; start and n_chars count code points. cluster names the component. The occurrence with the smallest id, then line, stays. Lines of fewer words, texts without lines of
+    numbered from 0; start and n_chars count code points. Long texts are read whole; further columns of df, whatever their names, play no part. cluster names the component. The occurrence with the smallest id, then line, stays. Lines of fewer words, texts without lines of
     that length, null texts and rows without id take no part, nor do paragraphs that repeat within one document
     only. Rows that repeat an id are one document. An empty table gives an empty result. Ids are integers.
     """
     if min_words < size:
         raise ValueError("a paragraph needs the words of a shingle at least")
     with Scratch(df.sparkSession) as scratch:
-        return _paragraphs(df, id_col, text_col, size, min_words, scratch)
+        return _paragraphs(df, id_col, text_col, size, min_words, scratch).drop("t").withColumnRenamed("id", id_col)
 
 
 def _paragraphs(df: DataFrame, id_col: str, text_col: str, size: int, min_words: int, scratch: Scratch) -> DataFrame:
+    """The rows of repeated_paragraphs() with the hash `t` of the text that each stands in, as texts may share an id."""
     docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where("id is not null")
     run, schema = _listed(size, min_words)
-    listed = scratch.store(docs.mapInArrow(run, schema))
+    listed = scratch.store(docs.withColumn("t", F.xxhash64("text")).mapInArrow(run, schema))
     nodes = scratch.store(listed.groupBy(F.col("node").alias("id")).agg(*[F.first(c).alias(c) for c in ("n", *_SKETCH)], F.min("id").alias("doc"), F.max("id").alias("last")))
     run, schema = _keyed(size, min_words)
     keyed = docs.mapInArrow(run, schema)
@@ -189,7 +190,7 @@ def _paragraphs(df: DataFrame, id_col: str, text_col: str, size: int, min_words:
     rows = rows.join(kept, "component")
     out = checkpoint(
         rows.select(
-            F.col("id").alias(id_col), "para_no", "start", "n_chars", "n_words", F.lower(F.hex("component")).alias("cluster"),
+            "id", "t", "para_no", "start", "n_chars", "n_words", F.lower(F.hex("component")).alias("cluster"),
             F.col("keep.id").alias("keep_id"), F.col("keep.para_no").alias("keep_para_no"),
             ((F.col("id") != F.col("keep.id")) | (F.col("para_no") != F.col("keep.para_no"))).alias("removed"),
         )
@@ -198,12 +199,19 @@ def _paragraphs(df: DataFrame, id_col: str, text_col: str, size: int, min_words:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """df with the removed paragraphs' lines taken out of its texts; other rows as they are."""
-    found = repeated_paragraphs(df, id_col, text_col, size, min_words).where("removed")
-    lines = found.groupBy(id_col).agg(F.collect_set("para_no").alias("gone_"))
-    left = F.filter(F.split(col(text_col), "\n"), lambda line, i: ~F.array_contains("gone_", i.cast("long")))
-    text = F.when(F.col("gone_").isNull(), col(text_col)).otherwise(F.array_join(left, "\n"))
-    return df.join(lines, id_col, "left").withColumn(text_col, text).select(*map(col, df.columns))
+    """df with the removed paragraphs' lines taken out of its texts; other rows, null texts and rows without id as they are.
+
+    A row loses the lines of its own text, also where other rows have its id; rows that repeat id and text lose the same. An empty table gives
+    an empty result. df may have columns of any name.
+    """
+    id_, t, gone = fresh(df, "id_", "t_", "gone_")
+    with Scratch(df.sparkSession) as scratch:
+        found = _paragraphs(df, id_col, text_col, size, min_words, scratch).where("removed")
+    lines = found.groupBy("id", "t").agg(F.collect_set("para_no").alias("gone")).toDF(id_, t, gone)
+    keyed = df.withColumns({id_: col(id_col).cast("long"), t: F.xxhash64(col(text_col).cast("string"))})
+    left = F.filter(F.split(col(text_col), "\n"), lambda line, i: ~F.array_contains(col(gone), i.cast("long")))
+    text = F.when(col(gone).isNull(), col(text_col)).otherwise(F.array_join(left, "\n"))
+    return keyed.join(lines, [id_, t], "left").select(*[text.alias(c) if c == text_col else col(c) for c in df.columns])
 
 
 def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:

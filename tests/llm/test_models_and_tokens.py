@@ -150,3 +150,9 @@ def test_quality_scores_are_those_of_a_plain_version(spark, sf_dir):
         _, bucket, value = quality.features(pa.array([text or ""]))
         want = 1 / (1 + np.exp(-np.clip(float((model.weights[bucket].astype(float) * value).sum()) + model.bias, -30, 30)))
         assert abs(scores[i][0] - want) < 1e-6 and scores[i][1] == (zlib.crc32(str(i).encode()) % 5 == 0) and scores[i][2] == int(scores[i][0] >= 0.3)
+
+
+def test_decode_replaces_a_column_of_that_name(spark):
+    ids = spark.createDataFrame([([31373], "old", 1), (None, "old", 2)], "ids array<int>, TEXT string, `a.b` int")
+    out = byte_bpe.decode(ids, PATH)
+    assert out.columns == ["ids", "a.b", "text"] and [r.text for r in out.collect()] == ["hello", None]

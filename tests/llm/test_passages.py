@@ -59,3 +59,11 @@ def test_passages_in_short_and_in_long_lines_are_found(spark):
 def test_passages_of_odd_rows(odd_docs, no_docs):
     assert {(r.doc_id, r.keep_id, r.n_words, r.removed) for r in substring_dedup.repeated_passages(odd_docs).collect()} == {(5, 5, 30_000, False), (6, 5, 30_000, True)}
     assert substring_dedup.repeated_passages(no_docs).count() == 0
+
+
+def test_removal_keeps_to_its_own_rows_and_names(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage, 7), (2, passage + "\nown line", 8), (2, "a sentence of its own\nand a second", 9), (None, passage, 10), (3, None, 11)]
+    df = spark.createDataFrame(rows, "`doc.id` long, `the.text` string, gone_ int")
+    got = sorted(((r[0], r[1], r[2]) for r in substring_dedup.remove_repeats(df, "doc.id", "the.text").collect()), key=lambda r: r[2])
+    assert got == [(1, passage, 7), (2, "own line", 8), (2, "a sentence of its own\nand a second", 9), (None, passage, 10), (3, None, 11)]
