@@ -93,34 +93,36 @@ def pairs(tokens: Column, between: str = " ") -> Column:
     return F.zip_with(left, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(between), b))
 
 
+#: Stands before each token where tokens are searched as one text.
+_MARK = "\u0001"
+
+
 def keyword_match(tokens: Column, keywords: Keywords, stem: str | None = "immig") -> Column:
-    """Whether lower-cased tokens hold a keyword: cheap tests first.
+    """Whether lower-cased tokens hold a keyword; one pattern over the joined tokens.
 
     A prefix of k letters matches a token that begins so, or is shorter and equal to it; up to seven letters,
     tokens whose first seven letters are excluded don't count.
     """
-    tests = []
-    if keywords.unigrams:
-        tests.append(F.arrays_overlap(tokens, F.array(*map(F.lit, sorted(keywords.unigrams)))))
-    if keywords.bigrams:
-        tests.append(F.arrays_overlap(pairs(tokens), F.array(*map(F.lit, sorted(keywords.bigrams)))))
-    if stem:
-        tests.append(F.array_join(tokens, " ").contains(stem))
-
-    def begins(t: Column) -> Column:
-        long = F.lit(False)
-        for k in sorted((k for k in keywords.prefixes if k > 7), reverse=True):
-            long = long | F.substring(t, 1, k).isin(*keywords.prefixes[k])
-        short = F.lit(False)
-        for k in sorted((k for k in keywords.prefixes if k <= 7), reverse=True):
-            short = short | F.substring(t, 1, k).isin(*keywords.prefixes[k])
-        return long | (short & ~F.substring(t, 1, 7).isin(*keywords.exclude)) if keywords.exclude else long | short
-
-    tests.append(F.exists(tokens, begins))
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return F.coalesce(out, F.lit(False))
+    ends = f"(?:{_MARK}|$)"
+
+    def first(k: int, some) -> list[str]:
+        """Patterns for the tokens whose first k letters are one of these."""
+        return [re.escape(p) + ("" if len(p) == k else f"(?={ends})") for p in sorted(some) if len(p) <= k]
+
+    def prefixes(lengths: list[int]) -> list[str]:
+        return [x for k in lengths for x in first(k, keywords.prefixes[k])]
+
+    whole = [re.escape(w) for w in sorted(keywords.unigrams)] + [re.escape(w).replace("\\ ", _MARK) for w in sorted(keywords.bigrams)]
+    short, excluded = prefixes([k for k in sorted(keywords.prefixes) if k <= 7]), first(7, keywords.exclude)
+    ways = [f"(?:{'|'.join(whole)})(?={ends})"] if whole else []
+    ways += prefixes([k for k in sorted(keywords.prefixes) if k > 7])
+    if short:
+        ways.append((f"(?!{'|'.join(excluded)})" if excluded else "") + f"(?:{'|'.join(short)})")
+    found = [f"{_MARK}(?:{'|'.join(ways)})"] if ways else []
+    found += [re.escape(stem)] if stem else []
+    if not found:
+        return F.lit(False)
+    return F.coalesce(F.concat(F.lit(_MARK), F.array_join(tokens, _MARK)).rlike("|".join(found)) & (F.size(tokens) > 0), F.lit(False))
 
 
 def fuse_phrases(x: Column, firsts: list[str], seconds: list[str], between: str = "[ -]") -> Column:
@@ -214,8 +216,8 @@ def join_sentences(sents: Column) -> Column:
 
 
 def retokenize_possessives(tokens: Column, tags: Column) -> Column:
-    """A token tagged POS, unless first, joined to the one before."""
+    """A token 's that is tagged POS, unless first, joined to the one before."""
     both = F.arrays_zip(tokens.alias("t"), tags.alias("g"))
     # A possessive becomes a mark that the join removes together with the space before it.
-    joined = F.array_join(F.transform(both, lambda x, i: F.concat(F.when((x["g"] == "POS") & (i > 0), F.lit("\u0001")).otherwise(F.lit("")), x["t"])), "\u0002")
+    joined = F.array_join(F.transform(both, lambda x, i: F.concat(F.when((x["g"] == "POS") & (x["t"] == "'s") & (i > 0), F.lit("\u0001")).otherwise(F.lit("")), x["t"])), "\u0002")
     return F.split(F.replace(joined, F.lit("\u0002\u0001"), F.lit("")), "\u0002")

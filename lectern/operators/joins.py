@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A dimension of at most so many rows is broadcast; larger ones meet by ranges of the key.
+#: A dimension of at most so many rows is broadcast; larger ones meet by cells of the key.
 SMALL = 10_000
 
 
@@ -42,10 +43,15 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def best_match(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, least: float = 0.0) -> DataFrame:
-    """For each row of left the most similar b within its block, the first by name on ties: (left's columns, b, score)."""
-    both = left.join(right.select(*block, b).distinct(), block).withColumn("score", similarity(F.col(a), F.col(b))).where(F.col("score") >= least)
-    order = Window.partitionBy(*left.columns).orderBy(F.col("score").desc(), F.col(b))
-    return both.withColumn("r_", F.row_number().over(order)).where("r_ = 1").drop("r_")
+    """For each row of left the most similar b within its block, the first by name on ties: (left's columns, b, score).
+
+    Equal rows of left are matched once and come out as often as they are there.
+    """
+    own = left.groupBy(*left.columns).agg(F.count(F.lit(1)).cast("int").alias("m_"))
+    both = own.join(right.select(*block, b).distinct(), block).withColumn("score", similarity(F.col(a), F.col(b))).where(F.col("score") >= least)
+    best = both.groupBy(*left.columns, "m_").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(b).alias("b"))).alias("best_"))
+    each = best.withColumn("r_", F.explode(F.array_repeat(F.lit(0), F.col("m_"))))
+    return each.select(*left.columns, F.col("best_.b").alias(b), (-F.col("best_.s")).alias("score"))
 
 
 def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -71,7 +77,22 @@ def one_edit_neighbours(words: DataFrame, word: str = "word", n: str = "n") -> D
     return left.join(right, "form").where(F.levenshtein(word, "other") == 1).select(word, "other", "n_other").distinct()
 
 
+def _place(x: Column, kind: T.DataType) -> Column:
+    return (F.unix_date(x) if isinstance(kind, T.DateType) else x).cast("double")
+
+
 def in_range(facts: DataFrame, ranges: DataFrame, at: str, start: str, end: str) -> DataFrame:
-    """facts with each half-open range that holds `at`; a small dimension is broadcast after its size is checked."""
-    dim = F.broadcast(ranges) if ranges.limit(SMALL + 1).count() <= SMALL else ranges
-    return facts.join(dim, (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
+    """facts with each half-open range that holds `at` (numbers, dates or times).
+
+    A small dimension is broadcast after its size is checked. The ranges of a larger one are laid on cells as wide as a range is on average, so
+    on few cells each in all, and meet the facts of a cell by an equi-join. Null and empty ranges hold nothing.
+    """
+    holds = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
+    if ranges.limit(SMALL + 1).count() <= SMALL:
+        return facts.join(F.broadcast(ranges), holds)
+    low, high = (_place(F.col(c), ranges.schema[c].dataType) for c in (start, end))
+    some = ranges.where(F.col(start) < F.col(end))
+    step = some.agg(F.avg(high - low)).first()[0] or 1.0
+    cell = lambda x: F.floor(x / F.lit(float(step)))
+    laid = some.withColumn("cell_", F.explode(F.sequence(cell(low), cell(high))))
+    return facts.withColumn("cell_", cell(_place(F.col(at), facts.schema[at].dataType))).join(laid, "cell_").where(holds).drop("cell_")

@@ -511,20 +511,11 @@ def posterior_summary(t: Tables) -> DataFrame:
 
 
 @query("cosine_top_k", """
-with q as (select vec_id as query, embedding as qv from embeddings where vec_id < 5), s as (select query, vec_id, list_cosine_similarity(embedding::double[], qv::double[]) as sim from embeddings join q on vec_id <> query)
-select query, vec_id, rank from (select query, vec_id, row_number() over (partition by query order by sim desc, vec_id) as rank from s) where rank <= 10
-""")
-def cosine_top_k(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    return models.cosine_top_k(t.embeddings, q, "vec_id", "embedding", 10).select("query", "vec_id", i64(F.col("rank")).alias("rank"))
-
-
-@query("cosine_top_k_all", """
 with q as (select vec_id as query, embedding as qv from embeddings where vec_id % 20 = 0), s as (select query, vec_id, list_cosine_similarity(embedding::double[], qv::double[]) as sim from embeddings join q on vec_id <> query)
 select query, vec_id, rank from (select query, vec_id, row_number() over (partition by query order by sim desc, vec_id) as rank from s) where rank <= 10
 """)
-def cosine_top_k_all(t: Tables) -> DataFrame:
-    """cosine_top_k for every twentieth vector, in blocks of at most about QUERY_BLOCK queries, each of which is broadcast."""
+def cosine_top_k(t: Tables) -> DataFrame:
+    """The ten nearest vectors of every twentieth one, in blocks of at most about QUERY_BLOCK queries, each of which is broadcast."""
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks))

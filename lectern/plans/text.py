@@ -218,21 +218,9 @@ def nearest_label(t: Tables) -> DataFrame:
     return labels.nearest(df, "said", ["user", "assistant", "system"], {"postive": "positive"})
 
 
-@query("ocr_neighbors", rf"""
-with w as (select x as word, count(*) as n from (select unnest({WORDS.format(x='lower(text)')}) as x from documents where lang = 'en') where regexp_matches(x, '^[a-z]{{2,6}}$') group by x),
-p as (select a.word, b.word as other, b.n as n_other from w a join w b on a.word <> b.word and abs(length(a.word) - length(b.word)) <= 1 where levenshtein(a.word, b.word) = 1)
-select word, other, n_other, rank from (select *, row_number() over (partition by word order by n_other desc, other) as rank from p) where rank <= 10
-""")
+@query("ocr_neighbors")
 def ocr_neighbors(t: Tables) -> DataFrame:
-    x = t.documents.where("lang = 'en'").select(F.explode(tokens_of()).alias("word")).where(F.col("word").rlike("^[a-z]{2,6}$"))
-    found = joins.one_edit_neighbours(x.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.col("n_other").desc(), "other"))
-    return found.withColumn("rank", i64(rank)).where("rank <= 10")
-
-
-@query("ocr_neighbors_all")
-def ocr_neighbors_all(t: Tables) -> DataFrame:
-    """ocr_neighbors over all tokens of all documents. No SQL: that compares each pair of the vocabulary."""
+    """Over all tokens of all documents. No SQL: that compares each pair of the vocabulary."""
     x = t.documents.select(F.explode(tokens_of()).alias("word"))
     found = joins.one_edit_neighbours(x.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.col("n_other").desc(), "other"))
@@ -259,12 +247,15 @@ def alpha_stopword(t: Tables) -> DataFrame:
     return w.select("doc_id", i64(F.size("w")).alias("n"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
-@query("piece_collapse", r"""
-select conv_id, turn, md5(regexp_replace(replace(replace(text, ' la', ' ##la'), ' ##', ''), '(^|\s)the(\s|$)', '\1[MASK]\2', 'g')) as masked_md5 from conversations where not contains(text, ' the the ')
-""")
+# Of words that share the white space between them one replacement takes every other one, so the SQL has it twice.
+_MASK = r"regexp_replace({x}, '(^|\s)the(\s|$)', '\1[MASK]\2', 'g')"
+_PIECES = "replace(replace(text, ' la', ' ##la'), ' ##', '')"
+
+
+@query("piece_collapse", f"select conv_id, turn, md5({_MASK.format(x=_MASK.format(x=_PIECES))}) as masked_md5 from conversations")
 def piece_collapse(t: Tables) -> DataFrame:
     pieces = F.replace("text", F.lit(" la"), F.lit(" ##la"))
-    return t.conversations.where("not contains(text, ' the the ')").select("conv_id", "turn", F.md5(T.mask_word(pieces, "the")).alias("masked_md5"))
+    return t.conversations.select("conv_id", "turn", F.md5(T.mask_word(pieces, "the")).alias("masked_md5"))
 
 
 @query("sentence_rejoin", rf"""
@@ -324,11 +315,13 @@ def flatten_join(t: Tables) -> DataFrame:
 
 @query("retokenize_possessive", rf"""
 with w as (select doc_id, {WORDS.format(x='lower(text)')} as w from documents)
-select doc_id, cast(len(w) - len(list_filter(w[2:], lambda x: x in ('of', 'de'))) as bigint) as n_tokens from w
+select doc_id, cast(len(w) - len(list_filter(w[2:], lambda x: x = 'of')) as bigint) as n_tokens from w
 """)
 def retokenize_possessive(t: Tables) -> DataFrame:
+    """Tokens 'of' stand in for "'s"; 'de' is tagged like a possessive, but isn't one."""
     w = t.documents.select("doc_id", tokens_of().alias("w"))
-    joined = T.retokenize_possessives(F.col("w"), F.transform("w", lambda x: F.when(x.isin("of", "de"), "POS").otherwise("NN")))
+    said = F.transform("w", lambda x: F.when(x == "of", "'s").otherwise(x))
+    joined = T.retokenize_possessives(said, F.transform("w", lambda x: F.when(x.isin("of", "de"), "POS").otherwise("NN")))
     return w.select("doc_id", i64(F.when(F.size("w") == 0, 0).otherwise(F.size(joined))).alias("n_tokens"))
 
 
@@ -367,15 +360,9 @@ def dictionary_match(t: Tables) -> DataFrame:
     return _matched_lines(t).groupBy("category").agg(F.count(F.lit(1)).alias("n_segments"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query("agg_collect_set", f"select category, cast(len(ids) as bigint) as n, md5(array_to_string(ids, ',')) as ids_md5 from (select category, list_sort(list(distinct doc_id)) as ids from ({_LINE_TERMS}) where doc_id % 7 = 0 group by category)")
+@query("agg_collect_set", f"select distinct category, doc_id from ({_LINE_TERMS})")
 def agg_collect_set(t: Tables) -> DataFrame:
-    ids = _matched_lines(t).where("doc_id % 7 = 0").groupBy("category").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
-    return ids.select("category", i64(F.size("ids")).alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
-
-
-@query("collect_set_all", f"select distinct category, doc_id from ({_LINE_TERMS})")
-def collect_set_all(t: Tables) -> DataFrame:
-    """The whole sets of agg_collect_set, of all documents, a row a member: no row grows with the table."""
+    """The set of documents of each category, a row a member: no row grows with the table."""
     return _matched_lines(t).select("category", "doc_id").distinct()
 
 

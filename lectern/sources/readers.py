@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import zero_pad
+
 SPEECH = "id string, session int, year int, month int, day int, date string, chamber string, ext string, speaker string, bioguide string, text string"
 DESCRIPTION = (
     "speech_id string, chamber string, date string, line_num string, speaker string, first_name string, last_name string, state string, gender string, "
@@ -66,7 +68,7 @@ def explode_pages(raw: DataFrame) -> DataFrame:
     items = raw.select("id", "header", F.posexplode("content").alias("pos", "item"))
     named = items.where((F.col("item.kind") == "speech") & (F.col("item.speaker").isNotNull() | F.col("item.speaker_bioguide").isNotNull()))
     return named.select(
-        F.concat_ws("_", "id", F.lpad(F.col("pos").cast("string"), 4, "0")).alias("id"), F.col("header.chamber").alias("chamber"),
+        F.concat_ws("_", "id", zero_pad(F.col("pos"), 4)).alias("id"), F.col("header.chamber").alias("chamber"),
         F.concat("header.year", F.lpad("header.month", 2, "0"), F.lpad("header.day", 2, "0")).alias("date"),
         F.nullif(F.col("item.speaker"), F.lit("None")).alias("speaker"), F.col("item.speaker_bioguide").alias("bioguide"), F.col("item.text").alias("text"),
     )

@@ -83,6 +83,7 @@ def test_text(spark):
     assert one(spark, text.canonical_title(F.lit("The  PRESIDENT"))) == "The PRESIDENT pro tempore"
     assert one(spark, text.zero_pad(F.lit(7), 3)) == "007" and one(spark, text.zero_pad(F.lit(12345), 3)) == "12345"
     assert one(spark, text.retokenize_possessives(arr("'s", "dog", "'s", "tail"), arr("POS", "NN", "POS", "NN"))) == ["'s", "dog's", "tail"]
+    assert one(spark, text.retokenize_possessives(arr("dogs", "'", "tail"), arr("NN", "POS", "NN"))) == ["dogs", "'", "tail"]
     assert one(spark, text.append_fused(arr("farm (n)", "worker (n)"))) == ["farm (n)", "worker (n)", "farmworker (n)"]
     assert one(spark, text.ngrams(arr("a"), 2)) == [] and one(spark, text.ngrams(arr("a", "b", "c"), 2)) == ["a_b", "b_c"]
     assert one(spark, text.fuse_phrases(F.lit("a Mexican-American and Asian Americans"), ["Asian", "Mexican"], ["American"])) == "a MexicanAmerican and AsianAmericans"
@@ -222,3 +223,27 @@ def test_without_the_training_data_package(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True)
     assert int(said.stdout.split()[0]) > 100
+
+
+def test_best_match_keeps_equal_rows(spark):
+    left = spark.createDataFrame([("x", "smith"), ("x", "smith"), ("x", None), ("y", "jones"), ("z", "none")], "block string, a string")
+    right = spark.createDataFrame([("x", "smyth"), ("x", "smitt"), ("y", "jones"), ("y", "jonas")], "block string, b string")
+    got = sorted((r.block, r.a or "", r.b, r.score) for r in joins.best_match(left, right, ["block"], "a", "b").collect())
+    assert got == [("x", "smith", "smitt", 80.0)] * 2 + [("y", "jones", "jones", 100.0)]
+
+
+def test_many_ranges_meet_by_cells(spark, monkeypatch):
+    import datetime as dt
+
+    points = [(None,), *((x / 3,) for x in range(-30, 400))]
+    spans = [(0.0, 5.5), (5.5, 5.5), (-9.0, 100.0), (7.25, 7.5), (99.0, 12.0), (None, 3.0), (50.0, 133.0), (50.0, 133.0)]
+    want = sorted((x, a, b) for (x,) in points for a, b in spans if None not in (x, a, b) and a <= x < b)
+    facts, ranges = spark.createDataFrame(points, "at double"), spark.createDataFrame(spans, "low double, high double")
+    day = lambda n: None if n is None else dt.date(2020, 1, 1) + dt.timedelta(int(n))
+    days, terms = spark.createDataFrame([(day(x),) for (x,) in points], "at date"), spark.createDataFrame([(day(a), day(b)) for a, b in spans], "low date, high date")
+    few = [sorted(map(tuple, joins.in_range(f, r, "at", "low", "high").collect())) for f, r in ((facts, ranges), (days, terms))]
+    assert few[0] == want
+    monkeypatch.setattr(joins, "SMALL", 2)
+    many = [joins.in_range(f, r, "at", "low", "high") for f, r in ((facts, ranges), (days, terms))]
+    assert [sorted(map(tuple, m.collect())) for m in many] == few and all(m.columns == ["at", "low", "high"] for m in many)
+    assert "Cartesian" not in many[0]._jdf.queryExecution().toString() and "NestedLoop" not in many[0]._jdf.queryExecution().toString()
