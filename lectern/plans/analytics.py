@@ -263,6 +263,7 @@ def period_fold(t: Tables) -> DataFrame:
 
 
 _FRAMES = {"articles": ["the", "la", "le", "der", "die", "das"], "joins": ["and", "et", "und", "y", "or"], "places": ["in", "on", "at", "dans", "en"]}
+_BASE_TERMS = ("the", "of", "en", "de")
 _FRAMES_SQL = "(values " + ", ".join(f"('{c}', '{x}')" for c, xs in _FRAMES.items() for x in xs) + ") as f(category, term)"
 
 
@@ -271,19 +272,28 @@ with c as (select source, term, sum(n) as n from ({_CUBE}) group by 1, 2), a as
 select source, category, cast(sum(n) as bigint) as n_frame, round(sum(n) / max(n_all), 6) as share from c join {_FRAMES_SQL} using (term) join a using (source) group by 1, 2
 """)
 def frame_freq(t: Tables) -> DataFrame:
-    c = cube(t).groupBy("source", "term").agg(F.sum("n").alias("n"))
+    c = _framed(t).groupBy("source", "term").agg(F.sum("n").alias("n"))
     s = counts.frame_shares(c, terms_table(t.spark, _FRAMES), "source", "term", "n")
     return s.select("source", "category", "n_frame", r6(F.col("share")).alias("share"))
 
 
+def _framed(t: Tables) -> DataFrame:
+    """cube() with all terms outside the frames and the base as one, so that what is shuffled has a few rows a source and party."""
+    known = sorted({x for xs in _FRAMES.values() for x in xs} | set(_BASE_TERMS))
+    party = F.when(F.col("lang") == "en", "D").when(F.col("lang") == "fr", "R").otherwise("U")
+    term = F.when(F.col("term").isin(known), F.col("term")).otherwise("")
+    told = t.documents.select("source", party.alias("party"), F.explode(words(F.lower("text"))).alias("term"))
+    return told.groupBy("source", "party", term.alias("term")).agg(rows().alias("n"))
+
+
 _PMI = f"""select source, category, sum(case when party = 'D' then n else 0 end) as nd, sum(case when party <> 'D' then n else 0 end) as nb from ({_CUBE}) join {_FRAMES_SQL} using (term) group by 1, 2"""
 _BASE = f"""select source, sum(case when party = 'D' then n else 0 end) as ad, sum(case when party <> 'D' then n else 0 end) as ab, sum(case when party = 'D' and term in ('the', 'of', 'en', 'de') then n else 0 end) as bd,
   sum(case when party <> 'D' and term in ('the', 'of', 'en', 'de') then n else 0 end) as bb from ({_CUBE}) group by 1"""
 
 
 def _cells(t: Tables) -> DataFrame:
-    c = cube(t)
-    d, b = F.col("party") == "D", F.col("term").isin("the", "of", "en", "de")
+    c = _framed(t)
+    d, b = F.col("party") == "D", F.col("term").isin(*_BASE_TERMS)
     add = lambda cond, name: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(name)
     inside = c.join(F.broadcast(terms_table(t.spark, _FRAMES)), "term").groupBy("source", "category").agg(add(d, "nd"), add(~d, "nb"))
     return inside.join(c.groupBy("source").agg(add(d, "ad"), add(~d, "ab"), add(d & b, "bd"), add(~d & b, "bb")), "source")
@@ -300,7 +310,7 @@ with c as (select party, category, sum(n) as n from ({_CUBE}) join {_FRAMES_SQL}
 select category, round(max(case when party = 'R' then ln(n / al) end) - max(case when party = 'D' then ln(n / al) end), 6) as diff from c join a using (party) group by 1
 """)
 def pmi_party_diff(t: Tables) -> DataFrame:
-    c = cube(t).where("party in ('D', 'R')")
+    c = _framed(t).where("party in ('D', 'R')")
     inside = c.join(F.broadcast(terms_table(t.spark, _FRAMES)), "term").groupBy("party", "category").agg(F.sum("n").alias("n"))
     f = inside.join(c.groupBy("party").agg(F.sum("n").alias("al")), "party").withColumn("l", F.ln(F.col("n") / F.col("al")))
     side = lambda p: F.max(F.when(F.col("party") == p, F.col("l")))
@@ -314,7 +324,7 @@ x as (select category, sd, su, sd - d as rd, su - u as ru, ad, au from c join s
 select category, round(max(case when sd > 0 and su > 0 then ln((sd / ad) / (su / au)) end), 6) as ratio, round(min(case when rd > 0 and ru > 0 then ln((rd / ad) / (ru / au)) end), 6) as low, round(max(case when rd > 0 and ru > 0 then ln((rd / ad) / (ru / au)) end), 6) as high from x group by 1
 """)
 def log_freq_ratio(t: Tables) -> DataFrame:
-    c = cube(t)
+    c = _framed(t)
     add = lambda p, name: F.sum(F.when(F.col("party") == p, F.col("n")).otherwise(0)).alias(name)
     per = c.join(F.broadcast(terms_table(t.spark, _FRAMES)), "term").groupBy("category", "term").agg(add("D", "d"), add("U", "u"))
     whole = per.groupBy("category").agg(F.sum("d").alias("sd"), F.sum("u").alias("su"))
