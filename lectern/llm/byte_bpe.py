@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.bytes_kit import release_memory, slices
+from lectern.llm.bytes_kit import CACHES, release_memory, slices
 from lectern.llm.common import bound_batches, col, fresh, map_arrow, plain_names
 
 #: Bytes of text whose new words are merged together, and words and bytes of words a task remembers.
@@ -231,6 +231,9 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+CACHES += [f.cache_clear for f in (encoder, load_ranks, _merges, _codes)]
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, digests: bool = False) -> DataFrame:
     """The columns `keep` (default: all but the text) with ids array<int>, n_tokens and decoded binary.
 

@@ -54,10 +54,21 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What empties the caches that an operator keeps in a Python worker from task to task.
+CACHES: list = []
+
+
+def forget() -> None:
+    """Empty other operators' caches: a worker goes on to the next stage, and so would they."""
+    for clear in CACHES:
+        clear()
+
+
 def tidied(run):
-    """run, a function from batches to batches, with memory given back when a task has ended."""
+    """run, a function from batches to batches, with memory given back when a task has ended, and that of other operators' caches before."""
 
     def wrapped(batches):
+        forget()
         try:
             yield from run(batches)
         finally:

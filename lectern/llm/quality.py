@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytes_kit import BASE, INVERSE, buffers, mix64, powers, release_memory, slices, tidied
+from lectern.llm.bytes_kit import BASE, INVERSE, buffers, forget, mix64, powers, release_memory, slices, tidied
 from lectern.llm.common import bound_batches, col
 
 #: Buckets of the hash, labelled rows that a fit reads at most, passes over them, and the share that is held out.
@@ -159,6 +159,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         own = Model(*shared.value)
         for texts in batches:
             scores = [own.scores(texts.slice(start, n)) for start, n in slices(texts, PIECE)]

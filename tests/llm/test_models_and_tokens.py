@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, language_id, quality, queries
+from lectern.llm import byte_bpe, bytes_kit, language_id, quality, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(PATH), special_tokens={})
@@ -156,3 +156,10 @@ def test_decode_replaces_a_column_of_that_name(spark):
     ids = spark.createDataFrame([([31373], "old", 1), (None, "old", 2)], "ids array<int>, TEXT string, `a.b` int")
     out = byte_bpe.decode(ids, PATH)
     assert out.columns == ["ids", "a.b", "text"] and [r.text for r in out.collect()] == ["hello", None]
+
+
+def test_other_operators_forget_the_encoder():
+    byte_bpe.encoder(PATH, public_tokenizers.PATTERN).encode(["some words"])
+    assert byte_bpe.encoder.cache_info().currsize
+    list(bytes_kit.tidied(lambda batches: iter(batches))([]))
+    assert not byte_bpe.encoder.cache_info().currsize and not byte_bpe.load_ranks.cache_info().currsize
