@@ -55,11 +55,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fingerprint as a long), one row per row of df; a null text counts as empty."""
+    """(id_col, fingerprint as a long), one row per row of df; a null text counts as empty, whose fingerprint is 0.
+
+    Long texts are read whole; rows that repeat id and text are rows of their own, as are those with null ids; an empty table gives an empty result. df may have columns of any name.
+    """
     row, term = fresh(df, "row_", "term_")
     numbered = df.select(col(id_col), F.monotonically_increasing_id().alias(row), terms(col(text_col)).alias(term))
-    votes = numbered.select(id_col, row, F.explode_outer(term).alias(term)).groupBy(id_col, row)
-    return votes.agg(*[c.alias(n) for n, c in vote_sums(col(term)).items()]).select(id_col, simhash().alias("fingerprint"))
+    votes = numbered.select(col(id_col), col(row), F.explode_outer(col(term)).alias(term)).groupBy(col(id_col), col(row))
+    return votes.agg(*[c.alias(n) for n, c in vote_sums(col(term)).items()]).select(col(id_col), simhash().alias("fingerprint"))
 
 
 def near_pairs(prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
@@ -67,7 +70,7 @@ def near_pairs(prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
 
     The 64 bits are cut into radius + spare blocks. Fingerprints within the radius agree on at least
     `spare` whole blocks, so each choice of `spare` blocks is a table keyed by their bits. Documents
-    with one fingerprint enter once.
+    with one fingerprint enter once; null fingerprints take no part; an empty table gives an empty result. Other columns of prints play no part.
     """
     n = radius + spare
     edges = [BITS * i // n for i in range(n + 1)]
@@ -136,11 +139,11 @@ def with_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.when(F.col("edited").isNotNull(), F.sha2(F.encode("edited", "UTF-8"), 256)).alias("edited_sha256"),
         F.explode(F.array(F.struct(F.lit(0).alias("e"), terms(F.col("text")).alias("t")), F.struct(F.lit(1).alias("e"), terms(F.col("edited")).alias("t")))).alias("s"),
     )
-    votes = both.select("at", "n", "ghost", "id", "n_chars", "edited_sha256", "s.e", F.explode_outer("s.t").alias("t"))
-    firsts = [F.first(c).alias(c) for c in ("ghost", "id", "n_chars", "edited_sha256")]
-    prints = votes.groupBy("at", "n", "e").agg(*firsts, *[c.alias(n) for n, c in vote_sums(F.col("t")).items()])
-    prints = prints.select("at", "n", "e", "ghost", "id", "n_chars", "edited_sha256", simhash().alias("f"))
-    paired = prints.groupBy("at", "n").agg(*firsts, F.max(F.when(F.col("e") == 0, F.col("f"))).alias("f"), F.max(F.when(F.col("e") == 1, F.col("f"))).alias("g"))
+    # What a row carries is part of the key, so that only longs are aggregated, by hashing and without a sort.
+    carried = ["at", "n", "ghost", "id", "n_chars", "edited_sha256"]
+    votes = both.select(*carried, "s.e", F.explode_outer("s.t").alias("t"))
+    prints = votes.groupBy(*carried, "e").agg(*[c.alias(n) for n, c in vote_sums(F.col("t")).items()]).select(*carried, "e", simhash().alias("f"))
+    paired = prints.groupBy(*carried).agg(F.max(F.when(F.col("e") == 0, F.col("f"))).alias("f"), F.max(F.when(F.col("e") == 1, F.col("f"))).alias("g"))
     follow = Window.partitionBy("at").orderBy("n")
     return (
         paired.withColumn("h", F.lead("f").over(follow))
