@@ -210,7 +210,8 @@ def format_chat(turns: DataFrame) -> DataFrame:
     The segments' texts joined are `formatted`. The loss covers the texts of assistants, without
     role and markers. A conversation is one training example and one row: its turns meet in
     one task; they are formatted before they do. A conversation whose records all have an unknown layout, among them
-    those without messages, is a row with null formatted and segments.
+    those without messages, is a row with null formatted and segments. Turns that repeat are all kept, long texts whole; an empty table
+    gives an empty result; further columns of `turns` play no part.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     written = turns.select(

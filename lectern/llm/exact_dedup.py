@@ -73,5 +73,5 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows that stay, with the columns of df."""
+    """The rows that stay, with the columns of df, whatever their names: of equal texts (null and empty ones too) one row, an empty table's none."""
     return exact_dedup(df, id_col, text_col, support).where("kept").select(*map(col, df.columns))

@@ -181,8 +181,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with lang_pred and score, the mean probability of that language.
 
-    A text that is null or has no letter is `und` with score 0. Ties go to the first language by
-    name. Columns of df with these names are replaced.
+    A text that is null, empty or without a letter is `und` with score 0; long texts are read whole, in windows. Ties go to the first
+    language by name. Rows that repeat get equal results; an empty table gives an empty one. Columns of df with these names are replaced.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("lang_pred", "score") and c != text_col])
     bound_batches(df.sparkSession)

@@ -84,8 +84,8 @@ def assign_shards(
 
     size is the text's UTF-8 bytes plus 1, text_crc32 that of the text (a null text counts as
     empty). slot counts from 0 without gaps in each shard, in an order that key and text fix; rows
-    that repeat both take neighbouring slots. A null key is a key. Columns of df with the new
-    names are replaced, unless they are key or text.
+    that repeat both take neighbouring slots. A null key is a key. Long texts count whole; an empty table gives an empty result. Columns of
+    df with the new names are replaced, unless they are key or text.
     """
     tree, grown = tree or topology(n_shards), grown or topology(n_shards + 1)
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]

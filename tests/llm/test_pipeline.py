@@ -33,3 +33,18 @@ def test_stages(spark, tmp_path):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 50
+
+
+def test_stages_on_odd_rows_and_on_none(spark, odd_docs, no_docs, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    docs = odd_docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        out.write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        if name != "byte_bpe":
+            assert after.columns == docs.columns
+        assert after.count() <= (2 if name == "mixing" else 1) * docs.count()
+        docs = after
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, folder).count() == 0
