@@ -1,6 +1,8 @@
 """A training-data pipeline over the table documents: filter, deduplicate, mix, encode.
 
-Each stage takes (spark, docs, sf_dir), is written as Parquet and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir), is written as Parquet and read again as the next one's docs. All but the last return the columns of docs, whatever
+further ones there are. Nulls in any column, empty and very long texts, ties and repeated rows are dealt with as the operators say; an empty table
+stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -15,23 +17,28 @@ from lectern.shipping import ship
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier accepts; null and empty texts as its bias says, rows that repeat alike."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id, null ids last; null and empty texts are equal."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the row with the smallest id; rows without id and texts without words stay."""
     return jaccard_join.keep_one_per_group(docs)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, at most twice; a null source is one of its own."""
     return mixing.emit(mixing.mix(docs), docs.columns)
 
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the text, with the number of its ids and digests of them and of the text they give; a null text counts as empty."""
     return byte_bpe.encode(docs, vocabulary(), public_tokenizers.PATTERN, digests=True)
 
 
