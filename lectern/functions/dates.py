@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.vocab import LAST_PERIOD, NAMED_PERIODS, WHITE_HOUSE
+from lectern.vocab import LAST_PERIOD, NAMED_PERIODS, PRESIDENTS, WHITE_HOUSE
 
 
 def date_to_session(date: Column) -> Column:
@@ -74,3 +74,9 @@ def year_of_int(date: Column) -> Column:
 
 def month_of_int(date: Column) -> Column:
     return F.floor(date / 100).cast("int")
+
+
+def term_label(person: Column, year: Column) -> Column:
+    """The person, and the term of the one president whose two terms were apart."""
+    first, second = (name for *_, name in PRESIDENTS if name.startswith("Grover Cleveland"))
+    return F.when(person == "Grover Cleveland", F.when(year < 1892, first).when(year >= 1892, second).otherwise(person)).otherwise(person)

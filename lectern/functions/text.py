@@ -149,23 +149,33 @@ def append_fused(lemmas: Column, fused: dict[str, str] = FUSED_LEMMAS) -> Column
     return F.concat(lemmas, F.array_compact(F.transform(pairs(lemmas), lambda p: F.try_element_at(named, p))))
 
 
+#: Tokens that n-grams and cleaning may be held to.
+KEPT_TOKENS = {"alpha": r"^\p{L}+$", "alnum": "[a-zA-Z0-9]"}
+
+
 def ngrams(tokens: Column, n: int, keep: str | None = None) -> Column:
-    """n-grams joined by `_`; keep='alpha': all tokens alphabetic, 'alnum': each holds a letter or digit."""
+    """n-grams joined by `_`; keep='alpha': all tokens alphabetic, 'alnum': each holds an ASCII letter or digit."""
     count = F.size(tokens) - (n - 1)
     grams = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
     if keep:
-        pattern = r"^\p{L}+$" if keep == "alpha" else r"[\p{L}\p{N}]"
+        pattern = KEPT_TOKENS[keep]
         grams = F.filter(grams, lambda g: F.forall(g, lambda t: t.rlike(pattern)))
     return F.transform(grams, lambda g: F.array_join(g, "_"))
 
 
-def clean_tokens(tokens: Column, stopwords: list[str] = ()) -> Column:
-    """Tokens that begin with a letter, digit or one of #$!?%" ; digits as #, stopwords and others as `_`, `_` inside as `-`."""
+def clean_tokens(tokens: Column, stopwords: list[str] = (), keep: str | None = None) -> Column:
+    """Tokens that begin with a letter, digit or one of #$!?%" ; digits as #, stopwords and others as `_`, `_` inside as `-`.
+
+    keep holds what is then left to letters ('alpha') or to tokens with an ASCII letter or digit ('alnum').
+    """
     stop = list(stopwords) or [""]
 
     def clean(t: Column) -> Column:
         kept = F.regexp_replace(F.replace(t, F.lit("_"), F.lit("-")), "[0-9]", "#")
-        return F.when(F.lower(t).isin(*stop) | ~t.rlike(r'^[a-zA-Z0-9#$!?%"]'), F.lit("_")).otherwise(kept)
+        dropped = F.lower(t).isin(*stop) | ~t.rlike(r'^[a-zA-Z0-9#$!?%"]')
+        if keep:
+            dropped = dropped | ~kept.rlike(KEPT_TOKENS[keep])
+        return F.when(dropped, F.lit("_")).otherwise(kept)
 
     return F.transform(tokens, clean)
 
@@ -221,3 +231,13 @@ def retokenize_possessives(tokens: Column, tags: Column) -> Column:
     # A possessive becomes a mark that the join removes together with the space before it.
     joined = F.array_join(F.transform(both, lambda x, i: F.concat(F.when((x["g"] == "POS") & (x["t"] == "'s") & (i > 0), F.lit("\u0001")).otherwise(F.lit("")), x["t"])), "\u0002")
     return F.split(F.replace(joined, F.lit("\u0002\u0001"), F.lit("")), "\u0002")
+
+
+def nouns(tokens: Column, tags: Column) -> Column:
+    """The tokens whose tag begins with N."""
+    return F.transform(F.filter(F.arrays_zip(tokens.alias("t"), tags.alias("g")), lambda x: F.startswith(x["g"], F.lit("N"))), lambda x: x["t"])
+
+
+def comma_list(x: Column) -> Column:
+    """The parts between commas as they stand; an empty string has one empty part."""
+    return F.split(x, ",")

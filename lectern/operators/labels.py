@@ -80,6 +80,29 @@ def f1_by_class(df: DataFrame, true: str, pred: str, weight: str) -> DataFrame:
     return sums.select("label", (F.col("tp2") / F.col("all")).alias("f1"))
 
 
+def f1_scores(df: DataFrame, true: str, pred: str, weight: str, positive: object = 1) -> DataFrame:
+    """One row (binary, micro, macro, weighted): F1 of the positive label, 0 without its true positives; over all rows; the mean over labels; that by true weight."""
+    sides = F.array(F.struct(F.col(true).alias("label"), F.lit(True).alias("t")), F.struct(F.col(pred).alias("label"), F.lit(False).alias("t")))
+    each = df.select(F.explode(sides).alias("s"), (F.col(true) == F.col(pred)).alias("hit"), F.col(weight).cast("double").alias("w"))
+    some = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0.0))
+    sums = each.groupBy(F.col("s.label").alias("label")).agg(some(F.col("hit")).alias("tp2"), F.sum("w").alias("both"), some(F.col("s.t")).alias("true"))
+    f1 = F.col("tp2") / F.col("both")
+    return sums.agg(
+        F.coalesce(F.max(F.when(F.col("label") == positive, f1)), F.lit(0.0)).alias("binary"), (F.sum("tp2") / F.sum("both")).alias("micro"),
+        F.avg(f1).alias("macro"), (F.sum(f1 * F.col("true")) / F.sum("true")).alias("weighted"),
+    )
+
+
+def draw_terms(counts: DataFrame, term: str, count: str, least: int, n: int, seed: int, known: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """n terms, first in hash order, of those with at least `least` uses that are in `known` and not in `excluded`."""
+    some = counts.where(F.col(count) >= least)
+    if known is not None:
+        some = some.join(known.select(term), term, "left_semi")
+    if excluded is not None:
+        some = some.join(excluded.select(term), term, "left_anti")
+    return some.orderBy(shuffle_key(seed, term), term).limit(n)
+
+
 def calibration(df: DataFrame, label: str, p: str, bins: int, key: str) -> DataFrame:
     """By bin of equal counts in order of p: rows, mean p, share of label 1."""
     n = df.select(F.count(F.lit(1)).alias("all_"))

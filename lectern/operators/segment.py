@@ -32,6 +32,22 @@ def rejoin(sents: DataFrame, key: str, pos: str, text: str, need_period: bool =
     )
 
 
+def rejoin_arrays(sents: DataFrame, key: str, pos: str, tokens: str, *others: str) -> DataFrame:
+    """Tokenised sentences that were split by mistake, glued in lock step: (key, grp, tokens, *others).
+
+    One is glued to the one before if that one's last token is a period and its own first is in lower case, a number, $ or %.
+    Sentences without tokens are left out.
+    """
+    order = Window.partitionBy(key).orderBy(pos)
+    some = sents.where(F.size(tokens) > 0)
+    first, last = F.get(tokens, F.lit(0)), F.element_at(tokens, -1)
+    goes_on = first.rlike(r"^(?=.*\p{Ll})[^\p{Lu}\p{Lt}]*$") | first.rlike(r"^\p{Nd}+$") | first.isin("$", "%")
+    glued = goes_on & F.coalesce(F.lag(last).over(order) == ".", F.lit(False))
+    grouped = some.withColumn("glued", glued).withColumn("grp", (F.sum(F.when(F.col("glued"), 0).otherwise(1)).over(order) - 1).cast("long"))
+    told = grouped.groupBy(key, "grp").agg(F.sort_array(F.collect_list(F.struct(pos, tokens, *others))).alias("s"))
+    return told.select(key, "grp", *[F.flatten(F.col("s")[c]).alias(c) for c in (tokens, *others)])
+
+
 def pack(lengths: Column, most: int = BLOCK_TOKENS) -> Column:
     """The block of each sentence, as an array: a block takes sentences until the next would exceed `most` tokens."""
     start = F.struct(F.array().cast("array<int>").alias("of"), F.lit(-1).alias("block"), F.lit(0).cast("long").alias("have"))

@@ -20,11 +20,23 @@ def slope_by(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
 
 
 def within_slope(df: DataFrame, group: str, y: str, x: str, w: str) -> DataFrame:
-    """The weighted slope with fixed effects of the group, as one row: deviations from weighted group means."""
+    """The weighted slope with fixed effects of the group, as one row: slope, n, robust_se, t; by deviations from weighted group means.
+
+    The standard error is robust to unequal variances, with n / (n - groups - 1) for the degrees of freedom. Squared residuals are
+    sums of powers of the deviations, so one pass after the means is enough.
+    """
     fine = Window.partitionBy(group)
     mean = lambda c: F.sum(F.col(c) * F.col(w)).over(fine) / F.sum(w).over(fine)
-    dev = df.select(F.col(w).alias("w"), (F.col(y) - mean(y)).alias("dy"), (F.col(x) - mean(x)).alias("dx"))
-    return dev.agg((F.sum(F.col("w") * F.col("dx") * F.col("dy")) / F.sum(F.col("w") * F.col("dx") * F.col("dx"))).alias("slope"), F.count(F.lit(1)).alias("n"))
+    dev = df.select(F.col(group).alias("g"), F.col(w).cast("double").alias("w"), (F.col(y) - mean(y)).alias("dy"), (F.col(x) - mean(x)).alias("dx"))
+    wx = F.col("w") * F.col("dx")
+    powers = {"xy": wx * F.col("dy"), "xx": wx * F.col("dx"), "x2y2": (wx * F.col("dy")) ** 2, "x3y": wx * wx * F.col("dx") * F.col("dy"), "x4": (wx * F.col("dx")) ** 2}
+    sums = dev.groupBy("g").agg(*[F.sum(e).alias(c) for c, e in powers.items()], F.count(F.lit(1)).alias("n"))
+    sums = sums.agg(*[F.sum(c).alias(c) for c in powers], F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    slope = F.col("xy") / F.col("xx")
+    spread = F.greatest(F.col("x2y2") - 2 * slope * F.col("x3y") + slope * slope * F.col("x4"), F.lit(0.0))
+    freedom = F.col("n") - F.col("groups") - 1
+    se = F.when(freedom > 0, F.sqrt(spread * F.col("n") / freedom) / F.col("xx"))
+    return sums.select(slope.alias("slope"), "n", se.alias("robust_se"), F.try_divide(slope, se).alias("t"))
 
 
 def zscore(df: DataFrame, keys: list[str], x: str, out: str = "z") -> DataFrame:

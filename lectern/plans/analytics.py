@@ -455,6 +455,15 @@ def f1_by_class(t: Tables) -> DataFrame:
     return labels.f1_by_class(judged(t), "y", "y_hat", "w").select("label", r6(F.col("f1")).alias("f1"))
 
 
+@query("f1_scores", f"""
+with d as ({_EVAL}), k as (select unnest([0, 1]) as label),
+c as (select label, sum(case when y = label and y_hat = label then w else 0 end) as tp, sum(case when y = label then w else 0 end) as t, sum(case when y_hat = label then w else 0 end) as p from d cross join k group by label)
+select round(max(case when label = 1 then 2 * tp / (t + p) end), 6) as "binary", round(sum(tp) / sum(t), 6) as micro, round(avg(2 * tp / (t + p)), 6) as macro, round(sum(t * 2 * tp / (t + p)) / sum(t), 6) as weighted from c
+""")
+def f1_scores(t: Tables) -> DataFrame:
+    return labels.f1_scores(judged(t), "y", "y_hat", "w").select(*[r6(F.col(c)).alias(c) for c in ("binary", "micro", "macro", "weighted")])
+
+
 @query("calibration", f"""
 with d as (select *, floor((row_number() over (order by p, doc_id) - 1) * 8 / count(*) over ()) as bin from ({_EVAL})) select cast(bin as bigint) as bin, count(*) as n, round(avg(p), 6) as mean_p, round(avg(y), 6) as share from d group by 1
 """)
@@ -506,6 +515,16 @@ def fe_slope(t: Tables) -> DataFrame:
     return stats.within_slope(t.lineitem, "l_returnflag", "l_extendedprice", "l_discount", "l_quantity").select(F.round("slope", 3).alias("slope"), "n")
 
 
+@query("fe_robust", """
+with m as (select *, sum(l_extendedprice * l_quantity) over w / sum(l_quantity) over w as my, sum(l_discount * l_quantity) over w / sum(l_quantity) over w as mx from lineitem window w as (partition by l_returnflag)),
+d as (select l_quantity::double as w, l_discount - mx as x, l_extendedprice - my as y from m), b as (select sum(w * x * y) / sum(w * x * x) as b, sum(w * x * x) as xx, count(*) as n from d), g as (select count(distinct l_returnflag) as g from lineitem),
+r as (select sqrt(sum(w * w * x * x * (y - b * x) * (y - b * x)) * max(n) / (max(n) - max(g) - 1)) / max(xx) as se, max(b) as b from d cross join b cross join g)
+select round(se, 2) as robust_se, round(b / se, 4) as t from r
+""")
+def fe_robust(t: Tables) -> DataFrame:
+    return stats.within_slope(t.lineitem, "l_returnflag", "l_extendedprice", "l_discount", "l_quantity").select(F.round("robust_se", 2).alias("robust_se"), F.round("t", 4).alias("t"))
+
+
 @query("election_features", """
 select cast(year(o_orderdate) as integer) as year, cast(year(o_orderdate) % 2 as integer) as odd, cast(case when year(o_orderdate) >= 1995 then 1 else 0 end as integer) as late, count(*) as n, round(avg(o_totalprice), 3) as price from orders group by 1, 2, 3 having count(*) >= 10
 """)

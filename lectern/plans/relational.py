@@ -472,3 +472,13 @@ def months_to_election(t: Tables) -> DataFrame:
     m = t.orders.select(F.trunc("o_orderdate", "month").alias("m")).distinct()
     day = F.date_format("m", "yyyyMMdd").cast("int")
     return m.select("m", dates.months_to_election(F.col("m")).alias("months"), dates.year_of_int(day).alias("year"), dates.month_of_int(day).alias("yearmonth"))
+
+
+@query("term_label", """
+with p as (select case when o_orderpriority = '1-URGENT' then 'Grover Cleveland' else o_orderpriority end as person, year(o_orderdate) - 103 as y from orders)
+select case when person <> 'Grover Cleveland' then person when y < 1892 then 'Grover Cleveland (85-89)' else 'Grover Cleveland (93-97)' end as person, count(*) as n from p group by 1
+""")
+def term_label(t: Tables) -> DataFrame:
+    person = F.when(F.col("o_orderpriority") == "1-URGENT", "Grover Cleveland").otherwise(F.col("o_orderpriority"))
+    named = t.orders.select(dates.term_label(person, F.year("o_orderdate") - 103).alias("person"))
+    return named.groupBy("person").agg(F.count(F.lit(1)).alias("n"))

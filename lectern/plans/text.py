@@ -177,12 +177,13 @@ def bigram_append(t: Tables) -> DataFrame:
 with a as (select conv_id, turn, {WORDS.format(x='lower(text)')} as w from conversations),
 g as (select conv_id, turn, list_transform(range(1, len(w)), lambda i: w[i:i + 1]) as g from a)
 select conv_id, turn, cast(len(g) as bigint) as n_all, cast(len(list_filter(g, lambda x: len(list_filter(x, lambda y: not regexp_matches(y, '^\\p{{L}}+$'))) = 0)) as bigint) as n_alpha,
+  cast(len(list_filter(g, lambda x: len(list_filter(x, lambda y: not regexp_matches(y, '[a-zA-Z0-9]'))) = 0)) as bigint) as n_alnum,
   md5(array_to_string(list_transform(g, lambda x: array_to_string(x, '_')), ' ')) as grams_md5 from g
 """)
 def ngrams(t: Tables) -> DataFrame:
     w = t.conversations.select("conv_id", "turn", tokens_of().alias("w"))
-    g = w.select("conv_id", "turn", T.ngrams(F.col("w"), 2).alias("g"), F.size(T.ngrams(F.col("w"), 2, "alpha")).alias("a"))
-    return g.select("conv_id", "turn", i64(F.size("g")).alias("n_all"), i64(F.col("a")).alias("n_alpha"), F.md5(F.array_join("g", " ")).alias("grams_md5"))
+    g = w.select("conv_id", "turn", T.ngrams(F.col("w"), 2).alias("g"), *[i64(F.size(T.ngrams(F.col("w"), 2, k))).alias(f"n_{k}") for k in ("alpha", "alnum")])
+    return g.select("conv_id", "turn", i64(F.size("g")).alias("n_all"), "n_alpha", "n_alnum", F.md5(F.array_join("g", " ")).alias("grams_md5"))
 
 
 _CLEAN = f"""select doc_id, lang, list_transform({WORDS.format(x='text')}, lambda x: case when lower(x) in ('the', 'of', 'and', 'la', 'de', 'der', 'die')
@@ -195,6 +196,17 @@ def token_clean(t: Tables) -> DataFrame:
     return s.select("doc_id", i64(F.size(F.filter("c", lambda x: x == "_"))).alias("n_dropped"), F.md5(F.array_join("c", " ")).alias("clean_md5"))
 
 
+@query("token_clean_kept", rf"""
+select doc_id, cast(len(list_filter(c, lambda x: regexp_matches(x, '^\p{{L}}+$'))) as bigint) as n_alpha, cast(len(list_filter(c, lambda x: regexp_matches(x, '[a-zA-Z0-9]'))) as bigint) as n_alnum,
+  md5(array_to_string(list_transform(c, lambda x: case when regexp_matches(x, '^\p{{L}}+$') then x else '_' end), ' ')) as clean_md5 from ({_CLEAN})
+""")
+def token_clean_kept(t: Tables) -> DataFrame:
+    w = T.words(F.col("text"))
+    s = t.documents.select("doc_id", *[T.clean_tokens(w, STOP, k).alias(k) for k in ("alpha", "alnum")])
+    kept = [i64(F.size(F.filter(k, lambda x: x != "_"))).alias(f"n_{k}") for k in ("alpha", "alnum")]
+    return s.select("doc_id", *kept, F.md5(F.array_join("alpha", " ")).alias("clean_md5"))
+
+
 @query("feda_features", f"select doc_id, cast(2 * len(c) as bigint) as n, md5(array_to_string(list_concat(c, list_transform(c, lambda x: x || '__' || substr(lang, 1, 10))), ' ')) as features_md5 from ({_CLEAN})")
 def feda_features(t: Tables) -> DataFrame:
     s = t.documents.select("doc_id", T.domain_features(T.clean_tokens(T.words(F.col("text")), STOP), F.col("lang")).alias("c"))
@@ -269,6 +281,21 @@ def sentence_rejoin(t: Tables) -> DataFrame:
     return segment.rejoin(lines(t), "doc_id", "pos", "line").select("doc_id", "grp", "n_sents", F.md5("text").alias("text_md5"))
 
 
+@query("arrays_rejoin", rf"""
+with l as (select doc_id, unnest(range(len(s))) as pos, unnest(s) as line from (select doc_id, string_split(replace(text, ', ', ' .' || chr(10)), chr(10)) as s from documents)),
+k as (select doc_id, pos, {WORDS.format(x='line')} as w from l),
+f as (select doc_id, pos, w, case when (regexp_matches(w[1], '^[^\p{{Lu}}\p{{Lt}}]*\p{{Ll}}[^\p{{Lu}}\p{{Lt}}]*$') or regexp_matches(w[1], '^\p{{Nd}}+$') or w[1] in ('$', '%')) and lag(w[len(w)]) over o = '.' then 0 else 1 end as b
+      from k where len(w) > 0 window o as (partition by doc_id order by pos)),
+g as (select doc_id, pos, w, sum(b) over (partition by doc_id order by pos) - 1 as grp from f)
+select doc_id, cast(grp as bigint) as grp, cast(sum(len(w)) as bigint) as n_tokens, md5(string_agg(array_to_string(w, ' '), ' ' order by pos)) as tokens_md5, md5(string_agg(lower(array_to_string(w, ' ')), ' ' order by pos)) as lemmas_md5 from g group by doc_id, grp
+""")
+def arrays_rejoin(t: Tables) -> DataFrame:
+    pieces = F.split(F.replace("text", F.lit(", "), F.lit(" .\n")), "\n")
+    w = t.documents.select("doc_id", F.posexplode(pieces).alias("pos", "line")).select("doc_id", "pos", T.words(F.col("line")).alias("w"))
+    glued = segment.rejoin_arrays(w.withColumn("lemmas", F.transform("w", F.lower)), "doc_id", "pos", "w", "lemmas")
+    return glued.select("doc_id", "grp", i64(F.size("w")).alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens_md5"), F.md5(F.array_join("lemmas", " ")).alias("lemmas_md5"))
+
+
 @query("block_pack", rf"""
 with recursive s as (select doc_id, row_number() over (partition by doc_id order by pos) as i, n from (
    select doc_id, pos, cast(len({WORDS.format(x='line')}) as bigint) as n from ({LINES}) where line <> '')),
@@ -421,8 +448,24 @@ def idf_raw(t: Tables) -> DataFrame:
 @query("noun_filter", rf"select doc_id, cast(len(list_filter({WORDS.format(x='lower(text)')}, lambda x: x in ('the', 'la', 'der'))) as bigint) as n_nouns from documents")
 def noun_filter(t: Tables) -> DataFrame:
     w = t.documents.select("doc_id", tokens_of().alias("w"))
-    tagged = F.arrays_zip(F.col("w").alias("t"), F.transform("w", lambda x: F.when(x.isin("the", "la", "der"), "NN").otherwise("X")).alias("g"))
-    return w.select("doc_id", i64(F.size(F.filter(tagged, lambda x: F.startswith(x["g"], F.lit("N"))))).alias("n_nouns"))
+    tags = F.transform("w", lambda x: F.when(x.isin("the", "la", "der"), "NN").otherwise("X"))
+    return w.select("doc_id", i64(F.size(T.nouns(F.col("w"), tags))).alias("n_nouns"))
+
+
+@query("random_terms", f"""
+with c as (select unnest({WORDS.format(x='lower(text)')}) as term from documents), n as (select term, count(*) as n from c group by 1 having count(*) >= 50), v as (select distinct unnest({WORDS.format(x='lower(text)')}) as term from benchmark)
+select term, n from n where term in (select term from v) and term not in ('the', 'of', 'and', 'la', 'de', 'der', 'die') order by md5(concat_ws('|', term, '7')), term limit 50
+""")
+def random_terms(t: Tables) -> DataFrame:
+    uses = t.documents.select(F.explode(tokens_of()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    known = t.benchmark.select(F.explode(tokens_of()).alias("term")).distinct()
+    return labels.draw_terms(uses, "term", "n", 50, 50, 7, known, F.broadcast(t.rows("term string", *[(x,) for x in STOP])))
+
+
+@query("comma_list", "select conv_id, turn, cast(len(l) as bigint) as n, l[1] as first from (select conv_id, turn, string_split(text, ',') as l from conversations)")
+def comma_list(t: Tables) -> DataFrame:
+    parts = t.conversations.select("conv_id", "turn", T.comma_list(F.col("text")).alias("l"))
+    return parts.select("conv_id", "turn", i64(F.size("l")).alias("n"), F.get("l", F.lit(0)).alias("first"))
 
 
 @query("combinations", "select a.r_name as a, b.r_name as b from region a join region b on a.r_regionkey < b.r_regionkey")

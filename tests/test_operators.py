@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,41 @@ def test_many_ranges_meet_by_cells(spark, monkeypatch):
     many = [joins.in_range(f, r, "at", "low", "high") for f, r in ((facts, ranges), (days, terms))]
     assert [sorted(map(tuple, m.collect())) for m in many] == few and all(m.columns == ["at", "low", "high"] for m in many)
     assert "Cartesian" not in many[0]._jdf.queryExecution().toString() and "NestedLoop" not in many[0]._jdf.queryExecution().toString()
+
+
+def test_arrays_are_glued_in_lock_step(spark):
+    sents = [(1, 0, ["Mr", "."], ["mr", "."]), (1, 1, ["smith", "said", "."], ["smith", "say", "."]), (1, 2, [], []), (1, 3, ["But", "."], ["but", "."]), (1, 4, ["1882"], ["1882"]), (1, 5, ["now"], ["now"]), (2, 0, ["so"], ["so"])]
+    df = spark.createDataFrame(sents, "id long, pos int, tokens array<string>, lemmas array<string>").repartition(3)
+    got = {(r.id, r.grp): (r.tokens, r.lemmas) for r in segment.rejoin_arrays(df, "id", "pos", "tokens", "lemmas").collect()}
+    assert got == {
+        (1, 0): (["Mr", ".", "smith", "said", "."], ["mr", ".", "smith", "say", "."]), (1, 1): (["But", ".", "1882"], ["but", ".", "1882"]),
+        (1, 2): (["now"], ["now"]), (2, 0): (["so"], ["so"]),
+    }
+
+
+def test_f1_scores_without_true_positives_and_over_three_labels(spark):
+    schema = "y int, p int, w double"
+    none = labels.f1_scores(spark.createDataFrame([(1, 0, 1.0), (0, 0, 3.0)], schema), "y", "p", "w").first()
+    assert none["binary"] == 0 and none["micro"] == pytest.approx(0.75) and none["macro"] == pytest.approx(6 / 7 / 2)
+    some = labels.f1_scores(spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (1, 2, 1.0), (2, 2, 2.0)], schema), "y", "p", "w").first()
+    assert some["micro"] == pytest.approx(0.8) and some["macro"] == pytest.approx((1 + 2 / 3 + 0.8) / 3) and some["weighted"] == pytest.approx((1 + 2 * 2 / 3 + 2 * 0.8) / 5)
+
+
+def test_robust_error_by_matrices(spark):
+    rng = np.random.default_rng(4)
+    g, x, w = rng.integers(0, 4, 80), rng.normal(size=80), rng.uniform(0.5, 2, 80)
+    y = 2 * x + g + rng.normal(size=80) * (1 + abs(x))
+    design = np.column_stack([x, *[g == i for i in range(4)]]).astype(float)
+    bread = np.linalg.inv(design.T @ (design * w[:, None]))
+    beta = bread @ (design.T @ (w * y))
+    meat = design * (w * (y - design @ beta))[:, None]
+    cov = bread @ (meat.T @ meat) @ bread * 80 / (80 - 5)
+    df = spark.createDataFrame([(int(a), float(b), float(c), float(d)) for a, b, c, d in zip(g, y, x, w, strict=True)], "g int, y double, x double, w double")
+    got = stats.within_slope(df, "g", "y", "x", "w").first()
+    assert got.slope == pytest.approx(beta[0]) and got.robust_se == pytest.approx(cov[0, 0] ** 0.5)
+
+
+def test_terms_of_the_president_elected_twice(spark):
+    rows = [("Grover Cleveland", 1891), ("Grover Cleveland", 1892), ("Grover Cleveland", None), ("James A. Garfield", 1881), (None, 1900)]
+    got = spark.createDataFrame(rows, "who string, year int").select(dates.term_label(F.col("who"), F.col("year")).alias("x"))
+    assert [r.x for r in got.collect()] == ["Grover Cleveland (85-89)", "Grover Cleveland (93-97)", "Grover Cleveland", "James A. Garfield", None]
