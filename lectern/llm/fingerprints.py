@@ -12,10 +12,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACE, col, fresh
+from lectern.llm.common import SPACE, checkpoint, col, fresh
 
 BITS = 64
 LANES = 0x0000000100000001
+#: Bits that near fingerprints may differ in, and how many blocks more than that a fingerprint is cut into.
+RADIUS, SPARE = 3, 3
 #: Cells of about equal counts, each cut into ranges of equal width; the ranges bound the broadcast.
 CELLS, MOST_RANGES, ROWS_A_RANGE = 64, 65_536, 2_000
 
@@ -65,27 +67,58 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return votes.agg(*[c.alias(n) for n, c in vote_sums(col(term)).items()]).select(col(id_col), simhash().alias("fingerprint"))
 
 
-def near_pairs(prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
-    """All pairs (a, b, distance), a < b, of different values of `fingerprint` within the radius.
+def _near(values: DataFrame, radius: int, spare: int) -> DataFrame:
+    """The ordered pairs (a, b, distance) of different values within the radius, each once.
 
-    The 64 bits are cut into radius + spare blocks. Fingerprints within the radius agree on at least
-    `spare` whole blocks, so each choice of `spare` blocks is a table keyed by their bits. Documents
-    with one fingerprint enter once; null fingerprints take no part; an empty table gives an empty result. Other columns of prints play no part.
+    The 64 bits are cut into radius + spare blocks. Fingerprints within the radius agree on at least `spare` whole
+    blocks, so each choice of `spare` blocks is a table keyed by their bits. A pair counts in the table of the first blocks
+    that it agrees on: between these, every block that isn't chosen differs. Distance and blocks are conditions of the
+    join, which thus gives no other row.
     """
     n = radius + spare
     edges = [BITS * i // n for i in range(n + 1)]
-    masks = []
-    for chosen in combinations(range(n), spare):
-        mask = sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen)
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    blocks = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:], strict=False)]
+    long = lambda m: F.lit(signed(m)).cast("long")
+    tables = []
+    for t, chosen in enumerate(combinations(range(n), spare)):
+        passed = [blocks[i] for i in range(chosen[-1]) if i not in chosen]
+        passed += [0] * (radius - len(passed))
+        key = F.col("fingerprint").bitwiseAND(long(sum(blocks[i] for i in chosen)))
+        tables.append(F.struct(F.lit(t).alias("t"), key.alias("k"), *[long(m).alias(f"m{i}") for i, m in enumerate(passed)]))
+    spread = values.select("fingerprint", F.explode(F.array(*tables)).alias("e")).select("fingerprint", "e.*")
+    left = spread.withColumnRenamed("fingerprint", "a")
+    right = spread.select(F.col("fingerprint").alias("b"), "t", "k")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    wanted = (F.col("a") != F.col("b")) & (F.bit_count(apart) <= radius)
+    for i in range(radius):
+        wanted = wanted & ((F.col(f"m{i}") == 0) | (apart.bitwiseAND(F.col(f"m{i}")) != 0))
+    return left.join(right, ["t", "k"]).where(wanted).select("a", "b", F.bit_count(apart).alias("distance"))
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
+    """All pairs (a, b, distance), a < b, of different values of `fingerprint` within the radius.
+
+    Documents with one fingerprint enter once; null fingerprints take no part; an empty table gives an empty result.
+    Other columns of prints play no part.
+    """
     values = prints.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-    tables = values.select(
-        "fingerprint",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(masks)])).alias("e"),
-    ).select("fingerprint", "e.t", "e.k")
-    left, right = tables.withColumnRenamed("fingerprint", "a"), tables.withColumnRenamed("fingerprint", "b")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, ["t", "k"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    return _near(values, radius, spare).where(F.col("a") < F.col("b"))
+
+
+def with_near_counts(df: DataFrame, fingerprint: str = "fingerprint", radius: int = RADIUS, spare: int = SPARE, out: str = "near_fingerprints") -> DataFrame:
+    """df with `out`: how many other fingerprints of df are within the radius of the row's own.
+
+    fingerprint is text as by as_text(). Rows with one fingerprint have one count and are no neighbours of each other; a null
+    fingerprint has 0; an empty table gives an empty result. df may have columns of any name but `out`. It is read twice. Pairs are
+    counted where they are found and aren't shuffled; comparing is work with the square of the fingerprints that share a block table's key.
+    """
+    value, count = fresh(df, "value_", "count_")
+    named = df.withColumn(value, F.conv(col(fingerprint), 16, -10).cast("long"))
+    values = named.select(col(value).alias("fingerprint")).where("fingerprint is not null").distinct()
+    # Stored, so that the join below reads two plain exchanges, of which Spark can split a hot fingerprint's.
+    counts = checkpoint(_near(values, radius, spare).groupBy("a").agg(F.count(F.lit(1)).alias(count)).withColumnRenamed("a", value))
+    return named.join(counts, value, "left").select(*map(col, df.columns), F.coalesce(col(count), F.lit(0)).cast("long").alias(out))
 
 
 def _ranges(df: DataFrame, key: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import byte_bpe, chat_format, exact_dedup, fingerprints, jaccard_join, language_id, mixing, quality, sharding, substring_dedup
+from lectern.llm.common import checkpoint
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +87,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.with_edited(_table(spark, sf_dir, "documents"))
+    return fingerprints.with_near_counts(checkpoint(fingerprints.with_edited(_table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -75,4 +75,31 @@ def test_near_pairs_match_brute_force(spark):
     df = spark.createDataFrame([(v,) for v in signed] + [(None,), (signed[0],)], "fingerprint long")
     far = lambda a, b: bin((a ^ b) % (1 << 64)).count("1")
     want = {(a, b, far(a, b)) for a in signed for b in signed if a < b and far(a, b) <= 3}
-    assert {(r.a, r.b, r.distance) for r in P.near_pairs(df, 3).collect()} == want and len(want) > 30
+    for spare in (1, 2, 3):
+        pairs = P.near_pairs(df, 3, spare).collect()
+        assert {(r.a, r.b, r.distance) for r in pairs} == want and len(pairs) == len(want) > 30
+    assert {(r.a, r.b) for r in P.near_pairs(df, 1, 3).collect()} == {(a, b) for a, b, d in want if d == 1}
+
+
+def test_near_counts_match_brute_force(spark):
+    draw = random.Random(3)
+    hot = draw.getrandbits(64)
+    values = [hot] * 200 + [hot ^ (1 << 63) ^ (1 << j) for j in range(40)] + [draw.getrandbits(64) for _ in range(50)] + [0, 1, (1 << 64) - 1]
+    rows = [(i, f"{v:016x}", "x") for i, v in enumerate(values)] + [(-1, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string, count_ string")
+    want = {f"{v:016x}": sum(0 < bin(v ^ w).count("1") <= 3 for w in set(values)) for v in values} | {None: 0}
+    got = P.with_near_counts(df)
+    assert got.columns == [*df.columns, "near_fingerprints"]
+    assert sorted((r.doc_id, r.near_fingerprints) for r in got.collect()) == sorted((i, want[f]) for i, f, _ in rows)
+    assert want[f"{hot:016x}"] == 40 and P.with_near_counts(df.limit(0)).count() == 0
+
+
+def test_query_counts_all_near_fingerprints(spark, sf_dir):
+    from lectern.llm.queries import queries
+
+    rows = queries()["op10_fingerprints"](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    values = {int(r.fingerprint, 16) for r in rows}
+    for r in rows:
+        own = int(r.fingerprint, 16)
+        assert r.near_fingerprints == sum(0 < (own ^ v).bit_count() <= P.RADIUS for v in values)
