@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, chat_format, exact_dedup, fingerprints, jaccard_join, language_id, mixing, quality, sharding, substring_dedup
+from lectern.llm import byte_bpe, chat_format, exact_dedup, fingerprints, jaccard_join, language_id, mixing, periodic_runs, quality, sharding, substring_dedup
 from lectern.llm.common import checkpoint
 
 
@@ -90,6 +90,28 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_near_counts(checkpoint(fingerprints.with_edited(_table(spark, sf_dir, "documents"))))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = F.crc32(F.col("doc_id").cast("string"))
+    lot, n = F.floor(drawn / 10), F.greatest(periodic_runs.n_words(F.col("text")), F.lit(1))
+    first = lot % n
+    period = 1 + F.floor((n - first) / (3 + lot % 8))
+    loops = (drawn % 10 == 0) & (periodic_runs.n_words(F.col("text")) > 0)
+    text = F.when(loops, periodic_runs.looped(F.col("text"), first.cast("int"), period.cast("int"))).otherwise(F.col("text"))
+    found = periodic_runs.find_runs(_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -102,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_mixing": op9_mixing,
         "op10_fingerprints": op10_fingerprints,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
