@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, chat_format, exact_dedup, fingerprints, jaccard_join, language_id, mixing, periodic_runs, quality, sharding, substring_dedup
+from lectern.llm import byte_bpe, chat_format, exact_dedup, fingerprints, jaccard_join, language_id, mixing, periodic_runs, quality, sharding, source_divergence, substring_dedup
 from lectern.llm.common import checkpoint
 
 
@@ -90,6 +90,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_near_counts(checkpoint(fingerprints.with_edited(_table(spark, sf_dir, "documents"))))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = F.crc32(F.col("doc_id").cast("string"))
     lot, n = F.floor(drawn / 10), F.greatest(periodic_runs.n_words(F.col("text")), F.lit(1))
@@ -124,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_mixing": op9_mixing,
         "op10_fingerprints": op10_fingerprints,
+        "op12_source_divergence": op12_source_divergence,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -156,5 +161,42 @@ from c
 """
 
 
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), t as (select id, lang, source, unnest(w) as term from d
+), kept as (select lang, term from t group by lang, term having count(distinct id) >= 30
+), c as (select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by lang, source, term
+), v as (select lang, count(*) as v from kept group by lang
+), g as (
+  select g.lang, g.source, coalesce(sum(c.n), 0) as total, coalesce(max(v.v), 0) as v
+  from (select distinct lang, source from d) g left join c using (lang, source) left join v using (lang) group by g.lang, g.source
+), p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) as p
+  from g join kept k using (lang) left join c using (lang, source, term)
+), l as (select lang, sum(total) as total, max(v) as v from g group by lang
+), q as (
+  select k.lang, k.term, 1 + (1000000000::hugeint * (coalesce(sum(c.n), 0) + 5)) // (max(l.total) + 5 * max(l.v)) as q
+  from kept k join l using (lang) left join c using (lang, term) group by k.lang, k.term
+), pairs as (
+  select a.lang, a.source, b.source as item, coalesce(x.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+             from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source) x
+    on x.lang = a.lang and x.source = a.source and x.item = b.source
+), both_parts as (
+  select lang, source, 'pair' as part, item, cast(value as bigint) as value from pairs
+  union all
+  select p.lang, p.source, 'term', p.term, cast(p.p - q.q as bigint) from p join q on p.lang = q.lang and p.term = q.term where p.n > 0 and p.p > q.q
+)
+select lang, source, part, item, value,
+       cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+from both_parts
+qualify part = 'pair' or rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op12_source_divergence": OP12_SQL}
