@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, chat_format, exact_dedup, fingerprints, jaccard_join, language_id, mixing, periodic_runs, quality, sharding, source_divergence, substring_dedup
+from lectern.llm import byte_bpe, chat_format, decontamination, exact_dedup, fingerprints, jaccard_join, language_id, mixing, periodic_runs, quality, sharding, source_divergence, substring_dedup
 from lectern.llm.common import checkpoint
 
 
@@ -90,6 +90,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_near_counts(checkpoint(fingerprints.with_edited(_table(spark, sf_dir, "documents"))))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(_table(spark, sf_dir, "documents"))
 
@@ -128,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_mixing": op9_mixing,
         "op10_fingerprints": op10_fingerprints,
+        "op11_decontamination": op11_decontamination,
         "op12_source_divergence": op12_source_divergence,
         "op13_periodic_runs": op13_periodic_runs,
     }
@@ -161,6 +174,30 @@ from c
 """
 
 
+OP11_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), win as (
+  select distinct item_id, n, array_to_string(w[s : s + n - 1], ' ') as said
+  from (select item_id, w, least(10, len(w)) as n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as s from b where len(w) > 0)
+), occ as (
+  select doc_id, s, g.n, said
+  from (select doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') as said
+        from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from win))) g
+  semi join win on win.said = g.said and win.n = g.n
+), hit as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(s, s + n)) as place from occ) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from occ join win using (said, n)) group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit using (doc_id) left join named using (doc_id)
+"""
+
 OP12_SQL = r"""
 with d as (
   select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
@@ -199,4 +236,4 @@ qualify part = 'pair' or rank <= 50
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op11_decontamination": OP11_SQL, "op12_source_divergence": OP12_SQL}
