@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.tails import t_tail
+from lectern.operators.calibration import ordered_places
+from lectern.operators.joins import SMALL
+from lectern.storage import checkpoint
+
 
 def slope_by(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
-    """Ordinary least squares by group: n, slope, intercept, standard error of the slope and t."""
+    """Ordinary least squares by group: n, slope, intercept, standard error of the slope, t and its two-sided p."""
     out = df.groupBy(*keys).agg(
         F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"),
         F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
     )
     rest = F.try_divide(F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx")), F.col("n") - 2)
     se = F.sqrt(F.try_divide(F.greatest(rest, F.lit(0.0)), F.col("sxx")))
-    return out.withColumn("se", F.when(F.col("n") > 2, se)).withColumn("t", F.try_divide("slope", "se")).drop("sxx", "syy", "sxy")
+    out = out.withColumn("se", F.when(F.col("n") > 2, se)).withColumn("t", F.try_divide("slope", "se")).drop("sxx", "syy", "sxy")
+    return out.withColumn("p", t_tail(F.col("t"), F.col("n") - 2))
+
+
+def starred(slopes: DataFrame, tests: int, alpha: float = 0.05) -> DataFrame:
+    """slopes with star: whether p is below alpha divided by the number of tests."""
+    return slopes.withColumn("star", F.col("p") < alpha / tests)
 
 
 def within_slope(df: DataFrame, group: str, y: str, x: str, w: str) -> DataFrame:
     """The weighted slope with fixed effects of the group, as one row: slope, n, robust_se, t; by deviations from weighted group means.
 
     The standard error is robust to unequal variances, with n / (n - groups - 1) for the degrees of freedom. Squared residuals are
-    sums of powers of the deviations, so one pass after the means is enough.
+    sums of powers of the deviations, so one pass after the means is enough. Means are aggregates, broadcast where groups are few; a null group is one of its own.
     """
-    fine = Window.partitionBy(group)
-    mean = lambda c: F.sum(F.col(c) * F.col(w)).over(fine) / F.sum(w).over(fine)
-    dev = df.select(F.col(group).alias("g"), F.col(w).cast("double").alias("w"), (F.col(y) - mean(y)).alias("dy"), (F.col(x) - mean(x)).alias("dx"))
+    rows = df.select(F.col(group).alias("g"), F.col(w).cast("double").alias("w"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
+    weighted = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"m{c}")
+    means = checkpoint(rows.groupBy("g").agg(weighted("y"), weighted("x")))
+    means = F.broadcast(means) if means.count() <= SMALL else means
+    on = F.col("g").eqNullSafe(F.col("g_"))
+    dev = rows.join(means.withColumnRenamed("g", "g_"), on).select("g", "w", (F.col("y") - F.col("my")).alias("dy"), (F.col("x") - F.col("mx")).alias("dx"))
     wx = F.col("w") * F.col("dx")
     powers = {"xy": wx * F.col("dy"), "xx": wx * F.col("dx"), "x2y2": (wx * F.col("dy")) ** 2, "x3y": wx * wx * F.col("dx") * F.col("dy"), "x4": (wx * F.col("dx")) ** 2}
     sums = dev.groupBy("g").agg(*[F.sum(e).alias(c) for c, e in powers.items()], F.count(F.lit(1)).alias("n"))
@@ -47,49 +59,9 @@ def zscore(df: DataFrame, keys: list[str], x: str, out: str = "z") -> DataFrame:
 
 
 def average_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
-    """Ranks from 1 with ties at their mean: by distinct value, of which only counts meet."""
-    n = df.groupBy(x).agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.partitionBy(F.lit(0)).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = n.select(F.col(x), (F.coalesce(F.sum("n_").over(before), F.lit(0)) + (F.col("n_") + 1) / 2).alias(out))
-    return df.join(ranks, x)
-
-
-def t_p_value(t: float, df: int) -> float:
-    """Two-sided, by the incomplete beta function's continued fraction."""
-    if math.isnan(t) or df <= 0:
-        return float("nan")
-    return _incomplete_beta(df / 2, 0.5, df / (df + t * t))
-
-
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    f = d
-    for m in range(1, 300):
-        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + k * d) or 1e-300)
-            c = (1 + k / c) or 1e-300
-            f *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * f
-
-
-def permutation_test(df: DataFrame, value: str, group: str, key: str, replicates: int = 20_000, seed: int = 42) -> DataFrame:
-    """One-sided: how often a random split has a mean difference at least as large as that of group 1 against 0.
-
-    A row's side in a replicate is drawn by a hash, and only sums by replicate are shuffled: values
-    meet no driver and no window. Sides keep their expected sizes, not their exact ones.
-    """
-    share = df.agg(F.avg(F.col(group).cast("double")).alias("share_"), (F.avg(F.when(F.col(group) == 1, F.col(value))) - F.avg(F.when(F.col(group) == 0, F.col(value)))).alias("seen"))
-    draws = df.select(key, value).crossJoin(F.broadcast(share)).select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    side = F.pmod(F.xxhash64(key, "rep", F.lit(seed)), F.lit(1 << 30)) < F.col("share_") * (1 << 30)
-    diffs = draws.groupBy("rep").agg(F.max("seen").alias("seen"), (F.avg(F.when(side, F.col(value))) - F.avg(F.when(~side, F.col(value)))).alias("diff"))
-    return diffs.agg(F.max("seen").alias("seen"), F.avg((F.col("diff") >= F.col("seen")).cast("double")).alias("p_value"), F.count(F.lit(1)).alias("replicates"))
+    """df with ranks from 1, ties at their mean: places in ranges of the order, where equal values needn't meet in one task."""
+    placed = ordered_places(df.select(x, F.xxhash64(*df.columns).alias("salt_")), [x, "salt_"])
+    return df.join(placed.groupBy(x).agg((F.avg("place") + 1).alias(out)), x)
 
 
 def beta_interval(df: DataFrame, keys: list[str], alpha: str, beta: str, draws: int = 100_000) -> DataFrame:

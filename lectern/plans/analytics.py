@@ -497,16 +497,6 @@ def regr_by_group(t: Tables) -> DataFrame:
     return s.select("c_mktsegment", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@query("trend_star", f"""
-with x as (select user_id, day / 30.0 as t, n from ({_DAYS})), s as (select user_id, count(*) as n, regr_slope(n, t) as b, sqrt(greatest(regr_syy(n, t) - regr_sxy(n, t) * regr_sxy(n, t) / regr_sxx(n, t), 0) / (count(*) - 2) / regr_sxx(n, t)) as se from x group by 1 having count(*) > 10)
-select user_id, n, round(b, 6) as slope, round(se, 6) as se, abs(b / se) > 3.2 as star from s
-""")
-def trend_star(t: Tables) -> DataFrame:
-    x = days(t).select("user_id", (F.col("day") / 30).alias("t"), "n")
-    s = stats.slope_by(x, ["user_id"], "n", "t").where("n > 10")
-    return s.select("user_id", "n", r6(F.col("slope")).alias("slope"), r6(F.col("se")).alias("se"), (F.abs(F.col("slope") / F.col("se")) > 3.2).alias("star"))
-
-
 @query("fe_slope", """
 with m as (select *, sum(l_extendedprice * l_quantity) over w / sum(l_quantity) over w as my, sum(l_discount * l_quantity) over w / sum(l_quantity) over w as mx from lineitem window w as (partition by l_returnflag))
 select round(sum(l_quantity * (l_discount - mx) * (l_extendedprice - my)) / sum(l_quantity * (l_discount - mx) * (l_discount - mx)), 3) as slope, count(*) as n from m
@@ -562,12 +552,6 @@ def linear_shap(t: Tables) -> DataFrame:
     return models.linear_shap(f, w).select("key", "term", r6(F.col("shap")).alias("shap"))
 
 
-@query("permutation_test")
-def permutation_test(t: Tables) -> DataFrame:
-    d = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", "quality", F.ln(F.col("n_chars") + 1).alias("v"))
-    return stats.permutation_test(d, "v", "quality", "doc_id")
-
-
 @query("logistic_by_group")
 def logistic_by_group(t: Tables) -> DataFrame:
     d = t.customer.select("c_mktsegment", (F.col("c_acctbal") > 4000).cast("int").alias("y"), (F.col("c_nationkey") / 25).alias("x"))
