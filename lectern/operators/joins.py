@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.storage import checkpoint
+
 #: A dimension of at most so many rows is broadcast; larger ones meet by cells of the key.
 SMALL = 10_000
 
@@ -42,16 +44,68 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(a, b) / longest))
 
 
+#: Letters of a gram, and the likeness (per cent) above which grams must be shared.
+GRAM, LIKE = 2, 60.0
+
+
+def _grams(names: DataFrame, name: str) -> DataFrame:
+    """names with gram, a row for each pair of neighbouring letters, numbered where it comes again; of a shorter name itself."""
+    spots = F.sequence(F.lit(1), F.greatest(F.length(name) - GRAM + 1, F.lit(1)))
+    pairs = F.transform(spots, lambda i: F.substr(F.col(name), i, F.lit(GRAM)))
+    return names.withColumn("gram", F.explode(F.transform(pairs, lambda g, i: F.concat_ws("#", g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda x: x == g)).cast("string")))))
+
+
+def _with_prefix(names: DataFrame, block: list[str], name: str, found: DataFrame, like: float) -> DataFrame:
+    """(block, name, gram): for each name the rarest of its grams, so many that two names of the given likeness have one in common; '' for short ones.
+
+    Two names, the longer of m letters, that differ by e edits share m - 1 - 2 * e grams; so of the grams in any fixed order the first 2 * e + 1 of the
+    longer hold a common one, and of one with d letters less the first 2 * e + 1 - d. Where m - 1 <= 2 * e both are short and meet by the empty gram.
+    """
+    n, part = F.length(name), 1 - like / 100
+    less = F.sequence(F.lit(0), F.ceil(n * part / (1 - part)).cast("int"))
+    most = F.array_max(F.transform(less, lambda d: GRAM * F.floor((n + d) * part + 1e-9) + 1 - d))
+    order = Window.partitionBy(*block, name).orderBy("found_", "gram")
+    rare = _grams(names, name).join(found, [*block, "gram"]).withColumn("at_", F.row_number().over(order)).where(F.col("at_") <= most)
+    short = names.where(n * (1 - GRAM * part) <= GRAM - 1 + 1e-9)
+    return rare.select(*block, name, "gram").unionByName(short.select(*block, name, F.lit("").alias("gram")))
+
+
+def like_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, like: float = LIKE) -> DataFrame:
+    """(block, a, b): candidates among which are all pairs of a block with similarity() of `like` or more, 50 or more.
+
+    By block the cheaper of two ways: names that share one of their rarest letter pairs, or, where these are common, all pairs of lengths that can be alike.
+    """
+    lefts, rights = left.select(*block, a).where(F.col(a).isNotNull()).distinct(), right.select(*block, b).where(F.col(b).isNotNull()).distinct()
+    found = _grams(lefts, a).select(*block, "gram").unionAll(_grams(rights, b).select(*block, "gram")).groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("found_"))
+    one, two = _with_prefix(lefts, block, a, found, like), _with_prefix(rights, block, b, found, like)
+    count = lambda df, name, by: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    meet = count(one, "l_", [*block, "gram"]).join(count(two, "r_", [*block, "gram"]), [*block, "gram"]).groupBy(*block).agg(F.sum(F.col("l_") * F.col("r_")).alias("meet_"))
+    whole = count(lefts, "l_", block).join(count(rights, "r_", block), block).join(meet, block, "left")
+    cheap = checkpoint(whole.select(*block, (2 * F.coalesce("meet_", F.lit(0)) <= F.col("l_") * F.col("r_")).alias("by_gram_")))
+    fits = F.least(F.length(a), F.length(b)) >= F.lit(like / 100 - 1e-9) * F.greatest(F.length(a), F.length(b))
+    by_gram = one.join(cheap.where("by_gram_").drop("by_gram_"), block).join(two, [*block, "gram"]).where(fits).select(*block, a, b).distinct()
+    by_length = lefts.join(cheap.where("not by_gram_").drop("by_gram_"), block).join(rights, block).where(fits)
+    return by_gram.unionByName(by_length)
+
+
 def best_match(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, least: float = 0.0) -> DataFrame:
-    """For each row of left the most similar b within its block, the first by name on ties: (left's columns, b, score).
+    """For each row of left the most similar b within its block, the first by name on ties, with a score of `least` or more: (left's columns, b, score).
 
-    Equal rows of left are matched once and come out as often as they are there.
+    First among candidates of a likeness of LIKE per cent (like_pairs): who has one there is settled, as all others are less alike. Only names
+    without one are compared with their whole block, if `least` is lower. Equal rows of left are matched once and come out as often as they are there;
+    rows with a null name or block, and null b, match nothing.
     """
-    own = left.groupBy(*left.columns).agg(F.count(F.lit(1)).cast("int").alias("m_"))
-    both = own.join(right.select(*block, b).distinct(), block).withColumn("score", similarity(F.col(a), F.col(b))).where(F.col("score") >= least)
-    best = both.groupBy(*left.columns, "m_").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(b).alias("b"))).alias("best_"))
-    each = best.withColumn("r_", F.explode(F.array_repeat(F.lit(0), F.col("m_"))))
-    return each.select(*left.columns, F.col("best_.b").alias(b), (-F.col("best_.s")).alias("score"))
+    score = similarity(F.col(a), F.col(b))
+    floor = max(LIKE, least)
+    near = like_pairs(left, right, block, a, b, floor).withColumn("score", score).where(F.col("score") >= floor)
+    pick = lambda df: df.groupBy(*block, a).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(b).alias("b"))).alias("best_"))
+    best = pick(near)
+    if least < LIKE:
+        best = checkpoint(best)
+        rest = left.select(*block, a).where(F.col(a).isNotNull()).distinct().join(best.select(*block, a), [*block, a], "left_anti")
+        far = rest.join(right.select(*block, b).where(F.col(b).isNotNull()).distinct(), block).withColumn("score", score).where(F.col("score") >= least)
+        best = best.unionByName(pick(far))
+    return left.join(best, [*block, a]).select(*left.columns, F.col("best_.b").alias(b), (-F.col("best_.s")).alias("score"))
 
 
 def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

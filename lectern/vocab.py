@@ -165,6 +165,50 @@ CONFUSION = {
     ("modern", "modern", "na"): [[0.67923851, 0.24335489, 0.07740661], [0.18128059, 0.5632137, 0.25550571], [0.06874096, 0.17510854, 0.75615051]],
 }
 
+# Terms that name immigrants by themselves, terms that do so after a group's name, the groups with their nouns, and phrases
+# that are written as one word before any other.
+MENTIONS = (
+    "immigrants", "inmigrants", "imnigrants", "aliens", "emigrants", "migrants", "foreigner", "foreigners", "refugees", "asylees", "newcomer",
+    "newcomers", "entrants", "arrivals", "coolies", "coolys", "emigres", "undesirables", "illegals", "exiles", "asylumseeker", "asylumseekers",
+    "displacedperson", "displacedpersons", "displacedpeople", "displacedpeoples", "foreignborn",
+)
+AFTER_GROUP = (
+    "immigrant", "inmigrant", "imnigrant", "immigrants", "inmigrants", "imnigrants", "alien", "aliens", "emigrant", "emigrants", "migrant",
+    "migrants", "foreigner", "foreigners", "refugee", "refugees", "asylee", "asylees", "newcomer", "newcomers", "entrant", "entrants", "arrival",
+    "arrivals", "coolie", "coolies", "cooly", "coolys", "emigre", "emigres", "undesirables", "illegals", "exile", "exiles", "asylumseeker",
+    "asylumseekers", "displacedperson", "displacedpersons", "displacedpeople", "displacedpeoples", "horde", "hordes", "stranger", "strangers",
+    "national", "nationals", "worker", "workers", "workman", "workmen", "workingman", "workingmen", "laborer", "laborers", "farmworker",
+    "farmworkers", "prostitute", "prostitutes", "artisan", "artisans", "student", "students", "people", "person", "persons", "population",
+    "populations", "citizen", "citizens", "settler", "settlers", "community", "communities", "voter", "voters", "resident", "residents", "man",
+    "men", "male", "males", "woman", "women", "female", "females", "child", "children", "youth", "youths", "youngster", "youngsters", "teenager",
+    "teenagers", "minor", "minors", "adult", "adults", "family", "families", "husband", "husbands", "wife", "wives", "bride", "brides", "couple",
+    "couples", "parent", "parents", "mother", "mothers", "father", "fathers",
+)
+GROUPS = {
+    "foreign": (), "foreignborn": (), "european": ("europeans",), "scandinavian": ("scandinavians",), "asian": ("asians", "asiatics"),
+    "indochinese": (), "oriental": ("orientals",), "latinamerican": ("latinamericans",), "centralamerican": ("centralamericans",),
+    "middleeastern": (), "arab": ("arabs",), "irish": ("irishman", "irishmen", "celts", "celtics"), "german": ("germans",),
+    "prussian": ("prussians",), "mexican": ("mexicans",), "wetback": ("wetbacks",), "bracero": ("braceros",), "italian": ("italians",),
+    "sicilian": ("sicilians",), "english": ("englishman", "englishmen"), "british": ("brits",), "canadian": ("canadians",), "russian": ("russians",),
+    "polish": ("poles",), "chinese": ("chinaman", "chinamen"), "mongolian": ("mongolians",), "celestial": ("celestials",), "swedish": ("swedes",),
+    "austrian": ("austrians",), "filipino": ("filipinos", "filipinas"), "cuban": ("cubans",), "hungarian": ("hungarians",),
+    "norwegian": ("norwegians",), "czech": ("czechs",), "slovak": ("slvoaks",), "slovakian": ("slovakians",),
+    "czechoslovakian": ("czechoslovakians",), "slavic": ("Slavs", "slavics"), "bohemian": ("bohemians",), "vietnamese": (),
+    "scottish": ("scotsman", "scotsmen"), "salvadoran": ("salvadorans",), "salvadorian": ("salvadorians",), "korean": ("koreans",),
+    "french": ("frenchman", "frenchmen"), "dominican": ("dominicans",), "guatemalan": ("guatemalans",), "greek": ("greeks",),
+    "colombian": ("colombians",), "jamaican": ("jamaicans",), "yugoslavian": ("yugoslavians",), "serbian": ("serbians",), "serb": ("serbs",),
+    "croatian": ("croatians",), "croat": ("croats",), "macedonian": ("macedonians",), "bosnian": ("bosnians",), "honduran": ("hondurans",),
+    "japanese": ("japs",), "haitian": ("haitians",), "portuguese": (), "danish": ("danes",), "lithuanian": ("lithuanians",), "swiss": (),
+    "welsh": ("welshman", "welshmen"), "taiwanese": (), "dutch": (), "brazilian": ("brazilians",), "finnish": ("finns",), "iranian": ("iranians",),
+    "ecuadorian": ("ecuadorians",), "venezuelan": ("venezuelans",), "romanian": ("romanians",), "rumanian": ("rumanians",),
+    "roumanian": ("roumanians",), "peruvian": ("peruvians",), "jewish": ("jews",), "catholic": ("catholics",), "mormon": ("mormons",),
+    "muslim": ("muslims", "moslems"), "hindu": ("hindus", "hindoos"), "latino": ("latino", "latinos", "latina", "latinas"),
+    "hispanic": ("hispanic", "hispanics"),
+}
+SPLIT_PHRASES = ("asylum seeker", "displaced person", "displaced people", "foreign born", "latin american", "central american", "middle eastern")
+GENERIC = ("man", "woman", "men", "women")
+
+
 # Nationality words by country, for countries with one per cent of the foreign-born in some census.
 NATIONALITIES = {
     "Ireland": "Irish Irishman Irishmen", "Germany": "German Germans", "Mexico": "Mexican Mexicans", "Italy": "Italian Italians",
