@@ -59,6 +59,8 @@ MAPPINGS = (
     Mapping("conversations", lead=_SYSTEM, lists=(("conversations", "from", "value"),), optional=("system",)),
     Mapping("conversation", lead=_SYSTEM, lists=(("conversation", "role", "content"),), optional=("system",)),
     Mapping("dialogue", lists=(("dialogue", "speaker", "text"),)),
+    Mapping("messages_from", lists=(("messages", "from", "value"),)),
+    Mapping("preference", lead=_SYSTEM, fields=(("user", ("prompt",)), ("assistant", ("chosen",))), optional=("system",)),
     Mapping("nested", lists=(("data.messages", "role", "content"),)),
     Mapping("prompt_messages", lists=(("prompt", "role", "content"), ("completion", "role", "content"))),
     Mapping("instruction", lead=_SYSTEM, fields=(("user", ("instruction", "input")), ("assistant", ("output",))), optional=("system", "input")),
@@ -198,35 +200,35 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    plain = unescape(role)
-    marked = F.replace(plain, F.lit("\\\\"), F.lit("\u0000"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+    parts = F.split(unescape(role), r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, segments): a row a conversation; segments say which parts the loss covers.
+    """(conv_id, formatted, segments, unknown_records): a row a conversation; segments say which parts the loss covers.
 
     Turns are ordered by turn (nulls last), then role and text. Null roles and texts count as empty.
     The segments' texts joined are `formatted`. The loss covers the texts of assistants, without
     role and markers. A conversation is one training example and one row: its turns meet in
     one task; they are formatted before they do. A conversation whose records all have an unknown layout, among them
-    those without messages, is a row with null formatted and segments. Turns that repeat are all kept, long texts whole; an empty table
+    those without messages, is a row with null formatted and segments; unknown_records counts those of any conversation, which have no part in its text. Turns that repeat are all kept, long texts whole; an empty table
     gives an empty result; further columns of `turns` play no part.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     written = turns.select(
         "conv_id",
+        (F.col("layout") == "unknown").alias("unknown"),
         F.when(F.col("layout") != "unknown", F.struct(
             F.col("turn").isNull().alias("o"), F.col("turn").alias("turn"), role.alias("role"), text.alias("raw"),
             F.concat(F.lit(START), _escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("text"),
         )).alias("t"),
     )
-    together = written.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    together = written.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"), F.count_if("unknown").alias("unknown_records"))
     part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     mine = lambda t: t["role"] == "assistant"
     segments = F.flatten(F.transform("t", lambda t: F.array(part(t["head"], F.lit(False)), part(t["text"], mine(t)), part(F.lit(END), F.lit(False)))))
-    return together.select("conv_id", F.when(F.size("t") > 0, segments).alias("segments")).select(
-        "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments"
+    return together.select("conv_id", F.when(F.size("t") > 0, segments).alias("segments"), "unknown_records").select(
+        "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "unknown_records"
     )
 
 

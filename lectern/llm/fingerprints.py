@@ -110,9 +110,10 @@ def with_near_counts(df: DataFrame, fingerprint: str = "fingerprint", radius: in
     """df with `out`: how many other fingerprints of df are within the radius of the row's own.
 
     fingerprint is text as by as_text(). Rows with one fingerprint have one count and are no neighbours of each other; a null
-    fingerprint has 0; an empty table gives an empty result. df may have columns of any name but `out`. It is read twice. Pairs are
+    fingerprint has 0; an empty table gives an empty result. df may have columns of any name, a column `out` is replaced. It is read twice. Pairs are
     counted where they are found and aren't shuffled; comparing is work with the square of the fingerprints that share a block table's key.
     """
+    df = df.drop(*[c for c in df.columns if c.lower() == out.lower() and c != fingerprint])
     value, count = fresh(df, "value_", "count_")
     named = df.withColumn(value, F.conv(col(fingerprint), 16, -10).cast("long"))
     values = named.select(col(value).alias("fingerprint")).where("fingerprint is not null").distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytes_kit import buffers, mix64, order_within, shingles, slices, tidied, words
-from lectern.llm.common import Scratch, checkpoint, col
+from lectern.llm.common import Scratch, checkpoint, col, fresh
 from lectern.llm.exact_dedup import winners
 from lectern.llm.linking import MET, id_filter, in_filter, link_components, meet_by_members, sharper, verified
 
@@ -317,5 +317,6 @@ def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat an id stay or go together. An empty table gives an empty result. df may have columns of any name.
     """
     found = jaccard_components(df, id_col, text_col, size)
-    gone = found.where(F.col("component_id") != col(id_col)).select(col(id_col).alias("gone")).distinct()
-    return df.join(gone, col(id_col).cast("long") == F.col("gone"), "left_anti")
+    (name,) = fresh(df, "gone")
+    gone = found.where(F.col("component_id") != col(id_col)).select(col(id_col).alias(name)).distinct()
+    return df.join(gone, col(id_col).cast("long") == col(name), "left_anti")
