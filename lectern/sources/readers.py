@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import zero_pad
@@ -93,6 +93,56 @@ def logits(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
     return separated(spark, path, "segment_id string, predicted int, " + ", ".join(f"{c} double" for c in classes))
 
 
+def numbered_lines(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """(file, place, value): the lines of text files with their numbers from 0 in their file; a header is left out and not counted.
+
+    A large file is read in blocks by several tasks. Within a block rows keep their order, so a line's number is its place in the block and the lines
+    of the file's blocks before it; of those only counts meet.
+    """
+    some = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    blocks = some.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    lines = some.join(starts, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("start") - int(header)).alias("place"), "value")
+    return lines.where("place >= 0") if header else lines
+
+
+def zipped(left: DataFrame, right: DataFrame, name: Column) -> DataFrame:
+    """(name, place, left, right): lines of two sets of files side by side, by the file's name and the line's number; name is an expression of file.
+
+    A line without its partner, as where one file is shorter than the other, ends the query with an error that names it.
+    """
+    one = lambda df, side: df.select(name.alias("name"), "place", F.lit(side).alias("side"), "value")
+    both = one(left, 0).unionAll(one(right, 1)).groupBy("name", "place").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("side") == 0, F.col("value"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("right")
+    )
+    said = F.concat(F.lit("line "), F.col("place").cast("string"), F.lit(" of "), F.coalesce("name", F.lit("a file without a name")), F.lit(" has no partner, or several"))
+    whole = (F.col("n") == 2) & F.col("left").isNotNull() & F.col("right").isNotNull()
+    return both.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(said).isNull())).select("name", "place", "left", "right")
+
+
+def positional_logits(spark: SparkSession, segments: str, predictions: str, classes: list[str], name: Column) -> DataFrame:
+    """(name, place, id, text, predicted, classes...): segments in JSON lines beside the predictions in the lines of files of the same names, which have a header."""
+    both = zipped(numbered_lines(spark, segments), numbered_lines(spark, predictions, header=True), name)
+    told = F.from_csv("right", F.lit("predicted int, " + ", ".join(f"{c} double" for c in classes)), {"sep": "\t"})
+    line = F.from_json("left", "id string, text string")
+    return both.select("name", "place", line.alias("l"), told.alias("r")).select("name", "place", "l.id", "l.text", "r.*")
+
+
+def sampled_files(spark: SparkSession, path: str, share: float, seed: int = 42, name: Column | None = None) -> list[str]:
+    """The paths of floor(share * n) of the n files that match, first in the order of a hash of their name (by default the last part of the path).
+
+    Only the files' names are read here; a scan of the result reads no other file.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    name = F.element_at(F.split("path", "/"), -1) if name is None else name
+    order = F.md5(F.concat_ws("|", name, F.lit(str(seed))))
+    n = files.count()
+    return [r["path"] for r in files.orderBy(order, "path").limit(int(n * share + 1e-9)).collect()]
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''").distinct()
 

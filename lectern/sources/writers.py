@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.calibration import ordered_places
+
 
 def by_session(df: DataFrame, path: str, column: str = "session") -> None:
     """JSON lines in one folder for each session."""
@@ -17,10 +19,50 @@ def keyed_json(df: DataFrame, path: str, key: str) -> None:
     df.select(F.col(key).alias("key"), rest).sort("key").write.json(path)
 
 
-def separated(df: DataFrame, path: str, sep: str = "\t") -> None:
+def json_map(df: DataFrame, path: str, key: str) -> None:
+    """One JSON object over all files of the folder, one after the other: the keys, sorted and each once, with their records, a line a key."""
+    rest = F.to_json(F.struct(*sorted(c for c in df.columns if c != key)))
+    lines = df.select(F.col(key).cast("string").alias("key"), rest.alias("record"))
+    placed = ordered_places(lines, ["key"])
+    head = F.when(F.col("place") == 0, "{").otherwise(", ")
+    tail = F.when(F.col("place") + 1 == F.col("among"), "}").otherwise("")
+    name = F.to_json(F.struct(F.col("key").alias("k")))  # {"k":"..."}, from which the quoted text is cut
+    quoted = F.substring(name, F.lit(6), F.char_length(name) - 6)
+    told = placed.select("key", F.concat(head, quoted, F.lit(": "), "record", tail).alias("line"))
+    told.sort("key").select("line").write.text(path)
+
+
+def separated(df: DataFrame, path: str, sep: str = "\t", index: list[str] | None = None) -> None:
+    """A table with a header; index: the columns by which rows are ordered and numbered from 0 in a first column without a name."""
+    if index:
+        placed = ordered_places(df, index)
+        df = placed.sort(*index).select(F.col("place").alias("_c0"), *[F.col(c) for c in df.columns])
+        df = df.withColumnRenamed("_c0", " ")
     df.write.csv(path, sep=sep, header=True)
 
 
+def starred(estimate: Column, p: Column, digits: int = 3) -> Column:
+    """An estimate as text, with a star each for p below 0.05, 0.01 and 0.001."""
+    stars = F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+    return F.concat(F.format_number(estimate, digits), stars)
+
+
+def regression_table(df: DataFrame, path: str, columns: str | None = None, latex: bool = False) -> None:
+    """A regression's table as text: by term the starred estimate and below it the standard error in brackets; by `columns` (a spec) side by side.
+
+    df has term, estimate, se and p; a table has few rows, which is why it becomes one file.
+    """
+    cell = F.concat(starred(F.col("estimate"), F.col("p")), F.lit(" ("), F.format_number("se", 2), F.lit(")"))
+    long = df.select("term", (F.col(columns) if columns else F.lit("estimate")).alias("column"), cell.alias("cell"))
+    wide = long.groupBy("term").pivot("column").agg(F.first("cell")).na.fill("").sort("term")
+    if not latex:
+        wide.coalesce(1).write.csv(path, sep="\t", header=True)
+        return
+    line = F.concat(F.concat_ws(" & ", *wide.columns), F.lit(" \\\\"))
+    head = df.sparkSession.createDataFrame([(0, " & ".join(wide.columns) + " \\\\ \\hline")], "at int, value string")
+    head.unionAll(wide.select(F.lit(1), F.regexp_replace(line, "([_%#])", r"\\$1"))).coalesce(1).sortWithinPartitions("at", "value").select("value").write.text(path)
+
+
 def vectors(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
