@@ -55,6 +55,13 @@ def calibration_bins(df: DataFrame, label: str, p: str, key: str, weight: str |
     return means.withColumn("error", F.abs(F.col("share") - F.col("mean_p")))
 
 
+def calibration(df: DataFrame, label: str, p: str, bins: int, key: str) -> DataFrame:
+    """By bin of a given number, the place in order of p times bins over the rows: rows, mean p, share of label 1."""
+    placed = ordered_places(df.select(F.col(p).alias("p"), F.col(label).cast("double").alias("y"), F.col(key).alias("key")), ["p", "key"])
+    binned = placed.withColumn("bin", F.floor(F.col("place") * bins / F.col("among")).cast("long"))
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("share"))
+
+
 def calibration_bins_multiclass(df: DataFrame, label: str, probs: dict[str, str], key: str, weight: str | None = None, least: int | None = None) -> DataFrame:
     """By predicted class and bin: n, weight and the mean absolute difference of shares and mean probabilities over all classes.
 

@@ -101,12 +101,3 @@ def draw_terms(counts: DataFrame, term: str, count: str, least: int, n: int, see
     if excluded is not None:
         some = some.join(excluded.select(term), term, "left_anti")
     return some.orderBy(shuffle_key(seed, term), term).limit(n)
-
-
-def calibration(df: DataFrame, label: str, p: str, bins: int, key: str) -> DataFrame:
-    """By bin of equal counts in order of p: rows, mean p, share of label 1."""
-    n = df.select(F.count(F.lit(1)).alias("all_"))
-    steps = F.greatest(F.lit(0), F.least(F.lit(1023), F.floor(F.col(p) * 1024)))
-    placed = numbered(df, [], steps, [F.col(p), F.col(key)]).crossJoin(F.broadcast(n))
-    binned = placed.withColumn("bin", F.floor((F.col("rn") - 1) * bins / F.col("all_")).cast("long"))
-    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(label).cast("double")).alias("share"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import scores
 from lectern.functions.text import words
 from lectern.operators import counts, labels, models, segment, stats
+from lectern.operators.calibration import calibration as calibration_curve
 from lectern.plans.registry import Tables, i64, query, r6
 from lectern.vocab import CONFUSION, terms_table
 
@@ -388,9 +389,12 @@ def ci_bounds(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_mktsegment").agg(F.round(m - 1.96 * se, 4).alias("low"), F.round(m + 1.96 * se, 4).alias("high"))
 
 
-@query("log_grid", "select cast(i as bigint) as i, round(0.01 * pow(1000, i / 9.0), 6) as alpha from range(10) r(i)")
+@query("log_grid", "select cast(i as bigint) as i, round(lo * pow(hi / lo, i / 9.0), 4) as alpha from (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders) cross join range(10) r(i)")
 def log_grid(t: Tables) -> DataFrame:
-    return t.spark.range(10).select(F.col("id").alias("i"), r6(F.lit(0.01) * F.pow(F.lit(1000.0), F.col("id") / 9)).alias("alpha"))
+    """Ten steps, equal in the logarithm, from the least to the largest price."""
+    ends = t.orders.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")
+    return ends.select("lo", "hi", step).select(i64(F.col("i")).alias("i"), F.round(F.col("lo") * F.pow(F.col("hi") / F.col("lo"), F.col("i") / 9), 4).alias("alpha"))
 
 
 @query("sample_weights", """
@@ -468,7 +472,7 @@ def f1_scores(t: Tables) -> DataFrame:
 with d as (select *, floor((row_number() over (order by p, doc_id) - 1) * 8 / count(*) over ()) as bin from ({_EVAL})) select cast(bin as bigint) as bin, count(*) as n, round(avg(p), 6) as mean_p, round(avg(y), 6) as share from d group by 1
 """)
 def calibration(t: Tables) -> DataFrame:
-    return labels.calibration(judged(t), "y", "p", 8, "doc_id").select("bin", "n", r6(F.col("mean_p")).alias("mean_p"), r6(F.col("share")).alias("share"))
+    return calibration_curve(judged(t), "y", "p", 8, "doc_id").select("bin", "n", r6(F.col("mean_p")).alias("mean_p"), r6(F.col("share")).alias("share"))
 
 
 @query("brier_and_correlation", f"""
@@ -607,5 +611,8 @@ def ols_interaction(t: Tables) -> DataFrame:
 
 @query("query_expansion")
 def query_expansion(t: Tables) -> DataFrame:
-    w = t.documents.where("lang = 'en'").select(words(F.lower("text")).alias("w"))
-    return models.expand_query(w, "w", ["the", "of"], k=10, size=16)
+    """The words nearest to the five most frequent ones, in texts of all languages."""
+    w = t.documents.select(words(F.lower("text")).alias("w"))
+    counts = w.select(F.explode("w").alias("term")).groupBy("term").agg(rows().alias("n"))
+    terms = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(5).collect()]
+    return models.expand_query(w, "w", terms, k=10, size=50)
