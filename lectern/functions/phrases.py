@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.vocab import AFTER_GROUP, GROUPS, MENTIONS, SPLIT_PHRASES
+from lectern.vocab import AFTER_GROUP, CHINESE_TERMS, EUROPEAN_COUNTRIES, GROUPS, HISPANIC_TERMS, MENTIONS, MEXICAN_TERMS, NATIONALITIES, SPLIT_PHRASES
 
 
 def trie_pattern(words: Iterable[str]) -> str:
@@ -42,8 +42,8 @@ def shortest(words: Iterable[str]) -> list[str]:
     return kept
 
 
-def join_words(text: Column, firsts: Iterable[str], seconds: Iterable[str]) -> Column:
-    """Text without the space between any of `firsts` and any of `seconds`, wherever they stand.
+def join_words(text: Column, firsts: Iterable[str], seconds: Iterable[str], between: str = " ") -> Column:
+    """Text without the space (or one of the signs `between`) between any of `firsts` and any of `seconds`, wherever they stand.
 
     Equal to replacing `first second` by `firstsecond` pair by pair, in any order, as long as no first is made only by such a replacement. A second is
     looked for after each space, by the shortest seconds, and only then a first before it.
@@ -51,7 +51,8 @@ def join_words(text: Column, firsts: Iterable[str], seconds: Iterable[str]) -> C
     firsts, seconds = sorted(set(firsts)), shortest(seconds)
     if not firsts or not seconds:
         return text
-    return F.regexp_replace(text, f" (?={trie_pattern(seconds)})(?<=(?:{'|'.join(map(re.escape, firsts))}) )", "")
+    gap = f"[{re.escape(between)}]"
+    return F.regexp_replace(text, f"{gap}(?={trie_pattern(seconds)})(?<=(?:{'|'.join(map(re.escape, firsts))}){gap})", "")
 
 
 def american(groups: Iterable[str]) -> list[str]:
@@ -87,3 +88,20 @@ def is_compound(token: Column, groups: Iterable[str] = tuple(GROUPS), seconds: I
     """Whether a token is a group, plain or american, joined to a term after it: the pairs' values, by one pattern."""
     groups = list(groups)
     return token.rlike(f"^{trie_pattern([*groups, *[g + 'american' for g in american(groups)]])}{trie_pattern(seconds)}$")
+
+
+def hyphenable(nationality: str) -> list[str]:
+    """The lower-case words of a nationality that stand before `american`: its first, and others that are no plurals or men."""
+    first, *rest = NATIONALITIES[nationality]
+    return [w.lower() for w in (first, *[x for x in rest if not x.endswith(("s", "men", "man"))])]
+
+
+def compared_groups() -> dict[str, list[str]]:
+    """The terms of the groups that are compared; European ones are the countries, their nationalities, and these as one word with american(s)."""
+    european = {x for c in EUROPEAN_COUNTRIES for x in (c.lower(), *[n.lower() for n in NATIONALITIES[c]], *[h + a for h in hyphenable(c) for a in ("american", "americans")])}
+    return {"Chinese": list(CHINESE_TERMS), "European": sorted(european), "Hispanic": list(HISPANIC_TERMS), "Mexican": list(MEXICAN_TERMS)}
+
+
+def fuse_american(text: Column) -> Column:
+    """Lower-case text with each nationality and a following american, after a space or a hyphen, as one word."""
+    return join_words(text, [h for c in NATIONALITIES for h in hyphenable(c)], ["american"], " -")

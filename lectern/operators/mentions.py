@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.phrases import fuse_mentions, is_compound, mention_terms
+from lectern.functions.phrases import compared_groups, fuse_american, fuse_mentions, is_compound, mention_terms
 from lectern.vocab import AFTER_GROUP, GROUPS, MENTIONS, SPLIT_PHRASES
 
 
@@ -32,3 +32,12 @@ def mention_sentences(
 def mention_counts(sentences: DataFrame) -> DataFrame:
     """(term, n): in how many sentences each term stands."""
     return sentences.select(F.explode("mentions").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_groups(sentences: DataFrame, tokens: str, groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """sentences with groups, the names of the compared groups one of whose terms they hold, and words, the lower-case words after fusion."""
+    groups = groups or compared_groups()
+    text = fuse_american(F.array_join(F.transform(tokens, lambda x: F.lower(x)), " "))
+    some = sentences.withColumn("words", F.filter(F.split(text, r"\s+"), lambda x: x != ""))
+    holds = [F.when(F.arrays_overlap("words", F.array(*map(F.lit, terms))), F.lit(name)) for name, terms in groups.items()]
+    return some.withColumn("groups", F.array_compact(F.array(*holds)))

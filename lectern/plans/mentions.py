@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.phrases import american, fuse_mentions, mention_terms
-from lectern.operators import mentions
-from lectern.plans.registry import Tables, query
-from lectern.vocab import AFTER_GROUP, SPLIT_PHRASES
+from lectern.functions.phrases import american, compared_groups, fuse_mentions, hyphenable, mention_terms
+from lectern.operators import counts, mentions
+from lectern.plans.registry import Tables, i64, query, r6
+from lectern.vocab import AFTER_GROUP, NATIONALITIES, SPLIT_PHRASES, terms_table
 from lectern.vocab import GROUPS as PEOPLE
 
 
@@ -47,3 +47,41 @@ select term, count(*) as n from t where term in ({", ".join(f"'{x}'" for x in me
 """)
 def mention_term_counts(t: Tables) -> DataFrame:
     return mentions.mention_counts(mentions.mention_sentences(said(t).withColumn("tokens", F.split("said", " ")), "tokens"))
+
+
+_NATIONAL = "|".join(sorted({h for c in NATIONALITIES for h in hyphenable(c)}, key=lambda h: (-len(h), h)))
+_GROUPED = f"""select *, {", ".join(f"list_has_any(w, [{', '.join(f"'{x}'" for x in terms)}]) as {name.lower()}" for name, terms in compared_groups().items())}
+  from (select l_orderkey, l_linenumber, l_partkey, list_filter(string_split(regexp_replace(lower(said), '({_NATIONAL})[ -](american)', '\\1\\2', 'g'), ' '), lambda x: x <> '') as w from ({_SAID}))"""
+
+
+def grouped(t: Tables) -> DataFrame:
+    return mentions.with_groups(said(t).withColumn("tokens", F.split("said", " ")), "tokens")
+
+
+@query("group_mentions", " union all ".join(f"select '{name}' as \"group\", count(*) as n, cast(sum(l_orderkey) as bigint) as keys from ({_GROUPED}) where {name.lower()}" for name in compared_groups()))
+def group_mentions(t: Tables) -> DataFrame:
+    """Sentences by group, in which a sentence may count for several."""
+    each = grouped(t).select("l_orderkey", F.explode("groups").alias("group"))
+    return each.groupBy("group").agg(F.count(F.lit(1)).alias("n"), i64(F.sum("l_orderkey")).alias("keys"))
+
+
+#: Some of the words after a group, as frames.
+_LIVES = {"family": ["family", "families", "husband", "wife", "children", "parents", "mother", "fathers"], "labor": ["worker", "workers", "laborer", "laborers", "farmworkers", "workmen"], "crowd": ["horde", "hordes", "population", "people"]}
+_LIVES_SQL = "(values " + ", ".join(f"('{c}', '{x}')" for c, xs in _LIVES.items() for x in xs) + ") as f(category, term)"
+
+
+@query("group_log_ratio", f"""
+with g as ({_GROUPED}), s as (select hispanic, european, unnest(w) as term from g where hispanic or european), a as (select count(*) filter (where hispanic) as ah, count(*) filter (where european) as ae from s),
+c as (select category, term, count(*) filter (where hispanic) as h, count(*) filter (where european) as e from s join {_LIVES_SQL} using (term) group by 1, 2), z as (select category, sum(h) as sh, sum(e) as se from c group by 1),
+x as (select category, ln((sh / ah) / (se / ae)) as ratio, case when sh > h and se > e then ln(((sh - h) / ah) / ((se - e) / ae)) end as held from c join z using (category) cross join a)
+select category, round(max(ratio), 6) as ratio, round(min(held), 6) as low, round(max(held), 6) as high from x group by 1
+""")
+def group_log_ratio(t: Tables) -> DataFrame:
+    """How much more often frames stand in sentences on Hispanic than on European people, with the range when a term is left out."""
+    words = grouped(t).select("groups", F.explode("words").alias("term"))
+    side = lambda name: F.array_contains("groups", name)
+    n = words.groupBy("term").agg(F.count_if(side("Hispanic")).alias("h"), F.count_if(side("European")).alias("e"))
+    totals = n.agg(F.sum("h").alias("ah"), F.sum("e").alias("ae"))
+    cells = n.join(F.broadcast(terms_table(t.spark, _LIVES)), "term").crossJoin(F.broadcast(totals))
+    band = counts.log_ratio_band(cells, "category", "h", "e", "ah", "ae")
+    return band.select("category", *[r6(F.col(c)).alias(c) for c in ("ratio", "low", "high")])

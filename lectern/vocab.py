@@ -17,74 +17,90 @@ class Keywords:
     exclude: tuple[str, ...] = ()
 
 
-def _pairs(text: str) -> frozenset[str]:
-    return frozenset(x.strip() for x in text.split(","))
-
-
 # Keyword dictionaries of three eras.
 EARLY = Keywords(
-    bigrams=_pairs("foreign work, foreign worker, foreign workers, foreign labor, foreign laborer, foreign laborers"),
+    bigrams=frozenset((
+        "foreign work", "foreign worker", "foreign workers", "foreign labor", "foreign laborer", "foreign laborers",
+    )),
     prefixes={
-        4: tuple("jews jewi race born".split()),
-        5: tuple(
-            "immig inmig imnig imigr iumig immlg emigr migra alien chine irish iwish irise ivish itish inish cooly dutch norwe finni "
-            "swedi welsh quota idiot zioni racis slavs anglo saxon birth asiat asian".split()
+        4: ("jews", "jewi", "race", "born"),
+        5: (
+            "immig", "inmig", "imnig", "imigr", "iumig", "immlg", "emigr", "migra", "alien", "chine", "irish", "iwish", "irise", "ivish", "itish",
+            "inish", "cooly", "dutch", "norwe", "finni", "swedi", "welsh", "quota", "idiot", "zioni", "racis", "slavs", "anglo", "saxon", "birth",
+            "asiat", "asian",
         ),
-        6: tuple(
-            "immnig imnmig inmmig immlig imlmig ilmmig imimig imumig imamig chiine chiese chinse clines ciiese chinam coolie celest mongol "
-            "japane apanes german gernan polish danish celtic ethnic slavic teuton hebrew scandi sicili neapol slovak bohemi".split()
+        6: (
+            "immnig", "imnmig", "inmmig", "immlig", "imlmig", "ilmmig", "imimig", "imumig", "imamig", "chiine", "chiese", "chinse", "clines",
+            "ciiese", "chinam", "coolie", "celest", "mongol", "japane", "apanes", "german", "gernan", "polish", "danish", "celtic", "ethnic",
+            "slavic", "teuton", "hebrew", "scandi", "sicili", "neapol", "slovak", "bohemi",
         ),
-        7: tuple(
-            "scottis gernman germnan germlan italian newcome arrival belgian russian undesir epilept lunatic assimil melting europea europei "
-            "etropea earopea enropea uropean tongues hungari orienta".split()
+        7: (
+            "scottis", "gernman", "germnan", "germlan", "italian", "newcome", "arrival", "belgian", "russian", "undesir", "epilept", "lunatic",
+            "assimil", "melting", "europea", "europei", "etropea", "earopea", "enropea", "uropean", "tongues", "hungari", "orienta",
         ),
         8: ("foreigne",),
-        9: tuple("naturaliz englishne unassimil citizensh citizensb".split()),
-        10: tuple("nativeborn hyphenated americaniz".split()),
-        11: tuple("unnaturaliz foreignborn foreign-bor native-born".split()),
+        9: ("naturaliz", "englishne", "unassimil", "citizensh", "citizensb"),
+        10: ("nativeborn", "hyphenated", "americaniz"),
+        11: ("unnaturaliz", "foreignborn", "foreign-bor", "native-born"),
     },
-    exclude=tuple("germany alienat germane gernane polishe quotati idiotic".split()),
+    exclude=("germany", "alienat", "germane", "gernane", "polishe", "quotati", "idiotic"),
 )
 MID = Keywords(
-    bigrams=_pairs(
-        "foreign work, foreign worker, foreign workers, foreign labor, foreign laborer, foreign laborers, foreign born, native born, "
-        "ellis island, guest worker, guest workers, seasonal work, seasonal worker, seasonal workers, permanent resident, "
-        "permanent residents, permanent residency, work permit, work permits, day labor, day laborer, day laborers, low skilled, high skilled"
-    ),
+    bigrams=frozenset((
+        "foreign work", "foreign worker", "foreign workers", "foreign labor", "foreign laborer", "foreign laborers", "foreign born", "native born",
+        "ellis island", "guest worker", "guest workers", "seasonal work", "seasonal worker", "seasonal workers", "permanent resident",
+        "permanent residents", "permanent residency", "work permit", "work permits", "day labor", "day laborer", "day laborers", "low skilled",
+        "high skilled",
+    )),
     prefixes={
-        4: tuple("jewi visa asyl".split()),
-        5: tuple("immig emigr migra alien chine irish quota cuban inmig passp asiat asian undoc i.n.s".split()),
-        6: tuple("chinam ethnic border deport".split()),
-        7: tuple("newcome undesir orienta customs refugee mexican bracero origins wetback illegal unlawfu smuggle".split()),
-        8: tuple("nonrefug foreigne arrivals nonimmig detainee nonquota subquota resettle filipino".split()),
-        9: tuple("naturaliz unassimil nonreside nationali detention nationals citizensh".split()),
-        10: tuple("nativeborn americaniz farmworker declarants".split()),
-        11: tuple("unnaturaliz foreignborn foreign-bor native-born nationalori commemorati americanbor".split()),
+        4: ("jewi", "visa", "asyl"),
+        5: (
+            "immig", "emigr", "migra", "alien", "chine", "irish", "quota", "cuban", "inmig", "passp", "asiat", "asian", "undoc", "i.n.s",
+        ),
+        6: ("chinam", "ethnic", "border", "deport"),
+        7: (
+            "newcome", "undesir", "orienta", "customs", "refugee", "mexican", "bracero", "origins", "wetback", "illegal", "unlawfu", "smuggle",
+        ),
+        8: (
+            "nonrefug", "foreigne", "arrivals", "nonimmig", "detainee", "nonquota", "subquota", "resettle", "filipino",
+        ),
+        9: ("naturaliz", "unassimil", "nonreside", "nationali", "detention", "nationals", "citizensh"),
+        10: ("nativeborn", "americaniz", "farmworker", "declarants"),
+        11: (
+            "unnaturaliz", "foreignborn", "foreign-bor", "native-born", "nationalori", "commemorati", "americanbor",
+        ),
     },
-    exclude=tuple("alienat quotati borderl".split()),
+    exclude=("alienat", "quotati", "borderl"),
 )
 MODERN = Keywords(
     unigrams=frozenset({"ins"}),
-    bigrams=_pairs(
-        "foreign born, native born, ellis island, foreign worker, foreign workers, foreign labor, foreign laborers, guest worker, guest workers, "
-        "permanent resident, permanent residents, permanent residency, work permit, work permits, day labor, day laborer, day laborers, "
-        "seasonal worker, seasonal workers, low skilled, high skilled, dream act"
-    ),
+    bigrams=frozenset((
+        "foreign born", "native born", "ellis island", "foreign worker", "foreign workers", "foreign labor", "foreign laborers", "guest worker",
+        "guest workers", "permanent resident", "permanent residents", "permanent residency", "work permit", "work permits", "day labor",
+        "day laborer", "day laborers", "seasonal worker", "seasonal workers", "low skilled", "high skilled", "dream act",
+    )),
     prefixes={
         2: ("j1", "jl"),
-        3: tuple("h1b hlb i94 h2b dhs".split()),
-        4: tuple("visa asyl daca".split()),
-        5: tuple("undoc migra alien quota cuban irish emigr i.n.s d.h.s imnig inmig immlg carib uscis asian".split()),
-        6: tuple("border deport hispan amnest coolie mongol".split()),
-        7: tuple("customs everify haitian refugee refuges italian mexican bracero".split()),
-        8: tuple(
-            "nonrefug foreigne newcomer arrivals dreamers jamaican multicul detainee nonquota subquota resettle honduran nonimmig illegals filipino".split()
+        3: ("h1b", "hlb", "i94", "h2b", "dhs"),
+        4: ("visa", "asyl", "daca"),
+        5: (
+            "undoc", "migra", "alien", "quota", "cuban", "irish", "emigr", "i.n.s", "d.h.s", "imnig", "inmig", "immlg", "carib", "uscis", "asian",
+        ),
+        6: ("border", "deport", "hispan", "amnest", "coolie", "mongol"),
+        7: ("customs", "everify", "haitian", "refugee", "refuges", "italian", "mexican", "bracero"),
+        8: (
+            "nonrefug", "foreigne", "newcomer", "arrivals", "dreamers", "jamaican", "multicul", "detainee", "nonquota", "subquota", "resettle",
+            "honduran", "nonimmig", "illegals", "filipino",
+        ),
+        9: (
+            "naturaliz", "citizensh", "citizensb", "nonreside", "detention", "illegally", "colombian", "nonhispan",
         ),
-        9: tuple("naturaliz citizensh citizensb nonreside detention illegally colombian nonhispan".split()),
-        10: tuple("nativeborn americaniz farmworker lowskilled salvadoran guatemalan nicaraguan dominicans".split()),
-        11: tuple("unnaturaliz foreignborn highskilled salvadorian".split()),
+        10: (
+            "nativeborn", "americaniz", "farmworker", "lowskilled", "salvadoran", "guatemalan", "nicaraguan", "dominicans",
+        ),
+        11: ("unnaturaliz", "foreignborn", "highskilled", "salvadorian"),
     },
-    exclude=tuple("alienat quotati borderl caribou".split()),
+    exclude=("alienat", "quotati", "borderl", "caribou"),
 )
 
 # First and last session of each model's era, and of the analysis periods.
@@ -118,21 +134,36 @@ NAMED_PERIODS = [
 LAST_PERIOD = "1965+"
 
 # States by region.
-NORTHEAST_MIDWEST = tuple("ME MA RI CT NH VT NY PA NJ DE OH IN MI IL MO WI MN IA KS NE SD ND DK".split())
-SOUTH = tuple("WV VI VA KY TN NC SC GA AL MS AR LA FL TX OK NM AZ".split())
-WEST = tuple("CO WY MT ID WA OR UT NV CA AK HI".split())
+NORTHEAST_MIDWEST = (
+    "ME", "MA", "RI", "CT", "NH", "VT", "NY", "PA", "NJ", "DE", "OH", "IN", "MI", "IL", "MO", "WI", "MN", "IA", "KS", "NE", "SD", "ND", "DK",
+)
+SOUTH = ("WV", "VI", "VA", "KY", "TN", "NC", "SC", "GA", "AL", "MS", "AR", "LA", "FL", "TX", "OK", "NM", "AZ")
+WEST = ("CO", "WY", "MT", "ID", "WA", "OR", "UT", "NV", "CA", "AK", "HI")
 
 # Misread forms of "The", longer ones first.
-MISREAD_THE = tuple("Tile Tlie Time Tihe Tire Thie Tite Tlhe Tise Tlfe Tlle Tfhe Tiie Thle Tlte".split()) + tuple("Tle Tme Tne Tie Tue Tte Tse".split())
+MISREAD_THE = (
+    "Tile", "Tlie", "Time", "Tihe", "Tire", "Thie", "Tite", "Tlhe", "Tise", "Tlfe", "Tlle", "Tfhe", "Tiie", "Thle", "Tlte",
+) + ("Tle", "Tme", "Tne", "Tie", "Tue", "Tte", "Tse")
 
 # Metaphor words by domain.
 METAPHORS = {
-    "water": "flood floods flooding river rivers stream tide tides water waters ocean oceans wave waves".split(),
-    "animal": "animal animals beast beasts sheep herd herds hog hogs pig pigs livestock dog dogs brute brutes horse horses cow cows cattle".split(),
-    "vermin": "rat rats vermin worm worms bug bugs parasite parasites lice insect insects pest pests flea fleas leech leeches rodent rodents infestation infestations".split(),
-    "disease": "disease diseases virus viruses infection infections illness illnesses".split(),
-    "cargo": "thing things object objects cargo cargoes goods tonnage merchandise item items commodities packages products baggage shipment shipments stuff material".split(),
-    "machines": "machine machines machinery equipment hardware engine engines tool tools".split(),
+    "water": [
+        "flood", "floods", "flooding", "river", "rivers", "stream", "tide", "tides", "water", "waters", "ocean", "oceans", "wave", "waves",
+    ],
+    "animal": [
+        "animal", "animals", "beast", "beasts", "sheep", "herd", "herds", "hog", "hogs", "pig", "pigs", "livestock", "dog", "dogs", "brute",
+        "brutes", "horse", "horses", "cow", "cows", "cattle",
+    ],
+    "vermin": [
+        "rat", "rats", "vermin", "worm", "worms", "bug", "bugs", "parasite", "parasites", "lice", "insect", "insects", "pest", "pests", "flea",
+        "fleas", "leech", "leeches", "rodent", "rodents", "infestation", "infestations",
+    ],
+    "disease": ["disease", "diseases", "virus", "viruses", "infection", "infections", "illness", "illnesses"],
+    "cargo": [
+        "thing", "things", "object", "objects", "cargo", "cargoes", "goods", "tonnage", "merchandise", "item", "items", "commodities", "packages",
+        "products", "baggage", "shipment", "shipments", "stuff", "material",
+    ],
+    "machines": ["machine", "machines", "machinery", "equipment", "hardware", "engine", "engines", "tool", "tools"],
 }
 
 # How a speaker's line begins in transcripts.
@@ -142,7 +173,10 @@ OTHER_STARTS = [
     "the chancellor", "the first lady", "audience", "crowd", "reporter", "the press", "child", "resident", "president mubarak",
     "president yeltsin", "president putin", "president karzai", "president mitterrand", "president macron", "president gorbachev",
 ]
-TITLES = "mr. mrs. ms. dr. sen. colonel admiral director secretary chairman general ambassador administrator premier chancellor governor".split()
+TITLES = [
+    "mr.", "mrs.", "ms.", "dr.", "sen.", "colonel", "admiral", "director", "secretary", "chairman", "general", "ambassador", "administrator",
+    "premier", "chancellor", "governor",
+]
 PAIRED_TITLES = ["prime minister", "vice president", "vice premier", "attorney general", "major general"]
 
 # Neighbouring lemmas that one source writes as one word; the key is the pair.
@@ -211,21 +245,45 @@ GENERIC = ("man", "woman", "men", "women")
 
 # Nationality words by country, for countries with one per cent of the foreign-born in some census.
 NATIONALITIES = {
-    "Ireland": "Irish Irishman Irishmen", "Germany": "German Germans", "Mexico": "Mexican Mexicans", "Italy": "Italian Italians",
-    "England": "Englishman Englishmen", "Canada": "Canadian Canadians", "Russia": "Russian Russians", "Poland": "Polish Poles",
-    "China": "Chinese Chinaman Chinamen", "India": "Indian Indians", "Sweden": "Swedish Swedes", "Austria": "Austrian Austrians",
-    "Philippines": "Filipino Filipinos Filipina Filipinas", "Cuba": "Cuban Cubans", "Hungary": "Hungarian Hungarians",
-    "Norway": "Norwegian Norwegians", "Czechoslovakia": "Czech Czechs Slovak Slovaks Slovakian Slovakians Czechoslovakian Czechoslovakians",
-    "Vietnam": "Vietnamese", "Scotland": "Scottish Scots Scotsman Scotsmen", "El Salvador": "Salvadoran Salvadorans Salvadorian Salvadorians",
-    "Korea": "Korean Koreans", "France": "Frenchman Frenchmen", "Dominican Republic": "Dominican Dominicans", "Guatemala": "Guatemalan Guatemalans",
-    "Greece": "Greek Greeks", "Colombia": "Colombian Colombians", "Jamaica": "Jamaican Jamaicans",
-    "Yugoslavia": "Yugoslavian Yugoslavians Serbian Serbians Serb Serbs Croatian Croatians Croat Croats Macedonian Macedonians Bosnian Bosnians",
-    "Honduras": "Honduran Hondurans", "Japan": "Japanese Jap Japs", "Haiti": "Haitian Haitians", "Portugal": "Portuguese", "Denmark": "Danish Danes",
-    "Lithuania": "Lithuanian Lithuanians", "Switzerland": "Swiss", "Wales": "Welsh Welshman Welshmen", "Taiwan": "Taiwanese", "Netherlands": "Dutch",
-    "Brazil": "Brazilian Brazilians", "Finland": "Finnish Finn Finns", "Iran": "Iranian Iranians", "Ecuador": "Ecuadorian Ecuadorians",
-    "Venezuela": "Venezuelan Venezuelans", "Romania": "Romanian Romanians Rumanian Rumanians Roumania Roumanian Roumanians", "Peru": "Peruvian Peruvians",
+    "Ireland": ("Irish", "Irishman", "Irishmen"), "Germany": ("German", "Germans"), "Mexico": ("Mexican", "Mexicans"),
+    "Italy": ("Italian", "Italians"), "England": ("Englishman", "Englishmen"), "Canada": ("Canadian", "Canadians"),
+    "Russia": ("Russian", "Russians"), "Poland": ("Polish", "Poles"), "China": ("Chinese", "Chinaman", "Chinamen"), "India": ("Indian", "Indians"),
+    "Sweden": ("Swedish", "Swedes"), "Austria": ("Austrian", "Austrians"), "Philippines": ("Filipino", "Filipinos", "Filipina", "Filipinas"),
+    "Cuba": ("Cuban", "Cubans"), "Hungary": ("Hungarian", "Hungarians"), "Norway": ("Norwegian", "Norwegians"),
+    "Czechoslovakia": ("Czech", "Czechs", "Slovak", "Slovaks", "Slovakian", "Slovakians", "Czechoslovakian", "Czechoslovakians"),
+    "Vietnam": ("Vietnamese",), "Scotland": ("Scottish", "Scots", "Scotsman", "Scotsmen"),
+    "El Salvador": ("Salvadoran", "Salvadorans", "Salvadorian", "Salvadorians"), "Korea": ("Korean", "Koreans"),
+    "France": ("Frenchman", "Frenchmen"), "Dominican Republic": ("Dominican", "Dominicans"), "Guatemala": ("Guatemalan", "Guatemalans"),
+    "Greece": ("Greek", "Greeks"), "Colombia": ("Colombian", "Colombians"), "Jamaica": ("Jamaican", "Jamaicans"),
+    "Yugoslavia": ("Yugoslavian", "Yugoslavians", "Serbian", "Serbians", "Serb", "Serbs", "Croatian", "Croatians", "Croat", "Croats", "Macedonian", "Macedonians", "Bosnian", "Bosnians"),
+    "Honduras": ("Honduran", "Hondurans"), "Japan": ("Japanese", "Jap", "Japs"), "Haiti": ("Haitian", "Haitians"), "Portugal": ("Portuguese",),
+    "Denmark": ("Danish", "Danes"), "Lithuania": ("Lithuanian", "Lithuanians"), "Switzerland": ("Swiss",),
+    "Wales": ("Welsh", "Welshman", "Welshmen"), "Taiwan": ("Taiwanese",), "Netherlands": ("Dutch",), "Brazil": ("Brazilian", "Brazilians"),
+    "Finland": ("Finnish", "Finn", "Finns"), "Iran": ("Iranian", "Iranians"), "Ecuador": ("Ecuadorian", "Ecuadorians"),
+    "Venezuela": ("Venezuelan", "Venezuelans"), "Romania": ("Romanian", "Romanians", "Rumanian", "Rumanians", "Roumania", "Roumanian", "Roumanians"),
+    "Peru": ("Peruvian", "Peruvians"),
 }
 
+# Terms and countries of four groups that are compared.
+CHINESE_TERMS = (
+    "china", "chinese", "chinamen", "chinaman", "indochina", "indochinese", "asia", "asian", "asians", "asiatic", "asiatics", "orient", "oriental",
+    "orientals", "celestial", "celestials", "cooly", "coolie", "coolys", "coolies", "mongolian", "mongolians", "mongol", "mongols",
+)
+EUROPEAN_COUNTRIES = (
+    "Ireland", "Germany", "Italy", "England", "Poland", "Sweden", "Austria", "Hungary", "Norway", "Czechoslovakia", "Scotland", "France", "Greece",
+    "Yugoslavia", "Portugal", "Denmark", "Lithuania", "Switzerland", "Wales", "Netherlands", "Finland", "Romania",
+)
+MEXICAN_TERMS = (
+    "mexico", "mexican", "mexicans", "wetback", "wetbacks", "bracero", "braceros", "mexicanamerican", "mexicanamericans",
+)
+HISPANIC_TERMS = (
+    "mexico", "mexican", "mexicans", "wetback", "wetbacks", "bracero", "braceros", "mexicanamerican", "mexicanamericans", "hispanic", "hispanics",
+    "latino", "latinos", "latina", "latinas", "hispanicamerican", "hispanicamericans", "cuba", "cuban", "cubanamerican", "cubanamericans", "cubans",
+    "salvador", "salvadorans", "salvadorian", "salvadorians", "guatemala", "guatemalan", "guatemalans", "colombia", "colombian", "colombians",
+    "honduras", "honduran", "hondurans", "ecuador", "ecuadorian", "ecuadorians", "venezuela", "venezuelan", "venezuelans", "peru", "peruvian",
+    "peruvians",
+)
+
 
 def load_terms(spark: SparkSession, path: str) -> DataFrame:
     """(category, term) from a tab-separated file: frames, group names, compound phrases."""

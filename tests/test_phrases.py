@@ -64,3 +64,12 @@ def test_every_pairs_value_is_a_compound(spark):
     df = spark.createDataFrame([(v,) for v in [*values, *MENTIONS, "mexican", "workers", "xmexicanworkers", "the"]], "t string")
     yes = {r.t for r in df.where(phrases.is_compound(F.col("t"))).collect()}
     assert set(values) <= yes and not yes & {"mexican", "workers", "xmexicanworkers", "the", *MENTIONS} - {"foreignborn"}
+
+
+def test_groups_that_are_compared(spark):
+    rows = [(1, "The Irish-American workers and Mexicans".split()), (2, "a Scottish American man".split()), (3, "Chinamen or Celestials".split()), (4, "trees".split()), (5, "the Scots Americans".split()), (6, None)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    got = {r.id: (r.groups, r.words) for r in mentions.with_groups(df, "tokens").collect()}
+    assert got[1] == (["European", "Hispanic", "Mexican"], ["the", "irishamerican", "workers", "and", "mexicans"])
+    assert got[2][0] == ["European"] and got[2][1] == ["a", "scottishamerican", "man"] and got[3][0] == ["Chinese"] and got[4][0] == []
+    assert got[5] == (["European"], ["the", "scots", "americans"])  # a plural takes no american
