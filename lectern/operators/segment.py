@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,57 +47,37 @@ def rejoin_arrays(sents: DataFrame, key: str, pos: str, tokens: str, *others: st
     return told.select(key, "grp", *[F.flatten(F.col("s")[c]).alias(c) for c in (tokens, *others)])
 
 
-def pack(lengths: Column, most: int = BLOCK_TOKENS) -> Column:
-    """The block of each sentence, as an array: a block takes sentences until the next would exceed `most` tokens."""
-    start = F.struct(F.array().cast("array<int>").alias("of"), F.lit(-1).alias("block"), F.lit(0).cast("long").alias("have"))
+def packed(lengths: Column, most: int = BLOCK_TOKENS) -> Column:
+    """Blocks of sentences, as an array of (first, n, tokens): a block takes sentences until the next would exceed `most` tokens.
+
+    The fold emits a block when the next begins, so its array grows by blocks, not by sentences.
+    """
+    kind = "array<struct<first:int,n:int,tokens:bigint>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("tokens"))
+    block = lambda acc: F.array(F.struct(acc["first"].alias("first"), acc["n"].alias("n"), acc["tokens"].alias("tokens"))).cast(kind)
 
     def step(acc: Column, n: Column) -> Column:
-        new = (acc["block"] < 0) | (acc["have"] + n > most)
-        block = F.when(new, acc["block"] + 1).otherwise(acc["block"])
-        return F.struct(F.concat(acc["of"], F.array(block)).alias("of"), block.alias("block"), F.when(new, n).otherwise(acc["have"] + n).cast("long").alias("have"))
+        over = (acc["n"] > 0) & (acc["tokens"] + n > most)
+        return F.struct(
+            F.when(over, F.concat(acc["done"], block(acc))).otherwise(acc["done"]).alias("done"), F.when(over, acc["first"] + acc["n"]).otherwise(acc["first"]).alias("first"),
+            F.when(over, 1).otherwise(acc["n"] + 1).alias("n"), F.when(over, n).otherwise(acc["tokens"] + n).cast("long").alias("tokens"),
+        )
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["of"])
+    return F.aggregate(lengths, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], block(acc))).otherwise(acc["done"]))
 
 
-def blocks(df: DataFrame, key: str, sents: Column, most: int = BLOCK_TOKENS) -> DataFrame:
-    """(key, block, n_tokens, text): sentences packed in order; no row leaves its partition.
+def pack(lengths: Column, most: int = BLOCK_TOKENS) -> Column:
+    """The block of each sentence, as an array."""
+    return F.flatten(F.transform(packed(lengths, most), lambda b, i: F.array_repeat(i, b["n"])))
 
-    The fold copies its array at each sentence; for speeches of many thousand sentences use blocks_of_long().
-    """
+
+def blocks(df: DataFrame, key: str, sents: Column, most: int = BLOCK_TOKENS) -> DataFrame:
+    """(key, block, n_tokens, text): sentences packed in order, speeches of any length; no row leaves its partition."""
     counted = df.select(key, F.filter(sents, lambda s: s != "").alias("sents"))
-    packed = counted.select(key, "sents", F.transform("sents", token_count).alias("lens")).withColumn("of", pack(F.col("lens"), most))
-    numbers = F.sequence(F.lit(0), F.greatest(F.array_max("of"), F.lit(0)))
-    rows = packed.where(F.size("sents") > 0).select(key, "of", "lens", "sents", F.explode(numbers).alias("block"))
-    mine = lambda values: F.filter(values, lambda _, i: F.get(F.col("of"), i) == F.col("block"))
-    tokens = F.aggregate(mine(F.col("lens")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select(key, F.col("block").cast("long"), tokens.alias("n_tokens"), F.array_join(mine(F.col("sents")), " ").alias("text"))
-
-
-def blocks_of_long(df: DataFrame, key: str, sents: Column, most: int = BLOCK_TOKENS) -> DataFrame:
-    """The same as blocks(), in one pass over each speech however long, in Arrow batches."""
-    kind = df.select(key).schema[0].dataType.simpleString()
-
-    def run(batches):
-        import pandas as pd
-
-        word = re.compile(r"[^ \t\n\x0b\f\r]+")
-        for b in batches:
-            out = []
-            for name, sents in zip(b[key], b["sents"], strict=True):
-                have, parts, block = 0, [], 0
-                for s in sents:
-                    n = len(word.findall(s))
-                    if parts and have + n > most:
-                        out.append((name, block, have, " ".join(parts)))
-                        have, parts, block = 0, [], block + 1
-                    have += n
-                    parts.append(s)
-                if parts:
-                    out.append((name, block, have, " ".join(parts)))
-            yield pd.DataFrame(out, columns=[key, "block", "n_tokens", "text"])
-
-    some = df.select(key, F.filter(sents, lambda s: s != "").alias("sents")).where("sents is not null")
-    return some.mapInPandas(run, f"{key} {kind}, block long, n_tokens long, text string")
+    rows = counted.select(key, "sents", packed(F.transform("sents", token_count), most).alias("blocks"))
+    rows = rows.select(key, "sents", F.posexplode("blocks").alias("block", "b"))
+    text = F.array_join(F.slice("sents", F.col("b.first") + 1, F.col("b.n")), " ")
+    return rows.select(key, F.col("block").cast("long"), F.col("b.tokens").alias("n_tokens"), text.alias("text"))
 
 
 def contexts(sents: Column, hits: Column, reach: int = 3) -> Column:

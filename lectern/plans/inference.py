@@ -99,3 +99,12 @@ def binomial_specs(t: Tables) -> DataFrame:
     )
     d = t.customer.join(by, "c_custkey").select("*", (F.col("c_acctbal") > 4000).cast("double").alias("rich"), (F.col("c_nationkey") / 25).alias("place"))
     return models.interaction_specs(d, "rich", "place", "c_mktsegment", "BUILDING", SPECS)
+
+
+@query("election_regression")
+def election_regression(t: Tables) -> DataFrame:
+    """A line over years that may bend by decade, with odd and even years and late ones apart: estimates, standard errors, t and p."""
+    y = F.year("o_orderdate")
+    rows = t.orders.select((F.col("o_totalprice") / 1000).alias("price"), (y - 1992).alias("years"), (y % 2).alias("odd"), (y >= 1998).cast("int").alias("late"), (F.floor(y / 10) * 10).cast("string").alias("decade"))
+    first = rows.agg(F.min("decade")).first()[0]
+    return models.interaction_specs(rows, "price", "years", "decade", first, {"line": [], "features": ["odd", "late"]}, family="gaussian")

@@ -230,9 +230,15 @@ def nearest_label(t: Tables) -> DataFrame:
     return labels.nearest(df, "said", ["user", "assistant", "system"], {"postive": "positive"})
 
 
-@query("ocr_neighbors")
+@query("ocr_neighbors", f"""
+with v as (select word, count(*) as n from (select unnest({WORDS.format(x='lower(text)')}) as word from documents) group by 1),
+f as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as form from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+p as (select a.word, b.word as other, b.n from f a join f b on a.i = b.i and a.form = b.form and a.word <> b.word
+  union select f.word, v.word, v.n from f join v on v.word = f.form union select v.word, f.word, f.n from f join v on v.word = f.form)
+select word, other, n as n_other, rank from (select word, other, n, row_number() over (partition by word order by n desc, other) as rank from p) where rank <= 10
+""")
 def ocr_neighbors(t: Tables) -> DataFrame:
-    """Over all tokens of all documents. No SQL: that compares each pair of the vocabulary."""
+    """Over all tokens of all documents. The SQL lets words meet by their forms with one letter left out, as this does."""
     x = t.documents.select(F.explode(tokens_of()).alias("word"))
     found = joins.one_edit_neighbours(x.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.col("n_other").desc(), "other"))

@@ -136,3 +136,5 @@ def test_specs_give_standard_errors(spark):
     assert len(got) == 13
     with pytest.raises(ValueError, match="no level"):
         models.interaction_specs(df, "y", "a", "g", "x", {"one": []})
+    with pytest.raises(ValueError, match="depend"):
+        models.interaction_specs(df.withColumn("c", 2 * F.col("b")), "y", "a", "g", "w", {"one": ["b", "c"]})

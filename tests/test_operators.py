@@ -38,11 +38,20 @@ def test_pack(spark):
     df = spark.createDataFrame([(1, "a b\nc\n\nd e f"), (2, ""), (3, None)], "k int, t string")
     rows = segment.blocks(df, "k", F.split("t", "\n"), 3).orderBy("k", "block").collect()
     assert [(r.k, r.block, r.n_tokens, r.text) for r in rows] == [(1, 0, 3, "a b c"), (1, 1, 3, "d e f")]
-    assert segment.blocks_of_long(df, "k", F.split("t", "\n"), 3).orderBy("k", "block").collect() == rows
     draw = random.Random(1)
     many = [(k, "\n".join("x " * draw.randrange(0, 9) + "\ty" for _ in range(draw.randrange(1, 200)))) for k in range(30)]
     df = spark.createDataFrame(many, "k int, t string")
-    assert segment.blocks_of_long(df, "k", F.split("t", "\n"), 20).exceptAll(segment.blocks(df, "k", F.split("t", "\n"), 20)).isEmpty()
+    want = []
+    for k, t in many:
+        parts: list[list[str]] = []
+        for sent in t.split("\n"):
+            if not parts or sum(len(x.split()) for x in parts[-1]) + len(sent.split()) > 20:
+                parts.append([])
+            parts[-1].append(sent)
+        want += [(k, i, sum(len(x.split()) for x in p), " ".join(p)) for i, p in enumerate(parts)]
+    assert sorted(tuple(r) for r in segment.blocks(df, "k", F.split("t", "\n"), 20).collect()) == sorted(want)
+    long = spark.createDataFrame([(0, "a b c\n" * 40_000)], "k int, t string")
+    assert segment.blocks(long, "k", F.split("t", "\n"), 30).agg(F.count("*"), F.sum("n_tokens")).first()[:] == (4_000, 120_000)
 
 
 def test_numbering_goes_through_buckets(spark):
