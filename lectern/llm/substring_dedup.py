@@ -198,20 +198,34 @@ def _paragraphs(df: DataFrame, id_col: str, text_col: str, size: int, min_words:
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """df with the removed paragraphs' lines taken out of its texts; other rows, null texts and rows without id as they are.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
+    """df with the removed paragraphs and passages taken out of its texts; other rows, null texts and rows without id as they are.
 
-    A row loses the lines of its own text, also where other rows have its id; rows that repeat id and text lose the same. An empty table gives
-    an empty result. df may have columns of any name.
+    What is left before, between and after them stands on lines of its own, a line break at a cut goes with it, empty rests go too. A row loses spans of
+    its own text, also where other rows have its id; rows that repeat id and text lose the same. A text is cut in one task, whatever its length. An
+    empty table gives an empty result. df may have columns of any name.
     """
     id_, t, gone = fresh(df, "id_", "t_", "gone_")
+    spans = ["id", "t", "start", (F.col("start") + F.col("n_chars")).alias("stop")]
     with Scratch(df.sparkSession) as scratch:
-        found = _paragraphs(df, id_col, text_col, size, min_words, scratch).where("removed")
-    lines = found.groupBy("id", "t").agg(F.collect_set("para_no").alias("gone")).toDF(id_, t, gone)
+        lines = _paragraphs(df, id_col, text_col, size, min_words, scratch).where("removed").select(*spans)
+        found = lines.unionByName(_passages(df, id_col, text_col, passage, scratch).where("removed").select(*spans))
+    along = Window.partitionBy("id", "t").orderBy("start", "stop")
+    begins = F.coalesce(F.col("start") > F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    islands = found.withColumn("begins", begins).withColumn("island", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = islands.groupBy("id", "t", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    cuts = whole.groupBy("id", "t").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts")).toDF(id_, t, gone)
     keyed = df.withColumns({id_: col(id_col).cast("long"), t: F.xxhash64(col(text_col).cast("string"))})
-    left = F.filter(F.split(col(text_col), "\n"), lambda line, i: ~F.array_contains(col(gone), i.cast("long")))
-    text = F.when(col(gone).isNull(), col(text_col)).otherwise(F.array_join(left, "\n"))
-    return keyed.join(lines, [id_, t], "left").select(*[text.alias(c) if c == text_col else col(c) for c in df.columns])
+    n, text = F.size(col(gone)), col(text_col)
+
+    def rest(i):
+        low, high = F.when(i > 0, F.get(col(gone), i - 1)["stop"]).otherwise(0), F.when(i < n, F.get(col(gone), i)["start"]).otherwise(F.char_length(text))
+        piece = F.substr(text, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+        return F.regexp_replace(piece, F.when((i > 0) & (i < n), r"\A\n|\n\z").when(i > 0, r"\A\n").otherwise(r"\n\z"), F.lit(""))
+
+    left = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), n), rest), lambda x: x != ""), "\n")
+    out = F.when(col(gone).isNull(), text).otherwise(left)
+    return keyed.join(cuts, [id_, t], "left").select(*[out.alias(c) if c == text_col else col(c) for c in df.columns])
 
 
 def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -277,11 +291,10 @@ def _stretches(size: int, anchor: int, needed):
                 short = (found.gram >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 told = np.stack([short, chars[low] - chars[base], chars[high] - chars[base], line], axis=1).astype(np.int32)
                 blobs = [told[a:b].tobytes() for a, b in zip(heads, stops, strict=True)]
-                # Tells texts apart that share an id: their words are counted from each one's own beginning.
-                whole = np.array([int(found.gram[a:b].sum()) for a, b in zip(*(np.searchsorted(found.owner, np.arange(n), s) for s in ("left", "right")), strict=True)], np.uint64)
-                ids = batch.column(0).slice(start, n).take(pa.array(owner))
-                rest = (whole.view(np.int64)[owner], found.word[heads] - found.words_at[owner])
-                yield pa.RecordBatch.from_arrays([pa.array(found.key[heads]), ids, *map(pa.array, rest), pa.array(blobs, pa.binary())], schema=kinds)
+                # t tells texts apart that share an id: their words are counted from each one's own beginning.
+                ids, t = (batch.column(c).slice(start, n).take(pa.array(owner)) for c in (0, 2))
+                place = pa.array(found.word[heads] - found.words_at[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(found.key[heads]), ids, t, place, pa.array(blobs, pa.binary())], schema=kinds)
 
     return tidied(run), "key long, id long, t long, word long, runs binary"
 
@@ -336,14 +349,23 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PASSAGE) -> DataFrame:
     """The columns of repeated_paragraphs() for the runs of `size` words or more that documents share, across and inside lines.
 
-    Words are equal, white space and the case of A-Z aside. A row is a maximal span of words whose runs of `size` words first
-    occur one after the other elsewhere (removed), or such a first occurrence: the smallest id, then place. Each
-    word of a run that documents share is in a row. para_no is the line that a span begins in; start and n_chars count code points from the
-    text's beginning; cluster names the first occurrence. Spans of one document may overlap where their first occurrences differ. Runs that
-    repeat within one document only, null and shorter texts and rows without id give nothing. Rows that repeat an id are one document.
+    Words are equal, white space and the case of A-Z aside. Every run of `size` words has a first occurrence: the smallest id, then place; what these
+    cover in a document, as maximal spans of words, stays, a row each. Other occurrences are removed: a row is a maximal span of words whose runs
+    have first occurrences in one span that stays, which cluster names. So a text that repeats a few words throughout is one row, not one a word.
+    Each word of a run that documents share is in a row. para_no is the line that a span begins in; start and n_chars count code points from the
+    text's beginning; keep_id and keep_para_no are those of the span that stays. Spans of one document may overlap where they belong to different
+    clusters. Runs that repeat within one document only, null and shorter texts and rows without id give nothing, nor does an empty table. Rows that
+    repeat an id are one document; its ids are integers. Long texts are read whole; further columns of df, whatever their names, play no part.
     """
     with Scratch(df.sparkSession) as scratch:
-        return _passages(df, id_col, text_col, size, scratch)
+        return _passages(df, id_col, text_col, size, scratch).drop("t").withColumnRenamed("id", id_col)
+
+
+def _islands(spans: DataFrame, by: list[str], low: str, high: str) -> DataFrame:
+    """spans with island, a number by group for spans whose runs follow each other without a gap."""
+    along = Window.partitionBy(*by).orderBy(low, high)
+    begins = F.coalesce(F.col(low) > F.max(high).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    return spans.withColumn("begins", begins).withColumn("island", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
 
 
 def _passages(df: DataFrame, id_col: str, text_col: str, size: int, scratch: Scratch) -> DataFrame:
@@ -355,29 +377,42 @@ def _passages(df: DataFrame, id_col: str, text_col: str, size: int, scratch: Scr
     needed = df.sparkSession.sparkContext.broadcast(id_filter(shared, "key"))
     run, schema = _stretches(size, anchor, needed)
     order = ["key", "id", "t", "word"]
-    spans = docs.mapInArrow(run, schema).repartition("key").sortWithinPartitions(*order).mapInArrow(tidied(_repeats), ", ".join(f"{c} long" for c in [*_SPAN, *_KEEP]))
-    spans = spans.withColumn("off", F.col("keep_low") - F.col("low"))
-    chain = ["id", "t", "keep_id", "keep_t", "off"]
-    along = Window.partitionBy(*chain).orderBy("low", "high")
-    begins = F.coalesce(F.col("low") > F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    island = F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    least = [F.min(c).alias(c) for c in ("low", "start", "line", "keep_low", "keep_start", "keep_line")]
-    joined = spans.withColumn("begins", begins).withColumn("island", island).groupBy(*chain, "island").agg(*least, *[F.max(c).alias(c) for c in ("high", "stop", "keep_stop")])
-    joined = scratch.store(joined.withColumn("n_words", F.col("high") - F.col("low") + size - 1), release=True)
-    kept = joined.select(*_KEEP, "n_words").distinct()
-    name = F.lower(F.hex(F.xxhash64("keep_id", "keep_t", "keep_low", "n_words")))
+    spans = docs.withColumn("t", F.xxhash64("text")).mapInArrow(run, schema).repartition("key").sortWithinPartitions(*order)
+    spans = scratch.store(spans.mapInArrow(tidied(_repeats), ", ".join(f"{c} long" for c in [*_SPAN, *_KEEP])), release=True)
+
+    # What stays: the first occurrences, each once, as maximal spans of their documents.
+    kept_at = ["keep_id", "keep_t"]
+    first = spans.select(*_KEEP, (F.col("keep_low") + F.col("high") - F.col("low")).alias("keep_high")).groupBy(*kept_at, "keep_low").agg(
+        F.max("keep_high").alias("keep_high"), *[F.max(c).alias(c) for c in ("keep_start", "keep_stop", "keep_line")]
+    )
+    first = scratch.store(_islands(first, kept_at, "keep_low", "keep_high"))
+    stay = first.groupBy(*kept_at, "island").agg(
+        *[F.min(c).alias(c) for c in ("keep_low", "keep_start", "keep_line")], F.max("keep_high").alias("keep_high"), F.max("keep_stop").alias("keep_stop")
+    )
+    stay = scratch.store(stay.withColumn("n_words", F.col("keep_high") - F.col("keep_low") + size - 1))
+
+    # What goes: spans by the span that stays, merged where their runs follow each other.
+    mine = [*kept_at, "kept"]
+    named = spans.join(first.select(*kept_at, "keep_low", F.col("island").alias("kept")), [*kept_at, "keep_low"])
+    gone = _islands(named.select("id", "t", *mine, "low", "high", "start", "stop", "line"), ["id", "t", *mine], "low", "high")
+    gone = gone.groupBy("id", "t", *mine, "island").agg(*[F.min(c).alias(c) for c in ("low", "start", "line")], F.max("high").alias("high"), F.max("stop").alias("stop"))
+    gone = gone.withColumn("n_words", F.col("high") - F.col("low") + size - 1).drop("island")
+    gone = gone.join(stay.select(*kept_at, F.col("island").alias("kept"), "keep_low", "keep_line"), mine)
+    name = F.lower(F.hex(F.xxhash64("keep_id", "keep_t", "keep_low")))
 
     def rows(found: DataFrame, own: str, removed: bool) -> DataFrame:
         return found.select(
-            F.col(f"{own}id").alias(id_col), F.col(f"{own}line").alias("para_no"), F.col(f"{own}start").alias("start"), (F.col(f"{own}stop") - F.col(f"{own}start")).alias("n_chars"),
-            "n_words", name.alias("cluster"), "keep_id", F.col("keep_line").alias("keep_para_no"), F.lit(removed).alias("removed"),
+            F.col(f"{own}id").alias("id"), F.col(f"{own}t").alias("t"), F.col(f"{own}line").alias("para_no"), F.col(f"{own}start").alias("start"),
+            (F.col(f"{own}stop") - F.col(f"{own}start")).alias("n_chars"), "n_words", name.alias("cluster"), "keep_id", F.col("keep_line").alias("keep_para_no"), F.lit(removed).alias("removed"),
         )
 
-    out = checkpoint(rows(joined, "", True).unionByName(rows(kept, "keep_", False)))
+    out = checkpoint(rows(gone, "", True).unionByName(rows(stay, "keep_", False)))
     needed.unpersist()
     return out
 
 
 def repeated_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Repeated paragraphs and passages, one after the other. Both may cover the same words."""
-    return repeated_paragraphs(df, id_col, text_col).unionByName(repeated_passages(df, id_col, text_col))
+    """Repeated paragraphs, then passages, told apart by kind. Both may cover the same words. Nulls, empty and long texts, rows that repeat, empty
+    tables and names as in repeated_paragraphs() and repeated_passages()."""
+    lines, passages = repeated_paragraphs(df, id_col, text_col), repeated_passages(df, id_col, text_col)
+    return lines.withColumn("kind", F.lit("paragraph")).unionByName(passages.withColumn("kind", F.lit("passage")))

@@ -67,3 +67,41 @@ def test_removal_keeps_to_its_own_rows_and_names(spark):
     df = spark.createDataFrame(rows, "`doc.id` long, `the.text` string, gone_ int")
     got = sorted(((r[0], r[1], r[2]) for r in substring_dedup.remove_repeats(df, "doc.id", "the.text").collect()), key=lambda r: r[2])
     assert got == [(1, passage, 7), (2, "own line", 8), (2, "a sentence of its own\nand a second", 9), (None, passage, 10), (3, None, 11)]
+
+
+def test_periodic_texts_are_a_row_not_one_a_word(spark):
+    texts = {1: "buy now " * 4000, 2: "buy now " * 4000, 3: "other words\n" * 60 + "buy now " * 100, 4: " ".join(f"u{i}" for i in range(80))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    rows = substring_dedup.repeated_passages(df).collect()
+    got = sorted((r.doc_id, r.removed, r.n_words, r.start) for r in rows)
+    # The first two runs of 50 words stay, at the places 0 and 1 of text 1; all else goes, in one span a text.
+    assert got == [(1, False, 51, 0), (1, True, 7998, 8), (2, True, 8000, 0), (3, True, 200, 720)]
+    kept = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    assert len(kept[1].split()) < 60 and kept[2] == "" and kept[3].split() == ["other", "words"] * 60 and kept[4] == texts[4]
+
+
+def test_removal_takes_passages_too_and_leaves_no_shared_run(spark):
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("abcdefghé") for _ in range(4))
+    passages = [[word() for _ in range(n)] for n in (55, 70, 120)]
+    docs = []
+    for i in range(25):
+        said = []
+        for p in draw.sample(passages, draw.randrange(0, 4)):
+            said += [word() for _ in range(draw.randrange(5, 60))] + p
+        said += [word() for _ in range(20)]
+        n = draw.choice([8, 30, 1000])
+        docs.append((i, "\n".join(" ".join(said[k : k + n]) for k in range(0, len(said), n))))
+    df = spark.createDataFrame([*docs, (None, docs[0][1]), (90, None), (91, "")], "doc_id long, text string").repartition(3)
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    assert not brute_passages([(i, left[i]) for i, _ in docs], 50) and brute_passages(docs, 50)
+    for i, t in docs:  # what no document shares is all there, in order
+        gone = {p for d, p, removed in brute_passages(docs, 50) if d == i and removed}
+        assert split_words(left[i]) == [w for p, w in enumerate(split_words(t)) if p not in gone]
+    assert left[None] == docs[0][1] and left[90] is None and left[91] == ""
+
+
+def test_pieces_tell_their_kind(spark):
+    line = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(1, line), (2, line)], "doc_id long, text string")
+    assert sorted((r.kind, r.doc_id, r.removed) for r in substring_dedup.repeated_pieces(df).collect()) == [(k, i, i == 2) for k in ("paragraph", "passage") for i in (1, 2)]
