@@ -241,3 +241,15 @@ def nouns(tokens: Column, tags: Column) -> Column:
 def comma_list(x: Column) -> Column:
     """The parts between commas as they stand; an empty string has one empty part."""
     return F.split(x, ",")
+
+
+def join_trailing(sents: Column) -> Column:
+    """Each text with a space after it, joined and stripped at both ends: inner white space stays as it is."""
+    return strip(F.array_join(F.transform(sents, lambda x: F.concat(x, F.lit(" "))), ""))
+
+
+def zip_map(keys: Column, values: Column) -> Column:
+    """A map of keys to values by place; of a key that comes again the last value counts, keys without a value or null are left out."""
+    entries = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: e["k"].isNotNull() & e["v"].isNotNull())
+    keep = F.filter(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i"))), lambda e: F.array_max(F.transform(entries, lambda x, j: F.when(x["k"] == e["k"], j))) == e["i"])
+    return F.map_from_entries(F.transform(keep, lambda e: F.struct(e["k"], e["v"])))

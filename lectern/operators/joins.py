@@ -117,6 +117,17 @@ def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return unique(left, "left").join(unique(right, "right"), on)
 
 
+def combinations(df: DataFrame, key: str, take: list[str], n: int) -> DataFrame:
+    """All n rows of a small table in the order of a unique key, one row each, the columns `take` numbered from 1; grows with rows ** n."""
+    if df.limit(SMALL + 1).count() > SMALL:
+        raise ValueError(f"combinations are for tables of at most {SMALL} rows")
+    side = lambda i: df.select(F.col(key).alias(f"key{i}_"), *[F.col(c).alias(f"{c}{i}") for c in take])
+    out = side(1)
+    for i in range(2, n + 1):
+        out = out.join(F.broadcast(side(i)), F.col(f"key{i - 1}_") < F.col(f"key{i}_"))
+    return out.select(*[f"{c}{i}" for i in range(1, n + 1) for c in take])
+
+
 def one_edit_neighbours(words: DataFrame, word: str = "word", n: str = "n") -> DataFrame:
     """Pairs (word, other, n_other) at edit distance 1.
 

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import dates
 from lectern.functions.phrases import american, compared_groups, fuse_mentions, hyphenable, mention_terms
+from lectern.functions.text import keyword_match
 from lectern.operators import counts, mentions
 from lectern.plans.registry import Tables, i64, query, r6
-from lectern.vocab import AFTER_GROUP, NATIONALITIES, SPLIT_PHRASES, terms_table
+from lectern.vocab import AFTER_GROUP, EARLY, MID, MODERN, NATIONALITIES, SPLIT_PHRASES, Keywords, terms_table
 from lectern.vocab import GROUPS as PEOPLE
 
 
@@ -85,3 +87,42 @@ def group_log_ratio(t: Tables) -> DataFrame:
     cells = n.join(F.broadcast(terms_table(t.spark, _LIVES)), "term").crossJoin(F.broadcast(totals))
     band = counts.log_ratio_band(cells, "category", "h", "e", "ah", "ae")
     return band.select("category", *[r6(F.col(c)).alias(c) for c in ("ratio", "low", "high")])
+
+
+def _sql_matched(k: Keywords, w: str = "w") -> str:
+    """Whether the tokens w hold one of an era's keywords, dictionary by dictionary."""
+    some = lambda words: ", ".join(f"'{x}'" for x in sorted(words))
+    ways = [f"contains(array_to_string({w}, ' '), 'immig')"]
+    if k.unigrams:
+        ways.append(f"list_has_any({w}, [{some(k.unigrams)}])")
+    if k.bigrams:
+        ways.append(f"list_has_any(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]), [{some(k.bigrams)}])")
+    for n, prefixes in k.prefixes.items():
+        blocked = f" and x[1:7] not in ({some(k.exclude)})" if n <= 7 and k.exclude else ""
+        ways.append(f"len(list_filter({w}, lambda x: x[1:{n}] in ({some(prefixes)}){blocked})) > 0")
+    return "(" + " or ".join(ways) + ")"
+
+
+_ERAS = {"early": EARLY, "mid": MID, "modern": MODERN}
+
+
+@query("era_keywords", f"select {', '.join(f'count(*) filter (where {_sql_matched(k)}) as {name}' for name, k in _ERAS.items())}, count(*) as n from (select list_filter(string_split(lower(said), ' '), lambda x: x <> '') as w from ({_SAID}))")
+def era_keywords(t: Tables) -> DataFrame:
+    """How many sentences the whole keyword dictionaries of three eras select."""
+    w = said(t).select(F.filter(F.split(F.lower("said"), " "), lambda x: x != "").alias("w"))
+    return w.agg(*[F.count_if(keyword_match(F.col("w"), k)).alias(name) for name, k in _ERAS.items()], F.count(F.lit(1)).alias("n"))
+
+
+@query("session_terms", """
+with c as (select l_returnflag as party, cast(floor((year(d) - 1873) / 2.0) + 43 - case when year(d) % 2 = 1 and d < make_date(cast(year(d) as integer), 1, 3) then 1 else 0 end as integer) as session, unnest(string_split(p_name, ' ')) as term
+  from (select l_returnflag, p_name, cast(l_shipdate as date) as d from lineitem join part on p_partkey = l_partkey))
+select party, case when session between 103 and 104 then 'early' when session >= 106 then 'modern' end as period, term, count(*) as n from c where session between 103 and 104 or session >= 106 group by 1, 2, 3
+""")
+def session_terms(t: Tables) -> DataFrame:
+    """Terms by party, folded over an early and a modern range of sessions."""
+    rows = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    session = dates.date_to_session(F.to_date("l_shipdate"))
+    cells = rows.groupBy(F.col("l_returnflag").alias("party"), session.alias("session"), "p_name").agg(F.count(F.lit(1)).alias("n"))
+    period = F.when(F.col("session").between(103, 104), "early").when(F.col("session") >= 106, "modern")
+    some = cells.select("party", period.alias("period"), "n", F.explode(F.split("p_name", " ")).alias("term")).where("period is not null")
+    return some.groupBy("party", "period", "term").agg(i64(F.sum("n")).alias("n"))

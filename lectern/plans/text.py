@@ -474,10 +474,22 @@ def comma_list(t: Tables) -> DataFrame:
     return parts.select("conv_id", "turn", i64(F.size("l")).alias("n"), F.get("l", F.lit(0)).alias("first"))
 
 
-@query("combinations", "select a.r_name as a, b.r_name as b from region a join region b on a.r_regionkey < b.r_regionkey")
+@query("combinations", "select a.r_name as name1, b.r_name as name2, c.r_name as name3 from region a join region b on a.r_regionkey < b.r_regionkey join region c on b.r_regionkey < c.r_regionkey")
 def combinations(t: Tables) -> DataFrame:
-    a, b = t.region.select(F.col("r_regionkey").alias("i"), F.col("r_name").alias("a")), t.region.select(F.col("r_regionkey").alias("j"), F.col("r_name").alias("b"))
-    return a.join(b, F.col("i") < F.col("j")).select("a", "b")
+    return joins.combinations(t.region.withColumnRenamed("r_name", "name"), "r_regionkey", ["name"], 3)
+
+
+@query("zip_map", "select p_partkey, word, max(i) as at from (select p_partkey, unnest(w) as word, unnest(range(len(w))) as i from (select p_partkey, string_split(p_name, ' ') || [p_brand, p_type] || string_split(p_name, ' ')[1:1] as w from part)) group by 1, 2")
+def zip_map(t: Tables) -> DataFrame:
+    """Words to places, as a map in which the last place of a word counts."""
+    w = F.concat(F.split("p_name", " "), F.array("p_brand", "p_type"), F.slice(F.split("p_name", " "), F.lit(1), F.lit(1)))
+    rows = t.part.select("p_partkey", w.alias("w")).select("p_partkey", "w", F.transform("w", lambda _, i: i.cast("long")).alias("i"))
+    return rows.select("p_partkey", F.explode(T.zip_map(F.col("w"), F.col("i"))).alias("word", "at"))
+
+
+@query("join_trailing", r"select doc_id, md5(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda s: s || ' '), ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) as joined_md5 from documents")
+def join_trailing(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(T.join_trailing(F.split("text", "\n"))).alias("joined_md5"))
 
 
 @query("explode_nested", """

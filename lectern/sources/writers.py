@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.calibration import ordered_places
+from lectern.operators.labels import repeated_folds
 
 
 def by_session(df: DataFrame, path: str, column: str = "session") -> None:
@@ -63,6 +64,13 @@ def regression_table(df: DataFrame, path: str, columns: str | None = None, latex
     head.unionAll(wide.select(F.lit(1), F.regexp_replace(line, "([_%#])", r"\\$1"))).coalesce(1).sortWithinPartitions("at", "value").select("value").write.text(path)
 
 
+def splits(df: DataFrame, path: str, key: str, folds: int, test_share: float) -> None:
+    """JSON lines by fold and split (train or test), folder by folder: each row once a fold, drawn for each anew."""
+    drawn = repeated_folds(df, key, folds, test_share)
+    each = df.join(drawn, key).withColumn("split", F.when(F.col("test") == 1, "test").otherwise("train")).drop("test")
+    each.write.partitionBy("fold", "split").mode("errorifexists").json(path)
+
+
 def vectors(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 

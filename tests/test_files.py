@@ -95,3 +95,12 @@ def test_tables_have_errors_and_stars(spark, tmp_path):
     assert [x.split("\t") for x in parts(f"{tmp_path}/text").splitlines()] == [["term", "one", "two"], ["x_1", "1.235*** (0.50)", '""'], ["y", "-0.200 (0.12)", "0.300* (0.10)"]]
     writers.regression_table(df, f"{tmp_path}/tex", "spec", latex=True)
     assert parts(f"{tmp_path}/tex").splitlines() == ["term & one & two \\\\ \\hline", "x\\_1 & 1.235*** (0.50) &  \\\\", "y & -0.200 (0.12) & 0.300* (0.10) \\\\"]
+
+
+def test_splits_have_each_row_once_a_fold(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(100)], "id int, v string").repartition(3)
+    writers.splits(df, f"{tmp_path}/s", "id", 3, 0.25)
+    rows = spark.read.json(f"{tmp_path}/s").collect()
+    assert sorted((r.fold, r.id) for r in rows) == [(f, i) for f in range(3) for i in range(100)]
+    tests = [{r.id for r in rows if r.fold == f and r.split == "test"} for f in range(3)]
+    assert all(len(x) == 25 for x in tests) and tests[0] != tests[1]
