@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scores
 from lectern.operators import calibration as cal
+from lectern.operators import metrics
 from lectern.plans.analytics import _EVAL, judged
 from lectern.plans.registry import Tables, query, r6
 
@@ -94,3 +95,36 @@ def log_calibration(t: Tables) -> DataFrame:
 @query("entropy_refinement", f"select round(-sum(w * (anti * ln(greatest(anti, 1e-6)) + neutral * ln(greatest(neutral, 1e-6)) + pro * ln(greatest(pro, 1e-6)))) / sum(w), 6) as refinement from ({_SEGMENTS})")
 def entropy_refinement(t: Tables) -> DataFrame:
     return cal.entropy_refinement(labelled(t), list(_CLASSES), "w").select(r6(F.col("refinement")).alias("refinement"))
+
+
+_GUESSED = f"select *, case when anti >= neutral and anti >= pro then 'anti' when neutral >= pro then 'neutral' else 'pro' end as y_hat from ({_SEGMENTS})"
+_REPORT = f"""with d as ({_GUESSED}), k as (select unnest(['anti', 'neutral', 'pro']) as label),
+c as (select label, sum(w) filter (where y = label) as t, coalesce(sum(w) filter (where y_hat = label), 0) as p, coalesce(sum(w) filter (where y = label and y_hat = label), 0) as h from k cross join d group by 1),
+e as (select label, case when p > 0 then h / p else 0 end as precision, h / t as recall, 2 * h / (t + p) as f1, t as support from c), a as (select sum(h) / sum(t) as acc, sum(t) as support from c)"""
+
+
+def guessed(t: Tables) -> DataFrame:
+    return labelled(t).withColumn("y_hat", scores.argmax_label({c: F.col(c) for c in _CLASSES}))
+
+
+@query("classification_report", f"""{_REPORT}, u as (select * from e union all select 'accuracy', acc, acc, acc, support from a union all select 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) from e
+  union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) from e)
+select label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from u""")
+def classification_report(t: Tables) -> DataFrame:
+    r = metrics.report(guessed(t), "y", "y_hat", "w")
+    return r.select("label", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("task_metrics", f"""
+with d as ({_GUESSED}), n as (select y, y_hat, count(*)::double as n from d group by 1, 2), t as (select y as label, sum(n) as t from n group by 1), p as (select y_hat as label, sum(n) as p from n group by 1),
+h as (select t.label, t, coalesce(p, 0) as p, coalesce(n, 0) as h from t left join p using (label) left join n on y = t.label and y_hat = t.label),
+m as (select sum(h) / sum(t) as acc, avg(2 * h / (t + p)) as macro, (sum(h) * sum(t) - sum(t * p)) / sqrt((sum(t) * sum(t) - sum(p * p)) * (sum(t) * sum(t) - sum(t * t))) as mcc from h),
+r as (select l_discount as x, l_tax as y, rank() over (order by l_discount) + (count(*) over (partition by l_discount) - 1) / 2.0 as rx, rank() over (order by l_tax) + (count(*) over (partition by l_tax) - 1) / 2.0 as ry from lineitem),
+k as (select corr(x, y) as pearson, corr(rx, ry) as spearman from r)
+select 'mrpc' as task, 'acc' as metric, round(acc, 6) as value from m union all select 'mrpc', 'micro_f1', round(acc, 6) from m union all select 'mrpc', 'macro_f1', round(macro, 6) from m union all select 'mrpc', 'acc_and_macro_f1', round((acc + macro) / 2, 6) from m
+union all select 'cola', 'mcc', round(mcc, 6) from m union all select 'sts-b', 'pearson', round(pearson, 6) from k union all select 'sts-b', 'spearmanr', round(spearman, 6) from k union all select 'sts-b', 'corr', round((pearson + spearman) / 2, 6) from k
+""")
+def task_metrics(t: Tables) -> DataFrame:
+    g = guessed(t)
+    parts = [metrics.task_metrics(df, task, y, x).withColumn("task", F.lit(task)) for task, df, y, x in (("mrpc", g, "y", "y_hat"), ("cola", g, "y", "y_hat"), ("sts-b", t.lineitem, "l_tax", "l_discount"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("task", "metric", r6(F.col("value")).alias("value"))
