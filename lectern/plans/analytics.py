@@ -5,8 +5,6 @@ lineitem stands for segments with three logits, orders for speeches with dates,
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from lectern.operators.calibration import calibration as calibration_curve
 from lectern.plans.registry import Tables, i64, query, r6
 from lectern.vocab import CONFUSION, terms_table
 
-#: Queries of a top-k search that are broadcast at a time.
+#: Queries and vectors that a top-k search compares at a time.
 QUERY_BLOCK = 4096
 
 
@@ -538,12 +536,9 @@ with q as (select vec_id as query, embedding as qv from embeddings where vec_id
 select query, vec_id, rank from (select query, vec_id, row_number() over (partition by query order by sim desc, vec_id) as rank from s) where rank <= 10
 """)
 def cosine_top_k(t: Tables) -> DataFrame:
-    """The ten nearest vectors of every twentieth one, in blocks of at most about QUERY_BLOCK queries, each of which is broadcast."""
+    """The ten nearest vectors of every twentieth one, in blocks."""
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    parts = [models.cosine_top_k(t.embeddings, q.where(block == i), "vec_id", "embedding", 10) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, parts).select("query", "vec_id", i64(F.col("rank")).alias("rank"))
+    return models.cosine_top_k(t.embeddings, q, "vec_id", "embedding", 10, QUERY_BLOCK).select("query", "vec_id", i64(F.col("rank")).alias("rank"))
 
 
 @query("linear_shap", """

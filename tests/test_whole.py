@@ -38,3 +38,15 @@ def test_cosine_top_k_asks_for_every_twentieth_vector_in_any_blocks(spark, sf_di
 
 def test_permutation_test_draws_all_replicates(spark, sf_dir):
     assert QUERIES["permutation_test"](spark, sf_dir).first()["replicates"] == 20_000
+
+
+def test_top_k_takes_ties_by_key_and_leaves_vectors_without_a_direction_out(spark):
+    from lectern.operators import models
+
+    same = [(i, [1.0, 2.0]) for i in range(40, 60)]
+    df = spark.createDataFrame([*same, (1, [0.0, 0.0]), (2, None), (3, [2.0, 4.0]), (4, [-1.0, -2.0]), (5, [1.0, 2.1])], "id long, v array<double>").repartition(3)
+    asked = df.where("id in (3, 1, 41)").selectExpr("id as query", "v as qv")
+    for block in (4096, 3):
+        got = {(r.query, r["rank"]): r.id for r in models.cosine_top_k(df, asked, "id", "v", 3, block).collect()}
+        assert got == {(3, 1): 40, (3, 2): 41, (3, 3): 42, (41, 1): 3, (41, 2): 40, (41, 3): 42}
+    assert models.cosine_top_k(df, asked.limit(0), "id", "v", 3).count() == 0
