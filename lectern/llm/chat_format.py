@@ -173,7 +173,7 @@ def turns_of_table(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> D
     """(conv_id, turn, role, text, layout) of a table; its schema's fingerprint says how to read it.
 
     A table with a row a turn is that of a mapping with columns; its null roles and texts stay null, repeated rows are turns of their own, rows without
-    conv_id one conversation. Others are tables of records with conv_id and the fields of a layout.
+    conv_id one conversation; long texts stay whole. Others are tables of records with conv_id and the fields of a layout.
     An empty table gives an empty result; further columns play no part.
     """
     for m in mappings:

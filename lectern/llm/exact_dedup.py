@@ -44,7 +44,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """df with text_sha256, keep_id, group_size and kept; narrow=True returns only id_col besides these.
 
     Of rows with equal normalised text the one with the smallest id is kept (ids that are null come
-    last); of rows that repeat the id too, any one. A null text equals an empty one. An empty table
+    last); of rows that repeat the id too, any one. A null text equals an empty one; long texts are compared whole. An empty table
     gives an empty result. Columns of df with the new names are replaced.
     """
     new = ["text_sha256", "keep_id", "group_size", "kept"]

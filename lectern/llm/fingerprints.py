@@ -99,7 +99,7 @@ def _near(values: DataFrame, radius: int, spare: int) -> DataFrame:
 def near_pairs(prints: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
     """All pairs (a, b, distance), a < b, of different values of `fingerprint` within the radius.
 
-    Documents with one fingerprint enter once; null fingerprints take no part; an empty table gives an empty result.
+    Documents with one fingerprint enter once, whatever their texts' length; null fingerprints take no part; an empty table gives an empty result.
     Other columns of prints play no part.
     """
     values = prints.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
@@ -145,7 +145,7 @@ def with_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Edited: the last floor(n / 3) code points are replaced by the first as many of the next document
     by descending id; after the last comes the first. id_col is integral; null ids come last, rows
     with equal ids are ordered by their texts' hash, a null text counts as empty. A table of one row
-    is its own next. Ranges of ids are windows of their own; the head of each range is also sent
+    is its own next; an empty table gives an empty result. Long texts are read whole. Further columns of df, whatever their names, play no part. Ranges of ids are windows of their own; the head of each range is also sent
     to the range before it.
     """
     key = F.coalesce(col(id_col).cast("long"), F.lit(-(1 << 63)))

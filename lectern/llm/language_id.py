@@ -146,7 +146,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on FIT_WINDOWS windows of each of at most `rows` documents with a language that aren't held out.
 
     The documents are those whose ids' hashes are smallest; their windows lie evenly over the text.
-    Windows without letters are passed over. Without any document the model knows no language.
+    Windows without letters are passed over. Null texts, languages and ids are, too; an empty text has no window, rows that repeat count as often, long
+    texts are read whole. Without any document, as in an empty table, the model knows no language. Further columns play no part.
     """
     bound_batches(df.sparkSession)
     usable = df.where(col(lang_col).isNotNull() & col(text_col).isNotNull() & col(id_col).isNotNull() & ~held_out(col(id_col)))

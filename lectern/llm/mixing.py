@@ -69,6 +69,7 @@ def mix(
     """df with size, source_size, target, copies and taken; narrow=True leaves out all but id and source.
 
     size counts the words of the text (null: 0). A null source is a source of its own, ranked last.
+    Long texts are counted whole. Ties in size go by a hash of the id, then the id.
     A source without words has target 0 and no copies. Reruns agree; rows that repeat id and text
     are documents like others. An empty table gives an empty result. Columns of df with the new
     names are replaced, unless they are id, source or text.
