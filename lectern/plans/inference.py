@@ -108,3 +108,19 @@ def election_regression(t: Tables) -> DataFrame:
     rows = t.orders.select((F.col("o_totalprice") / 1000).alias("price"), (y - 1992).alias("years"), (y % 2).alias("odd"), (y >= 1998).cast("int").alias("late"), (F.floor(y / 10) * 10).cast("string").alias("decade"))
     first = rows.agg(F.min("decade")).first()[0]
     return models.interaction_specs(rows, "price", "years", "decade", first, {"line": [], "features": ["odd", "late"]}, family="gaussian")
+
+
+@query("interaction_lines", """
+with r as (select o_orderstatus as g, o_totalprice / 1000 as y, cast(year(o_orderdate) - 1995 as double) as x from orders),
+s as (select g, count(*) as n, regr_slope(y, x) as b, regr_intercept(y, x) as a, regr_sxx(y, x) as sxx, avg(x) as mx, regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x) as rss from r group by g),
+v as (select sum(rss) / (sum(n) - 2 * count(*)) as s2 from s), f as (select n as fn, b as fb, a as fa, sxx as fxx, mx as fmx from s where g = 'F'),
+z as (select 'years' as term, fb as e, sqrt(s2 / fxx) as se from f cross join v union all select '(Intercept)', fa, sqrt(s2 * (1.0 / fn + fmx * fmx / fxx)) from f cross join v
+  union all select 'o_orderstatus_' || g, a - fa, sqrt(s2 * (1.0 / n + mx * mx / sxx + 1.0 / fn + fmx * fmx / fxx)) from s cross join f cross join v where g <> 'F'
+  union all select 'years:o_orderstatus_' || g, b - fb, sqrt(s2 * (1.0 / sxx + 1.0 / fxx)) from s cross join f cross join v where g <> 'F')
+select term, round(e, 5) as estimate, round(se, 5) as se, round(e / se, 4) as t from z
+""")
+def interaction_lines(t: Tables) -> DataFrame:
+    """A line a status as one model with an interaction: the SQL fits each line by itself and pools the variance."""
+    rows = t.orders.select((F.col("o_totalprice") / 1000).alias("price"), (F.year("o_orderdate") - 1995).cast("double").alias("years"), "o_orderstatus")
+    e = models.interaction_specs(rows, "price", "years", "o_orderstatus", "F", {"line": []}, family="gaussian")
+    return e.select("term", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"), F.round("z", 4).alias("t"))
