@@ -198,10 +198,10 @@ def _paragraphs(df: DataFrame, id_col: str, text_col: str, size: int, min_words:
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
-    """df with the removed paragraphs and passages taken out of its texts; other rows, null texts and rows without id as they are.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, min_words: int = MIN_WORDS, passage: int | None = None) -> DataFrame:
+    """df with the removed paragraphs, and passages of `passage` words if given, taken out of its texts; other rows, null texts and rows without id as they are.
 
-    What is left before, between and after them stands on lines of its own, a line break at a cut goes with it, empty rests go too. A row loses spans of
+    What is left before, between and after them stands on lines of its own, a line break at a cut goes with it; empty lines elsewhere stay. A row loses spans of
     its own text, also where other rows have its id; rows that repeat id and text lose the same. A text is cut in one task, whatever its length. An
     empty table gives an empty result. df may have columns of any name.
     """
@@ -209,7 +209,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = ["id", "t", "start", (F.col("start") + F.col("n_chars")).alias("stop")]
     with Scratch(df.sparkSession) as scratch:
         lines = _paragraphs(df, id_col, text_col, size, min_words, scratch).where("removed").select(*spans)
-        found = lines.unionByName(_passages(df, id_col, text_col, passage, scratch).where("removed").select(*spans))
+        found = lines if passage is None else lines.unionByName(_passages(df, id_col, text_col, passage, scratch).where("removed").select(*spans))
     along = Window.partitionBy("id", "t").orderBy("start", "stop")
     begins = F.coalesce(F.col("start") > F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
     islands = found.withColumn("begins", begins).withColumn("island", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
@@ -221,13 +221,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def rest(i):
         low, high = F.when(i > 0, F.get(col(gone), i - 1)["stop"]).otherwise(0), F.when(i < n, F.get(col(gone), i)["start"]).otherwise(F.char_length(text))
         piece = F.substr(text, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
-        return F.regexp_replace(piece, F.when((i > 0) & (i < n), r"\A\n|\n\z").when(i > 0, r"\A\n").otherwise(r"\n\z"), F.lit(""))
+        inside = (i > 0) & (i < n)
+        told = F.when(inside, ~piece.isin("", "\n")).otherwise(piece != "")
+        return F.when(told, F.regexp_replace(piece, F.when(inside, r"\A\n|\n\z").when(i > 0, r"\A\n").otherwise(r"\n\z"), F.lit("")))
 
-    left = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), n), rest), lambda x: x != ""), "\n")
+    left = F.array_join(F.array_compact(F.transform(F.sequence(F.lit(0), n), rest)), "\n")
     out = F.when(col(gone).isNull(), text).otherwise(left)
     return keyed.join(cuts, [id_, t], "left").select(*[out.alias(c) if c == text_col else col(c) for c in df.columns])
 
 
+def remove_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df without what repeated_pieces() calls removed, paragraphs and passages; all else as remove_repeats()."""
+    return remove_repeats(df, id_col, text_col, passage=PASSAGE)
+
+
 def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     """The hash of the run of size words at each place that has so many after it, texts' ends ignored."""
     n = max(len(hashes) - size + 1, 0)

@@ -76,7 +76,7 @@ def test_periodic_texts_are_a_row_not_one_a_word(spark):
     got = sorted((r.doc_id, r.removed, r.n_words, r.start) for r in rows)
     # The first two runs of 50 words stay, at the places 0 and 1 of text 1; all else goes, in one span a text.
     assert got == [(1, False, 51, 0), (1, True, 7998, 8), (2, True, 8000, 0), (3, True, 200, 720)]
-    kept = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    kept = {r.doc_id: r.text for r in substring_dedup.remove_pieces(df).collect()}
     assert len(kept[1].split()) < 60 and kept[2] == "" and kept[3].split() == ["other", "words"] * 60 and kept[4] == texts[4]
 
 
@@ -93,7 +93,7 @@ def test_removal_takes_passages_too_and_leaves_no_shared_run(spark):
         n = draw.choice([8, 30, 1000])
         docs.append((i, "\n".join(" ".join(said[k : k + n]) for k in range(0, len(said), n))))
     df = spark.createDataFrame([*docs, (None, docs[0][1]), (90, None), (91, "")], "doc_id long, text string").repartition(3)
-    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    left = {r.doc_id: r.text for r in substring_dedup.remove_pieces(df).collect()}
     assert not brute_passages([(i, left[i]) for i, _ in docs], 50) and brute_passages(docs, 50)
     for i, t in docs:  # what no document shares is all there, in order
         gone = {p for d, p, removed in brute_passages(docs, 50) if d == i and removed}
