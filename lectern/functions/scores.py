@@ -9,14 +9,24 @@ from pyspark.sql import functions as F
 TONES = ("anti", "neutral", "pro")
 
 
-def softmax(*logits: Column) -> list[Column]:
-    """Shifted by the largest, which changes nothing but overflow."""
-    top = F.greatest(*logits)
+def softmax(*logits: Column, shift: bool = True) -> list[Column]:
+    """Shifted by the largest, which changes nothing but overflow and the last bits; without, logits must be below 700."""
+    top = F.greatest(*logits) if shift else F.lit(0.0)
     powers = [F.exp(x - top) for x in logits]
     total = sum(powers[1:], powers[0])
     return [p / total for p in powers]
 
 
+#: A power of two, by which whole parts of sums of shares are split off.
+WHOLE = float(1 << 32)
+
+
+def share_sum(x: Column) -> Column:
+    """The sum of shares (0 to 1) rounded once, the same in any order of the rows: whole numbers of 2^-32 and the rest are added apart, both without loss."""
+    whole = F.rint(x * WHOLE)
+    return (F.sum(whole) + F.sum(x * WHOLE - whole)) / WHOLE
+
+
 def argmax_label(values: dict[str, Column]) -> Column:
     """The name of the largest value, the first on ties."""
     top = F.greatest(*values.values())

@@ -32,15 +32,15 @@ _TONES = f"""select l_orderkey, sum(anti) as anti, sum(neutral) as neutral, sum(
 
 
 def segments(t: Tables) -> DataFrame:
-    """Segments with class probabilities and the predicted class."""
+    """Segments with class probabilities, by the same steps as in SQL to the last bit, and the predicted class; the logits are small numbers."""
     logit = {"anti": F.col("l_discount") * 10, "neutral": F.col("l_tax") * 10, "pro": F.col("l_quantity") / 50}
-    p = scores.softmax(*logit.values())
+    p = scores.softmax(*logit.values(), shift=False)
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", *[x.alias(k) for k, x in zip(logit, p, strict=True)], scores.argmax_label(logit).alias("label"))
 
 
 def speeches(t: Tables) -> DataFrame:
-    """Speeches with their classes' sums and counts."""
-    sums = [F.sum(c).alias(c) for c in scores.TONES]
+    """Speeches with their classes' sums, which don't depend on the order of segments, and counts."""
+    sums = [scores.share_sum(F.col(c)).alias(c) for c in scores.TONES]
     return segments(t).groupBy("l_orderkey").agg(*sums, rows().alias("n"), *[F.count_if(F.col("label") == c).alias(f"n_{c}") for c in scores.TONES])
 
 
