@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +67,7 @@ def _with_prefix(names: DataFrame, block: list[str], name: str, found: DataFrame
     less = F.sequence(F.lit(0), F.ceil(n * part / (1 - part)).cast("int"))
     most = F.array_max(F.transform(less, lambda d: GRAM * F.floor((n + d) * part + 1e-9) + 1 - d))
     order = Window.partitionBy(*block, name).orderBy("found_", "gram")
-    rare = _grams(names, name).join(found, [*block, "gram"]).withColumn("at_", F.row_number().over(order)).where(F.col("at_") <= most)
+    rare = _grams(names, name).join(found.hint("merge"), [*block, "gram"]).withColumn("at_", F.row_number().over(order)).where(F.col("at_") <= most)
     short = names.where(n * (1 - GRAM * part) <= GRAM - 1 + 1e-9)
     return rare.select(*block, name, "gram").unionByName(short.select(*block, name, F.lit("").alias("gram")))
 
@@ -83,29 +85,101 @@ def like_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b: s
     whole = count(lefts, "l_", block).join(count(rights, "r_", block), block).join(meet, block, "left")
     cheap = checkpoint(whole.select(*block, (2 * F.coalesce("meet_", F.lit(0)) <= F.col("l_") * F.col("r_")).alias("by_gram_")))
     fits = F.least(F.length(a), F.length(b)) >= F.lit(like / 100 - 1e-9) * F.greatest(F.length(a), F.length(b))
-    by_gram = one.join(cheap.where("by_gram_").drop("by_gram_"), block).join(two, [*block, "gram"]).where(fits).select(*block, a, b).distinct()
-    by_length = lefts.join(cheap.where("not by_gram_").drop("by_gram_"), block).join(rights, block).where(fits)
+    by_gram = one.join(cheap.where("by_gram_").drop("by_gram_"), block).join(two.hint("merge"), [*block, "gram"]).where(fits).select(*block, a, b).distinct()
+    by_length = lefts.join(cheap.where("not by_gram_").drop("by_gram_"), block).join(rights.hint("merge"), block).where(fits)
     return by_gram.unionByName(by_length)
 
 
+#: Names that are compared at a time, of the left and of the right table, and the signs of a right name that fit a word of bits.
+LEFTS, RIGHTS, BITS = 4096, 2048, 64
+
+
+def nearest(lefts: list[str], rights: list[str]) -> Iterator[tuple[int, float]]:
+    """For each of lefts the place of the first most similar one of rights, of at most BITS signs each, and their similarity().
+
+    A column of the table of edits is a word of bits for each right name (Myers, Hyyro). Lefts are sorted, so that only the signs after what one shares with
+    the one before are worked off, of the first BITS.
+    """
+    import numpy as np
+
+    size = np.array([len(r) for r in rights], np.int32)
+    places: dict[str, list[int]] = {}
+    for i, r in enumerate(rights):
+        for j, c in enumerate(r):
+            places.setdefault(c, [0] * len(rights))[i] |= 1 << j
+    equal = {c: np.array(x, np.uint64) for c, x in places.items()}
+    last = np.array([1 << n >> 1 for n in size.tolist()], np.uint64)
+    one, none, empty = np.uint64(1), np.zeros(len(rights), np.uint64), size == 0
+    states, before = [(~none, none, size)], ""
+    for a in lefts:
+        shared = 0
+        while shared < min(len(a), len(before), len(states) - 1) and a[shared] == before[shared]:
+            shared += 1
+        del states[shared + 1 :]
+        up, down, edits = states[-1]
+        for at in range(shared, len(a)):
+            x = equal.get(a[at], none) | down
+            diagonal = ((x & up) + up ^ up) | x
+            less, more = up & diagonal, down | ~(up | diagonal)
+            edits = edits + ((more & last != 0) | empty) - (less & last != 0)
+            more = more << one | one
+            up, down = less << one | ~(more | diagonal), more & diagonal
+            if at < BITS:
+                states.append((up, down, edits))
+        before = a
+        likeness = 100.0 * (1 - edits / np.maximum(np.maximum(size, len(a)), 1))
+        best = int(likeness.argmax())
+        yield best, float(likeness[best])
+
+
+def _pieces(names: DataFrame, block: list[str], name: str, size: int, piece: str, all_of: str) -> DataFrame:
+    """(block, piece, all_of, name): the names of a block as sorted arrays of about `size`, numbered below all_of."""
+    sizes = names.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(all_of))
+    dealt = names.join(sizes.hint("merge"), block).withColumn(piece, F.pmod(F.xxhash64(name), F.col(all_of)).cast("int"))
+    return dealt.groupBy(*block, piece, all_of).agg(F.array_sort(F.collect_list(name)).alias(name))
+
+
+def _best_of_all(lefts: DataFrame, rights: DataFrame, block: list[str], a: str, b: str) -> DataFrame:
+    """(block, a, b, score): for each name of lefts the best in each piece of rights (names of at most BITS signs). Pieces meet pieces of their block, in tasks
+    of a few pairs of pieces each; what a task holds does not grow with the tables."""
+    one = checkpoint(_pieces(lefts, block, a, LEFTS, "left_", "lefts_"))
+    two = checkpoint(_pieces(rights, block, b, RIGHTS, "right_", "rights_"))
+    numbers = two.select(*block, "right_")
+    n = one.select(*block, "left_").hint("merge").join(numbers, block).count()
+    # The shuffle by number keeps AQE from putting many pairs of small arrays and much work into one task.
+    meet = one.join(numbers.hint("merge"), block).join(two.hint("merge"), [*block, "right_"]).select(*block, a, b).repartition(max(1, min(10_000, n // 2)))
+    kinds = T.StructType([*[meet.schema[c] for c in block], lefts.schema[a], rights.schema[b], T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ls, rs = (batch.column(batch.num_columns - k)[i].as_py() for k in (2, 1))
+                found = list(nearest(ls, rs))
+                same = [batch.column(k).take(pa.array([i] * len(ls), pa.int64())) for k in range(len(block))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(ls, pa.string()), pa.array([rs[k] for k, _ in found], pa.string()), pa.array([x for _, x in found])], [*block, a, b, "score"])
+
+    return meet.mapInArrow(run, kinds)
+
+
 def best_match(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, least: float = 0.0) -> DataFrame:
     """For each row of left the most similar b within its block, the first by name on ties, with a score of `least` or more: (left's columns, b, score).
 
-    First among candidates of a likeness of LIKE per cent (like_pairs): who has one there is settled, as all others are less alike. Only names
-    without one are compared with their whole block, if `least` is lower. Equal rows of left are matched once and come out as often as they are there;
-    rows with a null name or block, and null b, match nothing.
+    With `least` of LIKE per cent or more among like_pairs(), else among all pairs of a block, piece by piece: work with the product of a block's different
+    names, memory without. Equal rows of left are matched once and come out as often as they are there; rows with a null name or block, and null b, match
+    nothing. No names are broadcast: short ones shrink so well in a shuffle that AQE would take large tables for small ones.
     """
     score = similarity(F.col(a), F.col(b))
-    floor = max(LIKE, least)
-    near = like_pairs(left, right, block, a, b, floor).withColumn("score", score).where(F.col("score") >= floor)
-    pick = lambda df: df.groupBy(*block, a).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(b).alias("b"))).alias("best_"))
-    best = pick(near)
-    if least < LIKE:
-        best = checkpoint(best)
-        rest = left.select(*block, a).where(F.col(a).isNotNull()).distinct().join(best.select(*block, a), [*block, a], "left_anti")
-        far = rest.join(right.select(*block, b).where(F.col(b).isNotNull()).distinct(), block).withColumn("score", score).where(F.col("score") >= least)
-        best = best.unionByName(pick(far))
-    return left.join(best, [*block, a]).select(*left.columns, F.col("best_.b").alias(b), (-F.col("best_.s")).alias("score"))
+    if least >= LIKE:
+        told = like_pairs(left, right, block, a, b, least).withColumn("score", score)
+    else:
+        lefts, rights = (df.select(*block, c).where(F.col(c).isNotNull()).dropna(subset=block).distinct() for df, c in ((left, a), (right, b)))
+        short = F.length(b) <= BITS
+        told = _best_of_all(lefts, rights.where(short), block, a, b)
+        told = told.unionByName(lefts.join(rights.where(~short).hint("merge"), block).withColumn("score", score))
+    best = told.where(F.col("score") >= least).groupBy(*block, a).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(b).alias("b"))).alias("best_"))
+    return left.join(best.hint("merge"), [*block, a]).select(*left.columns, F.col("best_.b").alias(b), (-F.col("best_.s")).alias("score"))
 
 
 def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

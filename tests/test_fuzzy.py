@@ -71,3 +71,25 @@ def test_best_matches_equal_those_among_all_pairs(sides, least):
             want.append((p, a, min(some)[1], round(-min(some)[0], 9)))
     got = [(r.block, r.a, r.b, round(r.score, 9)) for r in joins.best_match(ls, rs, ["block"], "a", "b", least).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_nearest_of_a_piece_is_the_first_of_the_most_similar():
+    draw = random.Random(5)
+    rights = sorted({*names(draw, 120, range(1, 20)), "", "é" * 64, "x" * 63, "ab" * 30})
+    lefts = sorted([*(edited(draw, draw.choice(rights)) for _ in range(150)), "", "q", "x" * 70, "é" * 130])
+    want = [min((-score(a, b), b) for b in rights) for a in lefts]
+    assert [(-s, rights[i]) for i, s in joins.nearest(lefts, rights)] == want
+
+
+def test_names_of_a_large_block_meet_in_pieces_without_broadcasts(spark, monkeypatch):
+    """More names than a piece holds, and right names that are longer than a word of bits."""
+    monkeypatch.setattr(joins, "LEFTS", 16)
+    monkeypatch.setattr(joins, "RIGHTS", 8)
+    draw = random.Random(8)
+    right = [("x", b) for b in [*names(draw, 50, range(3, 12)), "ab" * 40, "lo" * 33]]
+    left = [("x", edited(draw, b)) for _, b in right] + [("x", "ab" * 39), ("y", "alone")]
+    ls, rs = spark.createDataFrame(left, "block string, a string"), spark.createDataFrame(right, "block string, b string")
+    best = joins.best_match(ls, rs, ["block"], "a", "b")
+    want = [(a, *min((-score(a, b), b) for _, b in right)) for p, a in left if p == "x"]
+    assert sorted((r.a, -r.score, r.b) for r in best.collect()) == sorted(want)
+    assert "BroadcastHashJoin" not in best._jdf.queryExecution().executedPlan().toString()
