@@ -132,20 +132,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.where(col(label_col).isNotNull() & ~held_out(col(id_col)) & col(id_col).isNotNull())
     some = usable.select(col(id_col), col(label_col).cast("double").alias("label_")).orderBy(F.xxhash64(col(id_col)), col(id_col), "label_").limit(rows)
     chosen = docs.select(col(id_col), col(text_col).cast("string").alias("text_")).join(F.broadcast(some), id_col)
-    kinds = pa.schema([("id", pa.int64()), ("label", pa.float64()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
+    kinds = pa.schema([("id", pa.int64()), ("words", pa.int64()), ("label", pa.float64()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, n in slices(batch.column(1), PIECE):
-                owner, bucket, value = features(batch.column(1).slice(start, n))
+            for start, n in slices(batch.column(2), PIECE):
+                owner, bucket, value = features(batch.column(2).slice(start, n))
                 at = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (bucket.astype(np.int32), value)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(2).slice(start, n), *lists], schema=kinds)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, n) for i in (0, 1, 3)), *lists], schema=kinds)
 
-    ready = chosen.select(F.xxhash64(col(id_col)), "text_", "label_").mapInArrow(tidied(run), "id long, label double, bucket array<int>, value array<float>")
-    table = ready.toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    found = [(b.values.to_numpy(), v.values.to_numpy()) for b, v in zip(table["bucket"], table["value"], strict=True)]
-    return fit(found, table["label"].to_numpy())
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            for i, (id_, words, label) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                found.append((id_, label, words, *(np.array(batch.column(k)[i].values) for k in (3, 4))))
+        found.sort(key=lambda x: x[:3])
+        model = fit([x[3:] for x in found], np.array([x[1] for x in found]))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights], pa.list_(pa.float32())), pa.array([model.bias])], ["weights", "bias"])
+
+    text = F.xxhash64("text_")
+    ready = chosen.select(F.xxhash64(col(id_col)), text, "text_", "label_").mapInArrow(tidied(run), "id long, words long, label double, bucket array<int>, value array<float>")
+    # The fit is one task on an executor, of a bounded number of rows; the driver gets the weights alone.
+    told = ready.repartition(1).mapInArrow(tidied(fitted), "weights array<float>, bias double").toArrow()
+    if not told.num_rows:
+        return fit([], np.zeros(0))
+    return Model(told["weights"].combine_chunks().values.to_numpy(), told["bias"][0].as_py())
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -1,6 +1,7 @@
 """op4's features and updates by plain versions that share no code with them."""
 
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -96,3 +97,23 @@ def test_scores_are_sigmoids_of_sparse_dots():
     for text, got in zip(TEXTS, model.scores(pa.array(TEXTS, pa.string())), strict=True):
         dot = sum(float(model.weights[k]) * v for k, v in plain_features(text).items())
         assert math.isclose(got, 1 / (1 + math.exp(-dot - 0.25)), rel_tol=1e-5)
+
+
+def test_the_driver_gets_weights_alone(spark, monkeypatch):
+    """The features of the rows to fit on stay with the executors, where the model is fitted in the order of the ids' hashes."""
+    texts = [(i, f"{'good words here' if i % 2 else 'BAD 123 !!'} {i}", i % 2) for i in range(200)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id long, quality int")
+    own = labels.where(~quality.held_out(labels.doc_id)).selectExpr("doc_id", "quality", "xxhash64(doc_id) h").orderBy("h").collect()
+    owner, bucket, value = quality.features(pa.array([texts[r.doc_id][1] for r in own]))
+    rows = [(bucket[owner == i], value[owner == i]) for i in range(len(own))]
+    want = quality.fit(rows, np.array([float(r.quality) for r in own]))
+    here, fit = os.getpid(), quality.fit
+
+    def elsewhere(*args):
+        assert os.getpid() != here, "fitted in the driver"
+        return fit(*args)
+
+    monkeypatch.setattr(quality, "fit", elsewhere)
+    got = quality.train(docs, labels)
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and abs(got.bias - want.bias) < 1e-9
