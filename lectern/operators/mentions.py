@@ -22,16 +22,17 @@ def mention_sentences(
     """
     terms, first = mention_terms(groups, basic)
     lower = F.transform(F.filter(tokens, lambda x: x.isNotNull()), lambda x: F.lower(x))
-    some = df.withColumn("lower_", lower).where(F.arrays_overlap("lower_", F.array(*map(F.lit, first))))
-    some = some.withColumn("simplified", fuse_mentions(F.array_join("lower_", " "), list(groups), seconds, split))
+    once = lambda x: F.explode(F.array(x))  # noqa: E731  (a column that later filters don't work out again)
+    some = df.withColumn("lower_", lower).where(F.exists("lower_", lambda x: x.isin(first)))
+    some = some.withColumn("simplified", once(fuse_mentions(F.array_join("lower_", " "), list(groups), seconds, split)))
     some = some.withColumn("words_", F.filter(F.split("simplified", r"\s+"), lambda x: x != "")).where(F.size("words_") >= least)
     found = F.array_distinct(F.filter("words_", lambda x: x.isin(terms) | is_compound(x, list(groups), seconds)))
-    return some.withColumn("mentions", found).where(F.size("mentions") > 0).drop("lower_", "words_")
+    return some.withColumn("mentions", once(found)).where(F.size("mentions") > 0).drop("lower_", "words_")
 
 
-def mention_counts(sentences: DataFrame) -> DataFrame:
-    """(term, n): in how many sentences each term stands."""
-    return sentences.select(F.explode("mentions").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def mention_counts(sentences: DataFrame, times: str | None = None) -> DataFrame:
+    """(term, n): in how many sentences each term stands; times: how often a row's sentence is there."""
+    return sentences.select(F.explode("mentions").alias("term"), (F.col(times) if times else F.lit(1)).alias("times_")).groupBy("term").agg(F.sum("times_").alias("n"))
 
 
 def with_groups(sentences: DataFrame, tokens: str, groups: dict[str, list[str]] | None = None) -> DataFrame:

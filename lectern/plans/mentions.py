@@ -48,7 +48,9 @@ with s as (select *, list_filter(string_split(fused, ' '), lambda w: w <> '') as
 select term, count(*) as n from t where term in ({", ".join(f"'{x}'" for x in mention_terms()[0])}) or regexp_full_match(term, '({_FIRSTS})({"|".join(AFTER_GROUP)})') group by 1
 """)
 def mention_term_counts(t: Tables) -> DataFrame:
-    return mentions.mention_counts(mentions.mention_sentences(said(t).withColumn("tokens", F.split("said", " ")), "tokens"))
+    """Equal sentences are worked off once."""
+    each = said(t).groupBy("said").agg(F.count(F.lit(1)).alias("times"))
+    return mentions.mention_counts(mentions.mention_sentences(each.withColumn("tokens", F.split("said", " ")), "tokens"), "times")
 
 
 _NATIONAL = "|".join(sorted({h for c in NATIONALITIES for h in hyphenable(c)}, key=lambda h: (-len(h), h)))

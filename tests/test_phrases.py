@@ -73,3 +73,16 @@ def test_groups_that_are_compared(spark):
     assert got[1] == (["European", "Hispanic", "Mexican"], ["the", "irishamerican", "workers", "and", "mexicans"])
     assert got[2][0] == ["European"] and got[2][1] == ["a", "scottishamerican", "man"] and got[3][0] == ["Chinese"] and got[4][0] == []
     assert got[5] == (["European"], ["the", "scots", "americans"])  # a plural takes no american
+
+
+def test_equal_sentences_count_as_often_as_they_are_there(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import mentions
+
+    said = ["The mexican families came in", "The mexican families came in", "an immigrant of the town", "nobody else was there", None]
+    df = spark.createDataFrame([(x,) for x in said], "said string")
+    split = lambda d: mentions.mention_sentences(d.withColumn("tokens", F.split("said", " ")), "tokens")
+    each = {r.term: r.n for r in mentions.mention_counts(split(df)).collect()}
+    once = mentions.mention_counts(split(df.groupBy("said").agg(F.count(F.lit(1)).alias("times"))), "times")
+    assert {r.term: r.n for r in once.collect()} == each and 2 in each.values()
