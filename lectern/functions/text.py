@@ -39,7 +39,7 @@ def normalize_text(x: Column) -> Column:
 
 def words(x: Column) -> Column:
     """The runs without white space."""
-    return F.filter(F.split(strip(x), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(x, r"\s+"), "")
 
 
 def token_count(x: Column) -> Column:
@@ -153,6 +153,20 @@ def append_fused(lemmas: Column, fused: dict[str, str] = FUSED_LEMMAS) -> Column
 KEPT_TOKENS = {"alpha": r"^\p{L}+$", "alnum": "[a-zA-Z0-9]"}
 
 
+def counted(tokens: Column) -> Column:
+    """The distinct tokens with their numbers, as (term, n): the tokens are sorted and cut where they change, so that no row leaves its task to be counted."""
+
+    def cut(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+    def runs(s: Column, at: Column) -> Column:
+        return F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n")))
+
+    # Arrays of one element name what is used several times: else it is worked out for each token.
+    each = F.transform(F.array(F.sort_array(tokens)), lambda s: F.transform(F.array(cut(s)), lambda at: runs(s, at))[0])[0]
+    return F.when(F.size(tokens) > 0, each)
+
+
 def ngrams(tokens: Column, n: int, keep: str | None = None) -> Column:
     """n-grams joined by `_`; keep='alpha': all tokens alphabetic, 'alnum': each holds an ASCII letter or digit."""
     count = F.size(tokens) - (n - 1)

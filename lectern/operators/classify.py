@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import json
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import counted
 from lectern.operators import labels as annotations
 from lectern.operators.joins import SMALL
 from lectern.storage import checkpoint
 
+#: MB of rows that a fit adds up at a time: for over two classes each block costs a pass over all weights, so that small ones cost more than their rows.
+BLOCK_MB = 32.0
+
 
 @dataclass
 class Linear:
@@ -44,7 +49,7 @@ def fit(rows: DataFrame, label: str, classes: list[str], weight: str | None = No
     if len(known) < 2:
         return Linear(classes, known or classes[:1])
     number = F.array_position(F.array(*map(F.lit, known)), F.col(label)).cast("double") - 1
-    lr = LogisticRegression(labelCol="label_", regParam=reg, elasticNetParam=l1, maxIter=rounds, family="multinomial" if len(known) > 2 else "binomial")
+    lr = LogisticRegression(labelCol="label_", regParam=reg, elasticNetParam=l1, maxIter=rounds, family="multinomial" if len(known) > 2 else "binomial", maxBlockSizeInMB=BLOCK_MB)
     if weight:
         lr = lr.setWeightCol(weight)
     return Linear(classes, known, lr.fit(some.withColumn("label_", number)))
@@ -131,23 +136,47 @@ def idf_table(df: DataFrame, key: str, tokens: str, least: int = 1) -> DataFrame
     return found.where(F.col("df") >= least).select("term", (F.ln((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(df: DataFrame, key: str, tokens: str, idf: DataFrame) -> DataFrame:
-    """(key, term, x): counts times idf by row, to unit length; rows without known terms have none. The terms are broadcast only if they are few."""
-    counts = df.select(F.col(key).alias("key"), F.explode(tokens).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
-    small = F.broadcast(idf) if idf.limit(SMALL + 1).count() <= SMALL else idf
-    raw = counts.join(small, "term").withColumn("x", F.col("n") * F.col("idf"))
-    return raw.select("key", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("key")))).alias("x"))
+def tfidf(df: DataFrame, key: str, tokens: str, idf: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns of `keep`, term, x): counts times idf by key, to unit length; rows without known terms have none.
+
+    Terms are counted in their row, and added up by key only if several rows share a key. Counts go to their terms' idf once and back to their key once;
+    a small idf is broadcast. idf is read twice: store it.
+    """
+    counts = df.select(F.col(key).alias("key"), *keep, F.inline(counted(F.col(tokens))))
+    if not df.groupBy(key).count().where("count > 1").isEmpty():
+        counts = counts.groupBy("key", *keep, "term").agg(F.sum("n").alias("n"))
+    idf = F.broadcast(idf) if idf.limit(SMALL + 1).count() <= SMALL else idf.hint("shuffle_hash")
+    raw = counts.join(idf, "term").withColumn("x", F.col("n") * F.col("idf"))
+    return raw.select("key", *keep, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("key")))).alias("x"))
+
+
+def vocabulary(df: DataFrame, tokens: str, least: int, most: int) -> DataFrame:
+    """(term, df, n) of the `most` most frequent of the terms in at least `least` rows: the number of rows with it and of its occurrences."""
+    found = df.select(F.inline(counted(F.col(tokens)))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
+    return found.where(F.col("df") >= least).orderBy(F.desc("n"), "term").limit(most)
+
+
+def count_vectorizer(terms: DataFrame, tokens: str, out: str, binary: bool = False):
+    """(model, terms' rows): a CountVectorizerModel of these terms, the most frequent first. They are bounded, so that they fit the driver, as those of a fit do."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    rows = sorted(terms.collect(), key=lambda r: (-r["n"], r["term"]))
+    if not rows:
+        raise ValueError("no term is in so many rows")
+    model = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], tokens, out)
+    return model.setBinary(binary), rows
 
 
 def tfidf_features(train: DataFrame, tokens: str, least: int = 1, most: int = 1 << 17):
     """A fitted pipeline to the same values as vectors, for training; `most` bounds the vocabulary, the most frequent first."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+    from pyspark.ml.feature import ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    counts = CountVectorizer(inputCol=tokens, outputCol="counts_", minDF=float(least), vocabSize=most).fit(train)
-    idf = IDF(inputCol="counts_", outputCol="idf_").fit(counts.transform(train))
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1), inputCol="counts_", outputCol="scaled_")
+    n = train.count()
+    counts, rows = count_vectorizer(vocabulary(train, tokens, least, most), tokens, "counts_")
+    scale = [math.log((n + 1.0) / (r["df"] + 1.0)) + 1 for r in rows]
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="counts_", outputCol="scaled_")
     return PipelineModel([counts, scaled, Normalizer(p=2.0, inputCol="scaled_", outputCol="features")])
 
 
@@ -171,8 +200,31 @@ def shap_top_terms(train: DataFrame, n_train: int, test: DataFrame, n_test: int,
     off = test.join(means, "term").groupBy("term").agg(F.sum("x").alias("x"), F.sum(F.abs(F.col("x") - F.col("mean"))).alias("off"), F.count(F.lit(1)).alias("n"))
     both = means.join(off, "term", "left").na.fill(0, ["x", "off", "n"])
     both = both.select("term", (F.col("x") / n_test - F.col("mean")).alias("shift"), ((F.col("off") + (n_test - F.col("n")) * F.col("mean")) / n_test).alias("size"))
+    told = owned(weights).join(both, "term").select("label", "term", "weight", F.round(F.col("weight") * F.col("shift"), 12).alias("shap"), (F.col("weight") * F.col("size")).alias("shap_abs"))
+    return best_terms(told, k)
+
+
+def owned(weights: DataFrame) -> DataFrame:
+    """(label, term, weight): each term with a weight over 0 at the label whose weight is largest, the first of equal ones."""
     first = Window.partitionBy("term").orderBy(F.desc("weight"), "label")
-    own = weights.withColumn("r_", F.row_number().over(first)).where("r_ = 1 and weight > 0").drop("r_")
-    told = own.join(both, "term").select("label", "term", "weight", F.round(F.col("weight") * F.col("shift"), 12).alias("shap"), (F.col("weight") * F.col("size")).alias("shap_abs"))
+    return weights.withColumn("r_", F.row_number().over(first)).where("r_ = 1 and weight > 0").drop("r_")
+
+
+def best_terms(told: DataFrame, k: int) -> DataFrame:
+    """The k rows of a label with the largest shap, with their rank."""
     best = Window.partitionBy("label").orderBy(F.desc("shap"), "term")
     return told.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def mean_terms(x: DataFrame, held: Column, sizes: DataFrame, n_train: int, n_test: int, k: int) -> DataFrame:
+    """(label, term, weight, shap, rank) as of shap_top_terms, of the model whose weights are a label's mean x less that of all.
+
+    x has (key, label, term, x), sizes (label, n) of the training rows. The sums by term, label and part are taken in one pass and stored; all else comes of them.
+    """
+    sums = checkpoint(x.groupBy("term", "label", held.alias("held")).agg(F.sum("x").alias("x")))
+    part = lambda c: F.sum(F.when(c, F.col("x")).otherwise(0.0))
+    both = sums.groupBy("term").agg((part(~F.col("held")) / n_train).alias("mean"), (part(F.col("held")) / n_test).alias("seen"))
+    # A class without the term has weight -mean, never the largest of a term's.
+    weights = sums.where("not held").join(F.broadcast(sizes), "label").join(both, "term").select("label", "term", F.round(F.col("x") / F.col("n") - F.col("mean"), 12).alias("weight"))
+    told = owned(weights).join(both, "term").select("label", "term", "weight", F.round(F.col("weight") * (F.col("seen") - F.col("mean")), 12).alias("shap"))
+    return best_terms(told, k)

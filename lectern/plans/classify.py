@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import words
 from lectern.operators import classify, models
 from lectern.plans.registry import Tables, i64, query, r6
+from lectern.storage import checkpoint
 
 _TEST = "doc_id % 5 = 0"
 
@@ -30,16 +31,10 @@ def tfidf_top_terms(t: Tables) -> DataFrame:
     """Of a linear model whose weights are a language's mean TF-IDF less that of all, the terms that add most on held-out texts."""
     d = tokened(t)
     train, test = d.where(f"not ({_TEST})"), d.where(_TEST)
-    idf = classify.idf_table(train, "doc_id", "w", 5)
-    x = classify.tfidf(d, "doc_id", "w", idf)
-    held = F.col("key") % 5 == 0
+    idf = checkpoint(classify.idf_table(train, "doc_id", "w", 5))
+    x = classify.tfidf(d, "doc_id", "w", idf, ("label",))
     sizes = train.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    sums = x.where(~held).join(train.select(F.col("doc_id").alias("key"), "label"), "key").groupBy("term", "label").agg(F.sum("x").alias("x"))
-    n_train, n_test = train.count(), test.count()
-    means = x.where(~held).groupBy("term").agg((F.sum("x") / n_train).alias("mean"))
-    # A class without the term has weight -mean, never the largest of a term's.
-    weights = sums.join(sizes, "label").join(means, "term").select("label", "term", F.round(F.col("x") / F.col("n") - F.col("mean"), 12).alias("weight"))
-    top = classify.shap_top_terms(x.where(~held), n_train, x.where(held), n_test, weights, 10)
+    top = classify.mean_terms(x, F.col("key") % 5 == 0, sizes, train.count(), test.count(), 10)
     return top.select("label", i64(F.col("rank")).alias("rank"), "term", F.round("shap", 9).alias("shap"))
 
 

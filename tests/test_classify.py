@@ -117,3 +117,35 @@ def test_word_probabilities_are_softmax_sums(spark):
         p = np.exp(matrix @ v - (matrix @ v).max())
         p /= p.sum()
         assert np.allclose(got[i], [np.log(p[[0, 2]].sum()), np.log(p[6])])
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_tfidf_moves_each_count_twice_at_most(spark, rows, monkeypatch, small):
+    monkeypatch.setattr(classify, "SMALL", small)
+    df = spark.createDataFrame([(i, ["a", "b", "a", "", "b", "a"][: i % 7] or None) for i in range(40)], "id long, w array<string>")
+    idf = df.sparkSession.createDataFrame([("a", 1.5), ("b", 2.5)], "term string, idf double")
+    x = classify.tfidf(df, "id", "w", idf)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1 and "Exchange hashpartitioning(key#" in plan and ", term#" not in plan.split("Exchange hashpartitioning(key", 1)[1].split(")")[0]
+    got = {(r.key, r.term): r.x for r in x.collect()}
+    for i in range(40):
+        w = ["a", "b", "a", "", "b", "a"][: i % 7]
+        raw = {t: w.count(t) * v for t, v in (("a", 1.5), ("b", 2.5)) if t in w}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        assert {t: v for (k, t), v in got.items() if k == i} == pytest.approx({t: v / norm for t, v in raw.items()})
+
+
+def test_rows_with_one_key_count_together(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["a"]), (2, ["b"])], "id long, w array<string>")
+    idf = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "term string, idf double")
+    got = {(r.key, r.term): r.x for r in classify.tfidf(df, "id", "w", idf).collect()}
+    assert got == pytest.approx({(1, "a"): 2 / math.sqrt(5), (1, "b"): 1 / math.sqrt(5), (2, "b"): 1.0})
+
+
+def test_vocabulary_is_that_of_a_fit(spark):
+    from pyspark.ml.feature import CountVectorizer
+
+    df = spark.createDataFrame([(i, [f"t{j}" for j in range(i % 9) for _ in range(1 + j % 3)]) for i in range(60)], "id long, w array<string>")
+    for least, most in ((1, 100), (20, 100), (1, 4)):
+        model, _ = classify.count_vectorizer(classify.vocabulary(df, "w", least, most), "w", "v")
+        assert model.vocabulary == CountVectorizer(inputCol="w", outputCol="v", minDF=float(least), vocabSize=most).fit(df).vocabulary
