@@ -97,7 +97,7 @@ def numbered_lines(spark: SparkSession, path: str, header: bool = False) -> Data
     """(file, place, value): the lines of text files with their numbers from 0 in their file; a header is left out and not counted.
 
     A large file is read in blocks by several tasks. Within a block rows keep their order, so a line's number is its place in the block and the lines
-    of the file's blocks before it; of those only counts meet.
+    of the file's blocks before it; of those only counts meet, a row a block, and these go to the lines.
     """
     some = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
@@ -105,17 +105,17 @@ def numbered_lines(spark: SparkSession, path: str, header: bool = False) -> Data
     blocks = some.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    lines = some.join(starts, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("start") - int(header)).alias("place"), "value")
+    lines = some.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("start") - int(header)).alias("place"), "value")
     return lines.where("place >= 0") if header else lines
 
 
 def zipped(left: DataFrame, right: DataFrame, name: Column) -> DataFrame:
     """(name, place, left, right): lines of two sets of files side by side, by the file's name and the line's number; name is an expression of file.
 
-    A line without its partner, as where one file is shorter than the other, ends the query with an error that names it.
+    Grouping sorts by its first column: the places tell lines apart at once, the names hardly any. A line without its partner, as where one file is shorter than the other, ends the query with an error that names it.
     """
     one = lambda df, side: df.select(name.alias("name"), "place", F.lit(side).alias("side"), "value")
-    both = one(left, 0).unionAll(one(right, 1)).groupBy("name", "place").agg(
+    both = one(left, 0).unionAll(one(right, 1)).groupBy("place", "name").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("side") == 0, F.col("value"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("right")
     )
     said = F.concat(F.lit("line "), F.col("place").cast("string"), F.lit(" of "), F.coalesce("name", F.lit("a file without a name")), F.lit(" has no partner, or several"))

@@ -104,3 +104,19 @@ def test_splits_have_each_row_once_a_fold(spark, tmp_path):
     assert sorted((r.fold, r.id) for r in rows) == [(f, i) for f in range(3) for i in range(100)]
     tests = [{r.id for r in rows if r.fold == f and r.split == "test"} for f in range(3)]
     assert all(len(x) == 25 for x in tests) and tests[0] != tests[1]
+
+
+def test_a_name_is_written_in_pieces(spark, sf_dir, tmp_path, monkeypatch):
+    from lectern.plans import files, registry
+
+    monkeypatch.setattr(files, "folder", lambda t, name: f"{tmp_path}/{spark.conf.get('spark.sql.shuffle.partitions')}-{name}")
+    before, told = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for n in ("4", "28"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            told[n] = sorted(registry.QUERIES["positional_zip"](spark, sf_dir).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert told["4"] == told["28"] and len(told["28"]) == 7
+    for side in ("segments", "predictions"):
+        assert len(glob.glob(f"{tmp_path}/28-{side}/part=3/**/part-*", recursive=True)) == 4
