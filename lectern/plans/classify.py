@@ -45,10 +45,12 @@ def shap_top_terms(t: Tables) -> DataFrame:
     train, test = d.where(f"not ({_TEST})"), d.where(_TEST)
     features = classify.tfidf_features(train, "w", 5)
     classes = sorted(r[0] for r in t.documents.select("lang").distinct().collect() if r[0] is not None)
-    model = classify.fit(features.transform(train), "label", classes, reg=0.002)
-    idf = classify.idf_table(train, "doc_id", "w", 5)
-    x, held = classify.tfidf(d, "doc_id", "w", idf), F.col("key") % 5 == 0
+    model = classify.fit(checkpoint(features.transform(train).select("label", "features")), "label", classes, reg=0.002)
     weights = classify.coefficients(model, features.stages[0].vocabulary, t.spark)
+    idf = checkpoint(classify.idf_table(train, "doc_id", "w", 5))
+    # Norms are over all terms; of the values only those of terms with a weight are kept.
+    known = F.broadcast(weights.where("weight > 0").select("term").distinct())
+    x, held = checkpoint(classify.tfidf(d, "doc_id", "w", idf).join(known, "term", "left_semi")), F.col("key") % 5 == 0
     top = classify.shap_top_terms(x.where(~held), train.count(), x.where(held), test.count(), weights, 10)
     return top.select("label", i64(F.col("rank")).alias("rank"), "term", r6(F.col("shap")).alias("shap"), r6(F.col("shap_abs")).alias("shap_abs"))
 
