@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -15,10 +14,6 @@ from lectern.operators import labels as annotations
 from lectern.operators.joins import SMALL
 from lectern.storage import checkpoint
 
-#: MB of rows that a fit adds up at a time: for over two classes each block costs a pass over all weights, so that small ones cost more than their rows.
-BLOCK_MB = 32.0
-
-
 @dataclass
 class Linear:
     """A model of the classes; those that its training rows lack have probability 0. With one class only there is no model, just that class."""
@@ -49,7 +44,7 @@ def fit(rows: DataFrame, label: str, classes: list[str], weight: str | None = No
     if len(known) < 2:
         return Linear(classes, known or classes[:1])
     number = F.array_position(F.array(*map(F.lit, known)), F.col(label)).cast("double") - 1
-    lr = LogisticRegression(labelCol="label_", regParam=reg, elasticNetParam=l1, maxIter=rounds, family="multinomial" if len(known) > 2 else "binomial", maxBlockSizeInMB=BLOCK_MB)
+    lr = LogisticRegression(labelCol="label_", regParam=reg, elasticNetParam=l1, maxIter=rounds, family="multinomial" if len(known) > 2 else "binomial")
     if weight:
         lr = lr.setWeightCol(weight)
     return Linear(classes, known, lr.fit(some.withColumn("label_", number)))
@@ -97,7 +92,8 @@ def fold_grid(
     Rows have a key, a label and a vector `features`; parts go by the order of a hash of the key. Features and parts are stored once, and all
     (fold, penalty) pairs are fitted from there, `threads` jobs at a time.
     """
-    some = annotations.ranked(rows.where(F.col(label).isin(classes)), key, seed)
+    needed = rows.select(*dict.fromkeys([key, label, *([weight] if weight else []), "features"]))
+    some = annotations.ranked(needed.where(F.col(label).isin(classes)), key, seed)
     n = some.count()
     stored = checkpoint(some.withColumn("fold_", annotations.split_n_way(F.col("rn"), F.lit(n), folds)).drop("rn"))
 
@@ -150,33 +146,15 @@ def tfidf(df: DataFrame, key: str, tokens: str, idf: DataFrame, keep: tuple[str,
     return raw.select("key", *keep, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("key")))).alias("x"))
 
 
-def vocabulary(df: DataFrame, tokens: str, least: int, most: int) -> DataFrame:
-    """(term, df, n) of the `most` most frequent of the terms in at least `least` rows: the number of rows with it and of its occurrences."""
-    found = df.select(F.inline(counted(F.col(tokens)))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
-    return found.where(F.col("df") >= least).orderBy(F.desc("n"), "term").limit(most)
-
-
-def count_vectorizer(terms: DataFrame, tokens: str, out: str, binary: bool = False):
-    """(model, terms' rows): a CountVectorizerModel of these terms, the most frequent first. They are bounded, so that they fit the driver, as those of a fit do."""
-    from pyspark.ml.feature import CountVectorizerModel
-
-    rows = sorted(terms.collect(), key=lambda r: (-r["n"], r["term"]))
-    if not rows:
-        raise ValueError("no term is in so many rows")
-    model = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], tokens, out)
-    return model.setBinary(binary), rows
-
-
 def tfidf_features(train: DataFrame, tokens: str, least: int = 1, most: int = 1 << 17):
     """A fitted pipeline to the same values as vectors, for training; `most` bounds the vocabulary, the most frequent first."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import ElementwiseProduct, Normalizer
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    n = train.count()
-    counts, rows = count_vectorizer(vocabulary(train, tokens, least, most), tokens, "counts_")
-    scale = [math.log((n + 1.0) / (r["df"] + 1.0)) + 1 for r in rows]
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="counts_", outputCol="scaled_")
+    counts = CountVectorizer(inputCol=tokens, outputCol="counts_", minDF=float(least), vocabSize=most).fit(train)
+    idf = IDF(inputCol="counts_", outputCol="idf_").fit(counts.transform(train))
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1), inputCol="counts_", outputCol="scaled_")
     return PipelineModel([counts, scaled, Normalizer(p=2.0, inputCol="scaled_", outputCol="features")])
 
 
