@@ -170,10 +170,13 @@ def counted(tokens: Column) -> Column:
 def ngrams(tokens: Column, n: int, keep: str | None = None) -> Column:
     """n-grams joined by `_`; keep='alpha': all tokens alphabetic, 'alnum': each holds an ASCII letter or digit."""
     count = F.size(tokens) - (n - 1)
+    if not keep:
+        # Parts are named by their place and joined at once, without an array for each; the array of one element names the tokens, which else are worked out each time.
+        joined = F.transform(F.array(tokens), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws("_", *[F.get(w, i + j) for j in range(n)])))[0]
+        return F.when(count > 0, joined).otherwise(F.array().cast("array<string>"))
     grams = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
-    if keep:
-        pattern = KEPT_TOKENS[keep]
-        grams = F.filter(grams, lambda g: F.forall(g, lambda t: t.rlike(pattern)))
+    pattern = KEPT_TOKENS[keep]
+    grams = F.filter(grams, lambda g: F.forall(g, lambda t: t.rlike(pattern)))
     return F.transform(grams, lambda g: F.array_join(g, "_"))
 
 

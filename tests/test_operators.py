@@ -297,3 +297,13 @@ def test_terms_of_the_president_elected_twice(spark):
     rows = [("Grover Cleveland", 1891), ("Grover Cleveland", 1892), ("Grover Cleveland", None), ("James A. Garfield", 1881), (None, 1900)]
     got = spark.createDataFrame(rows, "who string, year int").select(dates.term_label(F.col("who"), F.col("year")).alias("x"))
     assert [r.x for r in got.collect()] == ["Grover Cleveland (85-89)", "Grover Cleveland (93-97)", "Grover Cleveland", "James A. Garfield", None]
+
+
+def test_joined_ngrams(spark):
+    from lectern.functions import text as T
+
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"]), (3, []), (4, None)], "i int, w array<string>")
+    got = {r.i: (list(r.two), list(r.three)) for r in df.select("i", T.ngrams(F.col("w"), 2).alias("two"), T.ngrams(F.col("w"), 3).alias("three")).collect()}
+    assert got == {1: (["a_b", "b_c"], ["a_b_c"]), 2: ([], []), 3: ([], []), 4: ([], [])}
+    plan = df.select(T.ngrams(F.col("w"), 2).alias("two"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "array_join(" not in plan
